@@ -1,0 +1 @@
+"""Registry changes applied to micro-batches."""
