@@ -85,11 +85,15 @@ def search(
     return files
 
 
+def _may_read(groups: Sequence[str]) -> Column:
+    mine = F.array(*[F.lit(g.strip()) for g in groups]).cast("array<string>")
+    allowed = F.transform(F.split("acl", ","), lambda g: F.trim(g))
+    return F.col("acl").isNull() | F.coalesce(F.arrays_overlap(allowed, mine), F.lit(False))
+
+
 def visible_to(files: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Public files, and private ones whose access list shares a group with the user."""
-    mine = F.array(*[F.lit(g.strip()) for g in groups]) if groups else F.array().cast("array<string>")
-    allowed = F.transform(F.split("acl", ","), F.trim)
-    return files.filter(F.col("acl").isNull() | F.coalesce(F.arrays_overlap(allowed, mine), F.lit(False)))
+    return files.filter(_may_read(groups))
 
 
 # ---------------------------------------------------------------- children
@@ -252,10 +256,7 @@ def download_links(
         .when(F.lit(which_repo not in requests), F.lit("signing is not supported for this protocol"))
     )
     if groups is not None:
-        mine = F.array(*[F.lit(g.strip()) for g in groups]) if groups else empty
-        shared = F.arrays_overlap(F.transform(F.split("acl", ","), F.trim), mine)
-        denied = F.col("acl").isNotNull() & ~F.coalesce(shared, F.lit(False))
-        reason = F.when(denied, F.lit("no permission")).otherwise(reason)
+        reason = F.when(~_may_read(groups), F.lit("no permission")).otherwise(reason)
     ok = reason.isNull()
     return rows.select(
         "guid",

@@ -68,7 +68,7 @@ def _fields(pairs: DataFrame, names: Sequence[str], file: str = "file") -> DataF
 
 
 def _list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def study_records(pairs: DataFrame, file: str = "file") -> DataFrame:

@@ -367,7 +367,7 @@ def kaplan_meier_median_split(spark, sf_dir):
 
 @query(f"""WITH split AS (
   SELECT 'os' AS endpoint, l_quantity AS time, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS ev FROM lineitem
-  UNION ALL SELECT 'dfs', l_tax * 100, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END FROM lineitem),
+  UNION ALL SELECT 'dfs', round(l_tax * 100), CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END FROM lineitem),
 {_km_sql('endpoint', 'split').replace('AS "group"', 'AS endpoint')}""")
 def kaplan_meier_endpoints(spark, sf_dir):
     return _rounded(km.kaplan_meier_endpoints(survival(spark, sf_dir)), 6)

@@ -234,7 +234,7 @@ def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select(
         F.col("l_quantity").alias("os_months"),
         F.when(dead, "1:DECEASED").otherwise("0:LIVING").alias("os_status"),
-        (F.col("l_tax") * 100).alias("dfs_months"),
+        F.round(F.col("l_tax") * 100).alias("dfs_months"),
         (F.col("l_linestatus") == "F").alias("dfs_status"),
         F.col("l_linestatus").alias("arm"),
         F.col("l_discount").alias("dose"),
