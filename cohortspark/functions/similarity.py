@@ -19,18 +19,14 @@ def trigrams(text: Column) -> Column:
     """The distinct trigrams of a text.
 
     The text is lowered and cut into words of letters and digits; each word is padded with two
-    blanks before and one after. Distinct words are taken first, so the work grows linearly with
-    the text.
+    blanks before and one after. Distinct words are taken first and written one per line, so that
+    one pass of a look-ahead pattern, which does not cross lines, reads off all trigrams.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-
-    def of_word(word: Column) -> Column:
-        padded = F.concat(F.lit("  "), word, F.lit(" "))
-        return F.transform(
-            F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(padded, i, F.lit(3))
-        )
-
-    return F.array_distinct(F.flatten(F.transform(words, of_word)))
+    words = F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
+    lines = F.concat(F.lit("  "), F.array_join(words, " \n  "), F.lit(" "))
+    found = F.array_distinct(F.regexp_extract_all(lines, F.lit("(?=(...))"), F.lit(1)))
+    # without any word the one padded line is blank
+    return F.array_remove(found, "   ")
 
 
 def similarity(left: Column, right: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 #: Rows of one group that one task may sort or hold.
 GROUP_ROWS = 1_000_000
+#: Distinct values of one group that an exact percentile may hold in memory.
+GROUP_VALUES = 100_000
 #: Ranges a large group is cut into.
 RANGES = 256
 #: Accuracy of the sketches; a value's rank is off by at most rows / SKETCH_ACCURACY.
@@ -148,7 +150,7 @@ def quantiles(
     value: str,
     wanted: Mapping[str, float],
     rule: str = "linear",
-    group_values: int = 100_000,
+    group_values: int = GROUP_VALUES,
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """Exact quantiles of a numeric column, one row per group.
@@ -157,48 +159,20 @@ def quantiles(
     element at position floor(np) of the sorted values. Null values are left out.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if rule == "linear" and most_values(rows, keys, "_v") <= group_values:
-        found = F.percentile("_v", [float(p) for p in wanted.values()])
-        out = rows.groupBy(*keys).agg(found.alias("_q"))
-        return out.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(wanted)])
-
-    # 1. a bracket around each quantile that surely holds it, from a sketch with known rank error
-    margin = 3.0 / accuracy
-    sides = []
-    for p in wanted.values():
-        sides += [max(float(p) - margin, 0.0), min(float(p) + margin, 1.0)]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", sides, accuracy).alias("_sides")
-    )
-    # 2. rows below a bracket are only counted, rows inside it keep their value; both aggregate
-    # before the shuffle, so little more than the brackets' own values moves
-    marked = attach(rows, sketch, keys)
-    brackets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(F.col("_v") >= F.col("_sides")[2 * i], F.col("_v")).alias("v"),
-                (F.col("_v") <= F.col("_sides")[2 * i + 1]).alias("keep"),
-            )
-            for i in range(len(wanted))
-        ]
-    )
-    kept = F.explode(F.filter(brackets, lambda b: b["keep"])).alias("_b")
-    counted = (
-        marked.select(*keys, "_n", kept)
-        .groupBy(*keys, "_n", F.col("_b.i").alias("_i"), F.col("_b.v").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    # 3. exact positions inside each bracket
-    up_to = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
-    placed = counted.withColumn("_end", F.sum("_c").over(up_to))
+    if most_values(rows, keys, "_v") <= group_values:
+        if rule == "linear":
+            found = rows.groupBy(*keys).agg(F.percentile("_v", list(wanted.values())).alias("_q"))
+            return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(wanted)])
+        placed = _value_positions(rows, keys)
+    else:
+        placed = _bracket_positions(rows, keys, list(wanted.values()), accuracy)
 
     def at(i: int, position: Column) -> Column:
         inside = (position >= F.col("_end") - F.col("_c")) & (position < F.col("_end"))
-        return F.max(F.when((F.col("_i") == i) & inside, F.col("_v")))
+        return F.max(F.when((F.coalesce("_i", F.lit(i)) == i) & inside, F.col("_v")))
 
     picked = []
-    for i, (name, p) in enumerate(wanted.items()):
+    for i, p in enumerate(wanted.values()):
         h = _position(F.col("_n"), p, rule)
         picked += [
             at(i, F.floor(h)).alias(f"_low{i}"),
@@ -213,3 +187,55 @@ def quantiles(
             for i, name in enumerate(wanted)
         ],
     )
+
+
+def _value_positions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Where each distinct value ends in the sorted order of its group (few distinct values)."""
+    counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return counted.select(
+        *keys,
+        F.lit(None).cast("int").alias("_i"),
+        "_v",
+        "_c",
+        F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")).alias("_end"),
+        F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"),
+    )
+
+
+def _bracket_positions(
+    rows: DataFrame, keys: Sequence[str], probabilities: Sequence[float], accuracy: int
+) -> DataFrame:
+    """Where the values around each quantile end in the sorted order of their group.
+
+    A sketch with known rank error gives a bracket that surely holds the quantile. Rows below it are
+    only counted, rows inside keep their value. Both aggregate before the shuffle, so little more
+    than the brackets' own values moves, and no task sorts more than one bracket.
+    """
+    margin = 3.0 / accuracy
+    sides = [s for p in probabilities for s in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketch = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", sides, accuracy).alias("_sides")
+    )
+    marked = attach(rows, sketch, keys)
+
+    def side(i: int) -> Column:
+        return F.col("_sides")[i]
+
+    if len(probabilities) == 1:
+        below_or_in = marked.filter(F.col("_v") <= side(1)).select(
+            *keys, "_n", F.lit(0).alias("_i"), F.when(F.col("_v") >= side(0), F.col("_v")).alias("_v")
+        )
+    else:
+        brackets = [
+            F.struct(
+                F.lit(i).alias("_i"),
+                F.when(F.col("_v") >= side(2 * i), F.col("_v")).alias("_v"),
+                (F.col("_v") <= side(2 * i + 1)).alias("_keep"),
+            )
+            for i in range(len(probabilities))
+        ]
+        below_or_in = marked.select(*keys, "_n", F.inline(F.array(*brackets))).filter("_keep")
+    counted = below_or_in.groupBy(*keys, "_n", "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # a null value stands for all rows below the bracket and comes first
+    up_to = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
+    return counted.withColumn("_end", F.sum("_c").over(up_to))

@@ -114,7 +114,8 @@ def with_children(
 
     All child tables share one shuffle and one aggregation. Every file is one row (``part`` 0)
     unless it has more than ``row_children`` children; such a file gets further rows, so that no
-    task has to collect a boundless group and no child is lost.
+    task has to collect a boundless group and no child is lost. For few files reduce the child
+    tables first, as ``search_page`` does.
     """
     sides = [
         getattr(registry, kind).select(F.col("file").alias("guid"), _payload(kind, getattr(registry, kind)).alias(kind))
@@ -126,7 +127,6 @@ def with_children(
     long = sides[0]
     for side in sides[1:]:
         long = long.unionByName(side, allowMissingColumns=True)
-    long = long.join(files.select("guid").distinct(), "guid", "left_semi")
     keys = ["guid", "part"]
     if largest_group(long, ["guid"]) <= row_children:
         parted = long.withColumn("part", F.lit(0))
@@ -278,7 +278,7 @@ def missing_objects(table: DataFrame, listing: DataFrame, prefixes: Sequence[str
     for prefix in prefixes:
         starts = starts | F.col("url").startswith(prefix)
     found = cells.filter(starts).select("column", F.trim("url").alias("url")).distinct()
-    return found.join(listing.select("url").distinct(), "url", "left_anti").select("column", "url")
+    return found.join(listing.select("url"), "url", "left_anti").select("column", "url")
 
 
 # ---------------------------------------------------------------- batch changes

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortspark.functions.scalars import display_number
-from cohortspark.operators.ordered import attach, quantiles
+from cohortspark.operators.ordered import GROUP_VALUES, attach, most_values, quantiles
 
 BIN_WIDTH = 10
 
@@ -67,21 +67,26 @@ def coverage(loaded: DataFrame, everything: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.coalesce(share, F.lit(0.0)))
 
 
-def grouped_stats(df: DataFrame, x: str, y: str, **limits: int) -> DataFrame:
+def grouped_stats(
+    df: DataFrame, x: str, y: str, group_values: int = GROUP_VALUES, **sketch: int
+) -> DataFrame:
     """count, mean, median, min, max and population deviation of ``y`` per value of ``x``.
 
     Groups without any number get zeros. Rows missing ``x`` or ``y`` do not count.
     """
     rows = drop_missing(df, x, y).select(F.col(x).alias("group"), _numbers(df, y).alias("_y"))
-    stats = rows.groupBy("group").agg(
+    measures = [
         F.count(F.lit(1)).alias("count"),
         F.avg("_y").alias("mean"),
         F.min("_y").alias("min"),
         F.max("_y").alias("max"),
         F.stddev_pop("_y").alias("std"),
-    )
-    medians = quantiles(rows, ["group"], "_y", {"median": 0.5}, **limits)
-    out = attach(stats, medians, ["group"])
+    ]
+    if most_values(rows, ["group"], "_y") <= group_values:
+        out = rows.groupBy("group").agg(*measures, F.percentile("_y", 0.5).alias("median"))
+    else:
+        medians = quantiles(rows, ["group"], "_y", {"median": 0.5}, group_values=group_values, **sketch)
+        out = attach(rows.groupBy("group").agg(*measures), medians, ["group"])
     columns = ["mean", "median", "min", "max", "std"]
     return out.select("group", "count", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
 

@@ -10,8 +10,8 @@ from cohortspark.functions.scalars import event_code
 from cohortspark.operators.ordered import (
     GROUP_ROWS,
     RANGES,
-    earlier_ranges,
     attach,
+    earlier_ranges,
     most_values,
     quantiles,
     range_splits,
@@ -95,7 +95,8 @@ def kaplan_meier(df: DataFrame, time: str, status: str, **limits: int) -> DataFr
 def kaplan_meier_by(df: DataFrame, time: str, status: str, by: str, **limits: int) -> DataFrame:
     """One curve per category of ``by``; a numeric ``by`` is split at its median element.
 
-    The split value is the element at position floor(n/2) of the sorted values.
+    The split value is the element at position floor(n/2) of the sorted values; this one number is
+    computed first and reaches the driver.
     """
     rows = drop_missing(df, by)
     if not is_numeric(df, by):
@@ -103,12 +104,13 @@ def kaplan_meier_by(df: DataFrame, time: str, status: str, by: str, **limits: in
         return curve(rows, ["group"], **limits)
     rows = survival_rows(rows.withColumn("_by", F.col(by).cast("double")), time, status, ["_by"])
     rows = rows.filter(~F.isnan("_by"))
-    middle = quantiles(rows, [], "_by", {"_middle": 0.5}, rule="upper")
-    split = attach(rows, middle, [])
-    shown = F.format_string("%.2f", F.col("_middle"))
-    label = F.when(F.col("_by") <= F.col("_middle"), F.concat(F.lit("<= median ("), shown, F.lit(")")))
-    label = label.otherwise(F.concat(F.lit("> median ("), shown, F.lit(")")))
-    return curve(split.select(label.alias("group"), "time", "event"), ["group"], **limits)
+    found = quantiles(rows, [], "_by", {"middle": 0.5}, rule="upper").first()
+    if found is None or found["middle"] is None:
+        return curve(rows.select(F.lit("").alias("group"), "time", "event").limit(0), ["group"], **limits)
+    middle = found["middle"]
+    side = F.when(F.col("_by") <= middle, F.lit("<=")).otherwise(F.lit(">"))
+    label = F.concat(side, F.format_string(" median (%.2f)", F.lit(middle)))
+    return curve(rows.select(label.alias("group"), "time", "event"), ["group"], **limits)
 
 
 def endpoint_pairs(columns: Sequence[str]) -> dict[str, tuple[str, str]]:

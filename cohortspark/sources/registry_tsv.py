@@ -170,7 +170,7 @@ def read_registry(spark: SparkSession, folder: str) -> Registry:
     return Registry(**{name: spark.read.parquet(f"{folder}/{name}") for name in ("file", *CHILDREN)})
 
 
-def write_registry(registry: Registry, folder: str) -> None:
-    """Store the tables as a new version in a new folder."""
+def write_registry(registry: Registry, folder: str, mode: str = "errorifexists") -> None:
+    """Store the tables as a new version; the folder must not be one the tables are read from."""
     for name in ("file", *CHILDREN):
-        getattr(registry, name).write.parquet(f"{folder}/{name}")
+        getattr(registry, name).write.mode(mode).parquet(f"{folder}/{name}")

@@ -1,0 +1,56 @@
+"""Registering files that arrive as a stream of small batches.
+
+The batch changes of ``cohortspark.operators.registry`` are table to table, so a streaming query
+needs no operators of its own: each micro-batch makes a new version of the registry tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from cohortspark.operators.registry import Registry, register
+from cohortspark.sources.registry_tsv import read_registry, write_registry
+
+REGISTRATION_SCHEMA = "size string, filename string, uploader string, md5sum string, url string, alias string"
+
+
+def read_arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """Registration files dropped into a folder, as a stream of text rows."""
+    return spark.readStream.schema(REGISTRATION_SCHEMA).csv(folder, header=True)
+
+
+def version_folder(base: str, version: int) -> str:
+    return f"{base.rstrip('/')}/version={version}"
+
+
+def apply_batches(
+    arrivals: DataFrame,
+    base: str,
+    checkpoint: str,
+    change: Callable[[Registry, DataFrame, int], Registry],
+) -> StreamingQuery:
+    """Apply each micro-batch to the newest registry version below ``base``.
+
+    Version 0 must be there; batch n reads version n and writes version n+1. A batch that runs again
+    after a failure finds the same input version and replaces its own half-written output.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        current = read_registry(spark, version_folder(base, number))
+        write_registry(change(current, batch, number), version_folder(base, number + 1), mode="overwrite")
+
+    writer = arrivals.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return writer.foreachBatch(write).start()
+
+
+def register_arrivals(
+    spark: SparkSession, folder: str, base: str, checkpoint: str, prefix: str, now: int
+) -> StreamingQuery:
+    """Register all files that arrived in ``folder`` since the last run."""
+    return apply_batches(
+        read_arrivals(spark, folder), base, checkpoint, lambda reg, batch, _: register(reg, batch, prefix, now)
+    )
