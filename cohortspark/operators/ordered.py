@@ -169,7 +169,9 @@ def quantiles(
 
     def at(i: int, position: Column) -> Column:
         inside = (position >= F.col("_end") - F.col("_c")) & (position < F.col("_end"))
-        return F.max(F.when((F.coalesce("_i", F.lit(i)) == i) & inside, F.col("_v")))
+        found = F.max(F.when((F.coalesce("_i", F.lit(i)) == i) & inside, F.col("_v")))
+        # a sketch worse than promised must not pass for a result
+        return F.coalesce(found, F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
 
     picked = []
     for i, p in enumerate(wanted.values()):
@@ -217,21 +219,20 @@ def _bracket_positions(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", sides, accuracy).alias("_sides")
     )
     marked = attach(rows, sketch, keys)
+    # a margin has to reach past the neighbouring values, so small groups are kept whole
+    whole = F.col("_n") <= accuracy
 
-    def side(i: int) -> Column:
-        return F.col("_sides")[i]
+    def low(i: int) -> Column:
+        return F.when(whole | (F.col("_v") >= F.col("_sides")[2 * i]), F.col("_v"))
+
+    def kept(i: int) -> Column:
+        return whole | (F.col("_v") <= F.col("_sides")[2 * i + 1])
 
     if len(probabilities) == 1:
-        below_or_in = marked.filter(F.col("_v") <= side(1)).select(
-            *keys, "_n", F.lit(0).alias("_i"), F.when(F.col("_v") >= side(0), F.col("_v")).alias("_v")
-        )
+        below_or_in = marked.filter(kept(0)).select(*keys, "_n", F.lit(0).alias("_i"), low(0).alias("_v"))
     else:
         brackets = [
-            F.struct(
-                F.lit(i).alias("_i"),
-                F.when(F.col("_v") >= side(2 * i), F.col("_v")).alias("_v"),
-                (F.col("_v") <= side(2 * i + 1)).alias("_keep"),
-            )
+            F.struct(F.lit(i).alias("_i"), low(i).alias("_v"), kept(i).alias("_keep"))
             for i in range(len(probabilities))
         ]
         below_or_in = marked.select(*keys, "_n", F.inline(F.array(*brackets))).filter("_keep")
