@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.functions.scalars import boolean_value, missing_to_null
-from cohortspark.operators.ordered import attach
 from cohortspark.operators.survival import ENDPOINTS
 
 STRING, NUMBER, BOOLEAN = "STRING", "NUMBER", "BOOLEAN"
@@ -20,6 +19,10 @@ BOOLEAN_TEXTS = ("True", "False", "true", "false", "0", "1")
 PIE_VALUES, BAR_VALUES, TABLE_VALUES, ID_VALUES, LINE_VALUES = 6, 25, 500, 100, 50
 ID_RATIO = 0.8
 
+DICTIONARY_ROW = (
+    "key string, position int, data_type string, notes string, minimum double, maximum double, value_count bigint"
+)
+
 #: Fields with more distinct values than this list them in ``field_values`` only.
 LISTED_VALUES = 500
 
@@ -118,6 +121,9 @@ def dictionary(
     NUMBER fields get ``minimum`` and ``maximum``; others list their sorted values, as long as
     there are at most ``listed_values``. ``value_count`` is exact for all, and ``field_values``
     holds the values of the larger ones. ``header`` adds name, description and order by key.
+
+    A first pass measures all columns, one row per column comes to the driver, and a second pass
+    reads only the columns whose values get listed.
     """
     values = field_values(df)
     value = F.col("value")
@@ -132,29 +138,30 @@ def dictionary(
     )
     kind = _type_of(F.col("present"), F.col("numbers"), F.col("booleans"))
     stats = stats.select("key", "value_count", "present", kind.alias("data_type"), "_min", "_max")
-    short = (F.col("data_type") != NUMBER) & (F.col("value_count") <= listed_values)
-    lists = (
-        attach(values, stats.select("key", short.alias("_short")), ["key"])
-        .filter("_short")
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list("value")).alias("allowed_values"))
-    )
-    columns = F.array(
-        *[F.struct(F.lit(c).alias("key"), F.lit(i).alias("position")) for i, c in enumerate(df.columns)]
-    )
-    keys = df.sparkSession.range(1).select(F.inline(columns))
-    out = keys.join(stats, "key", "left").join(lists, "key", "left")
-    is_number = F.col("data_type") == NUMBER
-    out = out.select(
-        "key",
-        "position",
-        F.coalesce("data_type", F.lit(STRING)).alias("data_type"),
-        F.lit("").alias("notes"),
-        "allowed_values",
-        F.when(is_number, F.col("_min")).alias("minimum"),
-        F.when(is_number, F.col("_max")).alias("maximum"),
-        F.coalesce("value_count", F.lit(0)).cast("long").alias("value_count"),
-    )
+    found = {row["key"]: row for row in stats.collect()}
+    short = [k for k, r in found.items() if r["data_type"] != NUMBER and r["value_count"] <= listed_values]
+
+    rows = []
+    for position, key in enumerate(df.columns):
+        row = found.get(key)
+        is_number = row is not None and row["data_type"] == NUMBER
+        rows.append(
+            (
+                key,
+                position,
+                row["data_type"] if row else STRING,
+                "",
+                row["_min"] if is_number else None,
+                row["_max"] if is_number else None,
+                row["value_count"] if row else 0,
+            )
+        )
+    out = df.sparkSession.createDataFrame(rows, DICTIONARY_ROW)
+    if short:
+        lists = _cells(df.select(*[F.col(f"`{k}`") for k in short])).groupBy("key")
+        out = out.join(lists.agg(F.sort_array(F.collect_set("value")).alias("allowed_values")), "key", "left")
+    else:
+        out = out.withColumn("allowed_values", F.lit(None).cast("array<string>"))
     if header is None:
         return out.select(
             "*", F.col("key").alias("name"), F.lit("").alias("description"), F.lit(0).alias("order")

@@ -153,14 +153,14 @@ def search_page(
 ) -> DataFrame:
     """One page of a search with children loaded for the files of that page only.
 
-    The page has at most ``size`` guids, so it is safe to broadcast against the child tables.
+    The guids of the page, at most ``size`` of them, are fetched first; files and children are then
+    read by them, so that stored tables can skip what holds none of these guids.
     """
-    files = page_rows(search(registry, **conditions), [("guid", False)], number, size)
-    guids = F.broadcast(files.select(F.col("guid").alias("file")))
-    near = replace(
-        registry, **{kind: getattr(registry, kind).join(guids, "file", "left_semi") for kind in kinds}
-    )
-    return with_children(files, near, kinds)
+    found = page_rows(search(registry, **conditions).select("guid"), [("guid", False)], number, size)
+    guids = [row["guid"] for row in found.collect()]
+    near = {kind: getattr(registry, kind).filter(F.col("file").isin(guids)) for kind in kinds}
+    files = registry.file.filter(F.col("guid").isin(guids))
+    return with_children(files, replace(registry, **near), kinds)
 
 
 def by_hash(registry: Registry, digests: DataFrame, column: str = "hash") -> DataFrame:
@@ -294,6 +294,16 @@ def _last_of(batch: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     return batch.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best.alias("_row")).select("_row.*")
 
 
+def _without_known(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is not in the table yet.
+
+    The table is first cut down to the keys of the rows, which are mostly few enough to broadcast;
+    a plain anti join would move the whole table.
+    """
+    known = table.select(*keys).join(rows.select(*keys), list(keys), "left_semi")
+    return rows.join(known, list(keys), "left_anti")
+
+
 def check_registrations(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split registration rows (size, filename, uploader, md5sum, [url, alias]) into good and bad.
 
@@ -324,8 +334,7 @@ def register(registry: Registry, batch: DataFrame, prefix: str, now: int) -> Reg
     good, _ = check_registrations(batch)
     first = F.struct("filename", "size", "uploader", F.coalesce("url", F.lit("")), F.coalesce("alias", F.lit("")))
     fresh = _first_of(good, ["md5sum"], first)
-    known = registry.hash.select(F.col("hash").alias("md5sum"))
-    fresh = fresh.join(known, "md5sum", "left_anti")
+    fresh = _without_known(fresh, registry.hash.select(F.col("hash").alias("md5sum")), ["md5sum"])
     uuid = scalars.uuid5(F.concat(F.lit(f"{prefix}/"), F.col("md5sum")))
     fresh = fresh.withColumn("guid", scalars.make_guid(prefix, uuid))
     stamp = F.lit(now).cast("long")
@@ -373,7 +382,7 @@ def insert_ignore(table: DataFrame, rows: DataFrame, keys: Sequence[str], files:
         rows = rows.join(files.select(F.col("guid").alias("file")).distinct(), "file", "left_semi")
     rest = sorted(c for c in rows.columns if c not in keys)
     fresh = _first_of(rows, keys, F.struct(*rest)) if rest else rows.distinct()
-    fresh = fresh.join(table.select(*keys), list(keys), "left_anti")
+    fresh = _without_known(fresh, table, keys)
     return table.unionByName(fresh.select(*rows.columns), allowMissingColumns=True)
 
 
@@ -387,7 +396,8 @@ def upsert(
     """Update rows by key or append them; the last of equal keys in the batch wins.
 
     ``order`` names the batch column that tells later from earlier rows. Rows of unknown files are
-    left out. Columns the batch does not have keep their old value.
+    left out. Columns the batch does not have keep their old value. The table side of the join is
+    its outer side: a small batch is broadcast and the table does not move.
     """
     rows = rows.join(files.select(F.col("guid").alias("file")).distinct(), "file", "left_semi")
     payload = [c for c in rows.columns if c not in keys and c != order]
@@ -401,16 +411,15 @@ def upsert(
     on = F.lit(True)
     for k in keys:
         on = on & (table[k] == new[f"_n_{k}"])
-    merged = table.join(new, on, "full_outer")
 
-    def column(name: str) -> Column:
-        if name in keys:
-            return F.coalesce(table[name], F.col(f"_n_{name}")).alias(name)
+    def updated(name: str) -> Column:
         if name in payload:
             return F.when(F.col("_new"), F.col(f"_n_{name}")).otherwise(table[name]).alias(name)
         return table[name]
 
-    return merged.select(*[column(c) for c in table.columns])
+    kept = table.join(new, on, "left").select(*[updated(c) for c in table.columns])
+    added = _without_known(final, table, keys).select(*keys, *payload)
+    return kept.unionByName(added, allowMissingColumns=True)
 
 
 def upsert_urls(registry: Registry, rows: DataFrame, order: str | None = None) -> Registry:

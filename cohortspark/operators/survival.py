@@ -18,6 +18,7 @@ from cohortspark.operators.ordered import (
     with_range,
 )
 from cohortspark.operators.stats import drop_missing, is_numeric
+from cohortspark.session import written
 
 # Endpoints with a ``<name>_months`` time and a ``<name>_status`` event column.
 ENDPOINTS = ("os", "dfs", "rfs", "dmfs")
@@ -54,8 +55,9 @@ def curve(
             "survival", F.product(1 - F.col("events") / F.col("_before")).over(up_to)
         )
     else:
+        # used several times below: written once, so that the rows are not read again for each use
         splits = range_splits(rows, keys, F.col("time"), ranges)
-        ranged = with_range(times, splits, keys, F.col("time"))
+        ranged = written(with_range(times, splits, keys, F.col("time")), "survival-times")
         inside = (
             Window.partitionBy(*keys, "_range").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
         )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cohortspark.functions.scalars import access_of
-from cohortspark.operators.ordered import row_numbers
+from cohortspark.operators.ordered import largest_group
 from cohortspark.operators.registry import CHILDREN, Registry
 
 # Plain columns of a flattened row and the sub-columns of each child kind.
@@ -114,11 +114,12 @@ def parse_flat(flat: DataFrame, now: int) -> Registry:
     return Registry(file=file, **{kind: children(kind) for kind in CHILDREN})
 
 
-def flatten(registry: Registry, **limits: int) -> DataFrame:
+def flatten(registry: Registry, most_columns: int = 10_000) -> DataFrame:
     """One row per file with children spread over numbered columns; absent ones are null.
 
     The number of columns per kind is the most children any file has, found by one small
-    aggregation. Children are numbered by their stored position or else their values.
+    aggregation; more than ``most_columns`` are an error, as no such file can be read back. Children
+    are numbered by their stored position or else their values.
     """
     files = registry.file
     if "access" not in files.columns:
@@ -128,8 +129,11 @@ def flatten(registry: Registry, **limits: int) -> DataFrame:
     for kind in CHILDREN:
         table = getattr(registry, kind)
         order = [c for c in ("position", "id") if c in table.columns] + list(SUB_COLUMNS[kind])
-        numbered = row_numbers(table, ["file"], [(c, False) for c in order], "_n", **limits)
-        most = table.groupBy("file").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        most = largest_group(table, ["file"])
+        if most * len(SUB_COLUMNS[kind]) > most_columns:
+            raise ValueError(f"a file has {most} {kind} rows, more than one flattened row can hold")
+        by_file = Window.partitionBy("file").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+        numbered = table.withColumn("_n", F.row_number().over(by_file))
         names += [f"{kind}_{i}_{sub}" for i in range(most) for sub in SUB_COLUMNS[kind]]
         pairs = F.array(
             *[

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortspark.functions.names import drop_duplicate_columns, normalize_columns, normalize_name
+from cohortspark.functions.names import drop_duplicate_columns, normalize_name, select_positions
 from cohortspark.functions.scalars import MISSING_TOKENS, TABLE_MISSING_TOKENS, missing_to_null
 from cohortspark.operators import profile
+from cohortspark.operators.merge import merge_clinical
 from cohortspark.operators.reshape import SAMPLE, matrix_long, matrix_wide
 from cohortspark.sources.sinks import write_table_bundle
 
@@ -120,39 +121,26 @@ def read_annotated(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     Only the comment rows and the row of column ids reach the driver.
     """
     text = spark.read.text(path)
-    comments = [r["value"][1:].strip("\r\n").split("\t") for r in text.filter(F.col("value").startswith("#")).limit(4).collect()]
+    marked = text.filter(F.col("value").startswith("#")).limit(4).collect()
+    comments = [r["value"][1:].strip("\r\n").split("\t") for r in marked]
     head = text.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).limit(1).collect()
     if len(comments) < 4 or not head:
         raise ValueError(f"{path} needs four comment rows and a row of column ids")
     ids = head[0]["value"].strip().split("\t")
-    positions = [f"_c{i}" for i in range(len(ids))]
-    body = (
-        spark.read.schema(", ".join(f"{p} string" for p in positions))
-        .csv(path, sep="\t", comment="#", quote="", escape="", enforceSchema=True, mode="PERMISSIVE", emptyValue="")
-        .filter(~F.concat_ws("\t", *[F.coalesce(F.col(p), F.lit("")) for p in positions]).eqNullSafe("\t".join(ids)))
+    columns = ", ".join(f"_c{i} string" for i in range(len(ids)))
+    body = spark.read.schema(columns).csv(
+        path, sep="\t", comment="#", header=True, quote="", escape="", enforceSchema=True, mode="PERMISSIVE"
     )
-    data = normalize_columns(body.toDF(*[f"{name}" for name in ids]) if len({i.lower() for i in ids}) == len(ids) else _by_position(body, ids))
-    rows, seen = [], set()
+    first = {}
     for i, name in enumerate(ids):
-        key = normalize_name(name)
-        if key in seen:
-            continue
-        seen.add(key)
+        first.setdefault(normalize_name(name), i)
+    rows = []
+    for key, i in first.items():
         cells = [row[i].strip() if i < len(row) else "" for row in comments]
         order = int(cells[3]) if cells[3].lstrip("+-").isdigit() else 0
         rows.append((key, cells[0], cells[1], cells[2].upper(), order))
     header = spark.createDataFrame(rows, "key string, name string, description string, data_type string, order int")
-    return data, header
-
-
-def _by_position(body: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Name columns whose ids clash: the first of each normalised name keeps it."""
-    names, seen = [], set()
-    for i, name in enumerate(ids):
-        key = normalize_name(name)
-        names.append((f"_c{i}", key if key not in seen else None))
-        seen.add(key)
-    return body.select(*[F.col(c).alias(name) for c, name in names if name])
+    return select_positions(body, [(i, key) for key, i in first.items()]), header
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -218,8 +206,6 @@ def convert_annotated(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 def convert_clinical(samples: tuple[DataFrame, DataFrame], patients: tuple[DataFrame, DataFrame], key: str = "patient_id") -> tuple[DataFrame, DataFrame]:
     """Merge sample and patient tables by patient; declared types give way to what values show."""
-    from cohortspark.operators.merge import merge_clinical
-
     merged = merge_clinical(samples[0], patients[0], key)
     own = patients[1].join(samples[1].select("key"), "key", "left_anti")
     header = samples[1].unionByName(own)

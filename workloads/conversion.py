@@ -167,33 +167,27 @@ def matrix_sums(spark, sf_dir):
     ).agg(F.round(F.sum("value"), 4).alias("value"))
 
 
-_TREE_SQL = """
-SELECT upper(n_name) AS code, n_name AS name, r_name AS tissue FROM nation JOIN region ON n_regionkey = r_regionkey
-UNION ALL SELECT 'S' || s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
-
-
-@query(_TREE_SQL)
+@query("""
+SELECT upper(n_name) AS code, n_name AS name, r_name AS tissue FROM customer JOIN nation ON c_nationkey = n_nationkey
+JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'C' || c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def hierarchy_flatten(spark, sf_dir):
-    """One tree per region: nations below it, suppliers below nations; regions have no tissue."""
+    """One tree per customer: a region without tissue, its nation, the customer."""
     nation, region = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
-    empty = F.lit(None).cast("map<string,string>")
+    rows = (
+        load(spark, sf_dir, "customer")
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    )
 
     def node(code, name, tissue, children):
         return F.struct(code.alias("code"), name.alias("name"), tissue.alias("tissue"), children.alias("children"))
 
-    leaves = load(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    code = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
-    leaf = F.struct(code.alias("k"), node(code, F.col("s_name"), F.col("n_name"), empty).alias("v"))
-    of_nation = leaves.groupBy("s_nationkey").agg(F.map_from_entries(F.collect_list(leaf)).alias("leaves"))
-    joined = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).join(
-        of_nation, F.col("s_nationkey") == F.col("n_nationkey"), "left"
-    )
-    inner = F.struct(
-        F.col("n_name").alias("k"), node(F.upper("n_name"), F.col("n_name"), F.col("r_name"), F.col("leaves")).alias("v")
-    )
-    roots = joined.groupBy("r_name").agg(F.map_from_entries(F.collect_list(inner)).alias("nations"))
-    tree = F.to_json(node(F.upper("r_name"), F.col("r_name"), F.lit(""), F.col("nations")))
-    return reshape.flatten_hierarchy(roots.select(tree.alias("value")))
+    code = F.concat(F.lit("C"), F.col("c_custkey").cast("string"))
+    leaf = node(code, F.col("c_name"), F.col("n_name"), F.lit(None).cast("map<string,string>"))
+    inner = node(F.upper("n_name"), F.col("n_name"), F.col("r_name"), F.create_map(code, leaf))
+    root = node(F.upper("r_name"), F.col("r_name"), F.lit(""), F.create_map(F.upper("n_name"), inner))
+    return reshape.flatten_hierarchy(rows.select(F.to_json(root).alias("value")))
 
 
 @query("""

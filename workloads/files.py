@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import scalars
 from cohortspark.operators import registry as reg
 from cohortspark.operators.validation import accepted, check_rows, rejected
+from cohortspark.session import written
 from cohortspark.sources import registry_tsv
 from workloads import query
 from workloads.tables import (
@@ -445,7 +446,8 @@ UNION ALL SELECT file, 'alias', name FROM alias UNION ALL SELECT file, 'tag', fi
 UNION ALL SELECT guid, 'file', size || '=' || updated_at || '=' || version FROM file""")
 def registry_unflatten(spark, sf_dir):
     """Flattened rows parsed back into registry tables."""
-    tables = registry_tsv.parse_flat(registry_tsv.flatten(registry(spark, sf_dir)), 0)
+    flat = written(registry_tsv.flatten(registry(spark, sf_dir)), "flat-registry")
+    tables = registry_tsv.parse_flat(flat, 0)
     rows = tables.file.select(
         F.col("guid").alias("file"), F.lit("file").alias("kind"),
         F.concat_ws("=", F.col("size").cast("string"), F.col("updated_at").cast("string"), F.col("version").cast("string")).alias("value"),
