@@ -115,7 +115,8 @@ def row_numbers(
     """
     by = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in order]
     if largest_group(df, keys) <= group_rows:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+        return df.withColumn(out, place.cast("long"))
     first, descending = order[0]
     number = order_number(F.col(first), df.schema[first].dataType)
     number = -number if descending else number
@@ -128,7 +129,7 @@ def row_numbers(
         *keys, "_range", F.coalesce(F.sum("_n").over(earlier_ranges(keys)), F.lit(0)).alias("_offset")
     )
     numbered = attach(local, offsets, [*keys, "_range"])
-    return numbered.withColumn(out, (F.col("_local") + F.col("_offset")).cast("int")).drop(
+    return numbered.withColumn(out, F.col("_local") + F.col("_offset")).drop(
         "_local", "_offset", "_range"
     )
 

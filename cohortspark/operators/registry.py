@@ -100,7 +100,7 @@ def visible_to(files: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def _payload(kind: str, table: DataFrame) -> Column:
-    head = ["id"] if "id" in table.columns else []
+    head = [c for c in ("id", "position") if c in table.columns]
     return F.struct(*head, *[c for c in CHILD_COLUMNS[kind] if c in table.columns])
 
 
@@ -121,7 +121,7 @@ def with_children(
         getattr(registry, kind).select(F.col("file").alias("guid"), _payload(kind, getattr(registry, kind)).alias(kind))
         for kind in kinds
     ]
-    out = files.withColumn("access", scalars.access_of(F.col("acl")))
+    out = files if "access" in files.columns else files.withColumn("access", scalars.access_of(F.col("acl")))
     if not sides:
         return out.withColumn("part", F.lit(0))
     long = sides[0]
@@ -289,11 +289,6 @@ def _first_of(batch: DataFrame, keys: Sequence[str], order: Column) -> DataFrame
     return batch.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best.alias("_row")).select("_row.*")
 
 
-def _last_of(batch: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    best = F.max_by(F.struct(*batch.columns), order)
-    return batch.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best.alias("_row")).select("_row.*")
-
-
 def _without_known(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not in the table yet.
 
@@ -381,7 +376,9 @@ def insert_ignore(table: DataFrame, rows: DataFrame, keys: Sequence[str], files:
     if files is not None:
         rows = rows.join(files.select(F.col("guid").alias("file")).distinct(), "file", "left_semi")
     rest = sorted(c for c in rows.columns if c not in keys)
-    fresh = _first_of(rows, keys, F.struct(*rest)) if rest else rows.distinct()
+    fresh = rows.distinct()
+    if rest:
+        fresh = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
     fresh = _without_known(fresh, table, keys)
     return table.unionByName(fresh.select(*rows.columns), allowMissingColumns=True)
 
@@ -401,8 +398,8 @@ def upsert(
     """
     rows = rows.join(files.select(F.col("guid").alias("file")).distinct(), "file", "left_semi")
     payload = [c for c in rows.columns if c not in keys and c != order]
-    rank = F.struct(*([order] if order else []), *sorted(payload))
-    final = _last_of(rows, keys, rank)
+    last = F.max(F.struct(*([order] if order else []), *sorted(payload)))
+    final = rows.groupBy(*keys).agg(last.alias("_row")).select(*keys, "_row.*")
     new = final.select(
         *[F.col(k).alias(f"_n_{k}") for k in keys],
         *[F.col(c).alias(f"_n_{c}") for c in payload],
@@ -422,6 +419,12 @@ def upsert(
     return kept.unionByName(added, allowMissingColumns=True)
 
 
+def of_unknown_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of a batch that name a file the registry does not have."""
+    hits = files.select(F.col("guid").alias("file")).join(rows.select("file"), "file", "left_semi")
+    return rows.join(hits, "file", "left_anti").select(*rows.columns)
+
+
 def upsert_urls(registry: Registry, rows: DataFrame, order: str | None = None) -> Registry:
     """Set status and uploader of links by (file, url); an unknown status becomes ``pending``."""
     status = F.when(F.col("status").isin(*URL_STATUSES), F.col("status")).otherwise(F.lit("pending"))

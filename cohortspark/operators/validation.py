@@ -75,3 +75,22 @@ def accepted(checked: DataFrame) -> DataFrame:
 
 def rejected(checked: DataFrame) -> DataFrame:
     return checked.filter(F.size("reasons") > 0)
+
+
+def check_lines(
+    lines: DataFrame, schema: str, rules: Mapping[str, Column], sep: str = ",", header: bool = True
+) -> DataFrame:
+    """Parse delimited lines and report the bad ones: (file, line, reasons).
+
+    ``lines`` has (file, line, value) with lines counted from 1, see ``sources.lines``. A line whose
+    cells do not fit the schema breaks the rule ``cannot be parsed``.
+    """
+    rows = lines.filter(F.col("value") != "")
+    if header:
+        rows = rows.filter(F.col("line") > 1)
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = rows.select("file", "line", F.from_csv("value", f"{schema}, _corrupt string", options).alias("row"))
+    checked = check_rows(
+        parsed.select("file", "line", "row.*"), {"cannot be parsed": F.col("_corrupt").isNull(), **rules}
+    )
+    return rejected(checked).select("file", "line", "reasons")

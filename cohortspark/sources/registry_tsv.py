@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortspark.functions.scalars import access_of
 from cohortspark.operators.ordered import largest_group
-from cohortspark.operators.registry import CHILDREN, Registry
+from cohortspark.operators.registry import ARRAY_NAMES, CHILDREN, Registry, with_children
 
 # Plain columns of a flattened row and the sub-columns of each child kind.
 FILE_COLUMNS = (
@@ -121,36 +120,18 @@ def flatten(registry: Registry, most_columns: int = 10_000) -> DataFrame:
     aggregation; more than ``most_columns`` are an error, as no such file can be read back. Children
     are numbered by their stored position or else their values.
     """
-    files = registry.file
-    if "access" not in files.columns:
-        files = files.withColumn("access", access_of(F.col("acl")))
-    cells = None
-    names: list[str] = []
+    names, columns = [], []
     for kind in CHILDREN:
-        table = getattr(registry, kind)
-        order = [c for c in ("position", "id") if c in table.columns] + list(SUB_COLUMNS[kind])
-        most = largest_group(table, ["file"])
+        most = largest_group(getattr(registry, kind), ["file"])
         if most * len(SUB_COLUMNS[kind]) > most_columns:
             raise ValueError(f"a file has {most} {kind} rows, more than one flattened row can hold")
-        by_file = Window.partitionBy("file").orderBy(*[F.col(c).asc_nulls_last() for c in order])
-        numbered = table.withColumn("_n", F.row_number().over(by_file))
-        names += [f"{kind}_{i}_{sub}" for i in range(most) for sub in SUB_COLUMNS[kind]]
-        pairs = F.array(
-            *[
-                F.struct(
-                    F.concat_ws("_", F.lit(kind), (F.col("_n") - 1).cast("string"), F.lit(sub)).alias("name"),
-                    F.col(sub).cast("string").alias("value"),
-                )
-                for sub in SUB_COLUMNS[kind]
-            ]
-        )
-        side = numbered.select(F.col("file").alias("guid"), F.inline(pairs))
-        cells = side if cells is None else cells.unionByName(side)
-    flat = files.select(*FILE_COLUMNS)
-    if not names:
-        return flat
-    wide = cells.groupBy("guid").pivot("name", names).agg(F.first("value"))
-    return flat.join(wide, "guid", "left")
+        for i in range(most):
+            child = F.get(F.col(ARRAY_NAMES[kind]), F.lit(i))
+            names += [f"{kind}_{i}_{sub}" for sub in SUB_COLUMNS[kind]]
+            columns += [child[sub].cast("string") for sub in SUB_COLUMNS[kind]]
+    # every file is one row here, as its children were just counted
+    rows = with_children(registry.file, registry, row_children=most_columns * len(CHILDREN))
+    return rows.select(*FILE_COLUMNS, *[c.alias(n) for n, c in zip(names, columns)])
 
 
 def write_flat(registry: Registry, path: str) -> None:

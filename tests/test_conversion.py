@@ -6,6 +6,7 @@ from cohortspark.operators import profile, reshape, validation
 from cohortspark.operators.ranking import rank_by_similarity, search_catalog
 from cohortspark.functions.similarity import is_similar, similarity, trim_query
 from cohortspark.sources import bundle, sinks, study
+from cohortspark.sources.lines import numbered_lines
 from pyspark.sql import functions as F
 
 
@@ -193,6 +194,34 @@ def test_row_checks(spark):
     assert validation.accepted(checked).count() == 1 and validation.rejected(checked).count() == 2
 
 
+def test_line_report(spark, tmp_path):
+    lines = ["size,name"] + [f"{i},n{i}" for i in range(2, 50)]
+    lines[7], lines[20], lines[30] = "x,bad", "-5,", ""
+    (tmp_path / "rows.csv").write_text("\n".join(lines) + "\n")
+    rules = {"size must be positive": F.col("size") > 0, "name is missing": F.col("name").isNotNull()}
+    for limits in ({}, {"group_rows": 0, "ranges": 4}):
+        numbered = numbered_lines(spark, str(tmp_path / "rows.csv"), **limits)
+        assert [r["value"] for r in numbered.orderBy("line").collect()] == lines
+        found = validation.check_lines(numbered, "size int, name string", rules).orderBy("line").collect()
+        assert [(r["line"], r["reasons"]) for r in found] == [
+            (8, ["cannot be parsed", "size must be positive"]), (21, ["size must be positive", "name is missing"])
+        ]
+
+
+def test_lines_of_a_file_read_in_blocks(spark, tmp_path):
+    lines = [f"line {i}" for i in range(3000)]
+    (tmp_path / "long.txt").write_text("\n".join(lines))
+    (tmp_path / "short.txt").write_text("a\nb")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = numbered_lines(spark, str(tmp_path / "*.txt"), group_rows=0, ranges=4).orderBy("file", "line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["value"] for r in found] == lines + ["a", "b"]
+    assert [r["line"] for r in found] == [*range(1, 3001), 1, 2]
+
+
 # ------------------------------------------------------------------ studies
 
 ANNOTATED = (

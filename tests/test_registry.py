@@ -211,6 +211,7 @@ def test_upsert(spark, registry, rows):
         ("r/2", "s3://new", "processing", "b"),
     ]
     assert after.columns == registry.url.columns and after.count() == 4
+    assert [r["file"] for r in reg.of_unknown_files(changes, registry.file).collect()] == ["r/9"]
     tags = spark.createDataFrame([("r/1", "project", "Z"), ("r/3", "new", "N")], "file string, field_name string, field_value string")
     assert rows(reg.upsert_tags(registry, tags).tag, "file", "field_name", "field_value") == [
         ("r/1", "project", "Z"), ("r/2", "project", "Q"), ("r/3", "kind", "P"), ("r/3", "new", "N"),

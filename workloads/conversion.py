@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import names
 from cohortspark.operators import profile, reshape, validation
+from cohortspark.session import scratch_path
 from cohortspark.sources import bundle, sinks, study
 from workloads import query
 from workloads.tables import load
@@ -116,6 +117,26 @@ def grouped_view_recommendation(spark, sf_dir):
     return x.join(y, "y").select("x", "y", profile.recommend_grouped_view(F.col("x_type"), F.col("y_type")).alias("view"))
 
 
+@query("""WITH cells AS (
+  SELECT 'c_acctbal' AS key, 'NUMBER' AS data_type, '[' || min(c_acctbal) || ',' || max(c_acctbal) || ']' AS allowed_values FROM customer
+  UNION ALL SELECT 'c_mktsegment', 'STRING', '["' || string_agg(DISTINCT c_mktsegment, '","' ORDER BY c_mktsegment) || '"]' FROM customer
+  UNION ALL SELECT 'nation', 'STRING', '["' || string_agg(DISTINCT n_name, '","' ORDER BY n_name) || '"]'
+            FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT key, data_type, allowed_values, (SELECT count(*) FROM customer)::BIGINT AS stored FROM cells""")
+def table_bundle(spark, sf_dir):
+    """A table written as a bundle; its dictionary and row count as read back."""
+    nation = load(spark, sf_dir, "nation")
+    table = load(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_acctbal", "c_mktsegment", F.col("n_name").alias("nation")
+    )
+    about = spark.createDataFrame([("T", "", "", "", "sample_id")], bundle.TABLE_SCHEMA)
+    folder = scratch_path(spark, "bundle")
+    sinks.write_table_bundle(table, about, folder, "customers")
+    fields = spark.read.schema(bundle.FIELD_SCHEMA).json(f"{folder}/customers_dictionary.json", multiLine=True)
+    stored = spark.read.parquet(f"{folder}/customers.parquet").agg(F.count(F.lit(1))).scalar()
+    return fields.select("key", "data_type", "allowed_values").withColumn("stored", stored)
+
+
 @query("SELECT * FROM (VALUES ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal')) t(key)")
 def default_projection(spark, sf_dir):
     fields = profile.dictionary(load(spark, sf_dir, "customer")).withColumn("order", F.col("position") + 2)

@@ -38,7 +38,7 @@ def resolve_version(spark, sf_dir):
 
 
 _HISTORY = f"""WITH {FILE_SQL}
-SELECT guid, baseid, version, recency::INT AS recency, recency = 1 AS is_latest FROM (
+SELECT guid, baseid, version, recency::BIGINT AS recency, recency = 1 AS is_latest FROM (
   SELECT *, row_number() OVER (PARTITION BY baseid ORDER BY version DESC, updated_at DESC, guid) AS recency FROM file)"""
 
 
