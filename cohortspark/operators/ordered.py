@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from cohortspark.session import written
+
 #: Rows of one group that one task may sort or hold.
 GROUP_ROWS = 1_000_000
 #: Distinct values of one group that an exact percentile may hold in memory.
@@ -68,6 +70,16 @@ def attach(df: DataFrame, per_group: DataFrame, keys: Sequence[str]) -> DataFram
     return joined.select(*[df[c] for c in df.columns], *[renamed[c] for c in extra])
 
 
+def attach_stored(df: DataFrame, per_group: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``attach`` for a table of one row per group that is costly to guess the size of.
+
+    Spark takes an aggregate to be as large as its input and would shuffle ``df`` to join it. Stored
+    in the shared folder the table shows its real size: a small one gets broadcast, and ``df`` with
+    its large groups stays where it is; a large one is still joined by shuffle.
+    """
+    return attach(df, written(per_group, name) if keys else per_group, keys)
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the largest group. Runs one aggregation over the key columns."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -89,7 +101,7 @@ def range_splits(df: DataFrame, keys: Sequence[str], number: Column, ranges: int
 
 def with_range(df: DataFrame, splits: DataFrame, keys: Sequence[str], number: Column) -> DataFrame:
     """Add ``_range``, which rises with ``number`` inside a group; nulls come last."""
-    cut = attach(df.withColumn("_number", number), splits, keys)
+    cut = attach_stored(df.withColumn("_number", number), splits, keys, "range-splits")
     below = F.size(F.filter(F.col("_splits"), lambda s: s < F.col("_number")))
     last = F.coalesce(F.size("_splits"), F.lit(0)) + 1
     return cut.withColumn("_range", F.when(F.col("_number").isNull(), last).otherwise(below)).drop(
@@ -219,7 +231,7 @@ def _bracket_positions(
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", sides, accuracy).alias("_sides")
     )
-    marked = attach(rows, sketch, keys)
+    marked = attach_stored(rows, sketch, keys, "quantile-brackets")
     # a margin has to reach past the neighbouring values, so small groups are kept whole
     whole = F.col("_n") <= accuracy
 

@@ -23,6 +23,9 @@ DICTIONARY_ROW = (
     "key string, position int, data_type string, notes string, minimum double, maximum double, value_count bigint"
 )
 
+#: Up to this many columns types are inferred by one plain aggregate over the table.
+MEASURED_COLUMNS = 100
+
 #: Fields with more distinct values than this list them in ``field_values`` only.
 LISTED_VALUES = 500
 
@@ -56,14 +59,25 @@ def infer_types(df: DataFrame) -> DataFrame:
 
     All values numeric: NUMBER; all boolean texts: BOOLEAN; otherwise, or without values, STRING.
     """
-    value = F.col("value")
-    counts = _cells(df).groupBy("key").agg(
-        F.count("value").alias("present"),
-        F.count(F.when(is_number_text(value), 1)).alias("numbers"),
-        F.count(F.when(value.isin(*BOOLEAN_TEXTS), 1)).alias("booleans"),
-    )
+
+    def counts(value: Column) -> list[Column]:
+        return [
+            F.count(value).alias("present"),
+            F.count(F.when(is_number_text(value), 1)).alias("numbers"),
+            F.count(F.when(value.isin(*BOOLEAN_TEXTS), 1)).alias("booleans"),
+        ]
+
+    if len(df.columns) <= MEASURED_COLUMNS:
+        # one row per task, no shuffle of cells
+        fields = [
+            F.struct(F.lit(c).alias("key"), *counts(F.col(f"`{c}`").cast("string"))).alias(f"_c{i}")
+            for i, c in enumerate(df.columns)
+        ]
+        table = df.agg(*fields).select(F.inline(F.array(*[f"_c{i}" for i in range(len(fields))])))
+    else:
+        table = _cells(df).groupBy("key").agg(*counts(F.col("value")))
     kind = _type_of(F.col("present"), F.col("numbers"), F.col("booleans"))
-    return counts.select("key", kind.alias("data_type"))
+    return table.select("key", kind.alias("data_type"))
 
 
 def types_of(df: DataFrame) -> dict[str, str]:

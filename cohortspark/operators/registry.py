@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortspark.functions import scalars
 from cohortspark.operators.ordered import largest_group
 from cohortspark.operators.paging import page as page_rows
+from cohortspark.session import written
 
 CHILDREN = ("url", "hash", "alias", "tag")
 # Plural names of the child arrays.
@@ -62,7 +63,8 @@ def search(
     """Files that meet all given conditions; an empty text is no condition.
 
     ``filename`` matches a part of the name in any case; hash, alias, url and tag ask for a child.
-    Child tables are filtered and reduced to their files before the semi join.
+    Child tables are filtered and reduced to their files, which are stored so that the semi join
+    knows how few they are and leaves the file table where it is.
     """
     files = registry.file
     for column, value in {"guid": guid, "baseid": baseid, "status": status, "uploader": uploader}.items():
@@ -81,7 +83,7 @@ def search(
         wanted.append((registry.tag, (F.col("field_name") == field_name) & (F.col("field_value") == field_value)))
     for table, condition in wanted:
         owners = table.filter(condition).select(F.col("file").alias("guid")).distinct()
-        files = files.join(owners, "guid", "left_semi")
+        files = files.join(written(owners, "owners"), "guid", "left_semi")
     return files
 
 

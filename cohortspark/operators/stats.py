@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortspark.functions.scalars import display_number
-from cohortspark.operators.ordered import GROUP_VALUES, attach, most_values, quantiles
+from cohortspark.operators.ordered import GROUP_VALUES, attach, attach_stored, most_values, quantiles
 
 BIN_WIDTH = 10
 
@@ -127,12 +127,13 @@ def box_stats(df: DataFrame, x: str, y: str, rule: str = "linear", **limits: int
         rows, ["group"], "_y", {"q1": 0.25, "median": 0.5, "q3": 0.75}, rule=rule, **limits
     )
     spread = F.col("q3") - F.col("q1")
-    fenced = attach(
+    fenced = attach_stored(
         rows,
         quartiles.withColumn("lower_fence", F.col("q1") - 1.5 * spread).withColumn(
             "upper_fence", F.col("q3") + 1.5 * spread
         ),
         ["group"],
+        "quartiles",
     )
     inside = (F.col("_y") >= F.col("lower_fence")) & (F.col("_y") <= F.col("upper_fence"))
     carried = ["q1", "median", "q3", "lower_fence", "upper_fence"]
@@ -151,7 +152,7 @@ def box_outliers(df: DataFrame, x: str, y: str, rule: str = "linear", **limits:
     quartiles = quantiles(rows, [x], "_y", {"_q1": 0.25, "_q3": 0.75}, rule=rule, **limits)
     reach = 1.5 * (F.col("_q3") - F.col("_q1"))
     outside = (F.col("_y") < F.col("_q1") - reach) | (F.col("_y") > F.col("_q3") + reach)
-    return attach(rows, quartiles, [x]).filter(outside).select(*df.columns)
+    return attach_stored(rows, quartiles, [x], "quartiles").filter(outside).select(*df.columns)
 
 
 def selected_size(df: DataFrame, size: str = "size") -> DataFrame:

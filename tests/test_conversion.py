@@ -23,6 +23,13 @@ def test_infer_types(spark, cells, want):
     assert profile.types_of(df) == {"v": want}
 
 
+def test_infer_types_of_wide_tables(spark, monkeypatch):
+    df = spark.createDataFrame([("1", "a", "True"), ("2", None, "0")], "n string, s string, b string")
+    narrow = profile.types_of(df)
+    monkeypatch.setattr(profile, "MEASURED_COLUMNS", 1)
+    assert profile.types_of(df) == narrow == {"n": "NUMBER", "s": "STRING", "b": "BOOLEAN"}
+
+
 def test_casts(spark):
     df = spark.createDataFrame([("1", "True", "x", "NA"), (" 2.5 ", "0", None, "3")], "n string, b string, s string, m string")
     typed = profile.cast_to(df, profile.types_of(df))

@@ -77,9 +77,9 @@ def datafile_of_samples(spark, sf_dir):
 @query(f"""WITH {SAMPLES_SQL}, picked AS (
   SELECT o_totalprice, nation FROM orders JOIN samples ON o_custkey = sample_id
   WHERE sample_id IN (SELECT sample_id FROM samples WHERE segment <> 'BUILDING'))
-SELECT nation AS "group", count(*)::BIGINT AS count, round(avg(o_totalprice), 4) AS mean,
-       round(median(o_totalprice), 4) AS median, min(o_totalprice) AS min, max(o_totalprice) AS max,
-       round(stddev_pop(o_totalprice), 4) AS std
+SELECT nation AS "group", count(*)::BIGINT AS count, round(avg(o_totalprice), 6) AS mean,
+       round(median(o_totalprice), 6) AS median, min(o_totalprice) AS min, max(o_totalprice) AS max,
+       round(stddev_pop(o_totalprice), 6) AS std
 FROM picked GROUP BY nation""")
 def cohort_stats(spark, sf_dir):
     people = samples(spark, sf_dir)
@@ -120,7 +120,7 @@ def lookup_enrichment(spark, sf_dir):
 # ------------------------------------------------------------------ statistics
 
 
-def _rounded(df, digits=4):
+def _rounded(df, digits=6):
     doubles = [name for name, kind in df.dtypes if kind == "double"]
     return df.withColumns({c: F.round(c, digits) for c in doubles})
 
@@ -160,9 +160,9 @@ def coverage(spark, sf_dir):
     return stats.coverage(orders.filter(F.col("o_orderstatus") == "F"), orders)
 
 
-_GROUPED = """SELECT l_returnflag AS "group", count(*)::BIGINT AS count, round(avg(l_extendedprice), 4) AS mean,
-       round(median(l_extendedprice), 4) AS median, min(l_extendedprice) AS min, max(l_extendedprice) AS max,
-       round(stddev_pop(l_extendedprice), 4) AS std
+_GROUPED = """SELECT l_returnflag AS "group", count(*)::BIGINT AS count, round(avg(l_extendedprice), 6) AS mean,
+       round(median(l_extendedprice), 6) AS median, min(l_extendedprice) AS min, max(l_extendedprice) AS max,
+       round(stddev_pop(l_extendedprice), 6) AS std
 FROM lineitem GROUP BY 1"""
 
 
@@ -182,7 +182,7 @@ def grouped_stats_large_groups(spark, sf_dir):
        round(stddev_samp(value) / sqrt(count(value)), 6) AS error
 FROM events GROUP BY 1""")
 def grouped_mean_error(spark, sf_dir):
-    return _rounded(stats.grouped_mean_error(load(spark, sf_dir, "events"), "event_type", "value"), 6)
+    return _rounded(stats.grouped_mean_error(load(spark, sf_dir, "events"), "event_type", "value"))
 
 
 @query("SELECT c_mktsegment, count(*)::BIGINT AS count FROM customer GROUP BY 1")
@@ -241,9 +241,9 @@ q AS (
 
 _BOX = """WITH {quartiles}, f AS (
   SELECT *, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
-SELECT "group", round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
-       round(lower_fence, 4) AS lower_fence, round(upper_fence, 4) AS upper_fence, count(*)::BIGINT AS count,
-       round(avg(value), 4) AS mean,
+SELECT "group", round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       round(lower_fence, 6) AS lower_fence, round(upper_fence, 6) AS upper_fence, count(*)::BIGINT AS count,
+       round(avg(value), 6) AS mean,
        min(CASE WHEN value BETWEEN lower_fence AND upper_fence THEN value END) AS lower_whisker,
        max(CASE WHEN value BETWEEN lower_fence AND upper_fence THEN value END) AS upper_whisker,
        count(CASE WHEN value NOT BETWEEN lower_fence AND upper_fence THEN 1 END)::BIGINT AS outliers
@@ -292,8 +292,8 @@ def tag_facets(spark, sf_dir):
     return stats.tag_facets(catalog(spark, sf_dir))
 
 
-_SWEEP_STATS = """count(*)::BIGINT AS count, round(avg(c_acctbal), 4) AS mean, min(c_acctbal) AS min,
-  max(c_acctbal) AS max, round(stddev_pop(c_acctbal), 4) AS std"""
+_SWEEP_STATS = """count(*)::BIGINT AS count, round(avg(c_acctbal), 6) AS mean, min(c_acctbal) AS min,
+  max(c_acctbal) AS max, round(stddev_pop(c_acctbal), 6) AS std"""
 
 
 @query(f"""
@@ -328,12 +328,12 @@ UNION ALL {start}"""
 
 @query(f"WITH {SURVIVAL_SQL}, {_km_sql('', 'surv')}")
 def kaplan_meier(spark, sf_dir):
-    return _rounded(km.kaplan_meier(survival(spark, sf_dir), "os_months", "os_status"), 6)
+    return _rounded(km.kaplan_meier(survival(spark, sf_dir), "os_months", "os_status"))
 
 
 @query(f"WITH {SURVIVAL_SQL}, {_km_sql('grp', 'surv')}")
 def kaplan_meier_grouped(spark, sf_dir):
-    return _rounded(km.kaplan_meier_by(survival(spark, sf_dir), "os_months", "os_status", "arm"), 6)
+    return _rounded(km.kaplan_meier_by(survival(spark, sf_dir), "os_months", "os_status", "arm"))
 
 
 # continuous times: every sale price is a time of its own
@@ -344,14 +344,14 @@ _PRICES_SQL = """surv AS (
 
 @query(f"WITH {_PRICES_SQL}, {_km_sql('grp', 'surv')}")
 def kaplan_meier_continuous(spark, sf_dir):
-    return _rounded(km.kaplan_meier_by(survival(spark, sf_dir), "price", "os_status", "arm"), 6)
+    return _rounded(km.kaplan_meier_by(survival(spark, sf_dir), "price", "os_status", "arm"))
 
 
 @query(f"WITH {_PRICES_SQL}, {_km_sql('grp', 'surv')}")
 def kaplan_meier_large_groups(spark, sf_dir):
     """The same, with the time axis of each group cut into ranges."""
     rows = survival(spark, sf_dir)
-    return _rounded(km.kaplan_meier_by(rows, "price", "os_status", "arm", group_times=0, ranges=16), 6)
+    return _rounded(km.kaplan_meier_by(rows, "price", "os_status", "arm", group_times=0, ranges=16))
 
 
 @query(f"""WITH {SURVIVAL_SQL}, o AS (
@@ -362,7 +362,7 @@ split AS (
          || printf('%.2f', middle) || ')' AS side FROM surv, m),
 {_km_sql('side', 'split')}""")
 def kaplan_meier_median_split(spark, sf_dir):
-    return _rounded(km.kaplan_meier_by(survival(spark, sf_dir), "os_months", "os_status", "dose"), 6)
+    return _rounded(km.kaplan_meier_by(survival(spark, sf_dir), "os_months", "os_status", "dose"))
 
 
 @query(f"""WITH split AS (
@@ -370,4 +370,4 @@ def kaplan_meier_median_split(spark, sf_dir):
   UNION ALL SELECT 'dfs', round(l_tax * 100), CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END FROM lineitem),
 {_km_sql('endpoint', 'split').replace('AS "group"', 'AS endpoint')}""")
 def kaplan_meier_endpoints(spark, sf_dir):
-    return _rounded(km.kaplan_meier_endpoints(survival(spark, sf_dir)), 6)
+    return _rounded(km.kaplan_meier_endpoints(survival(spark, sf_dir)))

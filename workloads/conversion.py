@@ -180,12 +180,12 @@ def matrix_wide(spark, sf_dir):
     return reshape.matrix_wide(long, ["G1", "G2", "G39"])
 
 
-@query("""SELECT event_type AS sample_id, 'U' || user_id AS gene_symbol, round(sum(value), 4) AS value FROM events GROUP BY 1, 2""")
+@query("""SELECT event_type AS sample_id, 'U' || user_id AS gene_symbol, round(sum(value), 6) AS value FROM events GROUP BY 1, 2""")
 def matrix_sums(spark, sf_dir):
     """Measurements summed per sample and gene, the long form kept for large matrices."""
     return load(spark, sf_dir, "events").groupBy(
         F.col("event_type").alias("sample_id"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("gene_symbol")
-    ).agg(F.round(F.sum("value"), 4).alias("value"))
+    ).agg(F.round(F.sum("value"), 6).alias("value"))
 
 
 @query("""

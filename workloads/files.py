@@ -16,12 +16,14 @@ from workloads.tables import (
     HASH_SQL,
     PREFIX,
     TAG_SQL,
+    URL_ID_SQL,
     URL_SQL,
     file_table,
     hash_table,
     load,
     registry,
     tag_table,
+    url_id,
     url_table,
 )
 
@@ -286,7 +288,7 @@ def insert_ignore(spark, sf_dir):
 
 _URL_CHANGES_SQL = f"""changes AS (
   SELECT url, file, CASE l_linestatus WHEN 'O' THEN 'failed' ELSE 'lost' END AS status, 'new-uploader' AS uploader
-  FROM url JOIN (SELECT (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS lid, '{PREFIX}/' || l_orderkey AS lfile,
+  FROM url JOIN (SELECT {URL_ID_SQL} AS lid, '{PREFIX}/' || l_orderkey AS lfile,
                         l_linestatus FROM lineitem WHERE l_quantity > 40) ON lid = id AND lfile = file
   UNION ALL SELECT 's3://extra/' || c_custkey, '{PREFIX}/' || c_custkey * 20, 'processing', c_name FROM customer)"""
 
@@ -300,7 +302,7 @@ FROM url u FULL JOIN ok o ON u.file = o.file AND u.url = o.url""")
 def upsert_urls(spark, sf_dir):
     tables = registry(spark, sf_dir)
     lines = load(spark, sf_dir, "lineitem").filter(F.col("l_quantity") > 40).select(
-        ((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("id"),
+        url_id().alias("id"),
         F.concat(F.lit(f"{PREFIX}/"), F.col("l_orderkey").cast("string")).alias("file"),
         F.when(F.col("l_linestatus") == "O", "failed").otherwise("lost").alias("_status"),
     )

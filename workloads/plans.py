@@ -147,7 +147,7 @@ def filter_bool(spark, sf_dir):
 
 
 @query("""
-SELECT n_name, count(*)::BIGINT AS n_orders, round(sum(o_totalprice), 2) AS revenue, round(avg(o_totalprice), 4) AS mean_price,
+SELECT n_name, count(*)::BIGINT AS n_orders, round(sum(o_totalprice), 2) AS revenue, round(avg(o_totalprice), 6) AS mean_price,
        max(o_totalprice) AS highest
 FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey
 WHERE o_orderstatus <> 'P' AND c_acctbal > 0
@@ -175,7 +175,7 @@ def plan_join_group_having(spark, sf_dir):
         "order_by": [["revenue", True]],
         "limit": 10,
     })
-    return out.withColumn("revenue", F.round("revenue", 2)).withColumn("mean_price", F.round("mean_price", 4))
+    return out.withColumn("revenue", F.round("revenue", 2)).withColumn("mean_price", F.round("mean_price", 6))
 
 
 @query("""

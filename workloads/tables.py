@@ -57,15 +57,25 @@ def file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# part, line number and price in cents tell the lines of an order apart
+URL_ID_SQL = "((l_partkey * 10 + l_linenumber) * 100000000 + round(l_extendedprice * 100)::BIGINT)"
+_CENTS_SQL = "round(l_extendedprice * 100)::BIGINT"
+
+
+def url_id():
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    return (F.col("l_partkey") * 10 + F.col("l_linenumber")) * 100000000 + cents
+
+
 URL_SQL = f"""url AS (
-  SELECT (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS id,
+  SELECT {URL_ID_SQL} AS id,
          CASE l_returnflag
            WHEN 'A' THEN 'node://lab@x.org/OEP' || l_suppkey || '/OEX' || l_partkey || '/OES' || l_linenumber
-                         || '/OER' || l_orderkey || '/OED' || l_orderkey || l_linenumber
+                         || '/OER' || l_orderkey || '/OED' || l_orderkey || l_linenumber || {_CENTS_SQL}
            WHEN 'N' THEN 's3://bucket-' || (l_suppkey % 5) || '/' || l_orderkey || '/' || l_partkey || '-'
-                         || l_suppkey || '-' || l_linenumber
+                         || l_suppkey || '-' || l_linenumber || '-' || {_CENTS_SQL}
            ELSE 'gsa://lab@x.org/HRA' || l_suppkey || '/HRS' || l_partkey || '/HRX' || l_linenumber
-                || '/HRR' || l_orderkey || '/HRR' || l_orderkey || '_f' || l_linenumber || '.gz'
+                || '/HRR' || l_orderkey || '/HRR' || l_orderkey || '_f' || l_linenumber || '-' || {_CENTS_SQL} || '.gz'
          END AS url,
          {_sql_millis('l_shipdate')} AS created_at,
          CASE l_linestatus WHEN 'O' THEN 'pending' ELSE 'validated' END AS status,
@@ -75,25 +85,28 @@ URL_SQL = f"""url AS (
 
 
 def url_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "lineitem")
+    lines = lines.withColumn("l_cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
+
     def text(*parts):
         return F.concat(*[F.lit(p) if not p.startswith("l_") else F.col(p).cast("string") for p in parts])
 
     flag = F.col("l_returnflag")
     node = text(
         "node://lab@x.org/OEP", "l_suppkey", "/OEX", "l_partkey", "/OES", "l_linenumber", "/OER", "l_orderkey",
-        "/OED", "l_orderkey", "l_linenumber",
+        "/OED", "l_orderkey", "l_linenumber", "l_cents",
     )
     s3 = F.concat(
         F.lit("s3://bucket-"),
         (F.col("l_suppkey") % 5).cast("string"),
-        text("/", "l_orderkey", "/", "l_partkey", "-", "l_suppkey", "-", "l_linenumber"),
+        text("/", "l_orderkey", "/", "l_partkey", "-", "l_suppkey", "-", "l_linenumber", "-", "l_cents"),
     )
     gsa = text(
         "gsa://lab@x.org/HRA", "l_suppkey", "/HRS", "l_partkey", "/HRX", "l_linenumber", "/HRR", "l_orderkey",
-        "/HRR", "l_orderkey", "_f", "l_linenumber", ".gz",
+        "/HRR", "l_orderkey", "_f", "l_linenumber", "-", "l_cents", ".gz",
     )
-    return load(spark, sf_dir, "lineitem").select(
-        ((F.col("l_partkey") * 100000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("id"),
+    return lines.select(
+        url_id().alias("id"),
         F.when(flag == "A", node).when(flag == "N", s3).otherwise(gsa).alias("url"),
         _millis("l_shipdate").alias("created_at"),
         F.when(F.col("l_linestatus") == "O", "pending").otherwise("validated").alias("status"),
