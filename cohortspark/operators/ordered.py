@@ -19,7 +19,7 @@ from cohortspark.session import written
 GROUP_ROWS = 1_000_000
 #: Distinct values of one group that an exact percentile may hold in memory.
 GROUP_VALUES = 100_000
-#: Ranges a large group is cut into.
+#: Ranges a large group is cut into, a power of two.
 RANGES = 256
 #: Accuracy of the sketches; a value's rank is off by at most rows / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
@@ -93,20 +93,31 @@ def most_values(df: DataFrame, keys: Sequence[str], column: str) -> int:
 
 
 def range_splits(df: DataFrame, keys: Sequence[str], number: Column, ranges: int = RANGES) -> DataFrame:
-    """One row per group with the split points that cut it into about equal ranges."""
+    """One row per group with the ``ranges - 1`` sorted split points that cut it about equally."""
     probabilities = [i / ranges for i in range(1, ranges)]
-    splits = F.array_distinct(F.percentile_approx(number, probabilities, SKETCH_ACCURACY))
+    splits = F.percentile_approx(number, probabilities, SKETCH_ACCURACY)
     return df.groupBy(*keys).agg(splits.alias("_splits"))
 
 
-def with_range(df: DataFrame, splits: DataFrame, keys: Sequence[str], number: Column) -> DataFrame:
-    """Add ``_range``, which rises with ``number`` inside a group; nulls come last."""
-    cut = attach_stored(df.withColumn("_number", number), splits, keys, "range-splits")
-    below = F.size(F.filter(F.col("_splits"), lambda s: s < F.col("_number")))
-    last = F.coalesce(F.size("_splits"), F.lit(0)) + 1
-    return cut.withColumn("_range", F.when(F.col("_number").isNull(), last).otherwise(below)).drop(
-        "_splits", "_number"
-    )
+def with_range(
+    df: DataFrame, splits: DataFrame, keys: Sequence[str], number: Column, ranges: int = RANGES
+) -> DataFrame:
+    """Add ``_range``, which rises with ``number`` inside a group; nulls come last.
+
+    The range is the count of split points below the number, found by halving: one comparison per
+    power of two, all in generated code.
+    """
+    if ranges < 2 or ranges & (ranges - 1):
+        raise ValueError("the number of ranges must be a power of two")
+    out = attach_stored(df.withColumn("_number", number), splits, keys, "range-splits")
+    out = out.withColumn("_range", F.lit(0))
+    step = ranges // 2
+    while step:
+        above = F.get("_splits", F.col("_range") + (step - 1)) < F.col("_number")
+        out = out.withColumn("_range", F.when(above, F.col("_range") + step).otherwise(F.col("_range")))
+        step //= 2
+    last = F.when(F.col("_number").isNull(), ranges).otherwise(F.col("_range"))
+    return out.withColumn("_range", last).drop("_splits", "_number")
 
 
 def earlier_ranges(keys: Sequence[str]):
@@ -132,7 +143,7 @@ def row_numbers(
     first, descending = order[0]
     number = order_number(F.col(first), df.schema[first].dataType)
     number = -number if descending else number
-    ranged = with_range(df, range_splits(df, keys, number, ranges), keys, number)
+    ranged = with_range(df, range_splits(df, keys, number, ranges), keys, number, ranges)
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*by))
     )
@@ -183,8 +194,9 @@ def quantiles(
     def at(i: int, position: Column) -> Column:
         inside = (position >= F.col("_end") - F.col("_c")) & (position < F.col("_end"))
         found = F.max(F.when((F.coalesce("_i", F.lit(i)) == i) & inside, F.col("_v")))
-        # a sketch worse than promised must not pass for a result
-        return F.coalesce(found, F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
+        # a sketch worse than promised must not pass for a result; a table without rows has none
+        failed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
+        return F.when(F.max("_n").isNotNull(), F.coalesce(found, failed))
 
     picked = []
     for i, p in enumerate(wanted.values()):

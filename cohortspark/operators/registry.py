@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.functions import scalars
-from cohortspark.operators.ordered import largest_group
+from cohortspark.operators.ordered import attach_stored, largest_group
 from cohortspark.operators.paging import page as page_rows
 from cohortspark.session import written
 
@@ -110,14 +111,15 @@ def with_children(
     files: DataFrame,
     registry: Registry,
     kinds: Sequence[str] = CHILDREN,
-    row_children: int = ROW_CHILDREN,
+    row_children: int | None = ROW_CHILDREN,
 ) -> DataFrame:
     """Files with their children as arrays of structs, null where a file has none of a kind.
 
     All child tables share one shuffle and one aggregation. Every file is one row (``part`` 0)
     unless it has more than ``row_children`` children; such a file gets further rows, so that no
-    task has to collect a boundless group and no child is lost. For few files reduce the child
-    tables first, as ``search_page`` does.
+    task has to collect a boundless group and no child is lost. ``None`` skips the count of children
+    where their number is known to be small. For few files reduce the child tables first, as
+    ``search_page`` does.
     """
     sides = [
         getattr(registry, kind).select(F.col("file").alias("guid"), _payload(kind, getattr(registry, kind)).alias(kind))
@@ -130,13 +132,13 @@ def with_children(
     for side in sides[1:]:
         long = long.unionByName(side, allowMissingColumns=True)
     keys = ["guid", "part"]
-    if largest_group(long, ["guid"]) <= row_children:
+    if row_children is None or largest_group(long, ["guid"]) <= row_children:
         parted = long.withColumn("part", F.lit(0))
     else:
         sizes = long.groupBy("guid").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > row_children)
         spread = F.pmod(F.xxhash64(*kinds), F.ceil(F.col("_n") / row_children)).cast("int")
-        parted = long.join(sizes, "guid", "left").withColumn("part", F.coalesce(spread, F.lit(0))).drop("_n")
-        parted = parted.repartition(*keys)
+        marked = attach_stored(long, sizes, ["guid"], "many-children")
+        parted = marked.withColumn("part", F.coalesce(spread, F.lit(0))).drop("_n")
     arrays = parted.groupBy(*keys).agg(
         *[F.sort_array(F.collect_list(kind)).alias(ARRAY_NAMES[kind]) for kind in kinds]
     )
@@ -273,13 +275,22 @@ def download_links(
 
 
 def missing_objects(table: DataFrame, listing: DataFrame, prefixes: Sequence[str] = ("minio://", "s3://")) -> DataFrame:
-    """(column, url) of object links anywhere in a table that the store listing lacks."""
-    texts = [name for name, kind in table.dtypes if kind == "string"]
-    cells = table.select(*texts).unpivot([], texts, "column", "url")
-    starts = F.lit(False)
-    for prefix in prefixes:
-        starts = starts | F.col("url").startswith(prefix)
-    found = cells.filter(starts).select("column", F.trim("url").alias("url")).distinct()
+    """(column, url) of object links anywhere in a table that the store listing lacks.
+
+    Each text column is scanned on its own, so that the prefixes reach the scan as pushed filters.
+    """
+    sides = []
+    for name, kind in table.dtypes:
+        if kind != "string":
+            continue
+        text = F.col(f"`{name}`")
+        starts = F.lit(False)
+        for prefix in prefixes:
+            starts = starts | text.startswith(prefix)
+        sides.append(table.filter(starts).select(F.lit(name).alias("column"), F.trim(text).alias("url")))
+    if not sides:
+        return table.select(F.lit("").alias("column"), F.lit("").alias("url")).limit(0)
+    found = reduce(DataFrame.unionByName, sides).distinct()
     return found.join(listing.select("url"), "url", "left_anti").select("column", "url")
 
 

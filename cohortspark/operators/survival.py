@@ -10,7 +10,7 @@ from cohortspark.functions.scalars import event_code
 from cohortspark.operators.ordered import (
     GROUP_ROWS,
     RANGES,
-    attach,
+    attach_stored,
     earlier_ranges,
     most_values,
     quantiles,
@@ -57,24 +57,23 @@ def curve(
     else:
         # used several times below: written once, so that the rows are not read again for each use
         splits = range_splits(rows, keys, F.col("time"), ranges)
-        ranged = written(with_range(times, splits, keys, F.col("time")), "survival-times")
-        inside = (
-            Window.partitionBy(*keys, "_range").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-        )
+        ranged = written(with_range(times, splits, keys, F.col("time"), ranges), "survival-times")
         sizes = ranged.groupBy(*keys, "_range").agg(F.sum("subjects").alias("_n"))
         later = Window.partitionBy(*keys).orderBy("_range").rowsBetween(0, Window.unboundedFollowing)
         starts = sizes.select(*keys, "_range", F.sum("_n").over(later).alias("_start"))
-        left = attach(
-            ranged.withColumn("_gone", F.sum("subjects").over(inside) - F.col("subjects")),
-            starts,
-            [*keys, "_range"],
-        ).withColumn("_before", F.col("_start") - F.col("_gone"))
+        ranged = attach_stored(ranged, starts, [*keys, "_range"], "survival-starts")
+        inside = (
+            Window.partitionBy(*keys, "_range").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+        )
+        gone = F.sum("subjects").over(inside) - F.col("subjects")
+        left = ranged.withColumn("_before", F.col("_start") - gone)
         factor = 1 - F.col("events") / F.col("_before")
-        local = left.withColumn("_local", F.product(factor).over(inside))
-        per_range = left.groupBy(*keys, "_range").agg(F.product(factor).alias("_p"))
+        local = written(left.withColumn("_local", F.product(factor).over(inside)), "survival-ranges")
+        # factors are at most 1, so the smallest running product of a range is its last one
+        per_range = local.groupBy(*keys, "_range").agg(F.min("_local").alias("_p"))
         earlier = F.coalesce(F.product("_p").over(earlier_ranges(keys)), F.lit(1.0))
         carried = per_range.select(*keys, "_range", earlier.alias("_earlier"))
-        steps = attach(local, carried, [*keys, "_range"]).withColumn(
+        steps = attach_stored(local, carried, [*keys, "_range"], "survival-carried").withColumn(
             "survival", F.col("_earlier") * F.col("_local")
         )
     columns = [*keys, "time", "survival", "events", "at_risk"]

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortspark.operators.ordered import largest_group
 from cohortspark.operators.registry import ARRAY_NAMES, CHILDREN, Registry, with_children
 
 # Plain columns of a flattened row and the sub-columns of each child kind.
@@ -120,17 +120,22 @@ def flatten(registry: Registry, most_columns: int = 10_000) -> DataFrame:
     aggregation; more than ``most_columns`` are an error, as no such file can be read back. Children
     are numbered by their stored position or else their values.
     """
+    owners = reduce(
+        DataFrame.unionByName,
+        [getattr(registry, kind).select(F.lit(kind).alias("kind"), "file") for kind in CHILDREN],
+    )
+    sizes = owners.groupBy("kind", "file").agg(F.count(F.lit(1)).alias("n"))
+    most = {row["kind"]: row["n"] for row in sizes.groupBy("kind").agg(F.max("n").alias("n")).collect()}
     names, columns = [], []
     for kind in CHILDREN:
-        most = largest_group(getattr(registry, kind), ["file"])
-        if most * len(SUB_COLUMNS[kind]) > most_columns:
-            raise ValueError(f"a file has {most} {kind} rows, more than one flattened row can hold")
-        for i in range(most):
+        count = most.get(kind, 0)
+        if count * len(SUB_COLUMNS[kind]) > most_columns:
+            raise ValueError(f"a file has {count} {kind} rows, more than one flattened row can hold")
+        for i in range(count):
             child = F.get(F.col(ARRAY_NAMES[kind]), F.lit(i))
             names += [f"{kind}_{i}_{sub}" for sub in SUB_COLUMNS[kind]]
             columns += [child[sub].cast("string") for sub in SUB_COLUMNS[kind]]
-    # every file is one row here, as its children were just counted
-    rows = with_children(registry.file, registry, row_children=most_columns * len(CHILDREN))
+    rows = with_children(registry.file, registry, row_children=None)
     return rows.select(*FILE_COLUMNS, *[c.alias(n) for n, c in zip(names, columns)])
 
 
