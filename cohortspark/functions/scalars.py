@@ -146,21 +146,29 @@ def fingerprints(content: Column) -> Column:
     )
 
 
-def display_number(col: Column) -> Column:
-    """Whole numbers as they are, others with at most two decimals and no trailing zeros.
+def two_decimals(value: Column) -> Column:
+    """A number as text with two decimals.
 
-    ``format_number`` rounds the exact binary value; only exact eighths can be true ties, and
-    those round away from zero.
+    ``format_number`` rounds the exact binary value; only exact eighths can be true ties, and those
+    round away from zero.
     """
-    value = col.cast("double")
     plain = F.call_function("format_number", value, F.lit("0.00"))
-    tie = F.format_string("%.2f", value)
-    two = F.when(value * 8 == F.floor(value * 8), tie).otherwise(plain)
+    return F.when(value * 8 == F.floor(value * 8), F.format_string("%.2f", value)).otherwise(plain)
+
+
+def display_number(col: Column) -> Column:
+    """Whole numbers as they are, others with at most two decimals and no trailing zeros."""
+    value = col.cast("double")
     return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(
-        F.regexp_replace(two, r"\.?0+$", "")
+        F.regexp_replace(two_decimals(value), r"\.?0+$", "")
     )
 
 
+def percent_of(part: Column, whole: Column) -> Column:
+    """Percentage to two decimals."""
+    return two_decimals(part / whole * 100).cast("double")
+
+
 def hash_of_kind(hashes: Column, kind: str) -> Column:
     """Digests of one kind out of an array of (hash_type, hash) structs."""
     return F.transform(F.filter(hashes, lambda h: h["hash_type"] == kind), lambda h: h["hash"])

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cohortspark.functions.scalars import display_number
+from cohortspark.functions.scalars import display_number, percent_of
 from cohortspark.operators.ordered import GROUP_VALUES, attach, attach_stored, most_values, quantiles
 
 BIN_WIDTH = 10
@@ -48,8 +48,8 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
     """(value, count, percent) of a field, most frequent first."""
     counts = df.groupBy(shown_value(df, column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    percent = F.round(F.col("count") / rows * 100, 2)
-    return counts.withColumn("percent", percent).orderBy(F.col("count").desc(), "value")
+    counts = counts.withColumn("_rows", rows).withColumn("percent", percent_of(F.col("count"), F.col("_rows")))
+    return counts.drop("_rows").orderBy(F.col("count").desc(), "value")
 
 
 def value_count(df: DataFrame, column: str, approximate: bool = False) -> DataFrame:
@@ -63,7 +63,7 @@ def coverage(loaded: DataFrame, everything: DataFrame) -> DataFrame:
     """Loaded rows out of all rows, with the percentage."""
     whole = everything.agg(F.count(F.lit(1)).alias("n")).scalar()
     out = loaded.agg(F.count(F.lit(1)).alias("loaded")).withColumn("total", whole)
-    share = F.when(F.col("total") > 0, F.round(F.col("loaded") / F.col("total") * 100, 2))
+    share = F.when(F.col("total") > 0, percent_of(F.col("loaded"), F.col("total")))
     return out.withColumn("percent", F.coalesce(share, F.lit(0.0)))
 
 

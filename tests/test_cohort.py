@@ -141,6 +141,11 @@ def test_frequency(spark):
     assert {r["value"] for r in stats.frequency(numbers, "v").collect()} == {"1", "2.5", "2.35", "NA", "0.13", "100"}
 
 
+def test_percentages_round_like_the_shown_text(spark):
+    df = spark.range(20000).selectExpr("CASE WHEN id < 765 THEN 'a' WHEN id < 765 + 625 THEN 'b' ELSE 'c' END AS v")
+    assert {r["value"]: r["percent"] for r in stats.frequency(df, "v").collect()} == {"a": 3.82, "b": 3.13, "c": 93.05}
+
+
 def test_counts(spark):
     df = spark.createDataFrame([(1, "x"), (1, "y"), (None, "x"), (2, None), (3, "")], "a int, b string")
     assert stats.value_count(df, "a").first()[0] == 4

@@ -125,9 +125,15 @@ def _rounded(df, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in doubles})
 
 
-@query("""
+def _percent_sql(table: str) -> str:
+    """Two decimals of the exact value; printf rounds true ties, exact eighths, to even instead of up."""
+    share = f"(count(*)::DOUBLE / (SELECT count(*) FROM {table}) * 100)"
+    return f"CASE WHEN {share} * 8 = floor({share} * 8) THEN round({share}, 2) ELSE printf('%.2f', {share})::DOUBLE END"
+
+
+@query(f"""
 WITH v AS (SELECT CASE WHEN p_brand = 'Brand#3' OR p_brand = '' THEN 'NA' ELSE p_brand END AS value FROM part)
-SELECT value, count(*)::BIGINT AS count, round(count(*) * 100.0 / (SELECT count(*) FROM part), 2)::DOUBLE AS percent
+SELECT value, count(*)::BIGINT AS count, {_percent_sql("part")} AS percent
 FROM v GROUP BY value""")
 def frequency(spark, sf_dir):
     brand = F.col("p_brand")
@@ -137,10 +143,10 @@ def frequency(spark, sf_dir):
     return stats.frequency(rows, "brand")
 
 
-@query("""
+@query(f"""
 WITH v AS (SELECT CASE WHEN l_discount IS NULL THEN 'NA' ELSE
              regexp_replace(printf('%.2f', l_discount), '\\.?0+$', '') END AS value FROM lineitem)
-SELECT value, count(*)::BIGINT AS count, round(count(*) * 100.0 / (SELECT count(*) FROM lineitem), 2)::DOUBLE AS percent
+SELECT value, count(*)::BIGINT AS count, {_percent_sql("lineitem")} AS percent
 FROM v GROUP BY value""")
 def frequency_numbers(spark, sf_dir):
     return stats.frequency(load(spark, sf_dir, "lineitem"), "l_discount")
@@ -152,8 +158,8 @@ def distinct_values(spark, sf_dir):
     return stats.value_count(load(spark, sf_dir, "orders").select(F.nullif("o_custkey", F.lit(11)).alias("v")), "v")
 
 
-@query("""SELECT count(*)::BIGINT AS loaded, (SELECT count(*) FROM orders)::BIGINT AS total,
-       round(count(*) * 100.0 / (SELECT count(*) FROM orders), 2)::DOUBLE AS percent
+@query(f"""SELECT count(*)::BIGINT AS loaded, (SELECT count(*) FROM orders)::BIGINT AS total,
+       {_percent_sql("orders")} AS percent
 FROM orders WHERE o_orderstatus = 'F'""")
 def coverage(spark, sf_dir):
     orders = load(spark, sf_dir, "orders")
