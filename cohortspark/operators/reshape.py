@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from cohortspark.session import written
+
 # Names of the gene columns in matrix files and of the columns they become.
 GENE_COLUMN = "Hugo_Symbol"
 GENE_ID_COLUMN = "Entrez_Gene_Id"
@@ -49,19 +51,20 @@ def flatten_hierarchy(documents: DataFrame, column: str = "value", max_depth: in
     """(code, name, tissue) of all nodes of nested JSON trees that have all three.
 
     A node is ``{"code", "name", "tissue", "children": {...}}``. Each pass parses one level of all
-    trees at once; children stay JSON text until their own pass.
+    trees at once; the children are stored as JSON text for the next pass, so no level is parsed
+    again for the levels below it.
     """
     schema = "code string, name string, tissue string, children map<string,string>"
-    level = documents.select(F.from_json(column, schema).alias("node"))
+    level = documents.select(F.col(column).alias("_json"))
     found = None
     for _ in range(max_depth):
-        complete = level.select("node.code", "node.name", "node.tissue")
+        nodes = level.select(F.from_json("_json", schema).alias("node"))
+        complete = nodes.select("node.code", "node.name", "node.tissue")
         for field in ("code", "name", "tissue"):
             complete = complete.filter(F.col(field) != "")
         found = complete if found is None else found.unionByName(complete)
-        level = level.select(F.explode(F.map_values("node.children")).alias("child")).select(
-            F.from_json("child", schema).alias("node")
-        )
+        children = nodes.select(F.explode(F.map_values("node.children")).alias("_json"))
+        level = written(children, "hierarchy-level")
         if level.isEmpty():
             return found
     raise ValueError(f"the hierarchy is deeper than {max_depth} levels")
@@ -70,14 +73,14 @@ def flatten_hierarchy(documents: DataFrame, column: str = "value", max_depth: in
 def flatten_edges(nodes: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
     """Nodes reachable from the roots with their depth, from a (code, parent) table.
 
-    One join per level; the walk stops at the first level without nodes.
+    One join per level, each level stored for the next; the walk stops at the first empty one.
     """
     edges = nodes.select(F.col("code").alias("_child"), F.col("parent").alias("_parent"))
     level = roots.select("code").distinct().withColumn("depth", F.lit(0))
     found = level
     for depth in range(1, max_depth + 1):
         step = level.join(edges, level["code"] == edges["_parent"], "inner")
-        level = step.select(F.col("_child").alias("code"), F.lit(depth).alias("depth"))
+        level = written(step.select(F.col("_child").alias("code"), F.lit(depth).alias("depth")), "walk-level")
         if level.isEmpty():
             return found
         found = found.unionByName(level)

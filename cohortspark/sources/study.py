@@ -173,8 +173,9 @@ def convert_omics(
     kind = about["genetic_alteration_type"] if about else ""
     raw = read_matrix(spark, data_path)
     if kind in MATRIX_KINDS:
-        cleaned = raw.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns])
-        long = matrix_long(cleaned, drop_missing_gene=kind != "METHYLATION")
+        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        cells = [missing_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns]
+        long = matrix_long(raw.select(*cells, place.alias("_place")), "_place", kind != "METHYLATION")
         table = matrix_wide(long, genes) if genes else long
         keep = {SAMPLE: profile.STRING, "gene_symbol": profile.STRING}
         types = {**profile.types_of(table), **{k: v for k, v in keep.items() if k in table.columns}}

@@ -15,7 +15,6 @@ _SIDES = """WITH l AS (
   SELECT nullif(c_custkey, 7) AS id, c_mktsegment AS note, c_nationkey AS nation FROM customer),
 r AS (
   SELECT nullif(o_custkey, 7) AS cust, o_orderpriority AS note, o_orderkey AS orderkey FROM orders
-  WHERE o_totalprice > 100000
   UNION ALL SELECT -1 - s_suppkey, s_name, NULL FROM supplier)"""
 
 _MERGED = """SELECT l.id, {note} AS note, l.nation, r.cust, r.orderkey
@@ -26,7 +25,7 @@ def _sides(spark, sf_dir):
     left = load(spark, sf_dir, "customer").select(
         F.nullif("c_custkey", F.lit(7)).alias("id"), F.col("c_mktsegment").alias("note"), F.col("c_nationkey").alias("nation")
     )
-    orders = load(spark, sf_dir, "orders").filter(F.col("o_totalprice") > 100000).select(
+    orders = load(spark, sf_dir, "orders").select(
         F.nullif("o_custkey", F.lit(7)).alias("cust"), F.col("o_orderpriority").alias("note"), F.col("o_orderkey").alias("orderkey")
     )
     others = load(spark, sf_dir, "supplier").select(

@@ -284,9 +284,9 @@ def catalog_search(spark, sf_dir):
     return found.select("key", "version", "name", "total")
 
 
-@query(f"WITH {CATALOG_SQL} SELECT key, version, name, total FROM catalog ORDER BY name, key, version LIMIT 50")
+@query(f"WITH {CATALOG_SQL} SELECT key, version, name, total FROM catalog ORDER BY name, key, version")
 def catalog_order(spark, sf_dir):
-    return search_catalog(catalog(spark, sf_dir), order_by="name").select("key", "version", "name", "total").limit(50)
+    return search_catalog(catalog(spark, sf_dir), order_by="name").select("key", "version", "name", "total")
 
 
 def _trigram_sql(text: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import scalars
 from workloads import query
-from workloads.tables import FILE_SQL, PREFIX, URL_SQL, file_table, load, registry, survival, url_table
+from workloads.tables import FILE_SQL, PREFIX, URL_SQL, file_table, load, registry, url_table
 from cohortspark.operators import registry as reg
 
 _TOKENS_SQL = "('NA', 'N/A', '', ' ', 'null', 'NULL', '[Not Available]', 'Na', '[Not Applicable]', '[Discrepancy]')"
