@@ -19,6 +19,9 @@ ALLOWED = {
     "list": ("in", "not in"),
 }
 
+#: Longer ``in`` lists are joined as a table of values.
+MANY_VALUES = 1000
+
 _COMPARE = {"=": eq, "!=": ne, "<>": ne, "<": lt, ">": gt, "<=": le, ">=": ge}
 
 #: Gives the Column and type of a field name.
@@ -118,5 +121,42 @@ def text_pairs(tree: Mapping | None) -> list[tuple[str, str]]:
     return list(dict.fromkeys(found))
 
 
+def _is_long_list(tree: Mapping) -> bool:
+    if "items" in tree or not isinstance(tree["value"], (list, tuple)):
+        return False
+    return str(tree["operator"]).lower() == "in" and len(tree["value"]) > MANY_VALUES
+
+
+def split_long_lists(tree: Mapping | None) -> tuple[Mapping | None, list[Mapping]]:
+    """Take ``in`` leaves with very many values out of a conjunction; they become semi joins."""
+    if not tree:
+        return tree, []
+    if "items" not in tree:
+        return (None, [tree]) if _is_long_list(tree) else (tree, [])
+    if str(tree["operator"]).lower() != "and":
+        return tree, []
+    rest = [item for item in tree["items"] if not _is_long_list(item)]
+    return {**tree, "items": rest}, [item for item in tree["items"] if _is_long_list(item)]
+
+
+def filter_rows(df: DataFrame, tree: Mapping | None, resolve: Resolver) -> DataFrame:
+    """Rows that satisfy a tree; long value lists are joined instead of spelled out."""
+    rest, long_lists = split_long_lists(tree)
+    if rest:
+        df = df.filter(predicate(rest, resolve))
+    for item in long_lists:
+        column, data_type = resolve(item["field"])
+        literal_kind(item["value"])  # all values of one kind
+        listed = set(item["value"])
+        if any(isinstance(v, float) for v in listed):
+            listed = {float(v) for v in listed}
+        values = df.sparkSession.createDataFrame([(v,) for v in listed], ["_value"])
+        wanted = F.col("_value")
+        if literal_kind(next(iter(listed))) != "number" or not isinstance(data_type, T.NumericType):
+            wanted = wanted.cast(data_type)
+        df = df.join(values, column == wanted, "left_semi")
+    return df
+
+
 def apply_filter(df: DataFrame, tree: Mapping | None) -> DataFrame:
-    return df.filter(predicate(tree, columns_of(df)))
+    return filter_rows(df, tree, columns_of(df))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortspark.functions.names import is_identifier
 from cohortspark.operators.paging import page_of
-from cohortspark.operators.predicates import leaf, predicate
+from cohortspark.operators.predicates import filter_rows, leaf
 
 _AGGREGATES = {"COUNT": F.count, "AVG": F.avg, "SUM": F.sum, "MIN": F.min, "MAX": F.max}
 _HAVING_OPERATORS = ("=", "!=", "<>", "<", ">", "<=", ">=")
@@ -170,7 +170,7 @@ def unpaged(tables: Mapping[str, DataFrame], description: Mapping) -> DataFrame:
 
     df = _joined(tables, description, scope)
     if description.get("filters"):
-        df = df.filter(predicate(description["filters"], scope.resolve))
+        df = filter_rows(df, description["filters"], scope.resolve)
 
     if group_by or aggregates:
         outputs = {a["alias"]: _aggregate(a["func"], a["field"], scope) for a in aggregates}

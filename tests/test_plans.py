@@ -60,12 +60,35 @@ def test_filter_tree(tables, tree, want):
     assert ids(apply_filter(tables["t1"], tree)) == want
 
 
+@pytest.mark.parametrize(
+    ("tree", "want"),
+    [
+        (leaf("id", "in", [2, 4, *range(100, 1200)]), [2, 4]),
+        ({"operator": "and", "items": [leaf("age", ">", 0), leaf("id", "in", [2, 4.0, *[i + 0.5 for i in range(1100)]])]}, [2]),
+        ({"operator": "or", "items": [leaf("id", "=", 1), leaf("id", "in", list(range(2, 1200)))]}, [1, 2, 3, 4, 5]),
+        (leaf("name", "in", ["ann", *[f"x{i}" for i in range(1100)]]), [1]),
+        (leaf("id", "in", ["3", *[str(i) for i in range(10, 1200)]]), [3]),
+        (leaf("id", "not in", list(range(2, 1200))), [1]),
+    ],
+)
+def test_long_lists(tables, tree, want):
+    assert ids(apply_filter(tables["t1"], tree)) == want
+    description = {"table": "t1", "selects": [{"type": "field", "value": "id"}], "filters": tree}
+    assert ids(query.run(tables, description)) == want
+
+
+def test_bad_long_list(tables):
+    with pytest.raises(ValueError):
+        apply_filter(tables["t1"], leaf("id", "in", [1, "a"] * 600))
+
+
 @pytest.mark.parametrize(
     "item",
     [
         leaf("age", "like", 3),
         leaf("name", ">", "x"),
         leaf("name", "in", "x"),
+        leaf("name", "in", "x" * 2000),
         leaf("name", "is", "x"),
         leaf("name", "=", None),
         leaf("id", "in", [1, "a"]),
