@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import chat, packing, warc
+from cohortspark.llm import chat, minhash, neighbours, packing, quality, simhash, warc
 from cohortspark.llm.common import table, text_or_empty, words_of  # noqa: F401
 from cohortspark.session import scratch_path
 
@@ -96,3 +96,38 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         warc.key_of(F.col("refers_to")).alias("refers_to"),
     )
+
+
+@query()
+def op6_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents meet the next one once, with its text and fingerprint; a document without an id has no next one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
+    starts = neighbours.range_starts(docs, "doc_id")
+    known = docs.withColumn("fp", minhash.fingerprint(F.col("text")))
+    met = neighbours.with_next(known, "doc_id", {"text": "next_text", "fp": "next_fp"}, starts)
+    alone = known.where("doc_id IS NULL").withColumns({
+        "next_text": F.lit(None).cast("string"), "next_fp": F.lit(None).cast("array<bigint>")})
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substr(F.col("text"), F.lit(1), n - half), F.substr(F.col("next_text"), F.lit(1), half))
+    rows = met.unionByName(alone).select(
+        "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
+    rows = rows.select("*", minhash.fingerprint(F.col("edited")).alias("edited_fp"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        minhash.as_text(F.col("fp")).alias("fingerprint"),
+        minhash.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        minhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        minhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
