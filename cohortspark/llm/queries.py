@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import chat, minhash, neighbours, packing, quality, simhash, warc
+from cohortspark.llm import chat, minhash, mixing, neighbours, packing, quality, simhash, warc
 from cohortspark.llm.common import table, text_or_empty, words_of  # noqa: F401
 from cohortspark.session import scratch_path
 
@@ -131,3 +131,47 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         minhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         minhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
+
+
+@query("""
+WITH RECURSIVE units AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens FROM documents),
+totals AS (SELECT source, CAST(sum(tokens) AS DOUBLE) AS total, count(*) AS units FROM units GROUP BY source),
+shares AS (SELECT list_sort(list(total / (SELECT sum(total) FROM totals))) AS ps FROM totals WHERE total > 0),
+bisect AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+  UNION ALL
+  SELECT i + 1,
+    CASE WHEN list_max(list_transform(ps, lambda p: pow(p, (low + high) / 2 - 1)))
+      <= 1.25 * list_min(list_transform(ps, lambda p: pow(p, (low + high) / 2 - 1))) THEN low ELSE (low + high) / 2 END,
+    CASE WHEN list_max(list_transform(ps, lambda p: pow(p, (low + high) / 2 - 1)))
+      <= 1.25 * list_min(list_transform(ps, lambda p: pow(p, (low + high) / 2 - 1))) THEN (low + high) / 2 ELSE high END
+  FROM bisect, shares WHERE i < 50),
+found AS (SELECT round(max_by(high, i), 9) AS a FROM bisect),
+whole AS (
+  SELECT a, (SELECT sum(total) FROM totals) AS everything, list_sum(list_transform(ps, lambda p: pow(p, a))) AS s,
+    list_min(list_transform(ps, lambda p: pow(p, a - 1))) AS least FROM found, shares),
+quotas AS (
+  SELECT source, total, units, everything * s / least AS size,
+    round(pow(total / everything, a) / s, 12) * (everything * s / least) AS quota FROM totals, whole),
+plans AS (
+  SELECT source, CAST(total AS BIGINT) AS total, size,
+    CAST(CASE WHEN abs(quota / total - round(quota / total)) < 1e-9 THEN round(quota / total) * total
+      ELSE floor(quota) END AS BIGINT) AS quota FROM quotas),
+epochs AS (
+  SELECT doc_id, u.source, tokens, total, quota, size, unnest(range(0, CAST(ceil(quota / total) AS BIGINT))) AS epoch
+  FROM units u JOIN plans p ON u.source = p.source),
+ordered AS (
+  SELECT *, CAST('0x' || substr(md5('0:' || epoch || ':' || doc_id), 1, 15) AS BIGINT) AS o FROM epochs),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY o, doc_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM ordered),
+placed AS (
+  SELECT *, least(greatest(1, ceil(size / 1000000)) - 1,
+    floor((epoch * total + e - tokens) * greatest(1, ceil(size / 1000000)) / quota)) AS block
+  FROM summed WHERE epoch < quota // total OR e <= quota - (quota // total) * total)
+SELECT doc_id, source, CAST(tokens AS BIGINT) AS tokens, CAST(epoch AS BIGINT) AS epoch, CAST(block AS BIGINT) AS block,
+  row_number() OVER (PARTITION BY block ORDER BY o, doc_id, epoch) - 1 AS place FROM placed
+""")
+def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "tokens", F.col("epoch").cast("long").alias("epoch"), "block", "place")
