@@ -15,6 +15,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,67 +30,134 @@ from cohortspark.llm.common import written
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words whose ids a task remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED_WORDS = 200_000
+#: Distinct words, and parts of words, that a worker remembers; beyond it the memory is emptied and filled anew.
+REMEMBERED = 700_000
 #: Characters tokenized at a time.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 8_000_000
+
+
+class _Spans:
+    """Spans of one growing array, by number."""
+
+    def __init__(self) -> None:
+        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.data, self.n, self.used = np.zeros(1 << 14, np.int32), 0, 0
+
+    def add(self, lengths: np.ndarray, data: np.ndarray) -> None:
+        while self.n + len(lengths) > len(self.starts):
+            self.starts, self.lengths = (np.resize(a, 2 * len(a)) for a in (self.starts, self.lengths))
+        while self.used + len(data) > len(self.data):
+            self.data = np.resize(self.data, 2 * len(self.data))
+        self.starts[self.n:self.n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.n:self.n + len(lengths)] = lengths
+        self.data[self.used:self.used + len(data)] = data
+        self.n += len(lengths)
+        self.used += len(data)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The spans one after the other, and the end of each."""
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        inside = np.arange(total) - np.repeat(ends - lengths, lengths)
+        return self.data[np.repeat(self.starts[numbers], lengths) + inside], ends
 
 
 class WordTokens:
-    """Ids of texts by way of their words.
+    """Ids of texts by way of their words and the words' parts.
 
-    White space separates tokens in this vocabulary and is dropped, so a text's ids are those of its words in order and
-    each distinct word is tokenized once.
+    White space separates tokens in this vocabulary and is dropped, so a text's ids are those of its words in order. A
+    word of plain Latin letters, digits and ASCII marks is cut into the parts that the vocabulary's own splitting makes
+    of it, and each distinct part is tokenized once; any other word is a part of its own, split by the tokenizer.
     """
 
+    #: The splitting of the vocabulary, for lower-case texts of these characters, and its word end.
+    PLAIN = re.compile(r"[\x21-\x7E\u00C0-\u00FF]+")
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+    WORD_END = "</w>"
+    SPECIAL = "<|"
+
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives a task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.starts, self.lengths, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-        self.ids = np.zeros(1 << 14, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        n, total = len(self.number), int(lengths.sum())
-        while n + len(words) > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        while self.used + total > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.lengths[n:n + len(words)] = lengths
-        self.starts[n:n + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used:self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
-        self.used += total
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.WORD_END)]] = True
+        self._forget_words()
+        self._forget_parts()
+
+    def _forget_words(self) -> None:
+        self.word_numbers: dict[str, int] = {}
+        self.words = _Spans()
+
+    def _forget_parts(self) -> None:
+        self.part_numbers: dict[str, int] = {}
+        self.parts = _Spans()
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        plain = [p for p in parts if self.PLAIN.fullmatch(p) and self.SPECIAL not in p]
+        if plain:
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.int32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(plain):
+                raise ValueError("the vocabulary does not end every part with a word end")
+            self._add_parts(plain, np.diff(ends, prepend=0), ids)
+        other = [p for p in parts if not self.PLAIN.fullmatch(p) or self.SPECIAL in p]
+        if other:
+            got = [e.ids for e in self.tokenizer.encode_batch(other, add_special_tokens=False)]
+            self._add_parts(other, np.array([len(g) for g in got]), np.array([i for g in got for i in g], np.int32))
+
+    def _add_parts(self, parts: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        for part in parts:
+            self.part_numbers[part] = len(self.part_numbers)
+        self.parts.add(lengths, ids)
+
+    def _learn_words(self, words: list[str]) -> None:
+        plain, special, cut = self.PLAIN.fullmatch, self.SPECIAL, self.PARTS.findall
+        split = [cut(w.lower()) if plain(w) and special not in w else [w] for w in words]
+        flat = [p for parts in split for p in parts]
+        new = [p for p in dict.fromkeys(flat) if p not in self.part_numbers]
+        if new:
+            self._learn_parts(new)
+        numbers = self.part_numbers
+        self.words.add(np.fromiter(map(len, split), np.int64, len(split)), np.array([numbers[p] for p in flat], np.int32))
         for word in words:
-            self.number[word] = len(self.number)
+            self.word_numbers[word] = len(self.word_numbers)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in order, and the number of ids of each text."""
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
-        if len(self.number) > REMEMBERED_WORDS:
-            self._forget()
-        new = [w for w in distinct if w not in self.number]
+        if len(self.part_numbers) > REMEMBERED:
+            self._forget_parts()
+            self._forget_words()
+        elif len(self.word_numbers) > REMEMBERED:
+            self._forget_words()
+        new = [w for w in distinct if w not in self.word_numbers]
         if new:
-            self._learn(new)
-        known = np.fromiter((self.number[w] for w in distinct), np.int64, len(distinct))
+            self._learn_words(new)
+        known = np.fromiter(map(self.word_numbers.__getitem__, distinct), np.int64, len(distinct))
         numbers = known[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
-        lengths = self.lengths[numbers]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        inside = np.arange(total) - np.repeat(ends - lengths, lengths)
-        ids = self.ids[np.repeat(self.starts[numbers], lengths) + inside]
-        word_ends = np.concatenate([[0], ends])
+        parts, part_ends = self.words.take(numbers)
+        ids, id_ends = self.parts.take(parts)
+        word_ends = np.concatenate([[0], np.concatenate([[0], id_ends])[part_ends]])
         offsets = split.offsets.to_numpy()
         return ids, np.diff(word_ends[offsets - offsets[0]])
 
 
+#: What a worker has learnt, by vocabulary.
+_LEARNT: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    if path not in _LEARNT:
+        _LEARNT[path] = WordTokens(path)
+    return _LEARNT[path]
+
+
 PIECES = StructType([
     StructField("doc_id", LongType()), StructField("piece", IntegerType()), StructField("start", LongType()),
     StructField("length", LongType()), StructField("ids_crc32", LongType()),
@@ -102,7 +171,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, part = WordTokens(tokenizer), TaskContext.get().partitionId()
+        tokens, part = word_tokens(tokenizer), TaskContext.get().partitionId()
         made = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             at = 0
