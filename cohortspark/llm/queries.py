@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import chat, minhash, mixing, neighbours, packing, quality, simhash, warc
+from cohortspark.llm import (
+    chat, minhash, mixing, neighbour_search, neighbours, packing, quality, recompress, simhash, suffix, warc,
+)
 from cohortspark.llm.common import table, text_or_empty, words_of  # noqa: F401
 from cohortspark.session import scratch_path
 
@@ -175,3 +177,18 @@ SELECT doc_id, source, CAST(tokens AS BIGINT) AS tokens, CAST(epoch AS BIGINT) A
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "tokens", F.col("epoch").cast("long").alias("epoch"), "block", "place")
+
+
+@query()
+def op4_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query()
+def op3_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digest(table(spark, sf_dir, "documents"))
