@@ -171,8 +171,8 @@ def realise(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The documents of a mixture, each as often as it was taken, with the columns of ``docs``."""
     times = rows.groupBy("doc_id", "source", "text_key").agg(F.count("*").cast("int").alias("_times")).select(
         F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), "_times")
-    keyed = docs.withColumn("_text_key", F.xxhash64(text_or_empty("text")))
-    met = keyed.join(times, keyed.doc_id.cast("long").eqNullSafe(F.col("_doc"))
-                     & keyed.source.cast("string").eqNullSafe(F.col("_source")) & (F.col("_text_key") == F.col("_key")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(
-        *[docs[c] for c in docs.columns])
+    keyed = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("source").cast("string").alias("_s"),
+                        F.xxhash64(text_or_empty("text")).alias("_k"), F.struct("*").alias("_row"))
+    met = keyed.join(times, F.col("_d").eqNullSafe(F.col("_doc")) & F.col("_s").eqNullSafe(F.col("_source"))
+                     & (F.col("_k") == F.col("_key")))
+    return met.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

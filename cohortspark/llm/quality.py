@@ -171,3 +171,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score of the threshold or more. Texts are scored where they are read, not moved."""
+    model = learn(written(features(docs), "quality-features"), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [statistics(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            if rows:
+                yield batch.filter(pa.array(model.score(np.array(rows, np.float64)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

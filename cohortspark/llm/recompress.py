@@ -182,9 +182,8 @@ def _cut(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    rows = repeats.apply_spans(docs, repeats.removed_spans(docs, SPEC), _cut,
+    return repeats.apply_spans(docs, repeats.removed_spans(docs, SPEC), _cut,
                                "n_words long, n_removed long, kept_sha256 string")
-    return rows.drop("text_key")
 
 
 def _kept_text(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple:
@@ -194,5 +193,5 @@ def _kept_text(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, kept: the words that stay, joined by one space."""
+    """doc_id, kept: the words that stay, joined by one space."""
     return repeats.apply_spans(docs, repeats.removed_spans(docs, SPEC), _kept_text, "kept string")

@@ -140,17 +140,25 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and the compressed text, for joins that must move texts."""
+def packed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, text_key and the compressed text, for joins that must move texts; ``carry``: and a struct of all other
+    columns of ``docs``."""
+    rows, schema = with_key(docs), "doc_id long, text_key long, z binary"
+    if carry:
+        rest = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
+        text = text_or_empty("text")
+        rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"),
+                           F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
+        schema = f"{schema}, rest {rest.schema['rest'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(map(packer.compress, _texts(batch)), pa.binary())],
-                names=["doc_id", "text_key", "z"])
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(map(packer.compress, _texts(batch)), pa.binary()),
+                 *([batch.column("rest")] if carry else [])], names=["doc_id", "text_key", "z", *["rest"] * carry])
 
-    return with_key(docs).mapInArrow(run, "doc_id long, text_key long, z binary")
+    return rows.mapInArrow(run, schema)
 
 
 def unpacked(column: pa.Array) -> list[bytes]:
@@ -471,9 +479,13 @@ def cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(edges)[:n] > 0
 
 
-def apply_spans(docs: DataFrame, spans: DataFrame, cut: Callable, schema: str) -> DataFrame:
-    """Every document with its spans: ``cut(text, start, end)`` gives the values of ``schema`` after doc_id, text_key."""
-    met = packed(docs).join(spans, ["doc_id", "text_key"], "left")
+def apply_spans(docs: DataFrame, spans: DataFrame, cut: Callable, schema: str, carry: bool = False) -> DataFrame:
+    """Every document with its spans: doc_id and what ``cut(text, start, end)`` gives, as in ``schema``; ``carry``: and
+    the struct ``rest`` of its other columns."""
+    moved = packed(docs, carry)
+    met = moved.join(spans, ["doc_id", "text_key"], "left")
+    kept = ["doc_id", *["rest"] * carry]
+    given = ", ".join(f"{n} {moved.schema[n].dataType.simpleString()}" for n in kept)
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,6 +499,6 @@ def apply_spans(docs: DataFrame, spans: DataFrame, cut: Callable, schema: str) -
                     zip(unpacked(batch.column("z")), lengths.tolist(), ends.tolist(), strict=True)]
             values = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), **values})
+                {**{n: batch.column(n) for n in kept}, **values})
 
-    return met.select("doc_id", "text_key", "z", "spans").mapInArrow(run, f"doc_id long, text_key long, {schema}")
+    return met.select(*kept, "z", "spans").mapInArrow(run, f"{given}, {schema}")

@@ -27,6 +27,8 @@ from cohortspark.llm.components import components
 RADIUS = 3
 SHINGLE_WORDS = 3
 SEED = 42
+#: Nodes per bucket before it is dealt out again; above 128, the most nodes that can be pairwise within three bits, since
+#: no mask would ever part these.
 BUCKET_ROWS = 2048
 #: Bytes of text whose shingles are held at a time.
 CHUNK_BYTES = 1_500_000
@@ -66,7 +68,7 @@ def fingerprint_texts(texts: list[bytes], words: int = SHINGLE_WORDS) -> np.ndar
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, text_key (a digest that tells rows of one id apart), fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +82,11 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                     held, room = [], CHUNK_BYTES
             found.append(fingerprint_texts(held, words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "fp"])
+                [batch.column(0), batch.column(2), pa.array(np.concatenate(found).view(np.int64))],
+                names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key()).mapInArrow(
+        run, "doc_id long, text_key long, fp long")
 
 
 def masks(radius: int = RADIUS, level: int = 0) -> list[int]:
@@ -175,6 +179,20 @@ def near_groups(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp and component_id of every document."""
+    """doc_id, text_key, fp and component_id of every document."""
     fps = written(fingerprints(docs, words), "simhash")
-    return fps.join(near_groups(fps, radius), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(near_groups(fps, radius), "fp").select("doc_id", "text_key", "fp", "component_id")
+
+
+def text_key():
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay: of every component its first document, and all documents without an id."""
+    first = groups.where("component_id IS NOT NULL").groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("first")).select(
+        F.col("first.doc_id").alias("_doc"), F.col("first.text_key").alias("_key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), text_key().alias("_key"), F.struct("*").alias("_row"))
+    met = rows.join(first, ["_doc", "_key"]).dropDuplicates(["_doc", "_key"]).select("_row.*")
+    return met.unionByName(docs.where("doc_id IS NULL"))

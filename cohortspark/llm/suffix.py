@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.llm import repeats
-from cohortspark.llm.repeats import Anchors, Hashes, Repeats, mix, spread
+from cohortspark.llm.repeats import Anchors, Hashes, Repeats, spread
 
 WIDTH, GRAM = 50, 20
 
@@ -214,9 +214,8 @@ def _cut(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    rows = repeats.apply_spans(docs, repeats.removed_spans(docs, SPEC), _cut,
+    return repeats.apply_spans(docs, repeats.removed_spans(docs, SPEC), _cut,
                                "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return rows.drop("text_key")
 
 
 def _kept_text(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple:
@@ -226,17 +225,10 @@ def _kept_text(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple:
     return (np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "replace"),)
 
 
-def kept(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, kept: every text without its repeats; characters removed in part are kept whole."""
-    return repeats.apply_spans(docs, repeats.removed_spans(docs, SPEC), _kept_text, "kept string")
-
-
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with shortened texts and their new ``n_chars``; other columns as they are."""
-    short = kept(docs).dropDuplicates(["doc_id", "text_key"]).select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "kept")
-    rest = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit("")))).drop("text")
-    met = rest.join(short, rest.doc_id.cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")))
-    columns = [F.col("kept").alias("text") if c == "text" else
-               F.length("kept").cast("long").alias("n_chars") if c == "n_chars" else rest[c] for c in docs.columns]
-    return met.select(*columns)
+    """``docs`` with shortened texts and their new ``n_chars``; other columns as they are. Characters that are removed in
+    part are kept whole."""
+    rows = repeats.apply_spans(docs, repeats.removed_spans(docs, SPEC), _kept_text, "kept string", carry=True)
+    return rows.select(*[
+        F.col("kept").alias("text") if c == "text" else F.length("kept").cast("long").alias("n_chars") if c == "n_chars"
+        else F.col("rest")[c].alias(c) for c in docs.columns])
