@@ -9,6 +9,7 @@ The sketch only decides where to cut; results are exact on both ways.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -25,14 +26,24 @@ RANGES = 256
 SKETCH_ACCURACY = 10_000
 
 
-def order_number(column: Column, data_type: T.DataType) -> Column:
+def common_prefix(df: DataFrame, name: str) -> int:
+    """How many leading bytes all values of a text column share; one aggregate over the column."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return 0
+    ends = df.agg(F.min(f"`{name}`").alias("low"), F.max(f"`{name}`").alias("high")).first()
+    if ends["low"] is None:
+        return 0
+    return len(os.path.commonprefix([ends["low"].encode(), ends["high"].encode()]))
+
+
+def order_number(column: Column, data_type: T.DataType, skip: int = 0) -> Column:
     """A number that never falls when the value rises, used to cut ranges.
 
-    Different values may share a number (long texts by their first six bytes); they then stay in the
-    same range.
+    Texts are told apart by the six bytes after the first ``skip``, which all must share. Different values may share a
+    number; they then stay in the same range. NaN counts as the largest number, like infinity.
     """
     if isinstance(data_type, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
+        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), skip + 1, 6)), 12, "0")
         return F.conv(head, 16, 10).cast("double")
     if isinstance(data_type, T.BooleanType):
         return column.cast("int").cast("double")
@@ -43,7 +54,8 @@ def order_number(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.TimestampNTZType):
         seconds = F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
         return F.unix_date(column.cast("date")).cast("double") * 86400 + seconds
-    return column.cast("double")
+    number = column.cast("double")
+    return F.when(F.isnan(number), F.lit(float("inf"))).otherwise(number)
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
@@ -141,7 +153,7 @@ def row_numbers(
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
         return df.withColumn(out, place.cast("long"))
     first, descending = order[0]
-    number = order_number(F.col(first), df.schema[first].dataType)
+    number = order_number(F.col(first), df.schema[first].dataType, common_prefix(df, first))
     number = -number if descending else number
     ranged = with_range(df, range_splits(df, keys, number, ranges), keys, number, ranges)
     local = ranged.withColumn(
@@ -183,20 +195,18 @@ def quantiles(
     element at position floor(np) of the sorted values. Null values are left out.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    bracketed = False
     if most_values(rows, keys, "_v") <= group_values:
         if rule == "linear":
             found = rows.groupBy(*keys).agg(F.percentile("_v", list(wanted.values())).alias("_q"))
             return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(wanted)])
         placed = _value_positions(rows, keys)
     else:
-        placed = _bracket_positions(rows, keys, list(wanted.values()), accuracy)
+        placed, bracketed = _bracket_positions(rows, keys, list(wanted.values()), accuracy), True
 
     def at(i: int, position: Column) -> Column:
         inside = (position >= F.col("_end") - F.col("_c")) & (position < F.col("_end"))
-        found = F.max(F.when((F.coalesce("_i", F.lit(i)) == i) & inside, F.col("_v")))
-        # a sketch worse than promised must not pass for a result; a table without rows has none
-        failed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
-        return F.when(F.max("_n").isNotNull(), F.coalesce(found, failed))
+        return F.max(F.when((F.coalesce("_i", F.lit(i)) == i) & inside, F.col("_v")))
 
     picked = []
     for i, p in enumerate(wanted.values()):
@@ -207,13 +217,29 @@ def quantiles(
             F.max(h - F.floor(h)).alias(f"_part{i}"),
         ]
     out = placed.groupBy(*keys).agg(*picked)
-    return out.select(
-        *keys,
-        *[
-            (F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")).alias(name)
-            for i, name in enumerate(wanted)
-        ],
-    )
+
+    def interpolated(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            *keys,
+            *[
+                (F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}")).alias(name)
+                for i, name in enumerate(wanted)
+            ],
+        )
+
+    if not bracketed:
+        return interpolated(out)
+    # a quantile that its bracket missed is looked for again in wider ones; the widest hold every value
+    missed = F.lit(False)
+    for i in range(len(wanted)):
+        missed = missed | F.col(f"_low{i}").isNull() | F.col(f"_high{i}").isNull()
+    out = written(out.withColumn("_missed", missed & F.col("_part0").isNotNull()), "quantiles")
+    again = out.filter("_missed").select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    if again.isEmpty():
+        return interpolated(out)
+    rest = df.join(again, same_keys(df, again, keys, "_k_"), "left_semi") if keys else df
+    wider = quantiles(rest, keys, value, wanted, rule, group_values, max(accuracy // 8, 1))
+    return interpolated(out.filter("NOT _missed")).unionByName(wider)
 
 
 def _value_positions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortspark.operators.ordered import order_number
+from cohortspark.operators.ordered import common_prefix, order_number
 
 # Up to this many rows Spark keeps a page with its skipped rows as one top-k heap per task.
 HEAP_ROWS = 100_000
@@ -51,7 +51,7 @@ def around_page(
     table and the rows still to skip in it. Only ``ranges`` numbers reach the driver.
     """
     name, descending = first
-    number = order_number(F.col(f"`{name}`"), df.schema[name].dataType)
+    number = order_number(F.col(f"`{name}`"), df.schema[name].dataType, common_prefix(df, name))
     probabilities = [i / ranges for i in range(1, ranges)]
     splits = df.agg(F.percentile_approx(number, probabilities, 10_000).alias("s")).first()["s"]
     splits = sorted(set(splits or []))

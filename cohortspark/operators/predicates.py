@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_, eq, ge, gt, le, lt, ne, or_
 
@@ -19,7 +19,7 @@ ALLOWED = {
     "list": ("in", "not in"),
 }
 
-#: Longer ``in`` lists are joined as a table of values.
+#: Longer ``in`` and ``not in`` lists are joined as a table of values; the rows are the same either way.
 MANY_VALUES = 1000
 
 _COMPARE = {"=": eq, "!=": ne, "<>": ne, "<": lt, ">": gt, "<=": le, ">=": ge}
@@ -72,8 +72,8 @@ def _like_pattern(pattern: str) -> str:
     return pattern.replace("\\", "\\\\")
 
 
-def leaf(item: Mapping, resolve: Resolver) -> Column:
-    """One comparison ``{field, operator, value}``."""
+def leaf(item: Mapping, resolve: Resolver, members: Mapping[int, Column] | None = None) -> Column:
+    """One comparison ``{field, operator, value}``; ``members`` has the membership of long lists by their leaf."""
     value, op = item["value"], str(item["operator"]).lower()
     kind = literal_kind(value)
     if op not in ALLOWED[kind]:
@@ -84,7 +84,10 @@ def leaf(item: Mapping, resolve: Resolver) -> Column:
     if kind == "list":
         if not value:
             return F.lit(op == "not in")
-        member = column.isin([typed_literal(v, data_type) for v in value])
+        if members and id(item) in members:
+            member = F.when(column.isNotNull(), members[id(item)])
+        else:
+            member = column.isin([typed_literal(v, data_type) for v in value])
         return member if op == "in" else ~member
     if op in _COMPARE:
         return _COMPARE[op](column, typed_literal(value, data_type))
@@ -97,16 +100,16 @@ def leaf(item: Mapping, resolve: Resolver) -> Column:
     return matched if op == "like" else ~matched
 
 
-def predicate(tree: Mapping | None, resolve: Resolver) -> Column:
+def predicate(tree: Mapping | None, resolve: Resolver, members: Mapping[int, Column] | None = None) -> Column:
     """A whole tree of ``{operator: and|or, items: [...]}`` and leaves; an empty tree is true."""
     if not tree:
         return F.lit(True)
     if "items" not in tree:
-        return leaf(tree, resolve)
+        return leaf(tree, resolve, members)
     joiner = {"and": and_, "or": or_}.get(str(tree["operator"]).lower())
     if joiner is None:
         raise ValueError(f"unknown group operator {tree['operator']!r}")
-    parts = [predicate(item, resolve) for item in tree["items"]]
+    parts = [predicate(item, resolve, members) for item in tree["items"]]
     return reduce(joiner, parts) if parts else F.lit(True)
 
 
@@ -122,40 +125,57 @@ def text_pairs(tree: Mapping | None) -> list[tuple[str, str]]:
 
 
 def _is_long_list(tree: Mapping) -> bool:
-    if "items" in tree or not isinstance(tree["value"], (list, tuple)):
-        return False
-    return str(tree["operator"]).lower() == "in" and len(tree["value"]) > MANY_VALUES
+    return "items" not in tree and isinstance(tree["value"], (list, tuple)) and len(tree["value"]) > MANY_VALUES
 
 
-def split_long_lists(tree: Mapping | None) -> tuple[Mapping | None, list[Mapping]]:
-    """Take ``in`` leaves with very many values out of a conjunction; they become semi joins."""
+def _long_lists(tree: Mapping | None) -> list[Mapping]:
+    """All long ``in`` and ``not in`` leaves of a tree."""
     if not tree:
-        return tree, []
-    if "items" not in tree:
-        return (None, [tree]) if _is_long_list(tree) else (tree, [])
-    if str(tree["operator"]).lower() != "and":
-        return tree, []
-    rest = [item for item in tree["items"] if not _is_long_list(item)]
-    return {**tree, "items": rest}, [item for item in tree["items"] if _is_long_list(item)]
+        return []
+    if "items" in tree:
+        return [found for item in tree["items"] for found in _long_lists(item)]
+    return [tree] if _is_long_list(tree) else []
+
+
+def _value_table(df: DataFrame, values: Sequence, data_type: T.DataType) -> DataFrame:
+    """The distinct values of a list, each made comparable as ``typed_literal`` makes a single one."""
+    literal_kind(list(values))
+    numeric = isinstance(data_type, T.NumericType)
+    if numeric and any(isinstance(v, float) for v in values):
+        values = [float(v) if isinstance(v, int) and not isinstance(v, bool) else v for v in values]
+    tables = []
+    for kind in (bool, int, float, str):
+        own = sorted({v for v in values if type(v) is kind})
+        if own:
+            table = df.sparkSession.createDataFrame([(v,) for v in own], ["_value"])
+            keep = (numeric and kind in (int, float)) or (kind is str and isinstance(data_type, T.StringType))
+            tables.append(table if keep else table.select(F.col("_value").cast(data_type).alias("_value")))
+    return reduce(DataFrame.unionByName, tables).distinct()
 
 
 def filter_rows(df: DataFrame, tree: Mapping | None, resolve: Resolver) -> DataFrame:
-    """Rows that satisfy a tree; long value lists are joined instead of spelled out."""
-    rest, long_lists = split_long_lists(tree)
-    if rest:
-        df = df.filter(predicate(rest, resolve))
-    for item in long_lists:
+    """Rows that satisfy a tree. Long value lists are joined instead of spelled out: an ``in`` that every row must meet as
+    a semi join, any other as a mark that the tree then asks for."""
+    if not tree:
+        return df
+    required = [tree] if "items" not in tree else (
+        tree["items"] if str(tree["operator"]).lower() == "and" else [])
+    joined = [i for i in required if "items" not in i and _is_long_list(i) and str(i["operator"]).lower() == "in"]
+    members: dict[int, Column] = {}
+    marks = []
+    for number, item in enumerate(_long_lists(tree)):
         column, data_type = resolve(item["field"])
-        literal_kind(item["value"])  # all values of one kind
-        listed = set(item["value"])
-        if any(isinstance(v, float) for v in listed):
-            listed = {float(v) for v in listed}
-        values = df.sparkSession.createDataFrame([(v,) for v in listed], ["_value"])
-        wanted = F.col("_value")
-        if literal_kind(next(iter(listed))) != "number" or not isinstance(data_type, T.NumericType):
-            wanted = wanted.cast(data_type)
-        df = df.join(values, column == wanted, "left_semi")
-    return df
+        values = _value_table(df, item["value"], data_type)
+        if any(item is j for j in joined):
+            df = df.join(values, column == F.col("_value"), "left_semi")
+            members[id(item)] = F.lit(True)
+        else:
+            mark = f"_member_{number}"
+            table = values.select(F.col("_value").alias(f"_value_{number}"), F.lit(True).alias(mark))
+            df = df.join(table, column == F.col(f"_value_{number}"), "left")
+            members[id(item)] = F.coalesce(F.col(mark), F.lit(False))
+            marks += [mark, f"_value_{number}"]
+    return df.filter(predicate(tree, resolve, members)).drop(*marks)
 
 
 def apply_filter(df: DataFrame, tree: Mapping | None) -> DataFrame:

@@ -26,9 +26,6 @@ DICTIONARY_ROW = (
 #: Up to this many columns types are inferred by one plain aggregate over the table.
 MEASURED_COLUMNS = 100
 
-#: Fields with more distinct values than this list them in ``field_values`` only.
-LISTED_VALUES = 500
-
 
 def is_number_text(col: Column) -> Column:
     return col.rlike(NUMBER_TEXT)
@@ -127,14 +124,12 @@ def field_values(df: DataFrame) -> DataFrame:
     return _cells(df).filter(F.col("value").isNotNull()).groupBy("key", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def dictionary(
-    df: DataFrame, header: DataFrame | None = None, listed_values: int = LISTED_VALUES
-) -> DataFrame:
+def dictionary(df: DataFrame, header: DataFrame | None = None) -> DataFrame:
     """One row per column: key, name, description, data_type, notes, allowed values or range, order.
 
-    NUMBER fields get ``minimum`` and ``maximum``; others list their sorted values, as long as
-    there are at most ``listed_values``. ``value_count`` is exact for all, and ``field_values``
-    holds the values of the larger ones. ``header`` adds name, description and order by key.
+    NUMBER fields get ``minimum`` and ``maximum``; all others list all their sorted values, however many, since a reader
+    takes the list for what is allowed. ``field_values`` has the same values as rows. ``header`` adds name, description
+    and order by key.
 
     A first pass measures all columns, one row per column comes to the driver, and a second pass
     reads only the columns whose values get listed.
@@ -153,7 +148,7 @@ def dictionary(
     kind = _type_of(F.col("present"), F.col("numbers"), F.col("booleans"))
     stats = stats.select("key", "value_count", "present", kind.alias("data_type"), "_min", "_max")
     found = {row["key"]: row for row in stats.collect()}
-    short = [k for k, r in found.items() if r["data_type"] != NUMBER and r["value_count"] <= listed_values]
+    listed = [k for k, r in found.items() if r["data_type"] != NUMBER]
 
     rows = []
     for position, key in enumerate(df.columns):
@@ -171,8 +166,8 @@ def dictionary(
             )
         )
     out = df.sparkSession.createDataFrame(rows, DICTIONARY_ROW)
-    if short:
-        lists = _cells(df.select(*[F.col(f"`{k}`") for k in short])).groupBy("key")
+    if listed:
+        lists = _cells(df.select(*[F.col(f"`{k}`") for k in listed])).groupBy("key")
         out = out.join(lists.agg(F.sort_array(F.collect_set("value")).alias("allowed_values")), "key", "left")
     else:
         out = out.withColumn("allowed_values", F.lit(None).cast("array<string>"))

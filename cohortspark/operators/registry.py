@@ -15,7 +15,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.functions import scalars
-from cohortspark.operators.ordered import attach_stored, largest_group
 from cohortspark.operators.paging import page as page_rows
 from cohortspark.session import written
 
@@ -32,9 +31,6 @@ CHILD_COLUMNS = {
 # Statuses a link may have; any other becomes ``pending``.
 URL_STATUSES = ("pending", "processing", "validated", "failed")
 
-#: Children of one file that one row holds as an array; more go to further rows of the file.
-ROW_CHILDREN = 100_000
-
 
 @dataclass(frozen=True)
 class Registry:
@@ -107,45 +103,36 @@ def _payload(kind: str, table: DataFrame) -> Column:
     return F.struct(*head, *[c for c in CHILD_COLUMNS[kind] if c in table.columns])
 
 
-def with_children(
-    files: DataFrame,
-    registry: Registry,
-    kinds: Sequence[str] = CHILDREN,
-    row_children: int | None = ROW_CHILDREN,
-) -> DataFrame:
-    """Files with their children as arrays of structs, null where a file has none of a kind.
+def long_children(registry: Registry, kinds: Sequence[str] = CHILDREN) -> DataFrame:
+    """Children as rows: guid, kind and one struct column per kind, null but for the row's own kind.
 
-    All child tables share one shuffle and one aggregation. Every file is one row (``part`` 0)
-    unless it has more than ``row_children`` children; such a file gets further rows, so that no
-    task has to collect a boundless group and no child is lost. ``None`` skips the count of children
-    where their number is known to be small. For few files reduce the child tables first, as
-    ``search_page`` does.
+    This is the form for work on all children of files of any size.
     """
     sides = [
-        getattr(registry, kind).select(F.col("file").alias("guid"), _payload(kind, getattr(registry, kind)).alias(kind))
+        getattr(registry, kind).select(
+            F.col("file").alias("guid"), F.lit(kind).alias("kind"), _payload(kind, getattr(registry, kind)).alias(kind))
         for kind in kinds
     ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
+
+
+def with_children(files: DataFrame, registry: Registry, kinds: Sequence[str] = CHILDREN) -> DataFrame:
+    """Files with their children as arrays of structs, null where a file has none of a kind.
+
+    Every file is one row, whatever the number of its children: an array holds all children of one file, and nothing
+    else. All child tables share one shuffle and one aggregation. For few files reduce the child tables first, as
+    ``search_page`` does; ``long_children`` does without arrays.
+    """
     out = files if "access" in files.columns else files.withColumn("access", scalars.access_of(F.col("acl")))
-    if not sides:
-        return out.withColumn("part", F.lit(0))
-    long = sides[0]
-    for side in sides[1:]:
-        long = long.unionByName(side, allowMissingColumns=True)
-    keys = ["guid", "part"]
-    if row_children is None or largest_group(long, ["guid"]) <= row_children:
-        parted = long.withColumn("part", F.lit(0))
-    else:
-        sizes = long.groupBy("guid").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > row_children)
-        spread = F.pmod(F.xxhash64(*kinds), F.ceil(F.col("_n") / row_children)).cast("int")
-        marked = attach_stored(long, sizes, ["guid"], "many-children")
-        parted = marked.withColumn("part", F.coalesce(spread, F.lit(0))).drop("_n")
-    arrays = parted.groupBy(*keys).agg(
+    if not kinds:
+        return out
+    arrays = long_children(registry, kinds).groupBy("guid").agg(
         *[F.sort_array(F.collect_list(kind)).alias(ARRAY_NAMES[kind]) for kind in kinds]
     )
     arrays = arrays.select(
-        *keys, *[F.when(F.size(ARRAY_NAMES[k]) > 0, F.col(ARRAY_NAMES[k])).alias(ARRAY_NAMES[k]) for k in kinds]
+        "guid", *[F.when(F.size(ARRAY_NAMES[k]) > 0, F.col(ARRAY_NAMES[k])).alias(ARRAY_NAMES[k]) for k in kinds]
     )
-    return out.join(arrays, "guid", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    return out.join(arrays, "guid", "left")
 
 
 def search_page(
@@ -157,13 +144,14 @@ def search_page(
 ) -> DataFrame:
     """One page of a search with children loaded for the files of that page only.
 
-    The guids of the page, at most ``size`` of them, are fetched first; files and children are then
-    read by them, so that stored tables can skip what holds none of these guids.
+    The guids of the page are stored first; files and children are then reduced to them by semi joins, whose small side
+    has a known size, so a page of any size needs no list of guids on the driver.
     """
     found = page_rows(search(registry, **conditions).select("guid"), [("guid", False)], number, size)
-    guids = [row["guid"] for row in found.collect()]
-    near = {kind: getattr(registry, kind).filter(F.col("file").isin(guids)) for kind in kinds}
-    files = registry.file.filter(F.col("guid").isin(guids))
+    guids = written(found, "page-guids")
+    owners = guids.withColumnRenamed("guid", "file")
+    near = {kind: getattr(registry, kind).join(owners, "file", "left_semi") for kind in kinds}
+    files = registry.file.join(guids, "guid", "left_semi")
     return with_children(files, replace(registry, **near), kinds)
 
 
@@ -204,13 +192,17 @@ def download_links(
     repos: DataFrame,
     which_repo: str = "node",
     groups: Sequence[str] | None = None,
+    hashes: DataFrame | None = None,
+    administrator: bool = False,
 ) -> DataFrame:
     """Download requests for many files at once.
 
     ``repos`` has one row per repository entry: position, protocol, identity (project or bucket),
     download_url, member_id, shared_id. For each file the first link (lowest id) whose text holds
     the repository name is taken; the first matching entry says how to ask for it. Rows without a
-    request carry a ``reason`` instead.
+    request carry a ``reason`` instead. A caller without ``groups`` is in none and gets public files only; an
+    administrator gets all. With ``hashes`` the answer has the digests of a file as ``type:digest`` texts, and a file
+    without any is refused.
     """
     first = (
         urls.filter(F.col("url").contains(which_repo))
@@ -225,8 +217,13 @@ def download_links(
         F.min_by(F.struct(*entry), "position").alias("_entry")
     )
     link = F.lit("") if which_repo == "http" else scalars.url_identity(F.col("url"))
-    rows = files.join(first, "guid", "left").withColumn("_identity", link)
+    # a file without a link has no identity, and null meets nothing, so such files are not gathered by a join key
+    rows = files.join(first, "guid", "left").withColumn("_identity", F.when(F.col("url").isNotNull(), link))
     rows = rows.join(chosen, "_identity", "left")
+    if hashes is not None:
+        digest = F.concat_ws(":", "hash_type", "hash")
+        owned = hashes.groupBy(F.col("file").alias("guid")).agg(F.sort_array(F.collect_list(digest)).alias("hashes"))
+        rows = rows.join(owned, "guid", "left")
 
     parts = F.split("url", "/")
 
@@ -259,8 +256,10 @@ def download_links(
         .when(F.col("_entry").isNull(), F.lit("not released"))
         .when(F.lit(which_repo not in requests), F.lit("signing is not supported for this protocol"))
     )
-    if groups is not None:
-        reason = F.when(~_may_read(groups), F.lit("no permission")).otherwise(reason)
+    if hashes is not None:
+        reason = F.when(F.col("hashes").isNull(), F.lit("no digest")).otherwise(reason)
+    if not administrator:
+        reason = F.when(~_may_read(groups or []), F.lit("no permission")).otherwise(reason)
     ok = reason.isNull()
     return rows.select(
         "guid",
@@ -270,6 +269,7 @@ def download_links(
         F.when(ok, baseurl).alias("baseurl"),
         F.when(ok, header if header is not None else empty).alias("header"),
         F.when(ok, data if data is not None else empty).alias("data"),
+        *([F.when(ok, F.col("hashes")).alias("hashes")] if hashes is not None else []),
         reason.alias("reason"),
     )
 
@@ -277,20 +277,20 @@ def download_links(
 def missing_objects(table: DataFrame, listing: DataFrame, prefixes: Sequence[str] = ("minio://", "s3://")) -> DataFrame:
     """(column, url) of object links anywhere in a table that the store listing lacks.
 
-    Each text column is scanned on its own, so that the prefixes reach the scan as pushed filters.
+    One scan gives the links of all text columns, whose prefixes reach it as one pushed condition; the distinct links
+    meet the listing once.
     """
-    sides = []
-    for name, kind in table.dtypes:
-        if kind != "string":
-            continue
-        text = F.col(f"`{name}`")
-        starts = F.lit(False)
-        for prefix in prefixes:
-            starts = starts | text.startswith(prefix)
-        sides.append(table.filter(starts).select(F.lit(name).alias("column"), F.trim(text).alias("url")))
-    if not sides:
+    texts = [name for name, kind in table.dtypes if kind == "string"]
+    if not texts:
         return table.select(F.lit("").alias("column"), F.lit("").alias("url")).limit(0)
-    found = reduce(DataFrame.unionByName, sides).distinct()
+
+    def starts(text: Column) -> Column:
+        return reduce(lambda a, b: a | b, [text.startswith(prefix) for prefix in prefixes])
+
+    linked = table.filter(reduce(lambda a, b: a | b, [starts(F.col(f"`{name}`")) for name in texts]))
+    cells = F.array(*[F.struct(F.lit(name).alias("column"), F.col(f"`{name}`").alias("url")) for name in texts])
+    found = linked.select(F.inline(F.filter(cells, lambda c: F.coalesce(starts(c["url"]), F.lit(False)))))
+    found = found.select("column", F.trim("url").alias("url")).distinct()
     return found.join(listing.select("url"), "url", "left_anti").select("column", "url")
 
 
@@ -323,7 +323,7 @@ def check_registrations(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = F.col("size").try_cast("long")
     checks = [F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in ("size", "filename", "uploader", "md5sum")]
     checks += [
-        F.when(size.isNull() | ~F.col("size").cast("string").rlike(r"^\s*[+-]?\d+\s*$"), F.lit("size must be integer")),
+        F.when(size.isNull() | ~F.col("size").cast("string").rlike(r"^\s*[+-]?\d+\s*$"), F.lit("size is not a whole number")),
         F.when(~scalars.is_hash(F.col("md5sum"), "md5"), F.lit("invalid hash value")),
         F.when(F.col("url").isNotNull() & scalars.url_protocol(F.col("url")).isNull(), F.lit("invalid url protocol")),
     ]
@@ -333,18 +333,16 @@ def check_registrations(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def register(registry: Registry, batch: DataFrame, prefix: str, now: int) -> Registry:
-    """Add files from registration rows; rows failing the checks or with a known digest are left out.
+    """Add files, digests, links and aliases from registration rows; rows failing the checks are left out.
 
-    Of several rows with one digest the first file name wins, and a link or alias that is already
-    there or repeated in the batch is ignored. Guids come from the digest, so a batch that runs
-    again after a lost executor gives the same rows.
+    Of several rows with one digest the first by file name makes the file; a known digest keeps its file. Links and
+    aliases of all good rows go to the file of their digest, and one that is already there or repeated is ignored, see
+    ``registration_outcome``. Guids come from the digest, so a batch that runs again after a lost executor gives the same
+    rows. The checked batch is stored once with the guid of every row.
     """
-    good, _ = check_registrations(batch)
-    first = F.struct("filename", "size", "uploader", F.coalesce("url", F.lit("")), F.coalesce("alias", F.lit("")))
-    fresh = _first_of(good, ["md5sum"], first)
-    fresh = _without_known(fresh, registry.hash.select(F.col("hash").alias("md5sum")), ["md5sum"])
-    uuid = scalars.uuid5(F.concat(F.lit(f"{prefix}/"), F.col("md5sum")))
-    fresh = fresh.withColumn("guid", scalars.make_guid(prefix, uuid))
+    rows = _with_owner(registry, batch, prefix)
+    first = F.struct("filename", "size", "uploader")
+    fresh = _first_of(rows.filter("fresh"), ["md5sum"], first)
     stamp = F.lit(now).cast("long")
     file = fresh.select(
         "guid",
@@ -364,30 +362,77 @@ def register(registry: Registry, batch: DataFrame, prefix: str, now: int) -> Reg
         scalars.hash_type(F.col("md5sum")).alias("hash_type"),
         F.col("guid").alias("file"),
     )
-    link = fresh.filter(F.col("url").isNotNull()).select(
+    link = rows.filter(F.col("url").isNotNull()).select(
         "url",
         stamp.alias("created_at"),
         F.lit("pending").alias("status"),
         "uploader",
         F.col("guid").alias("file"),
     )
-    alias = fresh.filter(F.col("alias").isNotNull()).select(F.col("alias").alias("name"), F.col("guid").alias("file"))
+    alias = rows.filter(F.col("alias").isNotNull()).select(F.col("alias").alias("name"), F.col("guid").alias("file"))
     return replace(
         registry,
         file=registry.file.unionByName(file),
-        hash=insert_ignore(registry.hash, digest, ["hash"]),
+        hash=registry.hash.unionByName(digest, allowMissingColumns=True),
         url=insert_ignore(registry.url, link, ["url"]),
         alias=insert_ignore(registry.alias, alias, ["name"]),
     )
 
 
+def _with_owner(registry: Registry, batch: DataFrame, prefix: str) -> DataFrame:
+    """The good rows of a batch, stored, with the guid they belong to and whether it is a new one."""
+    good, _ = check_registrations(batch)
+    good = written(good, "registrations")
+    digests = registry.hash.select(F.col("hash").alias("md5sum"), F.col("file").alias("_known"))
+    known = digests.join(good.select("md5sum"), "md5sum", "left_semi")
+    known = known.groupBy("md5sum").agg(F.min("_known").alias("_known"))
+    uuid = scalars.uuid5(F.concat(F.lit(f"{prefix}/"), F.col("md5sum")))
+    rows = good.join(known, "md5sum", "left")
+    return written(rows.select(
+        *good.columns,
+        F.coalesce("_known", scalars.make_guid(prefix, uuid)).alias("guid"),
+        F.col("_known").isNull().alias("fresh"),
+    ), "registration-owners")
+
+
+def registration_outcome(registry: Registry, batch: DataFrame, prefix: str) -> DataFrame:
+    """What becomes of every row of a batch: its columns, guid, and what is ignored, as a list of reasons.
+
+    A rejected row has its reason and no guid.
+    """
+    _, bad = check_registrations(batch)
+    rows = _with_owner(registry, batch, prefix)
+
+    def taken(column: str, table: DataFrame, key: str) -> DataFrame:
+        """Values that are stored already, and the first owner of each in the batch."""
+        stored = table.select(F.col(key).alias(column)).join(rows.select(column), column, "left_semi").distinct()
+        first = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min("guid").alias(f"_{column}_owner"))
+        return first.join(stored.withColumn(f"_{column}_stored", F.lit(True)), column, "left")
+
+    judged = rows.join(taken("url", registry.url, "url"), "url", "left")
+    judged = judged.join(taken("alias", registry.alias, "name"), "alias", "left")
+
+    def lost(column: str) -> Column:
+        return F.col(f"_{column}_stored").isNotNull() | (F.col(f"_{column}_owner") != F.col("guid"))
+
+    reasons = F.array_compact(F.array(
+        F.when(~F.col("fresh"), F.lit("known digest")),
+        F.when(lost("url"), F.lit("known link")),
+        F.when(lost("alias"), F.lit("known alias")),
+    ))
+    columns = [c for c in bad.columns if c != "reason"]
+    good = judged.select(*[F.col(c).cast("string") for c in columns], "guid", reasons.alias("ignored"))
+    return good.unionByName(bad.select(
+        *[F.col(c).cast("string") for c in columns], F.lit(None).cast("string").alias("guid"), F.array("reason").alias("ignored")))
+
+
 def insert_ignore(table: DataFrame, rows: DataFrame, keys: Sequence[str], files: DataFrame | None = None) -> DataFrame:
     """Append rows whose key is new; the first of equal keys in the batch wins.
 
     With ``files``, rows of unknown files are left out. New rows get no id until they are stored.
     """
     if files is not None:
-        rows = rows.join(files.select(F.col("guid").alias("file")).distinct(), "file", "left_semi")
+        rows = _of_known_files(rows, files)
     rest = sorted(c for c in rows.columns if c not in keys)
     fresh = rows.distinct()
     if rest:
@@ -409,10 +454,11 @@ def upsert(
     left out. Columns the batch does not have keep their old value. The table side of the join is
     its outer side: a small batch is broadcast and the table does not move.
     """
-    rows = rows.join(files.select(F.col("guid").alias("file")).distinct(), "file", "left_semi")
+    rows = _of_known_files(rows, files)
     payload = [c for c in rows.columns if c not in keys and c != order]
     last = F.max(F.struct(*([order] if order else []), *sorted(payload)))
-    final = rows.groupBy(*keys).agg(last.alias("_row")).select(*keys, "_row.*")
+    # the reduced batch meets the table twice, for updates and for additions
+    final = written(rows.groupBy(*keys).agg(last.alias("_row")).select(*keys, "_row.*"), "upsert-batch")
     new = final.select(
         *[F.col(k).alias(f"_n_{k}") for k in keys],
         *[F.col(c).alias(f"_n_{c}") for c in payload],
@@ -432,6 +478,12 @@ def upsert(
     return kept.unionByName(added, allowMissingColumns=True)
 
 
+def _of_known_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of a batch whose file exists; the file table is first cut down to the files of the batch."""
+    hits = files.select(F.col("guid").alias("file")).join(rows.select("file"), "file", "left_semi")
+    return rows.join(hits, "file", "left_semi")
+
+
 def of_unknown_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Rows of a batch that name a file the registry does not have."""
     hits = files.select(F.col("guid").alias("file")).join(rows.select("file"), "file", "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -47,7 +48,7 @@ def matrix_wide(long: DataFrame, genes: Sequence[str]) -> DataFrame:
     return wanted.groupBy(SAMPLE).pivot(GENE, list(genes)).agg(F.first("value"))
 
 
-def flatten_hierarchy(documents: DataFrame, column: str = "value", max_depth: int = 50) -> DataFrame:
+def flatten_hierarchy(documents: DataFrame, column: str = "value") -> DataFrame:
     """(code, name, tissue) of all nodes of nested JSON trees that have all three.
 
     A node is ``{"code", "name", "tissue", "children": {...}}``. Each pass parses one level of all
@@ -57,7 +58,7 @@ def flatten_hierarchy(documents: DataFrame, column: str = "value", max_depth: in
     schema = "code string, name string, tissue string, children map<string,string>"
     level = documents.select(F.col(column).alias("_json"))
     found = None
-    for _ in range(max_depth):
+    while True:  # texts get shorter with every level, so this ends
         nodes = level.select(F.from_json("_json", schema).alias("node"))
         complete = nodes.select("node.code", "node.name", "node.tissue")
         for field in ("code", "name", "tissue"):
@@ -67,21 +68,24 @@ def flatten_hierarchy(documents: DataFrame, column: str = "value", max_depth: in
         level = written(children, "hierarchy-level")
         if level.isEmpty():
             return found
-    raise ValueError(f"the hierarchy is deeper than {max_depth} levels")
 
 
-def flatten_edges(nodes: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
+def flatten_edges(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes reachable from the roots with their depth, from a (code, parent) table.
 
-    One join per level, each level stored for the next; the walk stops at the first empty one.
+    One join per level, each level stored for the next; the walk stops at the first empty one. A walk with more levels
+    than there are nodes goes round in a cycle, which is an error.
     """
     edges = nodes.select(F.col("code").alias("_child"), F.col("parent").alias("_parent"))
     level = roots.select("code").distinct().withColumn("depth", F.lit(0))
     found = level
-    for depth in range(1, max_depth + 1):
+    most = nodes.count()
+    for depth in itertools.count(1):
+        if depth > most + 1:
+            raise ValueError("the hierarchy has a cycle")
         step = level.join(edges, level["code"] == edges["_parent"], "inner")
         level = written(step.select(F.col("_child").alias("code"), F.lit(depth).alias("depth")), "walk-level")
         if level.isEmpty():
             return found
         found = found.unionByName(level)
-    raise ValueError(f"the hierarchy is deeper than {max_depth} levels")
+    return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,24 +27,43 @@ def build_session(app: str = "cohortspark", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
+#: Folders of sessions that run in one process and name none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    A local folder is made only when the setting is absent and the session runs in one process.
+    A session in one process may leave it out, as in a trial or a test: its executor is the driver, so a local folder
+    serves and is removed when the process ends. On a cluster the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="cohortspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="cohortspark-")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[application], ignore_errors=True)
+    return _LOCAL_FOLDERS[application]
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Where the intermediate tables of this application lie."""
+    return f"{shared_folder(spark)}/cohortspark/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; call it when no result is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/cohortspark/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the folder of this application."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

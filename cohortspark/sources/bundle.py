@@ -47,11 +47,14 @@ def scan_datasets(spark: SparkSession, base: str) -> DataFrame:
 
 
 def build_catalog(spark: SparkSession, base: str, output: str | None = None) -> DataFrame:
-    """Collect all readable dataset records; with ``output`` also write them as JSON rows."""
+    """Collect all readable dataset records; with ``output`` also write ``<output>/index.json``, which ``read_catalog``
+    reads back: one array."""
+    from cohortspark.sources.sinks import write_json_array
+
     catalog = scan_datasets(spark, base).filter(F.col("key").isNotNull()).drop("bundle")
     if output:
-        catalog.write.mode("errorifexists").json(output)
-        return spark.read.schema(DATASET_SCHEMA).json(output)
+        write_json_array(catalog.withColumn("_by", F.struct("key", "version")), f"{output}/index.json", by="_by")
+        return read_catalog(spark, output)
     return catalog
 
 

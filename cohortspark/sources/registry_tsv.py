@@ -113,11 +113,11 @@ def parse_flat(flat: DataFrame, now: int) -> Registry:
     return Registry(file=file, **{kind: children(kind) for kind in CHILDREN})
 
 
-def flatten(registry: Registry, most_columns: int = 10_000) -> DataFrame:
+def flatten(registry: Registry) -> DataFrame:
     """One row per file with children spread over numbered columns; absent ones are null.
 
     The number of columns per kind is the most children any file has, found by one small
-    aggregation; more than ``most_columns`` are an error, as no such file can be read back. Children
+    aggregation: the format has as many columns as its largest file needs. Children
     are numbered by their stored position or else their values.
     """
     owners = reduce(
@@ -129,13 +129,11 @@ def flatten(registry: Registry, most_columns: int = 10_000) -> DataFrame:
     names, columns = [], []
     for kind in CHILDREN:
         count = most.get(kind, 0)
-        if count * len(SUB_COLUMNS[kind]) > most_columns:
-            raise ValueError(f"a file has {count} {kind} rows, more than one flattened row can hold")
         for i in range(count):
             child = F.get(F.col(ARRAY_NAMES[kind]), F.lit(i))
             names += [f"{kind}_{i}_{sub}" for sub in SUB_COLUMNS[kind]]
             columns += [child[sub].cast("string") for sub in SUB_COLUMNS[kind]]
-    rows = with_children(registry.file, registry, row_children=None)
+    rows = with_children(registry.file, registry)
     return rows.select(*FILE_COLUMNS, *[c.alias(n) for n, c in zip(names, columns)])
 
 

@@ -21,9 +21,10 @@ def allowed_values_json(fields: DataFrame) -> Column:
     return F.when(F.col("data_type") == "NUMBER", limits).otherwise(listed)
 
 
-def dictionary_rows(fields: DataFrame) -> DataFrame:
-    """Dictionary fields in the shape they are stored in."""
+def dictionary_rows(fields: DataFrame, *more: str) -> DataFrame:
+    """Dictionary fields in the shape they are stored in, with ``more`` columns to order them by."""
     return fields.select(
+        *more,
         "key",
         "name",
         "description",
@@ -34,26 +35,32 @@ def dictionary_rows(fields: DataFrame) -> DataFrame:
     )
 
 
-def write_json_array(df: DataFrame, path: str) -> None:
-    """Write a small table of one row per field or file as one JSON array."""
-    array = F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("*"))), ","), F.lit("]"))
-    df.agg(array.alias("value")).coalesce(1).write.text(path)
+def write_json_array(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Write a table as one JSON array, a row per line, in the order of the column ``by``, which is not written.
+
+    The format is one document, so one task writes it, row by row.
+    """
+    columns = [c for c in df.columns if c != by]
+    order = F.col(by) if by else F.lit(None).cast("int")
+    rows = df.select(F.lit(1).alias("_at"), order.alias("_by"), F.to_json(F.struct(*columns)).alias("_json"))
+    ends = df.sparkSession.createDataFrame([(0, "["), (2, "]")], "_at int, _json string")
+    lines = rows.unionByName(ends, allowMissingColumns=True).repartition(1).sortWithinPartitions("_at", "_by")
+    again = (F.col("_at") == 1) & (F.monotonically_increasing_id() > 1)
+    lines.select(F.when(again, F.concat(F.lit(","), "_json")).otherwise(F.col("_json")).alias("value")).write.text(path)
 
 
 def write_table_bundle(table: DataFrame, about: DataFrame, output: str, prefix: str) -> None:
-    """Parquet, TSV, dictionary and description of one table below ``output``.
+    """Parquet, TSV, dictionary, values and description of one table below ``output``.
 
-    The dictionary comes from the Parquet just written, so a heavy conversion runs once. Fields
-    with more values than a dictionary lists have them in ``<prefix>_values.parquet``.
+    The dictionary comes from the Parquet just written, so a heavy conversion runs once. The values of all fields are in
+    ``<prefix>_values.parquet`` with their counts.
     """
-    from cohortspark.operators.profile import LISTED_VALUES, dictionary, field_values
+    from cohortspark.operators.profile import dictionary, field_values
 
     table.write.parquet(f"{output}/{prefix}.parquet")
     stored = table.sparkSession.read.parquet(f"{output}/{prefix}.parquet")
     write_tsv(stored, f"{output}/{prefix}.tsv")
     fields = dictionary(stored)
-    write_json_array(dictionary_rows(fields.orderBy("position")), f"{output}/{prefix}_dictionary.json")
+    write_json_array(dictionary_rows(fields, "position"), f"{output}/{prefix}_dictionary.json", by="position")
     write_json_array(about, f"{output}/{prefix}_metadata.json")
-    long_fields = fields.filter((F.col("data_type") != "NUMBER") & (F.col("value_count") > LISTED_VALUES))
-    values = field_values(stored).join(long_fields.select("key"), "key", "left_semi")
-    values.write.parquet(f"{output}/{prefix}_values.parquet")
+    field_values(stored).write.parquet(f"{output}/{prefix}_values.parquet")

@@ -47,8 +47,8 @@ def test_dictionary(spark):
     assert found["s"]["allowed_values"] == ["a", "b"] and found["s"]["name"] == "Text" and found["s"]["order"] == 3
     assert (found["n"]["minimum"], found["n"]["maximum"], found["n"]["allowed_values"], found["n"]["value_count"]) == (1.0, 10.0, None, 3)
     assert found["e"]["data_type"] == "STRING" and found["e"]["value_count"] == 0
-    short = {r["key"]: r for r in profile.dictionary(df, listed_values=1).collect()}
-    assert short["s"]["allowed_values"] is None and short["s"]["value_count"] == 2
+    many = spark.range(700).selectExpr("concat('v', id) AS s")
+    assert len(profile.dictionary(many).first()["allowed_values"]) == 700
     assert {tuple(r) for r in profile.field_values(df).filter("key = 's'").collect()} == {("s", "a", 2), ("s", "b", 1)}
 
 
@@ -79,14 +79,17 @@ def test_hierarchy(spark, rows):
         "Z": {"code": "Z", "name": "", "tissue": "Organ", "children": {}}}}
     df = spark.createDataFrame([(json.dumps(tree),)], "value string")
     assert rows(reshape.flatten_hierarchy(df)) == [("X", "Ex", "Organ"), ("Y", "Why", "Organ")]
-    with pytest.raises(ValueError):
-        reshape.flatten_hierarchy(df, max_depth=1)
+    deep = {"code": "c60", "name": "n", "tissue": "t"}
+    for i in range(59, -1, -1):
+        deep = {"code": f"c{i}", "name": "n", "tissue": "t", "children": {"x": deep}}
+    found = reshape.flatten_hierarchy(spark.createDataFrame([(json.dumps(deep),)], "value string"))
+    assert found.count() == 61
     edges = spark.createDataFrame([("a", "r"), ("b", "a"), ("c", "x")], "code string, parent string")
     roots = spark.createDataFrame([("r",)], "code string")
     assert rows(reshape.flatten_edges(edges, roots)) == [("a", 1), ("b", 2), ("r", 0)]
     loop = spark.createDataFrame([("r", "a"), ("a", "r")], "code string, parent string")
     with pytest.raises(ValueError):
-        reshape.flatten_edges(loop, roots, max_depth=4)
+        reshape.flatten_edges(loop, roots)
 
 
 # ------------------------------------------------------------------ similarity
@@ -155,6 +158,7 @@ def test_catalog(spark, base, rows, tmp_path):
     assert rows(bundle.scan_datasets(spark, base), "bundle", "key") == [("k1/v0.0.1", "k1"), ("k1/v0.0.2", "k1"), ("k2/v1.0.0", "other"), ("k3/v1.0.0", None)]
     built = bundle.build_catalog(spark, base, str(tmp_path / "index"))
     assert rows(built, "key", "version", "tags") == [("k1", "v0.0.1", ["disease:X"]), ("k1", "v0.0.2", ["disease:X"]), ("other", "v1.0.0", ["disease:X"])]
+    assert rows(bundle.read_catalog(spark, str(tmp_path / "index"))) == rows(built) and built.count() == 3
     assert [r["version"] for r in search_catalog(built, "FIRST", "disease:X", "name").collect()][:2] == ["v0.0.1", "v0.0.2"]
     assert search_catalog(built, tag="No tags").count() == 0
 

@@ -7,7 +7,6 @@ from cohortspark.functions import scalars
 from cohortspark.operators import registry as reg
 from cohortspark.operators import versions
 from cohortspark.sources import registry_tsv as tsv
-from cohortspark.streaming.registration import register_arrivals, version_folder
 from pyspark.sql import functions as F
 
 FILE = "guid string, filename string, size long, created_at long, updated_at long, status string, baseid string, rev string, version int, uploader string, acl string"
@@ -83,14 +82,12 @@ def test_children(registry):
     assert "urls" not in only.columns and only.count() == 3
 
 
-def test_hot_file_spreads_over_rows_and_keeps_all_children(spark, registry):
+def test_hot_file_is_one_row_with_all_children(spark, registry):
     urls = spark.range(1000).selectExpr("id", "concat('s3://b/', id) AS url", "0L AS created_at", "'pending' AS status", "'u' AS uploader", "IF(id < 900, 'r/1', 'r/2') AS file")
-    found = reg.with_children(registry.file, reg.replace(registry, url=urls), ["url"], row_children=120).collect()
-    parts = [r for r in found if r["guid"] == "r/1"]
-    assert len(parts) == 8 and len({r["part"] for r in parts}) == 8
-    assert sorted(u["id"] for r in parts for u in r["urls"]) == list(range(900))
-    assert max(len(r["urls"]) for r in parts) < 200
-    assert sum(r["guid"] == "r/2" for r in found) == 1
+    grown = reg.replace(registry, url=urls)
+    found = {r["guid"]: r for r in reg.with_children(registry.file, grown, ["url"]).collect()}
+    assert len(found) == 3 and [u["id"] for u in found["r/1"]["urls"]] == list(range(900))
+    assert reg.long_children(grown, ["url"]).groupBy("guid").count().orderBy("guid").collect() == [("r/1", 900), ("r/2", 100)]
 
 
 def test_search_page(registry):
@@ -126,7 +123,8 @@ def repos(spark):
 
 
 def links(registry, repos, repo, groups=None):
-    return {r["guid"]: r for r in reg.download_links(registry.file, registry.url, repos, repo, groups).collect()}
+    rows = reg.download_links(registry.file, registry.url, repos, repo, groups, administrator=groups is None)
+    return {r["guid"]: r for r in rows.collect()}
 
 
 def test_links(registry, repos):
@@ -137,6 +135,12 @@ def test_links(registry, repos):
     gsa = links(registry, repos, "gsa", ["lab"])
     assert gsa["r/2"]["baseurl"] == "https://gsa/share/HRA1/HRR1/HRR1_f1.fastq.gz"
     assert gsa["r/3"]["reason"] == "no permission"
+    assert links(registry, repos, "gsa", [])["r/2"]["reason"] == "no permission"
+    everything = reg.download_links(registry.file, registry.url, repos, "gsa", administrator=True).filter("guid = 'r/2'").first()
+    assert everything["method"] == "GET"
+    digests = reg.download_links(registry.file, registry.url, repos, "node", hashes=registry.hash)
+    by_guid = {r["guid"]: r for r in digests.collect()}
+    assert by_guid["r/1"]["hashes"] and by_guid["r/3"]["reason"] in ("no digest", "no permission")
     assert links(registry, repos, "s3")["r/1"]["reason"] == "signing is not supported for this protocol"
     assert links(registry, repos.filter("protocol <> 'node'"), "node")["r/1"]["reason"] == "not released"
 
@@ -181,13 +185,13 @@ def test_register(spark, registry):
     assert set(new) == {"new.txt", "taken_url.txt"}
     assert new["new.txt"]["guid"].startswith("p.reg/") and new["new.txt"]["rev"] == new["new.txt"]["guid"][6:14]
     assert new["new.txt"]["size"] == 5 and new["new.txt"]["version"] == 1
-    assert after.hash.count() == 4 and after.url.count() == 4 and after.alias.count() == 3
+    assert after.hash.count() == 4 and after.url.count() == 5 and after.alias.count() == 3
     assert {r["hash_type"] for r in after.hash.collect()} == {"md5"}
     again = reg.register(after, rows, "p.reg", 8)
     assert again.file.count() == after.file.count()
     _, bad = reg.check_registrations(rows)
     assert {(r["filename"], r["reason"]) for r in bad.collect()} == {
-        ("bad size", "size must be integer"), ("float", "size must be integer"), ("bad hash", "invalid hash value"),
+        ("bad size", "size is not a whole number"), ("float", "size is not a whole number"), ("bad hash", "invalid hash value"),
         ("bad url", "invalid url protocol"), (None, "filename is missing"),
     }
 
@@ -283,26 +287,12 @@ def test_separators():
 def test_registration_files(spark, tmp_path):
     (tmp_path / "in.csv").write_text(f"size,filename,uploader,md5sum\n1,a,u,{md5('a')}\nx,b,u,{md5('b')}\n")
     good, bad = reg.check_registrations(tsv.read_registrations(spark, str(tmp_path / "in.csv")))
-    assert [r["filename"] for r in good.collect()] == ["a"] and [r["reason"] for r in bad.collect()] == ["size must be integer"]
+    assert [r["filename"] for r in good.collect()] == ["a"] and [r["reason"] for r in bad.collect()] == ["size is not a whole number"]
     (tmp_path / "in.json").write_text('[{"size": 3, "filename": "j", "uploader": "u", "md5sum": "%s", "url": "s3://a/b"}]' % md5("j"))
     good, _ = reg.check_registrations(tsv.read_registrations(spark, str(tmp_path / "in.json")))
     assert [(r["size"], r["url"]) for r in good.collect()] == [(3, "s3://a/b")]
 
 
-def test_stream_of_registrations(spark, registry, tmp_path):
-    base, inbox, checkpoint = (str(tmp_path / n) for n in ("registry", "inbox", "checkpoint"))
-    tsv.write_registry(registry, version_folder(base, 0))
-    (tmp_path / "inbox").mkdir()
-    for number, name in enumerate(["one", "two"]):
-        (tmp_path / "inbox" / f"{name}.csv").write_text(
-            f"size,filename,uploader,md5sum,url,alias\n1,{name},u,{md5(name)},s3://in/{name},\n2,again,u,{md5('1')},,\n"
-        )
-        query = register_arrivals(spark, inbox, base, checkpoint, "p.reg", 9)
-        assert query.awaitTermination(120)
-        stored = tsv.read_registry(spark, version_folder(base, number + 1))
-        assert stored.file.count() == 4 + number and stored.url.count() == 4 + number
-
-
 # ------------------------------------------------------------------ scalars
 
 
@@ -369,3 +359,20 @@ def test_versions(spark, rows):
     assert rows(versions.latest(catalog)) == [("a", "v0.0.10", 2), ("b", "v1.0.0", 3)]
     asked = spark.createDataFrame([("a", "v0.0.9"), ("a", None), ("b", "v9"), ("c", "v1")], "key string, version string")
     assert rows(versions.resolve(catalog, asked), "key", "requested", "version") == [("a", None, "v0.0.10"), ("a", "v0.0.9", "v0.0.9"), ("b", "v9", "v1.0.0")]
+
+
+def test_repeated_and_known_digests_keep_their_links(spark, registry):
+    again = md5("new file")
+    batch = spark.createDataFrame(
+        [("1", "b", "u", again, "s3://a/1", "x1"), ("1", "a", "u", again, "s3://a/2", "x2"), ("1", "c", "u", again, "s3://a/2", None)], BATCH)
+    once = reg.register(registry, batch, "r", 5)
+    guid = once.hash.filter(F.col("hash") == again).first()["file"]
+    assert once.file.filter(F.col("guid") == guid).first()["filename"] == "a"
+    assert sorted(r["url"] for r in once.url.filter(F.col("file") == guid).collect()) == ["s3://a/1", "s3://a/2"]
+    assert sorted(r["name"] for r in once.alias.filter(F.col("file") == guid).collect()) == ["x1", "x2"]
+    later = spark.createDataFrame([("1", "z", "u", again, "s3://a/3", "x1"), ("n", "z", "u", again, None, None)], BATCH)
+    twice = reg.register(once, later, "r", 6)
+    assert twice.file.count() == once.file.count()
+    assert twice.url.filter((F.col("file") == guid) & (F.col("url") == "s3://a/3")).count() == 1
+    outcome = {r["size"]: (r["guid"], r["ignored"]) for r in reg.registration_outcome(once, later, "r").collect()}
+    assert outcome == {"1": (guid, ["known digest", "known alias"]), "n": (None, ["size is not a whole number"])}

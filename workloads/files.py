@@ -84,23 +84,27 @@ def file_children(spark, sf_dir):
     return _texts(reg.with_children(tables.file, tables))
 
 
+@query(f"""WITH {URL_SQL}, grown AS (
+  SELECT id, url, status, CASE WHEN id % 3 = 0 THEN '{PREFIX}/1' ELSE file END AS file FROM url)
+SELECT file AS guid, count(*)::BIGINT AS links, string_agg(url, ';' ORDER BY id) AS urls FROM grown
+WHERE file IN (SELECT '{PREFIX}/' || o_orderkey FROM orders) GROUP BY file""")
+def file_children_hot(spark, sf_dir):
+    """One file owns a third of all links and is still one row."""
+    tables = registry(spark, sf_dir)
+    grown = tables.url.withColumn("file", F.when(F.col("id") % 3 == 0, f"{PREFIX}/1").otherwise(F.col("file")))
+    rows = reg.with_children(tables.file, reg.replace(tables, url=grown), ["url"]).filter(F.col("urls").isNotNull())
+    return rows.select(
+        "guid", F.size("urls").cast("long").alias("links"), F.array_join(F.transform("urls", lambda c: c["url"]), ";").alias("urls"))
+
+
 @query(f"""WITH {_ALL}, c AS (
   SELECT file, 'url' AS kind, url AS value FROM url UNION ALL SELECT file, 'hash', hash FROM hash
   UNION ALL SELECT file, 'alias', name FROM alias UNION ALL SELECT file, 'tag', field_value FROM tag)
 SELECT file AS guid, kind, value FROM c""")
 def file_children_large_files(spark, sf_dir):
-    """Children of files that need several rows each; taken apart again to compare."""
-    tables = registry(spark, sf_dir)
-    rows = reg.with_children(tables.file, tables, row_children=3)
-    sides = []
-    for kind, array, field in (
-        ("url", "urls", "url"), ("hash", "hashes", "hash"), ("alias", "aliases", "name"), ("tag", "tags", "field_value"),
-    ):
-        sides.append(rows.select("guid", F.lit(kind).alias("kind"), F.explode(F.transform(array, lambda c: c[field])).alias("value")))
-    out = sides[0]
-    for side in sides[1:]:
-        out = out.unionByName(side)
-    return out
+    """Children as rows, for files of any size."""
+    value = F.coalesce("url.url", "hash.hash", "alias.name", "tag.field_value")
+    return reg.long_children(registry(spark, sf_dir)).select("guid", "kind", value.alias("value"))
 
 
 @query(f"""WITH {_ALL}, page AS (
@@ -167,8 +171,9 @@ def _repos(spark, sf_dir):
     return node.unionByName(gsa)
 
 
-def _links(spark, sf_dir, repo, groups=None):
-    rows = reg.download_links(file_table(spark, sf_dir), url_table(spark, sf_dir), _repos(spark, sf_dir), repo, groups)
+def _links(spark, sf_dir, repo, groups=None, administrator=False):
+    rows = reg.download_links(
+        file_table(spark, sf_dir), url_table(spark, sf_dir), _repos(spark, sf_dir), repo, groups, administrator=administrator)
     return rows.select(
         "guid", "size", "method", "baseurl",
         F.concat_ws("&", "header").alias("header"), F.concat_ws("&", "data").alias("data"), "reason",
@@ -206,7 +211,23 @@ SELECT guid, size, CASE WHEN url IS NOT NULL THEN 'GET' END AS method,
        '' AS header, '' AS data,
        CASE WHEN url IS NULL THEN 'not released on this repository' END AS reason FROM j""")
 def link_resolution_gsa(spark, sf_dir):
-    return _links(spark, sf_dir, "gsa")
+    return _links(spark, sf_dir, "gsa", administrator=True)
+
+
+@query(f"""WITH {FILE_SQL}, {URL_SQL}, {HASH_SQL}, {_REPOS_SQL}, u AS (
+  SELECT file, url, row_number() OVER (PARTITION BY file ORDER BY id) AS rn FROM url WHERE contains(url, 'gsa')),
+h AS (SELECT file, string_agg(hash_type || ':' || hash, ';' ORDER BY hash_type || ':' || hash) AS hashes FROM hash
+  WHERE hash_type = 'md5' OR hash LIKE 'a%' GROUP BY file)
+SELECT f.guid, CASE WHEN f.acl IS NULL AND u.url IS NOT NULL THEN h.hashes END AS hashes,
+  CASE WHEN f.acl IS NOT NULL THEN 'no permission' WHEN h.hashes IS NULL THEN 'no digest'
+       WHEN u.url IS NULL THEN 'not released on this repository' END AS reason
+FROM file f LEFT JOIN u ON u.file = f.guid AND rn = 1 LEFT JOIN h ON h.file = f.guid""")
+def link_resolution_anonymous(spark, sf_dir):
+    """A caller without groups gets public files only, with their digests."""
+    hashes = hash_table(spark, sf_dir).filter((F.col("hash_type") == "md5") | F.col("hash").like("a%"))
+    rows = reg.download_links(
+        file_table(spark, sf_dir), url_table(spark, sf_dir), _repos(spark, sf_dir), "gsa", hashes=hashes)
+    return rows.select("guid", F.when(F.col("hashes").isNotNull(), F.array_join("hashes", ";")).alias("hashes"), "reason")
 
 
 @query(f"""WITH {URL_SQL}, listing AS (
@@ -246,7 +267,7 @@ def _batch(spark, sf_dir):
 
 _JUDGED_SQL = f"""{_BATCH_SQL}, judged AS (
   SELECT *, CASE WHEN uploader IS NULL THEN 'uploader is missing'
-                 WHEN TRY_CAST(size AS BIGINT) IS NULL THEN 'size must be integer'
+                 WHEN TRY_CAST(size AS BIGINT) IS NULL THEN 'size is not a whole number'
                  WHEN NOT regexp_full_match(md5sum, '[0-9a-f]{{32}}') THEN 'invalid hash value'
                  WHEN NOT url LIKE 's3://%/%' THEN 'invalid url protocol' END AS reason FROM batch)"""
 
@@ -257,20 +278,57 @@ def registration_rejects(spark, sf_dir):
     return bad.select("filename", "size", "md5sum", "reason")
 
 
-@query(f"""WITH {_ALL}, {_JUDGED_SQL}, fresh AS (
-  SELECT * FROM judged WHERE reason IS NULL AND md5sum NOT IN (SELECT hash FROM hash))
-SELECT filename, size::BIGINT AS size, md5sum, uploader, url,
-       CASE WHEN alias NOT IN (SELECT name FROM alias) THEN alias END AS alias, 'md5' AS hash_type FROM fresh""")
+_RESENT_SQL = f"""{_JUDGED_SQL}, good AS (
+  SELECT filename, size::BIGINT AS size, uploader, md5sum, url, alias FROM judged WHERE reason IS NULL
+  UNION ALL SELECT 'z' || filename, size::BIGINT, uploader, md5sum, url || '/copy', alias || '/copy' FROM judged
+  WHERE reason IS NULL),
+owned AS (
+  SELECT g.*, coalesce(h.file, 'new/' || g.md5sum) AS owner, h.file IS NULL AS fresh
+  FROM good g LEFT JOIN hash h ON h.hash = g.md5sum)"""
+
+
+def _resent(spark, sf_dir):
+    """The batch, and every row of it once more with another file name, link and alias."""
+    batch = _batch(spark, sf_dir)
+    copy = batch.select(
+        "size", F.concat(F.lit("z"), "filename").alias("filename"), "uploader", "md5sum",
+        F.concat("url", F.lit("/copy")).alias("url"), F.concat("alias", F.lit("/copy")).alias("alias"))
+    good, _ = reg.check_registrations(batch)
+    copies, _ = reg.check_registrations(copy)
+    return good.unionByName(copies)
+
+
+@query(f"""WITH {_ALL}, {_RESENT_SQL}
+SELECT 'file' AS kind, 'new/' || md5sum AS owner, min(filename) || '=' || min(size) AS value FROM owned WHERE fresh GROUP BY md5sum
+UNION ALL SELECT DISTINCT 'hash', 'new/' || md5sum, md5sum || '=md5' FROM owned WHERE fresh
+UNION ALL SELECT 'url', min(owner), url FROM owned WHERE url NOT IN (SELECT url FROM url) GROUP BY url
+UNION ALL SELECT 'alias', min(owner), alias FROM owned WHERE alias NOT IN (SELECT name FROM alias) GROUP BY alias""")
 def register_files(spark, sf_dir):
-    """What a registration adds, joined back to one row per new file."""
+    """Everything that a registration adds, with repeated digests and new links of known ones."""
     before = registry(spark, sf_dir)
-    after = reg.register(before, _batch(spark, sf_dir), PREFIX, 1_700_000_000_000)
+    after = reg.register(before, _resent(spark, sf_dir), PREFIX, 1_700_000_000_000)
     files = after.file.join(before.file.select("guid"), "guid", "left_anti")
-    digest = after.hash.filter(F.col("id").isNull()).select(F.col("file").alias("guid"), F.col("hash").alias("md5sum"), "hash_type")
-    link = after.url.filter(F.col("id").isNull()).select(F.col("file").alias("guid"), "url")
-    alias = after.alias.filter(F.col("id").isNull()).select(F.col("file").alias("guid"), F.col("name").alias("alias"))
-    rows = files.join(digest, "guid").join(link, "guid", "left").join(alias, "guid", "left")
-    return rows.select("filename", "size", "md5sum", "uploader", "url", "alias", "hash_type")
+    digest = after.hash.filter(F.col("id").isNull())
+    owner = digest.select(F.col("file").alias("_guid"), F.concat(F.lit("new/"), "hash").alias("_owner"))
+    rows = files.select(F.lit("file").alias("kind"), F.col("guid").alias("file"),
+                        F.concat_ws("=", "filename", F.col("size").cast("string")).alias("value"))
+    rows = rows.unionByName(digest.select(F.lit("hash").alias("kind"), "file", F.concat_ws("=", "hash", "hash_type").alias("value")))
+    for kind, column in (("url", "url"), ("alias", "name")):
+        added = getattr(after, kind).filter(F.col("id").isNull())
+        rows = rows.unionByName(added.select(F.lit(kind).alias("kind"), "file", F.col(column).alias("value")))
+    named = rows.join(owner, F.col("file") == F.col("_guid"), "left")
+    return named.select("kind", F.coalesce("_owner", "file").alias("owner"), "value")
+
+
+@query(f"""WITH {_ALL}, {_RESENT_SQL}, first_url AS (SELECT url, min(owner) AS o FROM owned GROUP BY url),
+first_alias AS (SELECT alias, min(owner) AS o FROM owned GROUP BY alias)
+SELECT filename, md5sum, concat_ws(';', CASE WHEN NOT fresh THEN 'known digest' END,
+  CASE WHEN w.url IN (SELECT url FROM url) OR u.o <> owner THEN 'known link' END,
+  CASE WHEN w.alias IN (SELECT name FROM alias) OR a.o <> owner THEN 'known alias' END) AS ignored
+FROM owned w JOIN first_url u ON w.url = u.url JOIN first_alias a ON w.alias = a.alias""")
+def registration_outcome(spark, sf_dir):
+    rows = reg.registration_outcome(registry(spark, sf_dir), _resent(spark, sf_dir), PREFIX)
+    return rows.select("filename", "md5sum", F.concat_ws(";", "ignored").alias("ignored"))
 
 
 @query(f"""WITH {FILE_SQL}, {ALIAS_SQL}, rows AS (
