@@ -32,8 +32,10 @@ from cohortspark.llm.common import text_or_empty, written
 
 #: Documents in the sample that shows frequent anchors, and the share of them that makes an anchor frequent.
 SAMPLE_DOCS, FREQUENT = 4000, 0.01
-#: Bytes of text whose anchors are searched at a time, and bytes of text per bucket of anchors.
-CHUNK_BYTES, BUCKET_BYTES = 400_000, 8 << 20
+#: Bytes of text whose anchors are searched at a time, whose anchors are packed at a time, and per bucket of anchors.
+CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 400_000, 6_000_000, 24 << 20
+#: Runs of windows that are resolved at a time.
+RESOLVED_RUNS = 30_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -166,6 +168,17 @@ def unpacked(column: pa.Array) -> list[bytes]:
     return [opener.decompress(z) for z in column.to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded size, one row at least, so that a task's memory does not follow Arrow's batches."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES)))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def chunks(texts: list[bytes], room: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``room`` bytes, one text at least."""
     start, held = 0, 0
@@ -187,7 +200,7 @@ def _frequent(docs: DataFrame, spec: Repeats, n_docs: int) -> np.ndarray:
     sample = with_key(docs).where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(1_000_000)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = _texts(batch)
             for a, b in chunks(texts):
                 found = spec.anchors(texts[a:b])
@@ -239,7 +252,7 @@ def _bucketed(docs: DataFrame, spec: Repeats, buckets: int, frequent: np.ndarray
     """bucket, the documents of a batch (ids, keys), and the packed anchors of the batch in that bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = _texts(batch)
             known = np.array(batch.column("doc_id").is_valid())
             found = []
@@ -405,17 +418,24 @@ def _resolved(windows: DataFrame, spec: Repeats) -> DataFrame:
         held = [b for b in batches if len(b)]
         if not held:
             return
-        table = pa.Table.from_batches(held)
-        data = b"".join(table["tokens"].to_pylist())
-        rows = {
-            "doc": table["doc_id"].to_numpy(), "key": table["text_key"].to_numpy(), "start": table["start"].to_numpy(),
-            "length": pc.binary_length(table["tokens"]).to_numpy() // np.dtype(spec.dtype).itemsize,
-            "tokens": np.frombuffer(data, spec.dtype),
-        }
-        which, start, end = spec.resolve(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows["doc"][which]), pa.array(rows["key"][which]), pa.array(start.astype(np.int32)),
-             pa.array(end.astype(np.int32))], names=["doc_id", "text_key", "start", "end"])
+        whole = pa.Table.from_batches(held)
+        del held
+        # equal windows have an anchor in common, so anchors may be taken a share at a time
+        shares = len(whole) // RESOLVED_RUNS + 1
+        share = (mix(whole["anchor"].to_numpy().view(np.uint64)) >> np.uint64(20)) % np.uint64(shares)
+        for number in range(shares):
+            table = whole.take(pa.array(np.flatnonzero(share == number)))
+            if not len(table):
+                continue
+            rows = {
+                "doc": table["doc_id"].to_numpy(), "key": table["text_key"].to_numpy(), "start": table["start"].to_numpy(),
+                "length": pc.binary_length(table["tokens"]).to_numpy() // np.dtype(spec.dtype).itemsize,
+                "tokens": np.frombuffer(b"".join(table["tokens"].to_pylist()), spec.dtype),
+            }
+            which, start, end = spec.resolve(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows["doc"][which]), pa.array(rows["key"][which]), pa.array(start.astype(np.int32)),
+                 pa.array(end.astype(np.int32))], names=["doc_id", "text_key", "start", "end"])
 
     return windows.repartition("anchor").mapInArrow(run, FOUND)
 
@@ -424,9 +444,7 @@ def _resolved_frequent(windows: DataFrame, spec: Repeats) -> DataFrame:
     """The windows of frequent anchors, each resolved by the earliest place of its content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (b.slice(at, RESOLVED_RUNS) for b in batches for at in range(0, len(b), RESOLVED_RUNS)):
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), spec.dtype)
             lengths = pc.binary_length(batch.column("tokens")).to_numpy() // np.dtype(spec.dtype).itemsize
             row, start, _, window = window_rows(spec, batch.column("start").to_numpy(), lengths, tokens)
