@@ -5,8 +5,9 @@ halves by a bit of their name and names every pair of neighbours from the first
 nothing but content, so equal word sequences get the same symbols but for a few at their ends. How far those reach is
 known: every symbol carries the span of words that determines it.
 
-A window's anchor is, of the highest-level symbols that it determines, the one with the smallest name; so equal windows
-choose equal anchors. A window that determines no symbol (a long run of one word) takes its smallest five-word string.
+A window's anchor is, of the highest-level symbols that it determines, the one with the smallest name, of those that are
+not frequent if there is one; so equal windows choose equal anchors. A window that determines no symbol (a long run of one
+word) takes its smallest five-word string.
 Anchors, their contexts and the remaining windows go the way that ``repeats`` describes; what remains is compared word by
 word.
 
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from cohortspark.llm import repeats
-from cohortspark.llm.repeats import Anchors, Hashes, Repeats, mix, spread
+from cohortspark.llm.repeats import Anchors, Frequent, Hashes, Repeats, mix, spread
 
 WIDTH, ROUNDS, GRAM = 20, 2, 5
 _FAR = 1 << 40
@@ -105,22 +106,49 @@ def parse(names: np.ndarray, docs: np.ndarray, rounds: int = ROUNDS) -> list[Sym
     return levels
 
 
-def _choose(low: np.ndarray, high: np.ndarray, rank: np.ndarray, open_: np.ndarray) -> np.ndarray:
-    """Which candidates have the smallest rank in some open window; windows that had any are closed."""
+def _choose(low: np.ndarray, high: np.ndarray, rank: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The candidates with the smallest rank in some open window, and how many words before them the first and the last
+    window begins that chose them; windows that had any candidate are closed."""
     best = np.full(len(open_), np.iinfo(np.uint64).max, np.uint64)
     reach = WIDTH - (high - low)  # windows begin up to so many words before the candidate
     steps = [(np.flatnonzero((reach >= k) & (low >= k)), k) for k in range(int(reach.max(initial=-1)) + 1)]
     for rows, k in steps:
         np.minimum.at(best, low[rows] - k, rank[rows])
-    chosen = np.zeros(len(low), bool)
+    most, fewest = np.full(len(low), -1), np.full(len(low), WIDTH)
     for rows, k in steps:
         window = low[rows] - k
-        chosen[rows] |= open_[window] & (best[window] == rank[rows])
+        chose = rows[open_[window] & (best[window] == rank[rows])]
+        most[chose] = k
+        fewest[chose] = np.minimum(fewest[chose], k)
     open_ &= best == np.iinfo(np.uint64).max
-    return chosen
+    at = np.flatnonzero(most >= 0)
+    return at, most[at], fewest[at]
 
 
-def anchors(texts: list[bytes]) -> Anchors:
+def _runs(names: np.ndarray, bounds: np.ndarray, docs: np.ndarray, hashes: Hashes):
+    """The spans of words that may be anchors: of each level from the highest, then the five-word strings; with hashes."""
+    def hashed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return mix(hashes(low, high) ^ (high - low).astype(np.uint64))
+
+    for level in parse(names, docs)[::-1]:
+        # a candidate lies in one document, since what reaches over an end is never determined
+        fits = (level.low >= 0) & (level.high < _FAR) & (level.high - level.low <= WIDTH)
+        low, high = level.low[fits], level.high[fits]
+        yield low, high, hashed(low, high)
+    at = np.flatnonzero(np.arange(len(names)) + GRAM <= bounds[docs + 1])
+    yield at, at + GRAM, hashed(at, at + GRAM)
+
+
+def candidates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of every run of words that may be an anchor."""
+    names, counts = _words(texts)
+    docs = np.repeat(np.arange(len(texts)), counts)
+    runs = list(_runs(names, np.concatenate([[0], np.cumsum(counts)]), docs, Hashes(names)))
+    return np.concatenate([docs[low] for low, _, _ in runs]), np.concatenate([anchor for _, _, anchor in runs])
+
+
+def anchors(texts: list[bytes], frequent: Frequent) -> Anchors:
+    """The runs of words that windows choose."""
     names, counts = _words(texts)
     bounds = np.concatenate([[0], np.cumsum(counts)])
     n = len(names)
@@ -129,24 +157,18 @@ def anchors(texts: list[bytes]) -> Anchors:
     docs = np.repeat(np.arange(len(texts)), counts)
     open_ = np.arange(n) + WIDTH <= bounds[docs + 1]  # windows that lie in one document
     hashes = Hashes(names)
-    lows, highs = [], []
-    for level in parse(names, docs)[::-1]:
-        fits = (level.low >= 0) & (level.high < _FAR) & (level.high - level.low <= WIDTH)
-        low, high = level.low[fits], level.high[fits]
-        # a candidate lies in one document, since what reaches over an end is never determined
-        rank = mix(hashes(low, high) + (high - low).astype(np.uint64)) >> np.uint64(1)
-        chosen = _choose(low, high, rank, open_)
-        lows.append(low[chosen])
-        highs.append(high[chosen])
-    at = np.flatnonzero(np.arange(n) + GRAM <= bounds[docs + 1])
-    near = np.concatenate([[0], np.cumsum(open_)])
-    at = at[near[at + 1] > near[np.maximum(at + GRAM - WIDTH, 0)]]  # strings that an open window may hold
-    rank = hashes(at, at + GRAM) >> np.uint64(1)
-    chosen = _choose(at, at + GRAM, rank, open_)
-    low, high = np.concatenate([*lows, at[chosen]]), np.concatenate([*highs, at[chosen] + GRAM])
-    anchor = mix(hashes(low, high) ^ (high - low).astype(np.uint64))
-    doc = docs[low]
-    return repeats.clip(doc, low, high, bounds, WIDTH, hashes, anchor)
+    found = []
+    for low, high, anchor in _runs(names, bounds, docs, hashes):
+        if not open_.any():
+            break
+        near = np.concatenate([[0], np.cumsum(open_)])  # runs that an open window may hold
+        held = near[low + 1] > near[np.maximum(high - WIDTH, 0)]
+        low, high, anchor = low[held], high[held], anchor[held]
+        rank = (anchor >> np.uint64(2)) | (frequent(anchor).astype(np.uint64) << np.uint64(62))
+        at, most, fewest = _choose(low, high, rank, open_)
+        found.append((low[at], most, fewest, anchor[at]))
+    low, most, fewest, anchor = (np.concatenate(c) for c in zip(*found, strict=True))
+    return repeats.around(docs[low], low, most, fewest, bounds, WIDTH, hashes, anchor)
 
 
 def resolve(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +189,7 @@ def resolve(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return run[later], start[later], start[later] + WIDTH
 
 
-SPEC = Repeats(WIDTH, np.dtype("<u8"), True, _words, anchors, resolve)
+SPEC = Repeats(WIDTH, np.dtype("<u8"), True, _words, anchors, candidates, resolve)
 
 
 def _cut(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple:

@@ -3,17 +3,19 @@
 Shared by the two substring operators, which differ in their tokens (bytes or words), in how they choose anchors, in what
 "earlier" means, and in how they resolve what is left. A *window* is ``width`` consecutive tokens of one document.
 
-1. Anchors are short token runs chosen by a rule that looks only at the content of a window, such that every window holds
-   one; equal windows therefore hold equal anchors at equal places. The *context* of an anchor is every window around it.
+1. Every window chooses an anchor, a short token run inside it, by a rule that looks only at the window's content; equal
+   windows therefore choose equal anchors at equal places. The *context* of an anchor is every window that chose it.
    One scan emits (hash of anchor, hash of context, document, span), packed by bucket of the anchor hash.
 2. In a bucket, an occurrence whose whole context occurs earlier is *covered*. The first of a context class stays if its
    anchor also occurs in other contexts elsewhere; only there can single windows still repeat.
 3. For these the tokens are fetched by a join on documents, windows inside one covered span are left out, and the rest is
    resolved exactly by the operator.
 
-Anchors that a bounded sample of documents shows to be frequent are dealt over all buckets by document; their windows are
-resolved by aggregation and join on the window itself, which Spark combines before the shuffle and splits at need. The
-sample decides the layout only: any list of frequent anchors gives the same result.
+Runs that a bounded sample of documents shows to be frequent are chosen only by windows that hold nothing else, as those
+inside a line that many documents share; a window over the line's end chooses a rare run. Frequent anchors are dealt over
+all buckets by document, and what is left of them is resolved by aggregation and join on the window itself, which Spark
+combines before the shuffle and splits at need. The sample decides the choice and the layout only: any list of frequent
+runs gives the same result.
 """
 
 from __future__ import annotations
@@ -87,6 +89,24 @@ class Hashes:
         return mix((self.sums[length:] - self.sums[:n]) * self.down[:n])
 
 
+class Frequent:
+    """A set of frequent runs by hash, asked for by many at a time."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.sort(np.asarray(hashes).astype(np.int64).view(np.uint64))
+        self.heads = np.zeros(1 << 16, bool)
+        self.heads[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        found = self.heads[(hashes >> np.uint64(48)).astype(np.int64)]
+        at = np.flatnonzero(found)
+        place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        found[at] = self.hashes[place] == hashes[at]
+        return found
+
+
 @dataclass
 class Anchors:
     """Chosen anchors of a chunk: document (index in the chunk), span of the context in the document, two hashes."""
@@ -103,7 +123,8 @@ class Repeats:
     """What an operator brings along.
 
     ``tokens(texts)`` gives the tokens of texts one after the other, as integers, and the number of tokens of each;
-    ``anchors(texts)`` the anchors; ``in_order``: a repeat inside one document counts, by position; ``dtype``: of stored
+    ``anchors(texts, frequent)`` the chosen anchors, ``candidates(texts)`` (text, hash) of all runs that could be;
+    ``in_order``: a repeat inside one document counts, by position; ``dtype``: of stored
     tokens; ``resolve(table)`` finds the spans of one partition of windows.
     """
 
@@ -111,20 +132,19 @@ class Repeats:
     dtype: np.dtype
     in_order: bool
     tokens: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
-    anchors: Callable[[list[bytes]], Anchors]
+    anchors: Callable[[list[bytes], Frequent], Anchors]
+    candidates: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     resolve: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def clip(docs: np.ndarray, first: np.ndarray, last: np.ndarray, bounds: np.ndarray, width: int, hashes: Hashes,
-         anchor: np.ndarray) -> Anchors:
-    """Anchors with the span of every window around [first, last), cut at the document's ends.
-
-    Positions count in the chunk; ``bounds`` are where documents begin in it. The geometry of the cut is part of the
-    context hash, so equal contexts are equal spans.
+def around(docs: np.ndarray, first: np.ndarray, most: np.ndarray, least: np.ndarray, bounds: np.ndarray, width: int,
+           hashes: Hashes, anchor: np.ndarray) -> Anchors:
+    """Anchors at ``first`` with the span of the windows that chose them, which begin from ``most`` to ``least`` tokens
+    before them. Positions count in the chunk; ``bounds`` are where documents begin in it. How far the span reaches is part
+    of the context hash, so equal contexts are equal spans.
     """
-    start = np.maximum(last - width, bounds[docs])
-    end = np.minimum(first + width, bounds[docs + 1])
-    geometry = mix(((first - start) * 1024 + (end - last)).astype(np.uint64) + np.uint64(1))
+    start, end = first - most, first - least + width
+    geometry = mix((most * 1024 + least).astype(np.uint64) + np.uint64(1))
     context = mix(hashes(start, end) ^ geometry)
     return Anchors(docs, start - bounds[docs], end - bounds[docs], anchor, context)
 
@@ -195,18 +215,25 @@ def chunks(texts: list[bytes], room: int = CHUNK_BYTES) -> Iterator[tuple[int, i
 
 
 def _frequent(docs: DataFrame, spec: Repeats, n_docs: int) -> np.ndarray:
-    """Hashes of anchors that occur in many documents of the sample."""
+    """Hashes of runs that occur in many documents of the sample: in ``FREQUENT`` of them, counted over slices in which
+    they occur more than once. There are at most as many as 1 / FREQUENT documents have runs."""
     share = max(1, min(1_000_000, SAMPLE_DOCS * 1_000_000 // max(n_docs, 1)))
     sample = with_key(docs).where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(1_000_000)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = _texts(batch)
+            pairs = []
             for a, b in chunks(texts):
-                found = spec.anchors(texts[a:b])
-                pairs = np.unique(np.stack([found.doc.astype(np.int64), found.anchor.view(np.int64)]), axis=1)
-                anchors, counts = np.unique(pairs[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(counts)], names=["anchor", "docs"])
+                doc, run_ = spec.candidates(texts[a:b])
+                order = np.lexsort((doc, run_))
+                doc, run_ = doc[order], run_[order]
+                new = np.concatenate([[True], (run_[1:] != run_[:-1]) | (doc[1:] != doc[:-1])])[:len(run_)]
+                pairs.append(run_[new])
+            runs, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *pairs]), return_counts=True)
+            several = counts > 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(runs[several].view(np.int64)), pa.array(counts[several])], names=["anchor", "docs"])
 
     least = max(20, int(FREQUENT * min(n_docs, SAMPLE_DOCS)))
     counted = sample.mapInArrow(run, "anchor long, docs long").groupBy("anchor").agg(F.sum("docs").alias("docs"))
@@ -250,6 +277,7 @@ def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
 
 def _bucketed(docs: DataFrame, spec: Repeats, buckets: int, frequent: np.ndarray) -> DataFrame:
     """bucket, the documents of a batch (ids, keys), and the packed anchors of the batch in that bucket."""
+    listed = Frequent(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -257,7 +285,7 @@ def _bucketed(docs: DataFrame, spec: Repeats, buckets: int, frequent: np.ndarray
             known = np.array(batch.column("doc_id").is_valid())
             found = []
             for a, b in chunks(texts):
-                part = spec.anchors(texts[a:b])
+                part = spec.anchors(texts[a:b], listed)
                 part.doc = part.doc + a
                 found.append(part)
             if not found:
@@ -268,7 +296,7 @@ def _bucketed(docs: DataFrame, spec: Repeats, buckets: int, frequent: np.ndarray
             doc, start, end, anchor, context = (x[keep] for x in (doc, start, end, anchor, context))
             if not len(doc):
                 continue
-            hot = np.isin(anchor.view(np.int64), frequent)
+            hot = listed(anchor)
             keys = batch.column("text_key").to_numpy(zero_copy_only=False)
             salt = mix(keys[doc].view(np.uint64))
             bucket = ((np.where(hot, mix(anchor ^ salt), anchor) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)

@@ -1,6 +1,7 @@
 """Suffix-array deduplication: bytes that a string of ``WIDTH`` bytes of an earlier document covers are removed.
 
-Anchors are the 20-byte strings with the smallest hash in a window (see ``repeats``). What context classes leave open is
+A window's anchor is its 20-byte string with the smallest hash, of those that are not frequent if there is one (see
+``repeats``). What context classes leave open is
 resolved by the interval tree of an enhanced suffix array: the suffixes of the remaining windows are sorted, neighbours
 give common prefix lengths, and one scan with a stack visits every interval of suffixes with a common prefix of WIDTH
 bytes or more, inner ones first. An interval whose members are preceded by different bytes is a maximal repeat, and its
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.llm import repeats
-from cohortspark.llm.repeats import Anchors, Hashes, Repeats, spread
+from cohortspark.llm.repeats import Anchors, Frequent, Hashes, Repeats, spread
 
 WIDTH, GRAM = 50, 20
 
@@ -39,8 +40,21 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
 
 
-def anchors(texts: list[bytes]) -> Anchors:
-    """The 20-byte strings that have the smallest hash in some window of their document."""
+def candidates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of every 20-byte string."""
+    data, lengths = _tokens(texts)
+    if len(data) < GRAM:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    gram = Hashes(spread(data)).all_of(GRAM)
+    ends = np.cumsum(lengths)
+    at = np.arange(len(gram))
+    doc = np.searchsorted(ends, at, side="right")
+    inside = at + GRAM <= ends[doc]
+    return doc[inside], gram[inside]
+
+
+def anchors(texts: list[bytes], frequent: Frequent) -> Anchors:
+    """The 20-byte strings that windows choose."""
     data, lengths = _tokens(texts)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     n, grams = len(data), WIDTH - GRAM + 1
@@ -48,7 +62,8 @@ def anchors(texts: list[bytes]) -> Anchors:
         return Anchors(*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)))
     hashes = Hashes(spread(data))
     gram = hashes.all_of(GRAM)
-    rank = (gram >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    rank = (gram >> np.uint64(33)).astype(np.uint32) | np.uint32(1)
+    rank[frequent(gram)] |= np.uint32(1 << 31)
     least = _sliding_min(rank, grams)  # of the window that begins here
     crosses = np.zeros(n + 1, np.int32)  # windows that begin in the last 49 bytes of a document do not count
     np.add.at(crosses, np.maximum(bounds[1:] - WIDTH + 1, bounds[:-1]), 1)
@@ -58,8 +73,14 @@ def anchors(texts: list[bytes]) -> Anchors:
     padded = np.concatenate([np.zeros(grams - 1, np.uint32), least, np.zeros(grams - 1, np.uint32)])
     largest = ~_sliding_min(~padded, grams)[:len(rank)]
     at = np.flatnonzero(largest == rank)
+    own = rank[at]
+    most, fewest = np.full(len(at), -1), np.full(len(at), grams)
+    for before in range(grams):  # windows that begin so many bytes before the string
+        chose = padded[at + grams - 1 - before] == own
+        most[chose] = before
+        np.minimum(fewest, before, out=fewest, where=chose)
     docs = np.searchsorted(bounds, at, side="right") - 1
-    return repeats.clip(docs, at, at + GRAM, bounds, WIDTH, hashes, gram[at])
+    return repeats.around(docs, at, most, fewest, bounds, WIDTH, hashes, gram[at])
 
 
 def _common(matrix: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -167,7 +188,7 @@ def resolve(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return run[removed], start[removed], start[removed] + best[best > 0]
 
 
-SPEC = Repeats(WIDTH, np.dtype(np.uint8), False, _tokens, anchors, resolve)
+SPEC = Repeats(WIDTH, np.dtype(np.uint8), False, _tokens, anchors, candidates, resolve)
 
 
 def maximal_repeats(texts: list[bytes], least: int = WIDTH) -> list[tuple[bytes, list[tuple[int, int]]]]:
