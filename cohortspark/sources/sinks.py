@@ -45,7 +45,8 @@ def write_json_array(df: DataFrame, path: str, by: str | None = None) -> None:
     rows = df.select(F.lit(1).alias("_at"), order.alias("_by"), F.to_json(F.struct(*columns)).alias("_json"))
     ends = df.sparkSession.createDataFrame([(0, "["), (2, "]")], "_at int, _json string")
     lines = rows.unionByName(ends, allowMissingColumns=True).repartition(1).sortWithinPartitions("_at", "_by")
-    again = (F.col("_at") == 1) & (F.monotonically_increasing_id() > 1)
+    lines = lines.withColumn("_line", F.monotonically_increasing_id())
+    again = (F.col("_at") == 1) & (F.col("_line") > 1)
     lines.select(F.when(again, F.concat(F.lit(","), "_json")).otherwise(F.col("_json")).alias("value")).write.text(path)
 
 
