@@ -59,7 +59,8 @@ def around_page(
         return df, offset
     at = F.lit(splits)
     # ranges count up in sort order; nulls form the last one
-    low = F.size(F.filter(at, lambda s: s < number))
+    # one element binds the number to a name, so that it is not worked out for every split point
+    low = F.transform(F.array(number), lambda n: F.size(F.filter(at, lambda s: s < n)))[0]
     position = F.when(number.isNull(), len(splits) + 1).otherwise(len(splits) - low if descending else low)
     counts = dict(df.groupBy(position.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     before, skipped, seen, last = 0, 0, 0, len(splits) + 1

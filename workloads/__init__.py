@@ -25,4 +25,4 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-from workloads import cohort, conversion, files, plans, scalar, versions  # noqa: E402,F401
+from workloads import cohort, conversion, files, plans, scalar, sources, versions  # noqa: E402,F401
