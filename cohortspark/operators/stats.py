@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortspark.functions.scalars import display_number, percent_of
 from cohortspark.operators.ordered import GROUP_VALUES, attach, attach_stored, most_values, quantiles
+from cohortspark.operators.versions import latest
 
 BIN_WIDTH = 10
 
@@ -163,23 +164,29 @@ def selected_size(df: DataFrame, size: str = "size") -> DataFrame:
 def facet_sweep(df: DataFrame, fields: Sequence[str], y: str) -> DataFrame:
     """``y`` summarised against every field at once: one row per (field, value).
 
-    The table is read once; each row is widened to one row per field and aggregated before the
+    ``count`` has all rows of the value, also those whose ``y`` is no number; the other figures take the numbers, and
+    are 0 where there is none. The median is exact. Each row is widened to one row per field and aggregated before the
     shuffle.
     """
     texts = df.select(_numbers(df, y).alias("_y"), *[F.col(f).cast("string").alias(f) for f in fields])
     long = texts.unpivot(["_y"], list(fields), "field", "value")
-    rows = long.filter(F.col("value").isNotNull() & (F.col("value") != "") & F.col("_y").isNotNull())
-    return rows.groupBy("field", "value").agg(
+    number = F.when(~F.isnan("_y"), F.col("_y"))
+    rows = long.filter(F.col("value").isNotNull() & (F.col("value") != "")).withColumn("_y", number)
+    figures = rows.groupBy("field", "value").agg(
         F.count(F.lit(1)).alias("count"),
         F.avg("_y").alias("mean"),
         F.min("_y").alias("min"),
         F.max("_y").alias("max"),
         F.stddev_pop("_y").alias("std"),
     )
+    medians = quantiles(rows, ["field", "value"], "_y", {"median": 0.5})
+    return figures.join(medians, ["field", "value"], "left").fillna(0.0, ["mean", "median", "min", "max", "std"])
 
 
 def tag_facets(catalog: DataFrame) -> DataFrame:
-    """Datasets per tag with the tag's namespace; datasets without tags fall under ``No tags``."""
+    """Datasets per tag with the tag's namespace, by the latest version of each; datasets without tags fall under
+    ``No tags``."""
+    catalog = latest(catalog)
     tags = F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(F.lit("No tags")))
     exploded = catalog.select("key", F.explode(F.array_distinct(tags)).alias("tag"))
     head = F.substring_index("tag", ":", 1)

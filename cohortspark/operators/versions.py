@@ -46,13 +46,14 @@ def resolve(
     """
     keep = [c for c in catalog.columns if c != key]
     asked = requests.select(F.col(key).alias("_key"), F.col(version).alias("requested")).distinct()
-    rows = catalog.join(asked, catalog[key] == asked["_key"], "inner")
-    rank = F.struct(
-        F.coalesce((F.col(version) == F.col("requested")).cast("int"), F.lit(0)).alias("is_requested"),
-        version_order(F.col(version)).alias("order"),
-    )
-    best = F.max_by(F.struct(*keep), rank)
-    return rows.groupBy(key, "requested").agg(best.alias("_row")).select(key, "requested", "_row.*")
+    # the latest row of a key is one, and a key and version name one too, so no join multiplies versions and requests
+    newest = latest(catalog, key, version).select(F.col(key).alias("_newest_key"), F.struct(*keep).alias("_newest"))
+    exact = catalog.groupBy(F.col(key).alias("_exact_key"), F.col(version).alias("_exact_version")).agg(
+        F.min(F.struct(*keep)).alias("_exact"))
+    rows = asked.join(newest, asked["_key"] == newest["_newest_key"]).join(
+        exact, (asked["_key"] == exact["_exact_key"]) & (asked["requested"] == exact["_exact_version"]), "left")
+    best = F.coalesce("_exact", "_newest").alias("_row")
+    return rows.select(F.col("_key").alias(key), "requested", best).select(key, "requested", "_row.*")
 
 
 def history(files: DataFrame, **limits: int) -> DataFrame:

@@ -194,11 +194,16 @@ def test_box(spark, limit):
 
 
 def test_facets(spark, rows):
-    catalog = spark.createDataFrame([("k1", ["disease:X", "org:Y", "free"]), ("k2", ["disease:X"]), ("k3", []), ("k4", None)], "key string, tags array<string>")
+    catalog = spark.createDataFrame(
+        [("k1", "v0.0.9", ["disease:old"]), ("k1", "v0.0.10", ["disease:X", "org:Y", "free"]), ("k2", "v0.0.1", ["disease:X"]),
+         ("k3", "v0.0.1", []), ("k4", "v0.0.1", None)], "key string, version string, tags array<string>")
     assert rows(stats.tag_facets(catalog)) == [("No tags", 2, "none"), ("disease:X", 2, "disease"), ("free", 1, "org"), ("org:Y", 1, "org")]
-    assert stats.datasets_of_tag(catalog).count() == 6
+    assert stats.datasets_of_tag(catalog).count() == 7
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), (None, 1, 6.0)], "f string, g int, y double")
     assert rows(stats.facet_sweep(df, ["f", "g"], "y"), "field", "value", "count", "mean") == [("f", "a", 2, 3.0), ("g", "1", 2, 4.0), ("g", "2", 1, 4.0)]
+    df = df.union(spark.createDataFrame([("a", 3, None), ("b", 3, float("nan"))], df.schema))
+    assert rows(stats.facet_sweep(df, ["f", "g"], "y"), "field", "value", "count", "median", "std") == [
+        ("f", "a", 3, 3.0, 1.0), ("f", "b", 1, 0.0, 0.0), ("g", "1", 2, 4.0, 2.0), ("g", "2", 1, 4.0, 0.0), ("g", "3", 2, 0.0, 0.0)]
 
 
 # ------------------------------------------------------------------ survival

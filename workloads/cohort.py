@@ -288,7 +288,9 @@ def selected_size(spark, sf_dir):
 
 @query(f"""WITH {CATALOG_SQL}, t AS (
   SELECT key, version, unnest(CASE WHEN total > 1 THEN ['disease:' || disease, 'organ:' || organ, 'org:demo']
-                              ELSE ['No tags'] END) AS tag FROM catalog)
+                              ELSE ['No tags'] END) AS tag FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY split_part(version, '.', 2)::INT DESC,
+                                 split_part(version, '.', 3)::INT DESC) AS rn FROM catalog) WHERE rn = 1)
 SELECT tag, count(*)::BIGINT AS datasets,
        CASE WHEN tag = 'No tags' THEN 'none' WHEN split_part(tag, ':', 1) IN ('disease', 'organ')
             THEN split_part(tag, ':', 1) ELSE 'org' END AS namespace
@@ -297,18 +299,21 @@ def tag_facets(spark, sf_dir):
     return stats.tag_facets(catalog(spark, sf_dir))
 
 
-_SWEEP_STATS = """count(*)::BIGINT AS count, round(avg(c_acctbal), 6) AS mean, min(c_acctbal) AS min,
-  max(c_acctbal) AS max, round(stddev_pop(c_acctbal), 6) AS std"""
+_SWEEP_STATS = """count(*)::BIGINT AS count, coalesce(round(avg(y), 6), 0) AS mean, coalesce(min(y), 0) AS min,
+  coalesce(max(y), 0) AS max, coalesce(round(stddev_pop(y), 6), 0) AS std, coalesce(round(median(y), 6), 0) AS median"""
+_SWEEP_ROWS = """c AS (SELECT *, CASE WHEN c_custkey % 5 > 0 AND c_nationkey <> 3 THEN c_acctbal END AS y FROM customer)"""
 
 
-@query(f"""
-SELECT 'c_mktsegment' AS field, c_mktsegment AS value, {_SWEEP_STATS} FROM customer GROUP BY c_mktsegment
-UNION ALL SELECT 'c_nationkey', c_nationkey::VARCHAR, {_SWEEP_STATS} FROM customer GROUP BY c_nationkey
-UNION ALL SELECT 'n_name', n_name, {_SWEEP_STATS} FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+@query(f"""WITH {_SWEEP_ROWS}
+SELECT 'c_mktsegment' AS field, c_mktsegment AS value, {_SWEEP_STATS} FROM c GROUP BY c_mktsegment
+UNION ALL SELECT 'c_nationkey', c_nationkey::VARCHAR, {_SWEEP_STATS} FROM c GROUP BY c_nationkey
+UNION ALL SELECT 'n_name', n_name, {_SWEEP_STATS} FROM c JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def facet_sweep(spark, sf_dir):
     nation = load(spark, sf_dir, "nation")
     rows = load(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return _rounded(stats.facet_sweep(rows, ["c_mktsegment", "c_nationkey", "n_name"], "c_acctbal"))
+    number = (F.col("c_custkey") % 5 > 0) & (F.col("c_nationkey") != 3)
+    rows = rows.withColumn("y", F.when(number, F.col("c_acctbal")))
+    return _rounded(stats.facet_sweep(rows, ["c_mktsegment", "c_nationkey", "n_name"], "y"))
 
 
 # ------------------------------------------------------------------ survival
