@@ -63,6 +63,37 @@ def incomplete_bundles(
     return problems
 
 
+def table_problems(tables: DataFrame, fields: DataFrame) -> DataFrame:
+    """(bundle, table, problem) of datafile tables whose description, dictionary and data do not fit.
+
+    ``tables`` has (bundle, table, id_column, columns) with the columns of the data as an array, null for a missing file;
+    ``fields`` has (bundle, table, key) of the dictionaries.
+    """
+    keys = fields.groupBy("bundle", "table").agg(F.collect_set("key").alias("_keys"))
+    rows = tables.join(keys, ["bundle", "table"], "left")
+    problems = F.array_compact(F.array(
+        F.when(F.col("columns").isNull(), "missing data"),
+        F.when(F.col("_keys").isNull(), "missing dictionary"),
+        F.when(~F.array_contains("_keys", F.col("id_column")), "id column not in dictionary"),
+        F.when(F.size(F.array_except("_keys", "columns")) > 0, "dictionary field not in data"),
+        F.when(F.size(F.array_except("columns", "_keys")) > 0, "data column not in dictionary"),
+    ))
+    return rows.select("bundle", "table", F.explode(problems).alias("problem"))
+
+
+def unreadable_datafiles(rows: DataFrame) -> DataFrame:
+    """(bundle, guid, problem) of rows of ``datafile.tsv`` that do not parse: texts in the flattened registry form."""
+    def whole(column: str) -> Column:
+        return F.coalesce(F.col(column).rlike(r"^\d+$"), F.lit(False))
+
+    problems = F.array_compact(F.array(
+        F.when(F.coalesce(F.col("guid"), F.lit("")) == "", "no guid"),
+        F.when(F.coalesce(F.col("filename"), F.lit("")) == "", "no filename"),
+        *[F.when(~whole(c), f"{c} is not a whole number") for c in ("size", "created_at", "updated_at", "version")],
+    ))
+    return rows.select("bundle", "guid", F.explode(problems).alias("problem"))
+
+
 def check_rows(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Add ``reasons``: the names of all rules a row breaks. A rule that is null counts as broken."""
     broken = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]

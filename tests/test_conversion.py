@@ -331,3 +331,50 @@ def test_file_fingerprints(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(b"\x00\x01data")
     found = spark.read.format("binaryFile").load(str(tmp_path / "f.bin")).select(fingerprints(F.col("content")).alias("f")).first()["f"]
     assert found["sha256"] == hashlib.sha256(b"\x00\x01data").hexdigest()
+
+
+# ------------------------------------------------------------------ whole studies
+
+
+def test_study_to_bundle(spark, tmp_path):
+    from cohortspark.sources import convert, registry_tsv
+
+    raw = tmp_path / "raw" / "my_study"
+    raw.mkdir(parents=True)
+    (raw / "meta_study.txt").write_text("cancer_study_identifier: my_study\nname: A: study\ngroups: a;b\n")
+    (raw / "data_clinical_patient.txt").write_text(
+        "#Patient\tAge\n#Id\tYears\n#STRING\tNUMBER\n#1\t1\nPATIENT_ID\tAGE\np1\t50\np2\tNA\n")
+    (raw / "data_clinical_sample.txt").write_text(
+        "#Patient\tSample\n#Id\tId\n#STRING\tSTRING\n#1\t1\nPATIENT_ID\tSAMPLE_ID\np1\ts1\np1\ts2\np2\ts3\n")
+    (raw / "data_sv.txt").write_text("Sample_Id\tSite1_Hugo_Symbol\tCount\ns1\tTP53\t3\ns2\tKRAS\t4\n")
+    (raw / "meta_sv.txt").write_text("stable_id: sv\ngenetic_alteration_type: STRUCTURAL_VARIANT\nprofile_description: d\n")
+    out = str(tmp_path / "out")
+    path = convert.convert_study(spark, str(raw), out, "v0.0.2", "lab", prefix="r", uploader="u", now=7)
+    assert path == f"{out}/my_study/v0.0.2"
+    data = bundle.Dataset(spark, out, "my_study", "v0.0.2")
+    assert sorted(r["sample_id"] for r in data.metadata().data.collect()) == ["s1", "s2", "s3"]
+    assert {r["key"]: r["data_type"] for r in data.dictionary().collect()} == {"patient_id": "STRING", "sample_id": "STRING", "age": "NUMBER"}
+    assert data.table("sv").id_column == "Sample_Id" and data.table("sv").data.count() == 2
+    record = bundle.scan_datasets(spark, out).first()
+    assert (record["key"], record["total"], record["version"], record["tags"]) == ("my_study", 3, "v0.0.2", ["org:lab"])
+    files = registry_tsv.parse_flat(registry_tsv.read_flat(spark, f"{path}/datafile.tsv"), 0)
+    assert files.file.count() == 5 and files.hash.count() == 5
+    flat = registry_tsv.read_flat(spark, f"{path}/datafile.tsv").withColumn("bundle", F.lit("b"))
+    assert validation.unreadable_datafiles(flat).count() == 0
+    assert validation.unreadable_datafiles(flat.withColumn("size", F.lit("x"))).count() == 5
+    (raw.parent / "other").mkdir()
+    (raw.parent / "other" / "meta_study.txt").write_text("cancer_study_identifier: my_study\n")
+    with pytest.raises(ValueError, match="folder's name"):
+        convert.convert_study(spark, str(raw.parent / "other"), out)
+
+
+def test_table_problems(spark, rows):
+    tables = spark.createDataFrame(
+        [("b", "ok", "id", ["id", "x"]), ("b", "noid", "s", ["x"]), ("b", "gone", "id", None), ("b", "bare", "id", ["id"])],
+        "bundle string, table string, id_column string, columns array<string>")
+    fields = spark.createDataFrame(
+        [("b", "ok", "id"), ("b", "ok", "x"), ("b", "noid", "x"), ("b", "noid", "y"), ("b", "gone", "id")],
+        "bundle string, table string, key string")
+    assert rows(validation.table_problems(tables, fields)) == [
+        ("b", "bare", "missing dictionary"), ("b", "gone", "missing data"), ("b", "noid", "dictionary field not in data"),
+        ("b", "noid", "id column not in dictionary")]
