@@ -33,8 +33,8 @@ from cohortspark.llm.common import written
 DIRECTIONS = 8
 CONFIDENCE = 0.95
 SAMPLE_ROWS = 20_000
-CELL_ROWS, MOST_CELLS = 1000, 4096
-PIECE_ROWS, BLOCK_QUERIES = 4000, 1000
+CELL_ROWS, MOST_CELLS = 500, 4096
+PIECE_ROWS, BLOCK_QUERIES = 1000, 500
 
 
 def chi_square_quantile(confidence: float, degrees: int) -> float:
