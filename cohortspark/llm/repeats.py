@@ -35,7 +35,7 @@ from cohortspark.llm.common import text_or_empty, written
 #: Documents in the sample that shows frequent anchors, and the share of them that makes an anchor frequent.
 SAMPLE_DOCS, FREQUENT = 4000, 0.01
 #: Bytes of text whose anchors are searched at a time, whose anchors are packed at a time, and per bucket of anchors.
-CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 400_000, 6_000_000, 24 << 20
+CHUNK_BYTES, SLICE_BYTES, BUCKET_BYTES = 400_000, 5_000_000, 24 << 20
 #: Runs of windows that are resolved at a time.
 RESOLVED_RUNS = 30_000
 
@@ -241,38 +241,60 @@ def _frequent(docs: DataFrame, spec: Repeats, n_docs: int) -> np.ndarray:
     return np.sort(np.array([r.anchor for r in rows], np.int64))
 
 
-def _pack(bucket: np.ndarray, anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray,
-          hot: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """One block of bytes per bucket, column after column, so that they compress."""
-    order = np.argsort(bucket, kind="stable")
-    sorted_ = bucket[order]
-    firsts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    five = anchor.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    seven = context.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
-    blocks = []
-    for rows in np.split(order, firsts[1:]):
-        blocks.append(b"".join((
-            five[rows].tobytes(), seven[rows].tobytes(), doc[rows].astype("<u4").tobytes(),
-            start[rows].astype("<u4").tobytes(), length[rows].astype("u1").tobytes(), hot[rows].astype("u1").tobytes())))
-    return sorted_[firsts], blocks
-
-
-_ROW_BYTES = 5 + 7 + 4 + 4 + 1 + 1
-
-
-def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
-    n = len(block) // _ROW_BYTES
-    data, at = np.frombuffer(block, np.uint8), 0
-    out = []
-    for width in (5, 7):
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :width] = data[at:at + n * width].reshape(n, width)
-        out.append(wide.view("<u8").ravel())
-        at += n * width
-    for kind, width in (("<u4", 4), ("<u4", 4), ("u1", 1), ("u1", 1)):
-        out.append(data[at:at + n * width].view(kind))
+#: Bytes of the anchor's and of the context's hash that are kept. Anchors that share theirs only share a group.
+ANCHOR_BYTES, CONTEXT_BYTES = 4, 7
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of numbers, first bytes of all, then second bytes of all: high bytes of small numbers
+    compress to nothing."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = data[:n * width].reshape(width, n).T
+    return wide.view("<u8").ravel()
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, which a running sum undoes."""
+    return np.diff(x.astype(np.uint64), prepend=np.uint64(0))
+
+
+_FIELDS = (ANCHOR_BYTES, CONTEXT_BYTES, 4, 4, 1, 1)
+
+
+def _pack(ids: np.ndarray, keys: np.ndarray, anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, start: np.ndarray,
+          length: np.ndarray, hot: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """The documents of a block (ids, keys) and its anchors, column after column; rows are in document order."""
+    used, local = np.unique(doc, return_inverse=True)
+    step = _steps(local)
+    # positions as distances, beginning anew with every document
+    apart = np.where(step > 0, start.astype(np.uint64), _steps(start))
+    apart[0] = start[0]
+    columns = (anchor, context, step, apart, length, hot)
+    block = b"".join(_planes(c, width) for c, width in zip(columns, _FIELDS, strict=True))
+    return _planes(_steps(ids[used].view(np.uint64)), 8), keys[used].astype("<i8").tobytes(), block
+
+
+def _unpack(ids: bytes, keys: bytes, block: bytes) -> tuple[np.ndarray, ...]:
+    """anchor, context, document, key, start, length, hot of every row."""
+    n, at = len(block) // sum(_FIELDS), 0
+    data, out = np.frombuffer(block, np.uint8), []
+    for width in _FIELDS:
+        out.append(_from_planes(data[at:], n, width))
         at += n * width
-    return tuple(out)
+    anchor, context, step, apart, length, hot = out
+    doc = np.cumsum(step).astype(np.int64)
+    first = step > 0
+    first[:1] = True
+    total = np.cumsum(apart).astype(np.int64)
+    begun = (total - apart.astype(np.int64))[np.flatnonzero(first)]
+    start = total - begun[np.cumsum(first) - 1]
+    names = np.cumsum(_from_planes(np.frombuffer(ids, np.uint8), len(ids) // 8, 8)).view(np.int64)
+    return (anchor, context, names[doc], np.frombuffer(keys, "<i8")[doc], start.astype(np.int32),
+            length.astype(np.int32), hot.astype(np.uint8))
 
 
 def _bucketed(docs: DataFrame, spec: Repeats, buckets: int, frequent: np.ndarray) -> DataFrame:
@@ -300,18 +322,13 @@ def _bucketed(docs: DataFrame, spec: Repeats, buckets: int, frequent: np.ndarray
             keys = batch.column("text_key").to_numpy(zero_copy_only=False)
             salt = mix(keys[doc].view(np.uint64))
             bucket = ((np.where(hot, mix(anchor ^ salt), anchor) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-            names, blocks = _pack(bucket, anchor, context, doc, start, end - start, hot)
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            rows = []
-            for block in blocks:  # a block names only the documents it needs
-                fields = list(_unpack(block))
-                used, local = np.unique(fields[2], return_inverse=True)
-                n = len(local)
-                at = 12 * n
-                rows.append((ids[used].astype("<i8").tobytes(), keys[used].astype("<i8").tobytes(),
-                             block[:at] + local.astype("<u4").tobytes() + block[at + 4 * n:]))
+            order = np.lexsort((start, doc, bucket))
+            firsts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            rows = [_pack(ids, keys, anchor[r], context[r], doc[r], start[r], (end - start)[r], hot[r])
+                    for r in np.split(order, firsts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))],
+                [pa.array(bucket[order][firsts], pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))],
                 names=["bucket", "ids", "keys", "block"])
 
     return with_key(docs).mapInArrow(run, "bucket int, ids binary, keys binary, block binary")
@@ -325,6 +342,8 @@ SPANS = "doc_id long, text_key long, start int, end int, kind int, anchor long"
 
 def _classes(anchor, context, doc, key, start, length, hot, in_order: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows and their kind, of one bucket. Order: by anchor, context, document, key, start."""
+    if not len(anchor):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.lexsort((start, key, doc, context, anchor))
     a, c, d = anchor[order], context[order], doc[order]
     new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
@@ -346,6 +365,15 @@ def _classes(anchor, context, doc, key, start, length, hot, in_order: bool) -> t
     return order[keep], kind[keep]
 
 
+#: Shares in which a bucket's anchors are classified, one after the other.
+SHARES = 4
+
+
+def _share(columns: tuple[np.ndarray, ...], share: int) -> tuple[np.ndarray, ...]:
+    mine = columns[0] % np.uint64(SHARES) == share
+    return tuple(c[mine] for c in columns)
+
+
 def _spans(bucketed: DataFrame, spec: Repeats) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -354,17 +382,17 @@ def _spans(bucketed: DataFrame, spec: Repeats) -> DataFrame:
                 held.setdefault(bucket, []).append((ids, keys, block))
         while held:
             _, parts = held.popitem()
-            columns = []
-            for ids, keys, block in parts:
-                anchor, context, doc, start, length, hot = _unpack(block)
-                columns.append((anchor, context, np.frombuffer(ids, "<i8")[doc], np.frombuffer(keys, "<i8")[doc],
-                                start.astype(np.int32), length.astype(np.int32), hot))
-            anchor, context, doc, key, start, length, hot = (np.concatenate(c) for c in zip(*columns, strict=True))
-            rows, kind = _classes(anchor, context, doc, key, start, length, hot, spec.in_order)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[rows]), pa.array(key[rows]), pa.array(start[rows]), pa.array(start[rows] + length[rows]),
-                 pa.array(kind.astype(np.int32)), pa.array(anchor[rows].view(np.int64))],
-                names=["doc_id", "text_key", "start", "end", "kind", "anchor"])
+            for share in range(SHARES):  # rows of one anchor are in one share
+                yield classified([_share(_unpack(*part), share) for part in parts])
+
+    def classified(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        anchor, context, doc, key, start, length, hot = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
+        rows, kind = _classes(anchor, context, doc, key, start, length, hot, spec.in_order)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc[rows]), pa.array(key[rows]), pa.array(start[rows]), pa.array(start[rows] + length[rows]),
+             pa.array(kind.astype(np.int32)), pa.array(anchor[rows].view(np.int64))],
+            names=["doc_id", "text_key", "start", "end", "kind", "anchor"])
 
     return bucketed.repartition("bucket").mapInArrow(run, SPANS)
 
