@@ -100,7 +100,8 @@ def as_text(fp: Column) -> Column:
 
 
 def likeness(one: Column, two: Column) -> Column:
-    """Estimated share of common shingles, 0 to 1: the share of equal bins, corrected for chance agreement."""
+    """Estimated share of common shingles, 0 to 1: the share of equal bins, corrected for chance agreement; null beside
+    a missing fingerprint."""
     def equal_bytes(pair: Column) -> Column:
         x = pair["a"].bitwiseXOR(pair["b"])
         for shift, mask in _FOLDS:  # leaves the lowest bit of every byte that is not zero
@@ -111,5 +112,6 @@ def likeness(one: Column, two: Column) -> Column:
     equal = F.aggregate(F.transform(pairs, equal_bytes), F.lit(0), lambda total, n: total + n)
     chance = 1.0 / (1 << BITS)
     corrected = F.greatest(F.lit(0.0), (equal / F.lit(float(BINS)) - chance) / (1 - chance))
-    return (F.when((F.size(one) == 0) & (F.size(two) == 0), 1.0)
+    known = one.isNotNull() & two.isNotNull()
+    return (F.when(~known, F.lit(None).cast("double")).when((F.size(one) == 0) & (F.size(two) == 0), 1.0)
             .when((F.size(one) == 0) | (F.size(two) == 0), 0.0).otherwise(corrected))

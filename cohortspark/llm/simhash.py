@@ -190,7 +190,7 @@ def text_key():
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of every component its first document, and all documents without an id."""
-    first = groups.where("component_id IS NOT NULL").groupBy("component_id").agg(
+    first = groups.where("doc_id IS NOT NULL").groupBy("component_id").agg(
         F.min(F.struct("doc_id", "text_key")).alias("first")).select(
         F.col("first.doc_id").alias("_doc"), F.col("first.text_key").alias("_key"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), text_key().alias("_key"), F.struct("*").alias("_row"))
