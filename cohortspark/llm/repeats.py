@@ -337,7 +337,7 @@ def _bucketed(docs: DataFrame, spec: Repeats, buckets: int, frequent: np.ndarray
 # ---- 2. context classes ----------------------------------------------------------------------------------------
 
 COVERED, LEFT, LEFT_FREQUENT = 0, 1, 2
-SPANS = "doc_id long, text_key long, start int, end int, kind int, anchor long"
+SPANS = "doc_id long, text_key long, start int, end int, kind int, anchor long, context long"
 
 
 def _classes(anchor, context, doc, key, start, length, hot, in_order: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -391,12 +391,26 @@ def _spans(bucketed: DataFrame, spec: Repeats) -> DataFrame:
         rows, kind = _classes(anchor, context, doc, key, start, length, hot, spec.in_order)
         return pa.RecordBatch.from_arrays(
             [pa.array(doc[rows]), pa.array(key[rows]), pa.array(start[rows]), pa.array(start[rows] + length[rows]),
-             pa.array(kind.astype(np.int32)), pa.array(anchor[rows].view(np.int64))],
-            names=["doc_id", "text_key", "start", "end", "kind", "anchor"])
+             pa.array(kind.astype(np.int32)), pa.array(anchor[rows].view(np.int64)),
+             pa.array(np.where(kind == LEFT_FREQUENT, context[rows], np.uint64(0)).view(np.int64))],
+            names=["doc_id", "text_key", "start", "end", "kind", "anchor", "context"])
 
     return bucketed.repartition("bucket").mapInArrow(run, SPANS)
 
 
+def _settled(spans: DataFrame, spec: Repeats) -> DataFrame:
+    """Spans in which the contexts of frequent anchors, first of their bucket so far, are the first of all or covered;
+    those of anchors with one context alone are left out."""
+    hot = spans.where(F.col("kind") == LEFT_FREQUENT)
+    place = F.struct("doc_id", "text_key", "start") if spec.in_order else F.col("doc_id")
+    first = hot.groupBy("anchor", "context").agg(F.min(place).alias("first"))
+    several = first.groupBy("anchor").agg(F.count("*").alias("contexts"))
+    met = hot.join(first, ["anchor", "context"]).join(several, "anchor")
+    later = place > F.col("first")
+    met = met.where(later | (F.col("contexts") > 1)).withColumn("kind", F.when(later, COVERED).otherwise(LEFT_FREQUENT))
+    return spans.where(F.col("kind") != LEFT_FREQUENT).unionByName(written(met.select(*spans.columns), "frequent-spans"))
+
+
 # ---- 3. windows that are left ----------------------------------------------------------------------------------
 
 WINDOWS = "anchor long, kind int, doc_id long, text_key long, start int, tokens binary"
@@ -533,7 +547,7 @@ def removed_spans(docs: DataFrame, spec: Repeats) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, (size["bytes"] or 0) // BUCKET_BYTES + 1)
     frequent = _frequent(docs, spec, size.n)
-    spans = written(_spans(_bucketed(docs, spec, buckets, frequent), spec), "context-spans")
+    spans = _settled(written(_spans(_bucketed(docs, spec, buckets, frequent), spec), "context-spans"), spec)
     _release(spans)
     windows = written(_windows(docs, spans, spec), "left-windows")
     _release(windows)
