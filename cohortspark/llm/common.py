@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortspark.session import written
 
-__all__ = ["WORD_BREAK", "table", "text_or_empty", "words_of", "written"]
+__all__ = ["WORD_BREAK", "map_batches", "table", "text_or_empty", "words_of", "written"]
+
+#: Rows of a batch that goes to a Python worker, at most: rows hold whole texts, and both sides hold a batch.
+BATCH_ROWS = 500
 
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -16,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with small batches. The limit is a setting of the session, which is lowered where it is higher."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from cohortspark.llm.common import written
+from cohortspark.llm.common import map_batches, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -207,7 +207,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                      pa.array(length, pa.int64()), pa.array(crc), pa.array(np.full(len(doc), part, np.int32)),
                      pa.array(number)], names=PIECES.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:

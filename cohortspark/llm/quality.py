@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortspark.llm.common import written
+from cohortspark.llm.common import map_batches, written
 
 ALPHA, GAMMA = 0.3, 0.005
 THRESHOLD = 0.3
@@ -82,8 +82,8 @@ def features(docs: DataFrame) -> DataFrame:
             x = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(NAMES)), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), x], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, x array<double>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run,
+                       "doc_id long, x array<double>")
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -183,4 +183,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             if rows:
                 yield batch.filter(pa.array(model.score(np.array(rows, np.float64)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

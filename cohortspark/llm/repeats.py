@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from cohortspark.llm.common import text_or_empty, written
+from cohortspark.llm.common import map_batches, text_or_empty, written
 
 #: Documents in the sample that shows frequent anchors, and the share of them that makes an anchor frequent.
 SAMPLE_DOCS, FREQUENT = 4000, 0.01
@@ -180,7 +180,7 @@ def packed(docs: DataFrame, carry: bool = False) -> DataFrame:
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(map(packer.compress, _texts(batch)), pa.binary()),
                  *([batch.column("rest")] if carry else [])], names=["doc_id", "text_key", "z", *["rest"] * carry])
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def unpacked(column: pa.Array) -> list[bytes]:
@@ -189,14 +189,22 @@ def unpacked(column: pa.Array) -> list[bytes]:
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of bounded size, one row at least, so that a task's memory does not follow Arrow's batches."""
+    """The rows in batches of about ``SLICE_BYTES`` of text, one row at least, whatever the size of Arrow's batches."""
+    held, size = [], 0
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(batch):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES)))
-            yield batch.slice(at, to - at)
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES - size, side="right")))
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to - 1] - before)
             at = to
+            if size >= SLICE_BYTES or at < len(batch):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def chunks(texts: list[bytes], room: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -236,7 +244,7 @@ def _frequent(docs: DataFrame, spec: Repeats, n_docs: int) -> np.ndarray:
                 [pa.array(runs[several].view(np.int64)), pa.array(counts[several])], names=["anchor", "docs"])
 
     least = max(20, int(FREQUENT * min(n_docs, SAMPLE_DOCS)))
-    counted = sample.mapInArrow(run, "anchor long, docs long").groupBy("anchor").agg(F.sum("docs").alias("docs"))
+    counted = map_batches(sample, run, "anchor long, docs long").groupBy("anchor").agg(F.sum("docs").alias("docs"))
     rows = counted.where(F.col("docs") >= least).select("anchor").collect()
     return np.sort(np.array([r.anchor for r in rows], np.int64))
 
@@ -331,7 +339,7 @@ def _bucketed(docs: DataFrame, spec: Repeats, buckets: int, frequent: np.ndarray
                 [pa.array(bucket[order][firsts], pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))],
                 names=["bucket", "ids", "keys", "block"])
 
-    return with_key(docs).mapInArrow(run, "bucket int, ids binary, keys binary, block binary")
+    return map_batches(with_key(docs), run, "bucket int, ids binary, keys binary, block binary")
 
 
 # ---- 2. context classes ----------------------------------------------------------------------------------------

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortspark.llm.common import written
+from cohortspark.llm.common import map_batches, written
 from cohortspark.llm.components import components
 
 RADIUS = 3
@@ -85,8 +85,8 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                 [batch.column(0), batch.column(2), pa.array(np.concatenate(found).view(np.int64))],
                 names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key()).mapInArrow(
-        run, "doc_id long, text_key long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key())
+    return map_batches(rows, run, "doc_id long, text_key long, fp long")
 
 
 def masks(radius: int = RADIUS, level: int = 0) -> list[int]:
