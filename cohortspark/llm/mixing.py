@@ -102,12 +102,15 @@ def weights(units_: DataFrame, max_repeats: float | None = MAX_REPEATS, target_e
         F.array_min(F.transform("shares", lambda p: F.pow(p, F.col("exponent") - 1))).alias("least"))
     size = F.lit(float(budget)) if budget else F.col("all") * F.col("sum") / F.col("least")
     share = F.col("total") / F.col("all")
-    weight = F.round(F.pow(share, F.col("exponent")) / F.col("sum"), 12)
+    power = F.pow(share, F.col("exponent")) / F.col("sum")
+    weight = F.round(power, 12)  # as reported; quotas come from the unrounded one
+    quota = power * size if budget else F.col("total") * (F.pow(share, F.col("exponent") - 1) / F.col("least"))
     # a quota within a billionth of whole epochs is whole epochs
-    quota = weight * size
     epochs = F.round(quota / F.col("total"))
     whole = F.abs(quota / F.col("total") - epochs) < 1e-9
     quota = F.when(whole, epochs * F.col("total")).otherwise(F.floor(quota)).cast("long")
+    if not budget:
+        quota = F.greatest(quota, F.col("total"))  # every document occurs
     known = totals.join(one, F.lit(True), "left")  # one row meets all sources
     return known.select(
         "source", "total", "units", "exponent",
