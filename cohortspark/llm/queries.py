@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortspark.llm import (
-    chat, minhash, mixing, neighbour_search, neighbours, packing, quality, recompress, simhash, suffix, warc,
+    chat, hard_negatives, minhash, mixing, neighbour_search, neighbours, packing, prefix_trie, quality, recompress, sharding,
+    simhash, suffix, warc,
 )
 from cohortspark.llm.common import table, text_or_empty, words_of  # noqa: F401
 from cohortspark.session import scratch_path
@@ -192,3 +193,96 @@ def op3_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.digest(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH r AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, vec_id, F.col("embedding"), moved)
+
+
+@query("""
+WITH RECURSIVE bits AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+rows_ AS MATERIALIZED (
+  SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, md5(coalesce(text, '')) AS g,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+      lambda h: CAST('0x' || h AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, bits),
+groups_ AS MATERIALIZED (SELECT g, CAST(sum(size) AS BIGINT) AS s, min(doc_id) AS first FROM rows_ GROUP BY g),
+queue AS MATERIALIZED (SELECT s, row_number() OVER (ORDER BY s DESC, first) AS n FROM groups_),
+dealing AS (
+  SELECT 0::BIGINT AS n, 0::BIGINT AS s, 0::BIGINT AS shard, list_transform(range(40), lambda i: 0::BIGINT) AS loads
+  UNION ALL
+  SELECT q.n, q.s, list_position(loads, list_min(loads)) - 1,
+    list_transform(loads, lambda l, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN l + q.s ELSE l END)
+  FROM dealing d JOIN queue q ON q.n = d.n + 1),
+dealt AS (SELECT s, shard, row_number() OVER (PARTITION BY s ORDER BY shard) AS k FROM dealing WHERE n > 0),
+placed AS (SELECT g, s, row_number() OVER (PARTITION BY s ORDER BY first) AS k FROM groups_)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law,
+  CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot,
+  CAST(NULL AS INT) AS grown_shard
+FROM rows_ JOIN placed USING (g) JOIN dealt USING (s, k)
+""")
+def op12_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("""
+WITH own AS MATERIALIZED (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS MATERIALIZED (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''),
+      lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h
+  FROM own),
+rebuilt AS (
+  SELECT i.conv_id, 0 AS part, n, role, text FROM ids i JOIN own o ON o.conv_id = i.base AND n <= h
+  UNION ALL SELECT i.conv_id, 1, n, role, text FROM ids i JOIN own o ON o.conv_id = i.conv_id AND n > h),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, n) AS d, role, text FROM rebuilt),
+paths AS MATERIALIZED (
+  SELECT conv_id, d, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY d) AS path FROM turns
+  UNION ALL SELECT conv_id, 0, [] FROM ids),
+sizes AS (SELECT conv_id, max(d) AS size FROM paths GROUP BY conv_id),
+nodes AS MATERIALIZED (
+  SELECT path, min(p.conv_id) AS conv_id, min(d) AS depth, count(*) AS n_convs,
+    sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (d = size), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN min(d) = 0 THEN 0 ELSE len(regexp_extract_all(path[-1].t, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM paths p JOIN sizes s ON p.conv_id = s.conv_id GROUP BY path),
+children AS (SELECT path[:-2] AS above, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+known AS MATERIALIZED (SELECT v.*, coalesce(c.n, 0) AS n_children FROM nodes v LEFT JOIN children c ON c.above = v.path)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, any_value(p.conv_id) AS parent_conv_id, any_value(v.n_convs) AS n_convs,
+  CAST(any_value(v.n_children) AS BIGINT) AS n_children, count(*) FILTER (u.n_children = 0) AS n_leaves,
+  CAST(sum(u.saved) AS BIGINT) AS saved_tokens, any_value(v.ends_sha256) AS ends_sha256
+FROM known v JOIN known u ON u.depth >= v.depth AND u.path[:v.depth] = v.path
+  LEFT JOIN nodes p ON v.depth > 0 AND p.depth = v.depth - 1 AND p.path = v.path[:-2]
+GROUP BY v.conv_id, v.depth
+""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_openings(turns)).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
