@@ -332,8 +332,8 @@ def check_registrations(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, judged.filter(F.col("reason").isNotNull())
 
 
-def register(registry: Registry, batch: DataFrame, prefix: str, now: int) -> Registry:
-    """Add files, digests, links and aliases from registration rows; rows failing the checks are left out.
+def registrations(registry: Registry, batch: DataFrame, prefix: str, now: int) -> dict[str, DataFrame]:
+    """The rows that registration rows add to each table; rows failing the checks are left out.
 
     Of several rows with one digest the first by file name makes the file; a known digest keeps its file. Links and
     aliases of all good rows go to the file of their digest, and one that is already there or repeated is ignored, see
@@ -370,13 +370,19 @@ def register(registry: Registry, batch: DataFrame, prefix: str, now: int) -> Reg
         F.col("guid").alias("file"),
     )
     alias = rows.filter(F.col("alias").isNotNull()).select(F.col("alias").alias("name"), F.col("guid").alias("file"))
-    return replace(
-        registry,
-        file=registry.file.unionByName(file),
-        hash=registry.hash.unionByName(digest, allowMissingColumns=True),
-        url=insert_ignore(registry.url, link, ["url"]),
-        alias=insert_ignore(registry.alias, alias, ["name"]),
-    )
+    return {
+        "file": file,
+        "hash": digest,
+        "url": _fresh(registry.url, link, ["url"]),
+        "alias": _fresh(registry.alias, alias, ["name"]),
+    }
+
+
+def register(registry: Registry, batch: DataFrame, prefix: str, now: int) -> Registry:
+    """Add files, digests, links and aliases from registration rows, see ``registrations``."""
+    added = registrations(registry, batch, prefix, now)
+    return replace(registry, **{
+        kind: getattr(registry, kind).unionByName(rows, allowMissingColumns=True) for kind, rows in added.items()})
 
 
 def _with_owner(registry: Registry, batch: DataFrame, prefix: str) -> DataFrame:
@@ -433,12 +439,24 @@ def insert_ignore(table: DataFrame, rows: DataFrame, keys: Sequence[str], files:
     """
     if files is not None:
         rows = _of_known_files(rows, files)
+    return table.unionByName(_fresh(table, rows, keys), allowMissingColumns=True)
+
+
+def _fresh(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key that is new to the table."""
     rest = sorted(c for c in rows.columns if c not in keys)
     fresh = rows.distinct()
     if rest:
         fresh = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
-    fresh = _without_known(fresh, table, keys)
-    return table.unionByName(fresh.select(*rows.columns), allowMissingColumns=True)
+    return _without_known(fresh, table, keys).select(*rows.columns)
+
+
+def last_of_batch(rows: DataFrame, keys: Sequence[str], files: DataFrame, order: str | None = None) -> DataFrame:
+    """The last of the rows of each key, by ``order``, without those of unknown files."""
+    rows = _of_known_files(rows, files)
+    payload = [c for c in rows.columns if c not in keys and c != order]
+    last = F.max(F.struct(*([order] if order else []), *sorted(payload)))
+    return rows.groupBy(*keys).agg(last.alias("_row")).select(*keys, *[F.col(f"_row.{c}") for c in payload])
 
 
 def upsert(
@@ -454,11 +472,9 @@ def upsert(
     left out. Columns the batch does not have keep their old value. The table side of the join is
     its outer side: a small batch is broadcast and the table does not move.
     """
-    rows = _of_known_files(rows, files)
     payload = [c for c in rows.columns if c not in keys and c != order]
-    last = F.max(F.struct(*([order] if order else []), *sorted(payload)))
     # the reduced batch meets the table twice, for updates and for additions
-    final = written(rows.groupBy(*keys).agg(last.alias("_row")).select(*keys, "_row.*"), "upsert-batch")
+    final = written(last_of_batch(rows, keys, files, order), "upsert-batch")
     new = final.select(
         *[F.col(k).alias(f"_n_{k}") for k in keys],
         *[F.col(c).alias(f"_n_{c}") for c in payload],
@@ -490,11 +506,14 @@ def of_unknown_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(hits, "file", "left_anti").select(*rows.columns)
 
 
+def with_url_status(rows: DataFrame) -> DataFrame:
+    """An unknown status becomes ``pending``."""
+    return rows.withColumn("status", F.when(F.col("status").isin(*URL_STATUSES), F.col("status")).otherwise(F.lit("pending")))
+
+
 def upsert_urls(registry: Registry, rows: DataFrame, order: str | None = None) -> Registry:
     """Set status and uploader of links by (file, url); an unknown status becomes ``pending``."""
-    status = F.when(F.col("status").isin(*URL_STATUSES), F.col("status")).otherwise(F.lit("pending"))
-    rows = rows.withColumn("status", status)
-    return replace(registry, url=upsert(registry.url, rows, ["file", "url"], registry.file, order))
+    return replace(registry, url=upsert(registry.url, with_url_status(rows), ["file", "url"], registry.file, order))
 
 
 def upsert_tags(registry: Registry, rows: DataFrame, order: str | None = None) -> Registry:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cohortspark.functions import scalars
 from cohortspark.operators import registry as reg
 from cohortspark.operators.validation import accepted, check_rows, rejected
-from cohortspark.session import written
-from cohortspark.sources import registry_tsv
+from cohortspark.session import scratch_path, written
+from cohortspark.sources import registry_store, registry_tsv
 from workloads import query
 from workloads.tables import (
     ALIAS_SQL,
@@ -16,14 +17,13 @@ from workloads.tables import (
     HASH_SQL,
     PREFIX,
     TAG_SQL,
-    URL_ID_SQL,
     URL_SQL,
     file_table,
     hash_table,
     load,
     registry,
+    stored_registry,
     tag_table,
-    url_id,
     url_table,
 )
 
@@ -80,7 +80,7 @@ def _texts(rows):
 
 @query(f"WITH {_ALL} {_CHILDREN} FROM file f")
 def file_children(spark, sf_dir):
-    tables = registry(spark, sf_dir)
+    tables = stored_registry(spark, sf_dir).read(1)
     return _texts(reg.with_children(tables.file, tables))
 
 
@@ -345,9 +345,7 @@ def insert_ignore(spark, sf_dir):
 
 
 _URL_CHANGES_SQL = f"""changes AS (
-  SELECT url, file, CASE l_linestatus WHEN 'O' THEN 'failed' ELSE 'lost' END AS status, 'new-uploader' AS uploader
-  FROM url JOIN (SELECT {URL_ID_SQL} AS lid, '{PREFIX}/' || l_orderkey AS lfile,
-                        l_linestatus FROM lineitem WHERE l_quantity > 40) ON lid = id AND lfile = file
+  SELECT url, file, CASE status WHEN 'pending' THEN 'failed' ELSE 'lost' END AS status, 'new-uploader' AS uploader FROM url
   UNION ALL SELECT 's3://extra/' || c_custkey, '{PREFIX}/' || c_custkey * 20, 'processing', c_name FROM customer)"""
 
 
@@ -358,22 +356,17 @@ SELECT coalesce(u.file, o.file) AS file, coalesce(u.url, o.url) AS url, coalesce
        coalesce(o.uploader, u.uploader) AS uploader
 FROM url u FULL JOIN ok o ON u.file = o.file AND u.url = o.url""")
 def upsert_urls(spark, sf_dir):
-    tables = registry(spark, sf_dir)
-    lines = load(spark, sf_dir, "lineitem").filter(F.col("l_quantity") > 40).select(
-        url_id().alias("id"),
-        F.concat(F.lit(f"{PREFIX}/"), F.col("l_orderkey").cast("string")).alias("file"),
-        F.when(F.col("l_linestatus") == "O", "failed").otherwise("lost").alias("_status"),
-    )
-    known = tables.url.join(lines, ["id", "file"]).select(
-        "url", "file", F.col("_status").alias("status"), F.lit("new-uploader").alias("uploader")
-    )
-    key = F.col("c_custkey")
+    store, key = stored_registry(spark, sf_dir), F.col("c_custkey")
+    known = url_table(spark, sf_dir).select(
+        "url", "file", F.when(F.col("status") == "pending", "failed").otherwise("lost").alias("status"),
+        F.lit("new-uploader").alias("uploader"))
     extra = load(spark, sf_dir, "customer").select(
         F.concat(F.lit("s3://extra/"), key.cast("string")).alias("url"),
         F.concat(F.lit(f"{PREFIX}/"), (key * 20).cast("string")).alias("file"),
         F.lit("processing").alias("status"), F.col("c_name").alias("uploader"),
     )
-    return reg.upsert_urls(tables, known.unionByName(extra)).url.select("file", "url", "status", "uploader")
+    version = store.apply(lambda tables: registry_store.url_rows(tables, known.unionByName(extra)), base=1)
+    return store.read(version).url.select("file", "url", "status", "uploader")
 
 
 @query(f"""WITH {FILE_SQL}, {TAG_SQL}, rows AS (
@@ -388,7 +381,7 @@ SELECT coalesce(t.file, l.file) AS file, coalesce(t.field_name, l.field_name) AS
        coalesce(l.field_value, t.field_value) AS field_value
 FROM tag t FULL JOIN last l ON t.file = l.file AND t.field_name = l.field_name""")
 def upsert_tags(spark, sf_dir):
-    tables = registry(spark, sf_dir)
+    store = stored_registry(spark, sf_dir)
     lines, key = load(spark, sf_dir, "lineitem"), F.col("l_orderkey")
     rows = lines.select(
         F.concat(F.lit(f"{PREFIX}/"), key.cast("string")).alias("file"), F.lit("customer").alias("field_name"),
@@ -399,7 +392,87 @@ def upsert_tags(spark, sf_dir):
             F.col("l_returnflag").alias("field_value"), F.col("l_shipdate").alias("changed"),
         )
     )
-    return reg.upsert_tags(tables, rows, order="changed").tag.select("file", "field_name", "field_value")
+    version = store.apply(lambda tables: registry_store.tag_rows(tables, rows, order="changed"), base=1)
+    return store.read(version).tag.select("file", "field_name", "field_value")
+
+
+def _in_rounds(spark, rows, name):
+    """A folder of files, written in the order of ``round``, as a stream of small batches."""
+    folder = scratch_path(spark, name)
+    for number in range(3):
+        rows.where(F.col("round") == number).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(folder)
+
+
+def _order_guid(key):
+    digest = F.md5(F.concat(F.lit("file-"), key.cast("string")).cast("binary"))
+    return scalars.make_guid(PREFIX, scalars.uuid5(F.concat(F.lit(f"{PREFIX}/"), digest)))
+
+
+@query("""WITH r AS (
+  SELECT o_orderkey AS k, md5('file-' || o_orderkey) AS digest, 'order_' || o_orderkey AS filename, floor(o_totalprice)::BIGINT AS size,
+    'doi://10.1234/' || o_orderkey AS alias, 's3://bucket/' || o_orderkey AS url FROM orders),
+t AS (
+  SELECT l_orderkey AS k, max(l_linenumber) AS n, l_linenumber % 3 AS round FROM lineitem
+  WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 3
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 3 DESC) = 1)
+SELECT 'file' AS kind, digest, filename || '=' || size AS value FROM r
+UNION ALL SELECT 'url', digest, url || '=' || CASE WHEN k % 2 = 0 THEN 'validated' ELSE 'pending' END FROM r WHERE k % 3 > 0
+UNION ALL SELECT 'alias', digest, alias FROM r
+UNION ALL SELECT 'tag', digest, 'line=' || n FROM r JOIN t USING (k)""")
+def registry_stream(spark, sf_dir):
+    """A registry filled by streams: registrations in several batches, of which one is killed after its commit and so comes
+    again, then tags of which the last round counts, a change of links and a deletion, then all of it compacted."""
+    empty = spark.createDataFrame([], "x string")
+    none = {kind: empty.select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in columns.split(", ")])
+            for kind, columns in registry_store.COLUMNS.items()}
+    store = registry_store.create(spark, scratch_path(spark, "streamed-registry"), reg.Registry(**none))
+    key = F.col("o_orderkey")
+    text = key.cast("string")
+    orders = load(spark, sf_dir, "orders").select(
+        F.floor("o_totalprice").cast("string").alias("size"), F.concat(F.lit("order_"), text).alias("filename"),
+        F.lit("stream").alias("uploader"), F.md5(F.concat(F.lit("file-"), text).cast("binary")).alias("md5sum"),
+        F.concat(F.lit("s3://bucket/"), text).alias("url"), F.concat(F.lit("doi://10.1234/"), text).alias("alias"),
+        (key % 3).cast("int").alias("round"))
+    stream, checkpoint = _in_rounds(spark, orders, "orders-stream"), scratch_path(spark, "orders-checkpoint")
+    killed = []
+
+    def register(tables, batch):
+        return registry_store.registration_rows(tables, batch.drop("round"), PREFIX, 1_700_000_000_000)
+
+    def dies_once(batch, number):
+        store.apply(lambda tables: register(tables, batch), "orders", number)
+        if number and not killed:
+            killed.append(number)
+            raise InterruptedError("killed between the commit of a batch and the stream's record of it")
+
+    try:
+        stream.writeStream.foreachBatch(dies_once).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
+    except StreamingQueryException:
+        if not killed:
+            raise
+    store.follow(stream, register, "orders", checkpoint).awaitTermination()
+    lines = load(spark, sf_dir, "lineitem")
+    tags = lines.groupBy("l_orderkey", (F.col("l_linenumber") % 3).cast("int").alias("round")).agg(F.max("l_linenumber").alias("n"))
+    tags = tags.select(_order_guid(F.col("l_orderkey")).alias("file"), F.lit("line").alias("field_name"),
+                       F.col("n").cast("string").alias("field_value"), "round")
+    store.follow(_in_rounds(spark, tags, "tags-stream"), lambda tables, batch: registry_store.tag_rows(tables, batch, "round"), "tags",
+                 scratch_path(spark, "tags-checkpoint")).awaitTermination()
+    even = load(spark, sf_dir, "orders").where(key % 2 == 0).select(
+        F.concat(F.lit("s3://bucket/"), text).alias("url"), _order_guid(key).alias("file"), F.lit("validated").alias("status"))
+    gone = load(spark, sf_dir, "orders").where(key % 3 == 0).select(F.concat(F.lit("s3://bucket/"), text).alias("url"), _order_guid(key).alias("file"))
+    store.apply(lambda tables: registry_store.together(
+        registry_store.url_rows(tables, even.withColumn("uploader", F.lit("checker"))),
+        registry_store.deleted_children(tables, "url", gone)), "checks", 0)
+    store.compact()
+    tables = store.read()
+    digest = tables.hash.select("file", F.col("hash").alias("digest"))
+    file = tables.file.select(F.col("guid").alias("file"), F.lit("file").alias("kind"), F.concat_ws("=", "filename", F.col("size").cast("string")).alias("value"))
+    url = tables.url.select("file", F.lit("url").alias("kind"), F.concat_ws("=", "url", "status").alias("value"))
+    alias = tables.alias.select("file", F.lit("alias").alias("kind"), F.col("name").alias("value"))
+    tag = tables.tag.select("file", F.lit("tag").alias("kind"), F.concat_ws("=", "field_name", "field_value").alias("value"))
+    return file.unionByName(url).unionByName(alias).unionByName(tag).join(digest, "file").select("kind", "digest", "value")
 
 
 @query(f"""WITH {_ALL}, gone AS (SELECT '{PREFIX}/' || c_custkey * 4 AS guid FROM customer)
@@ -492,7 +565,7 @@ SELECT guid, filename, acl, (SELECT url FROM n WHERE file = guid AND i = 0) AS u
        'customer' AS tag_1_field_name
 FROM file""")
 def registry_flatten(spark, sf_dir):
-    flat = registry_tsv.flatten(registry(spark, sf_dir))
+    flat = registry_tsv.flatten(stored_registry(spark, sf_dir).read(1))
     return flat.select(
         "guid", "filename", "acl", "url_0_url", "url_2_status", "hash_0_hash", "hash_1_hash_type", "alias_0_name",
         "tag_0_field_value", "tag_1_field_name",

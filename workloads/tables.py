@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortspark.operators.registry import Registry
+from cohortspark.session import scratch_path
+from cohortspark.sources import registry_store
 
 PREFIX = "reg.demo"
 
@@ -188,6 +190,17 @@ def registry(spark: SparkSession, sf_dir: str) -> Registry:
     )
 
 
+_STORES: dict[tuple[str, str], registry_store.Store] = {}
+
+
+def stored_registry(spark: SparkSession, sf_dir: str) -> registry_store.Store:
+    """The registry as a store of co-located tables, written once per application; its version 1 is ``registry``."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        _STORES[key] = registry_store.create(spark, scratch_path(spark, "registry-store"), registry(spark, sf_dir))
+    return _STORES[key]
+
+
 CATALOG_SQL = """catalog AS (
   SELECT lower(replace(p_brand, '#', '_')) AS key,
          'v0.' || p_size || '.' || (p_partkey % 12) AS version,
