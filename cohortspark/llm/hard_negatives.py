@@ -36,6 +36,8 @@ BLOCK_COMPONENTS = 8_000_000
 ANCHORS, ROWS = 256, 2048
 _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 _EXACT = float(1 << 53)
+#: Components up to which sums of squares stay finite; summaries of larger ones bound nothing.
+_BOUNDED = 1e140
 
 
 # ---- summaries --------------------------------------------------------------------------------------------------
@@ -44,6 +46,7 @@ _EXACT = float(1 << 53)
 def summaries(vectors: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean and deviation of every segment, both times the root of its length, so that products need no weights."""
     n, d = vectors.shape
+    vectors = np.clip(vectors, -_BOUNDED, _BOUNDED)
     starts = np.arange(0, d, length)
     if not d:
         return np.zeros((n, 0)), np.zeros((n, 0))
@@ -73,7 +76,7 @@ class Vectors:
         self.ids, self.labels, self.vectors = ids, labels, vectors
         fine, d = SEGMENTS[-1], vectors.shape[1]
         self.levels = [coarser(mean, deviation, fine, s, d) for s in SEGMENTS[:-1]] + [(mean, deviation)]
-        self.norms = np.sqrt((vectors * vectors).sum(axis=1))
+        self.norms = np.sqrt((np.clip(vectors, -_BOUNDED, _BOUNDED) ** 2).sum(axis=1))
         self.largest = float(np.abs(vectors).max(initial=0))
 
     def take(self, at) -> Vectors:
@@ -133,7 +136,7 @@ class Lists:
         wanted = anchors.ids[:, None] != rows.ids
         wanted &= (anchors.labels[:, None] == rows.labels) == self.same_label
         self.met += wanted.size
-        for level in range(len(SEGMENTS)):
+        for level in range(len(SEGMENTS) if max(anchors.largest, rows.largest) < _BOUNDED else 0):
             down, up = bounds(anchors, rows, level)
             wanted &= (up >= least) & (down <= most)
             some = wanted.any(axis=0)
@@ -221,7 +224,7 @@ def _lists(anchors: DataFrame, rows: DataFrame, group: list[str], k: int, bands:
         anchors.groupBy(*group).agg(F.count("*").alias("anchors"), F.max("dim").alias("d")), group)
     everything = sizes.agg(F.sum("n")).first()[0]
     if not everything:
-        return spark.createDataFrame([], "anchor long, band int, vec_id long, score long")
+        return spark.createDataFrame([], "anchor long, band int, vec_id long, score long, rank int")
     blocks = F.ceil(F.col("anchors") * F.greatest(F.col("d"), F.lit(1)) / BLOCK_COMPONENTS)
     sizes = written(sizes.select(*[F.col(c).alias(f"_{c}") for c in group], "n", blocks.cast("int").alias("blocks")), "negatives-sizes")
     parts = F.ceil(F.col("n") * tasks / (F.lit(everything) * F.col("blocks"))).cast("int")

@@ -71,7 +71,7 @@ def prefix_sums(links: DataFrame, weights: Sequence[str], walked: int = WALKED)
 
         heads = links.where(coin(F.col("id")))
         tails = links.where(~coin(F.col("id")))
-        joins = F.coalesce(coin(F.col("next")), F.lit(False))
+        joins = F.col("next").isNotNull() & coin(F.col("next"))  # a hash of null is a number, too
         into = tails.where(joins).select(F.col("id").alias("_id"), F.col("next").alias("_next"),
                                          *[F.col(w).alias(f"_{w}") for w in weights])
         met = heads.join(into, F.col("id") == F.col("_next"), "left").select(
