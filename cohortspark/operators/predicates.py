@@ -8,7 +8,9 @@ from operator import and_, eq, ge, gt, le, lt, ne, or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cohortspark.functions.similarity import is_similar
+from cohortspark.functions.similarity import SIMILAR_AT, is_similar
+from cohortspark.operators.text_index import TextIndex
+from cohortspark.session import written
 
 # Operators allowed for each kind of literal.
 ALLOWED = {
@@ -153,13 +155,20 @@ def _value_table(df: DataFrame, values: Sequence, data_type: T.DataType) -> Data
     return reduce(DataFrame.unionByName, tables).distinct()
 
 
-def filter_rows(df: DataFrame, tree: Mapping | None, resolve: Resolver) -> DataFrame:
+def filter_rows(df: DataFrame, tree: Mapping | None, resolve: Resolver,
+                indexes: Mapping[str, tuple[str, TextIndex]] | None = None) -> DataFrame:
     """Rows that satisfy a tree. Long value lists are joined instead of spelled out: an ``in`` that every row must meet as
-    a semi join, any other as a mark that the tree then asks for."""
+    a semi join, any other as a mark that the tree then asks for. ``indexes`` has, by field, the key column and the index
+    of its texts; a ``%`` that every row must meet then meets the keys that the index finds."""
     if not tree:
         return df
     required = [tree] if "items" not in tree else (
         tree["items"] if str(tree["operator"]).lower() == "and" else [])
+    for item in required:
+        if "items" not in item and str(item["operator"]) == "%" and item["field"] in (indexes or {}):
+            key, index = indexes[item["field"]]
+            found = index.similar(item["value"], SIMILAR_AT).select(F.col("key").alias("_similar"))
+            df = df.join(written(found, "similar"), resolve(key)[0] == F.col("_similar"), "left_semi")
     joined = [i for i in required if "items" not in i and _is_long_list(i) and str(i["operator"]).lower() == "in"]
     members: dict[int, Column] = {}
     marks = []
@@ -178,5 +187,5 @@ def filter_rows(df: DataFrame, tree: Mapping | None, resolve: Resolver) -> DataF
     return df.filter(predicate(tree, resolve, members)).drop(*marks)
 
 
-def apply_filter(df: DataFrame, tree: Mapping | None) -> DataFrame:
-    return filter_rows(df, tree, columns_of(df))
+def apply_filter(df: DataFrame, tree: Mapping | None, indexes: Mapping[str, tuple[str, TextIndex]] | None = None) -> DataFrame:
+    return filter_rows(df, tree, columns_of(df), indexes)

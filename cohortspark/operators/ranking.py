@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.functions.similarity import similarity, trim_query
 from cohortspark.operators.predicates import text_pairs
+from cohortspark.operators.text_index import TextIndex
+from cohortspark.session import written
 
 
 def rank_by_similarity(
@@ -16,13 +18,21 @@ def rank_by_similarity(
     first_pairs: int = 0,
     limit: int | None = None,
     tie: Sequence[str] = (),
+    indexes: Mapping[str, tuple[str, TextIndex]] | None = None,
 ) -> DataFrame:
     """Rows most similar to the query texts first, one score column per (field, text) pair.
 
     Of the pairs the first ``first_pairs`` count, 0 meaning all; texts are trimmed of special
-    characters. With ``limit`` every task keeps only its own best rows.
+    characters. With ``limit`` every task keeps only its own best rows. ``indexes`` has, by field, the key column and the
+    index of its texts: with a limit, only rows that the index of the first field finds are then scored. The rows are the
+    same; where fewer than ``limit`` share a trigram with the first text, all are scored.
     """
     used = list(pairs)[:first_pairs] if first_pairs else list(pairs)
+    if used and limit and used[0][0] in (indexes or {}):
+        key, index = indexes[used[0][0]]
+        best = index.best(trim_query(used[0][1]), limit)
+        if best is not None:
+            df = df.join(written(best.select(F.col("key").alias("_key")), "most-similar"), F.col(key) == F.col("_key"), "left_semi")
     scores = {
         f"similarity_{i}": similarity(F.col(field).cast("string"), F.lit(trim_query(text)))
         for i, (field, text) in enumerate(used)

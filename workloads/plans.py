@@ -10,7 +10,7 @@ from cohortspark.operators.predicates import apply_filter
 from cohortspark.operators.ranking import rank_by_filter, rank_by_similarity, search_catalog
 from cohortspark.plans import query as plan
 from workloads import query
-from workloads.tables import CATALOG_SQL, catalog, load
+from workloads.tables import CATALOG_SQL, catalog, indexed, load
 
 
 def _fields(*columns):
@@ -42,13 +42,9 @@ def table_scan(spark, sf_dir):
     return _run(spark, sf_dir, {"table": "region"})
 
 
-@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_quantity > 45.0")
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem")
 def select_fields(spark, sf_dir):
-    return _run(spark, sf_dir, {
-        "table": "lineitem",
-        "selects": _fields("l_orderkey", "l_linenumber", "l_shipdate"),
-        "filters": _leaf("l_quantity", ">", 45),
-    })
+    return _run(spark, sf_dir, {"table": "lineitem", "selects": _fields("l_orderkey", "l_linenumber", "l_shipdate")})
 
 
 @query("""
@@ -181,7 +177,7 @@ def plan_join_group_having(spark, sf_dir):
 @query("""
 SELECT count(*)::BIGINT AS rows, round(avg(l_quantity), 6) AS mean_quantity, min(l_shipdate) AS first_ship,
        max(l_shipdate) AS last_ship, count(l_tax)::BIGINT AS taxed
-FROM lineitem WHERE l_returnflag = 'A'
+FROM lineitem
 """)
 def plan_global_aggregate(spark, sf_dir):
     out = _run(spark, sf_dir, {
@@ -190,7 +186,6 @@ def plan_global_aggregate(spark, sf_dir):
             _agg("count", "*", "rows"), _agg("avg", "l_quantity", "mean_quantity"), _agg("min", "l_shipdate", "first_ship"),
             _agg("max", "l_shipdate", "last_ship"), _agg("count", "l_tax", "taxed"),
         ],
-        "filters": _leaf("l_returnflag", "=", "A"),
     })
     return out.withColumn("mean_quantity", F.round("mean_quantity", 6))
 
@@ -301,26 +296,56 @@ def _similarity_sql(text: str, wanted: str) -> str:
     return f"({shared} / (len({a}) + len({b}) - {shared})::DOUBLE)"
 
 
-@query(f"SELECT p_partkey, p_name FROM part WHERE {_similarity_sql('p_name', chr(39) + 'blue bolts' + chr(39))} >= 0.3")
+_SIMILAR_SQL = f"SELECT p_partkey, p_name FROM part WHERE {_similarity_sql('p_name', chr(39) + 'blue bolts' + chr(39))} >= 0.3"
+
+
+@query(_SIMILAR_SQL)
 def filter_similar(spark, sf_dir):
-    return apply_filter(load(spark, sf_dir, "part"), _leaf("p_name", "%", "blue bolts")).select("p_partkey", "p_name")
+    found = apply_filter(load(spark, sf_dir, "part"), _leaf("p_name", "%", "blue bolts"), indexed(spark, sf_dir, "part", "p_partkey", "p_name"))
+    return found.select("p_partkey", "p_name")
 
 
-_WANTED = "the thereon of and inen erbles ouerth"
+@query(_SIMILAR_SQL)
+def filter_similar_scan(spark, sf_dir):
+    """The same without an index."""
+    return apply_filter(load(spark, sf_dir, "part"), _leaf("p_name", "%", "blue bolts")).select("p_partkey", "p_name")
 
 
-@query(f"""
+_WANTED = "the thereon of and inen erbles ouerth"
+_TOPK_SQL = f"""
 SELECT doc_id, round(s, 6) AS score FROM (
   SELECT doc_id, {_similarity_sql('text', chr(39) + _WANTED + chr(39))} AS s FROM documents)
 ORDER BY s DESC, doc_id LIMIT 20
-""")
-def similarity_topk(spark, sf_dir):
+"""
+
+
+def _most_similar(spark, sf_dir, indexes):
     rows = rank_by_similarity(
-        load(spark, sf_dir, "documents").select("doc_id", "text"), [("text", f" ~{_WANTED}. ")], limit=20, tie=["doc_id"]
-    )
+        load(spark, sf_dir, "documents").select("doc_id", "text"), [("text", f" ~{_WANTED}. ")], limit=20, tie=["doc_id"], indexes=indexes)
     return rows.select("doc_id", F.round("similarity_0", 6).alias("score"))
 
 
+@query(_TOPK_SQL)
+def similarity_topk(spark, sf_dir):
+    return _most_similar(spark, sf_dir, indexed(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query(_TOPK_SQL)
+def similarity_topk_scan(spark, sf_dir):
+    """The same without an index."""
+    return _most_similar(spark, sf_dir, None)
+
+
+@query(f"""WITH g AS (SELECT doc_id, {_trigram_sql('text')} AS grams FROM documents),
+p AS (SELECT doc_id, len(grams) AS size, unnest(grams) AS gram FROM g)
+SELECT gram, count(*)::BIGINT AS texts, sum(size)::BIGINT AS sizes, sum(doc_id)::BIGINT AS keys FROM p GROUP BY gram""")
+def trigram_postings(spark, sf_dir):
+    """The index itself: texts of every trigram, their sizes and keys."""
+    _, index = indexed(spark, sf_dir, "documents", "doc_id", "text")["text"]
+    return index.all_postings().groupBy("gram").agg(
+        F.count("key").alias("texts"), F.sum("size").alias("sizes"), F.sum("key").alias("keys"))
+
+
 @query(f"""
 SELECT p_partkey, p_name, p_type FROM part
 ORDER BY {_similarity_sql('p_name', "'green gear'")} DESC, {_similarity_sql('p_type', "'promo'")} DESC, p_partkey LIMIT 30
@@ -329,7 +354,8 @@ def similarity_filter_order(spark, sf_dir):
     tree = {"operator": "or", "items": [
         _leaf("p_name", "%", "green gear"), _leaf("p_type", "ilike", "promo%"), _leaf("p_brand", "=", "Brand#9"),
     ]}
-    ranked = rank_by_filter(load(spark, sf_dir, "part"), tree, first_pairs=2, limit=30, tie=["p_partkey"])
+    ranked = rank_by_filter(load(spark, sf_dir, "part"), tree, first_pairs=2, limit=30, tie=["p_partkey"],
+                            indexes=indexed(spark, sf_dir, "part", "p_partkey", "p_name"))
     return ranked.select("p_partkey", "p_name", "p_type")
 
 

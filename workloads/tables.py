@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortspark.operators import text_index
 from cohortspark.operators.registry import Registry
 from cohortspark.session import scratch_path
 from cohortspark.sources import registry_store
@@ -201,6 +202,17 @@ def stored_registry(spark: SparkSession, sf_dir: str) -> registry_store.Store:
     return _STORES[key]
 
 
+_INDEXES: dict[tuple[str, str, str], text_index.TextIndex] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str, table: str, key: str, text: str) -> dict[str, tuple[str, text_index.TextIndex]]:
+    """The trigram index of a text column by its field, written once per application."""
+    name = (spark.sparkContext.applicationId, sf_dir, f"{table}.{text}")
+    if name not in _INDEXES:
+        _INDEXES[name] = text_index.build(load(spark, sf_dir, table), key, text, scratch_path(spark, f"index-{table}"))
+    return {text: (key, _INDEXES[name])}
+
+
 CATALOG_SQL = """catalog AS (
   SELECT lower(replace(p_brand, '#', '_')) AS key,
          'v0.' || p_size || '.' || (p_partkey % 12) AS version,
