@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.functions.scalars import boolean_value, missing_to_null
+from cohortspark.operators.ordered import GROUP_ROWS, row_numbers
 from cohortspark.operators.survival import ENDPOINTS
 
 STRING, NUMBER, BOOLEAN = "STRING", "NUMBER", "BOOLEAN"
@@ -125,14 +126,10 @@ def field_values(df: DataFrame) -> DataFrame:
 
 
 def dictionary(df: DataFrame, header: DataFrame | None = None) -> DataFrame:
-    """One row per column: key, name, description, data_type, notes, allowed values or range, order.
+    """One row per column: key, position, data_type, notes, range of a number, number of values, name, description, order.
 
-    NUMBER fields get ``minimum`` and ``maximum``; all others list all their sorted values, however many, since a reader
-    takes the list for what is allowed. ``field_values`` has the same values as rows. ``header`` adds name, description
-    and order by key.
-
-    A first pass measures all columns, one row per column comes to the driver, and a second pass
-    reads only the columns whose values get listed.
+    The values themselves are rows of ``dictionary_values``. ``header`` adds name, description and order by key. All
+    columns are measured in one pass; one row per column comes to the driver.
     """
     values = field_values(df)
     value = F.col("value")
@@ -148,8 +145,6 @@ def dictionary(df: DataFrame, header: DataFrame | None = None) -> DataFrame:
     kind = _type_of(F.col("present"), F.col("numbers"), F.col("booleans"))
     stats = stats.select("key", "value_count", "present", kind.alias("data_type"), "_min", "_max")
     found = {row["key"]: row for row in stats.collect()}
-    listed = [k for k, r in found.items() if r["data_type"] != NUMBER]
-
     rows = []
     for position, key in enumerate(df.columns):
         row = found.get(key)
@@ -166,11 +161,6 @@ def dictionary(df: DataFrame, header: DataFrame | None = None) -> DataFrame:
             )
         )
     out = df.sparkSession.createDataFrame(rows, DICTIONARY_ROW)
-    if listed:
-        lists = _cells(df.select(*[F.col(f"`{k}`") for k in listed])).groupBy("key")
-        out = out.join(lists.agg(F.sort_array(F.collect_set("value")).alias("allowed_values")), "key", "left")
-    else:
-        out = out.withColumn("allowed_values", F.lit(None).cast("array<string>"))
     if header is None:
         return out.select(
             "*", F.col("key").alias("name"), F.lit("").alias("description"), F.lit(0).alias("order")
@@ -178,6 +168,20 @@ def dictionary(df: DataFrame, header: DataFrame | None = None) -> DataFrame:
     return out.join(header.select("key", "name", "description", "order"), "key", "left")
 
 
+def dictionary_values(df: DataFrame, fields: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(key, place, value): the distinct values of every field that is no number, numbered from 1 in their order.
+
+    A reader takes them for what is allowed, so all are there; a field of any number of values is cut into ranges to be
+    ordered. Only the columns asked for are read.
+    """
+    listed = {r["key"] for r in fields.filter(F.col("data_type") != NUMBER).select("key").collect()}
+    columns = [c for c in df.columns if c in listed]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "key string, place long, value string")
+    values = _cells(df.select(*[F.col(f"`{c}`") for c in columns])).filter(F.col("value").isNotNull()).distinct()
+    return row_numbers(values, ["key"], [("value", False)], "place", group_rows).select("key", "place", "value")
+
+
 def recommend_view(fields: DataFrame, total: Column, selected: Sequence[str] = ()) -> DataFrame:
     """Add ``view`` to dictionary fields by type and number of values; ``total`` counts the rows."""
     times = [

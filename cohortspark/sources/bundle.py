@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Fields of a dataset record, of a dictionary field, of a table description.
@@ -18,7 +19,7 @@ TABLE_SCHEMA = (
 )
 FIELD_SCHEMA = (
     "key string, name string, description string, data_type string, notes string, allowed_values string, "
-    "order int"
+    "order int, part int"
 )
 # The three files of one datafile table.
 GROUP_FILE = r"([^/]+?)(\.parquet|_dictionary\.json|_metadata\.json)$"
@@ -46,6 +47,26 @@ def scan_datasets(spark: SparkSession, base: str) -> DataFrame:
     return rows.select(_bundle_of(_file_path(), 1).alias("bundle"), *rows.columns)
 
 
+def write_datasets(records: DataFrame, base: str) -> None:
+    """Write (key, version, value) as ``<base>/<key>/<version>/dataset.json``, many files per task.
+
+    A record is a file of its own, so a task that runs again writes the same files again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for key, version, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store.create_dir(f"{root}/{key}/{version}")
+                with store.open_output_stream(f"{root}/{key}/{version}/dataset.json") as out:
+                    out.write(value.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    records.select("key", "version", "value").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def build_catalog(spark: SparkSession, base: str, output: str | None = None) -> DataFrame:
     """Collect all readable dataset records; with ``output`` also write ``<output>/index.json``, which ``read_catalog``
     reads back: one array."""
@@ -106,14 +127,25 @@ def file_groups(listing: DataFrame, path: str = "path") -> DataFrame:
     return groups.dropna(subset=["parquet", "dictionary", "metadata"])
 
 
-def read_dictionaries(spark: SparkSession, pattern: str, depth: int = 1) -> DataFrame:
-    """Dictionary fields of many bundles with (bundle, table); allowed values stay JSON text."""
+def _dictionaries(spark: SparkSession, pattern: str, depth: int) -> DataFrame:
+    """All rows of dictionaries with (bundle, table); a dictionary may be a file or a folder of parts."""
     rows = spark.read.schema(FIELD_SCHEMA).json(pattern, multiLine=True)
-    path = _file_path()
+    path = F.regexp_replace(_file_path(), r"(_dictionary\.json)/[^/]+$", "$1")
     table = F.regexp_extract(path, r"([^/]+)_dictionary\.json$", 1)
     return rows.select(_bundle_of(path, depth).alias("bundle"), table.alias("table"), *rows.columns)
 
 
+def read_dictionaries(spark: SparkSession, pattern: str, depth: int = 1) -> DataFrame:
+    """Dictionary fields of many bundles with (bundle, table), a row per field; the first allowed values stay JSON text."""
+    return _dictionaries(spark, pattern, depth).filter(F.col("part").isNull()).drop("part")
+
+
+def read_allowed_values(spark: SparkSession, pattern: str, depth: int = 1) -> DataFrame:
+    """(bundle, table, key, data_type, value): all allowed values, or both limits of a number, as rows of texts."""
+    values = F.explode(F.from_json("allowed_values", "array<string>")).alias("value")
+    return _dictionaries(spark, pattern, depth).select("bundle", "table", "key", "data_type", values)
+
+
 def parquet_columns(paths: DataFrame, bundle: str = "bundle", path: str = "path") -> DataFrame:
     """(bundle, column) of Parquet files, read from their footers inside tasks."""
 
@@ -165,7 +197,8 @@ class Dataset:
 
     def dictionary(self, name: str = "metadata") -> DataFrame:
         folder = self.path if name == "metadata" else f"{self.path}/datafiles"
-        return self.spark.read.schema(FIELD_SCHEMA).json(f"{folder}/{name}_dictionary.json", multiLine=True)
+        rows = self.spark.read.schema(FIELD_SCHEMA).json(f"{folder}/{name}_dictionary.json", multiLine=True)
+        return rows.filter(F.col("part").isNull()).drop("part")
 
     def tables(self, names: Sequence[str]) -> dict[str, DataFrame]:
         """DataFrames by name, as query descriptions want them."""

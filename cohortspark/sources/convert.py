@@ -10,7 +10,7 @@ from cohortspark.functions import scalars
 from cohortspark.operators.registry import Registry
 from cohortspark.sources import registry_tsv, study
 from cohortspark.sources.bundle import list_files
-from cohortspark.sources.sinks import dictionary_rows, write_json_array
+from cohortspark.sources.sinks import write_dictionary
 
 # The study file, its key field, and the two clinical tables by extension.
 STUDY_FILE, STUDY_KEY = "meta_study.txt", "cancer_study_identifier"
@@ -70,8 +70,9 @@ def convert_study(spark: SparkSession, folder: str, output: str, version: str =
     path = f"{output.rstrip('/')}/{name}/{version}"
     table, fields = _clinical(spark, names)
     table.write.parquet(f"{path}/metadata_table.parquet")
-    total = spark.read.parquet(f"{path}/metadata_table.parquet").count()
-    write_json_array(dictionary_rows(fields, "position"), f"{path}/metadata_dictionary.json", by="position")
+    stored = spark.read.parquet(f"{path}/metadata_table.parquet")
+    total = stored.count()
+    write_dictionary(stored, f"{path}/metadata_dictionary.json", fields)
     tags = [*record["tags"], f"org:{organization or 'Unassigned'}"]
     row = {**record.asDict(), "tags": tags, "total": total, "is_filebased": False, "version": version, "license": ""}
     row.pop("file")

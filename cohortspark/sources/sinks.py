@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 
 def rows_as_json(df: DataFrame) -> DataFrame:
@@ -14,54 +17,82 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep="\t", header=True, emptyValue="", nullValue="")
 
 
-def allowed_values_json(fields: DataFrame) -> Column:
-    """``[min, max]`` for numbers, the listed values otherwise, as JSON text."""
-    limits = F.to_json(F.array("minimum", "maximum"))
-    listed = F.to_json(F.coalesce("allowed_values", F.array().cast("array<string>")))
-    return F.when(F.col("data_type") == "NUMBER", limits).otherwise(listed)
+#: Values of a field that one dictionary row lists, at most; a field of more has more rows, numbered by ``part``.
+VALUES_PER_ROW = 10_000
+
 
+def dictionary_rows(fields: DataFrame, values: DataFrame, *more: str, per_row: int = VALUES_PER_ROW) -> DataFrame:
+    """Dictionary fields in the shape they are stored in, with ``more`` columns to order them by.
 
-def dictionary_rows(fields: DataFrame, *more: str) -> DataFrame:
-    """Dictionary fields in the shape they are stored in, with ``more`` columns to order them by."""
-    return fields.select(
+    ``allowed_values`` is ``[min, max]`` of a number, and the ordered values of any other field. A field of more than
+    ``per_row`` values goes on in rows with a ``part`` of 1, 2, ..., so no row is larger than that.
+    """
+    part = F.floor((F.col("place") - 1) / per_row).cast("int")
+    lists = values.groupBy(F.col("key").alias("_key"), part.alias("_part")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda v: v["value"]).alias("_values"))
+    rows = fields.join(lists, F.col("key") == F.col("_key"), "left")
+    limits = F.to_json(F.array("minimum", "maximum"))
+    listed = F.to_json(F.coalesce("_values", F.array().cast("array<string>")))
+    return rows.select(
         *more,
         "key",
         "name",
         "description",
         "data_type",
         "notes",
-        F.try_parse_json(allowed_values_json(fields)).alias("allowed_values"),
+        F.try_parse_json(F.when(F.col("data_type") == "NUMBER", limits).otherwise(listed)).alias("allowed_values"),
         "order",
+        F.when(F.col("_part") > 0, F.col("_part")).alias("part"),
     )
 
 
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The JSON texts of a task as the lines of one array."""
+    held = None
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        if not texts:
+            continue
+        lines = ["["] if held is None else [f"{held},"]
+        lines += [f"{text}," for text in texts[:-1]]
+        held = texts[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(lines)], names=["value"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held, "]"])], names=["value"])
+
+
 def write_json_array(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Write a table as one JSON array, a row per line, in the order of the column ``by``, which is not written.
+    """Write a table as JSON arrays below ``path``, a row per line, in the order of the column ``by``, which is not written.
 
-    The format is one document, so one task writes it, row by row.
+    Every task writes a part of its own that is a whole array, and Spark publishes all parts together; small tables are one
+    part. Read them as one with ``spark.read.json(path, multiLine=True)``, which takes a file as well.
     """
     columns = [c for c in df.columns if c != by]
-    order = F.col(by) if by else F.lit(None).cast("int")
-    rows = df.select(F.lit(1).alias("_at"), order.alias("_by"), F.to_json(F.struct(*columns)).alias("_json"))
-    ends = df.sparkSession.createDataFrame([(0, "["), (2, "]")], "_at int, _json string")
-    lines = rows.unionByName(ends, allowMissingColumns=True).repartition(1).sortWithinPartitions("_at", "_by")
-    lines = lines.withColumn("_line", F.monotonically_increasing_id())
-    again = (F.col("_at") == 1) & (F.col("_line") > 1)
-    lines.select(F.when(again, F.concat(F.lit(","), "_json")).otherwise(F.col("_json")).alias("value")).write.text(path)
+    json = F.to_json(F.struct(*columns)).alias("value")
+    ordered = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
+    ordered.select(json).mapInArrow(_arrays, "value string").write.text(path)
 
 
-def write_table_bundle(table: DataFrame, about: DataFrame, output: str, prefix: str) -> None:
+def write_table_bundle(table: DataFrame, about: DataFrame, output: str, prefix: str, per_row: int = VALUES_PER_ROW) -> None:
     """Parquet, TSV, dictionary, values and description of one table below ``output``.
 
     The dictionary comes from the Parquet just written, so a heavy conversion runs once. The values of all fields are in
     ``<prefix>_values.parquet`` with their counts.
     """
-    from cohortspark.operators.profile import dictionary, field_values
+    from cohortspark.operators.profile import field_values
 
     table.write.parquet(f"{output}/{prefix}.parquet")
     stored = table.sparkSession.read.parquet(f"{output}/{prefix}.parquet")
     write_tsv(stored, f"{output}/{prefix}.tsv")
-    fields = dictionary(stored)
-    write_json_array(dictionary_rows(fields, "position"), f"{output}/{prefix}_dictionary.json", by="position")
+    write_dictionary(stored, f"{output}/{prefix}_dictionary.json", per_row=per_row)
     write_json_array(about, f"{output}/{prefix}_metadata.json")
     field_values(stored).write.parquet(f"{output}/{prefix}_values.parquet")
+
+
+def write_dictionary(stored: DataFrame, path: str, fields: DataFrame | None = None, per_row: int = VALUES_PER_ROW) -> None:
+    """The dictionary of a stored table, or the given ``fields`` of it, with the values of the table."""
+    from cohortspark.operators.profile import dictionary, dictionary_values
+
+    fields = dictionary(stored) if fields is None else fields
+    rows = dictionary_rows(fields, dictionary_values(stored, fields), "position", per_row=per_row)
+    write_json_array(rows.withColumn("_by", F.struct("position", "part")).drop("position"), path, by="_by")

@@ -44,14 +44,52 @@ def test_dictionary(spark):
     df = spark.createDataFrame([("a", "1", None), ("b", "10", None), ("a", "2", None)], "s string, n string, e string")
     header = spark.createDataFrame([("s", "Text", "a text", 3)], "key string, name string, description string, `order` int")
     found = {r["key"]: r for r in profile.dictionary(df, header).collect()}
-    assert found["s"]["allowed_values"] == ["a", "b"] and found["s"]["name"] == "Text" and found["s"]["order"] == 3
-    assert (found["n"]["minimum"], found["n"]["maximum"], found["n"]["allowed_values"], found["n"]["value_count"]) == (1.0, 10.0, None, 3)
+    assert found["s"]["value_count"] == 2 and found["s"]["name"] == "Text" and found["s"]["order"] == 3
+    assert (found["n"]["minimum"], found["n"]["maximum"], found["n"]["value_count"]) == (1.0, 10.0, 3)
+    values = profile.dictionary_values(df, profile.dictionary(df))
+    assert sorted(map(tuple, values.collect())) == [("s", 1, "a"), ("s", 2, "b")]
     assert found["e"]["data_type"] == "STRING" and found["e"]["value_count"] == 0
     many = spark.range(700).selectExpr("concat('v', id) AS s")
-    assert len(profile.dictionary(many).first()["allowed_values"]) == 700
+    plain = sorted(map(tuple, profile.dictionary_values(many, profile.dictionary(many)).collect()))
+    assert plain == sorted(("s", i, v) for i, v in enumerate(sorted(f"v{i}" for i in range(700)), 1))
+    assert sorted(map(tuple, profile.dictionary_values(many, profile.dictionary(many), 50).collect())) == plain
+    plan = profile.dictionary(many)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan
     assert {tuple(r) for r in profile.field_values(df).filter("key = 's'").collect()} == {("s", "a", 2), ("s", "b", 1)}
 
 
+def test_dictionary_of_many_parts(spark, tmp_path):
+    """A field of many values goes on over rows, and rows over parts that are arrays of their own."""
+    table = spark.range(1000).selectExpr("concat('v', id) AS many", "cast(id % 2 = 0 AS boolean) AS flag", "id * 1.5 AS n", "cast(null AS string) AS none")
+    table.write.parquet(str(tmp_path / "t.parquet"))
+    stored = spark.read.parquet(str(tmp_path / "t.parquet"))
+    path = str(tmp_path / "b" / "v1" / "t_dictionary.json")
+    sinks.write_dictionary(stored, path, per_row=30)
+    fields = bundle.read_dictionaries(spark, path).collect()
+    assert sorted((r.bundle, r.table, r.key, r.data_type) for r in fields) == [
+        ("b/v1", "t", "flag", "BOOLEAN"), ("b/v1", "t", "many", "STRING"), ("b/v1", "t", "n", "NUMBER"), ("b/v1", "t", "none", "STRING")]
+    values = {}
+    for r in bundle.read_allowed_values(spark, path).collect():
+        values.setdefault(r.key, []).append(r.value)
+    assert sorted(values.pop("many")) == sorted(f"v{i}" for i in range(1000))
+    assert sorted(map(float, values.pop("n"))) == [0.0, 1498.5] and {k: sorted(v) for k, v in values.items()} == {"flag": ["false", "true"]}
+    assert max(len(json.loads(r.allowed_values)) for r in spark.read.schema(bundle.FIELD_SCHEMA).json(path, multiLine=True).collect()) == 30
+
+
+def test_json_arrays_of_many_tasks(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id AS a", "concat('t\"', id) AS b", "if(id % 3 = 0, null, id) AS c").repartition(4)
+    sinks.write_json_array(rows, str(tmp_path / "many"))
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "many").glob("part-*")]
+    assert len(parts) == 4 and sum(map(len, parts)) == 100
+    back = spark.read.schema("a long, b string, c long").json(str(tmp_path / "many"), multiLine=True)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    sinks.write_json_array(rows, str(tmp_path / "one"), by="a")
+    found = [r["b"] for p in sorted((tmp_path / "one").glob("part-*")) for r in json.loads(p.read_text())]
+    assert found == [f't"{i}' for i in range(100)]
+    sinks.write_json_array(rows.limit(0), str(tmp_path / "none"))
+    assert spark.read.schema("a long").json(str(tmp_path / "none"), multiLine=True).collect() == []
+
+
 def test_recommendations(spark):
     kinds = [("STRING", 6), ("STRING", 7), ("STRING", 26), ("STRING", 900), ("STRING", 501), ("NUMBER", 50), ("NUMBER", 51), ("BOOLEAN", 2), ("DATE", 1)]
     df = spark.createDataFrame([(f"k{i}", t, n) for i, (t, n) in enumerate(kinds)] + [("os_months", "NUMBER", 90), ("__summary", "STRING", 1)], "key string, data_type string, value_count long")
@@ -262,7 +300,9 @@ def test_annotated_table(spark, rows, tmp_path):
     assert dict(typed.dtypes) == {"patient_id": "string", "age": "double", "sex": "string", "time_to_met": "string", "note": "string"}
     assert rows(typed) == [("p1", 40.0, "F", None, '"quoted" text'), ("p2", None, "M", "1d", None), ("p3", 51.5, "F", "3", None)]
     found = {r["key"]: r for r in fields.collect()}
-    assert (found["age"]["minimum"], found["age"]["maximum"]) == (40.0, 51.5) and found["sex"]["allowed_values"] == ["F", "M"]
+    assert (found["age"]["minimum"], found["age"]["maximum"]) == (40.0, 51.5)
+    values = profile.dictionary_values(typed, fields).filter("key = 'sex'")
+    assert sorted(r["value"] for r in values.collect()) == ["F", "M"]
     with pytest.raises(ValueError):
         (tmp_path / "plain.tsv").write_text("a\tb\n1\t2\n")
         study.read_annotated(spark, str(tmp_path / "plain.tsv"))

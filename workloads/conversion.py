@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import names
 from cohortspark.operators import profile, reshape, validation
+from cohortspark.operators.ordered import row_numbers
 from cohortspark.session import scratch_path
 from cohortspark.sources import bundle, sinks, study
 from workloads import query
@@ -75,15 +76,18 @@ d AS (
 
 @query(f"""WITH {_DICTIONARY_SQL}
 SELECT key, data_type, coalesce(value_count, 0)::BIGINT AS value_count, CASE WHEN data_type = 'NUMBER' THEN lo END AS minimum,
-       CASE WHEN data_type = 'NUMBER' THEN hi END AS maximum,
-       CASE WHEN data_type <> 'NUMBER' AND value_count <= 500 THEN listed END AS allowed_values
+       CASE WHEN data_type = 'NUMBER' THEN hi END AS maximum
 FROM types LEFT JOIN d USING (key)""")
 def dictionary(spark, sf_dir):
-    fields = profile.dictionary(_texts(spark, sf_dir))
-    return fields.select(
-        "key", "data_type", "value_count", "minimum", "maximum",
-        F.when(F.col("allowed_values").isNotNull(), F.array_join("allowed_values", ";")).alias("allowed_values"),
-    )
+    return profile.dictionary(_texts(spark, sf_dir)).select("key", "data_type", "value_count", "minimum", "maximum")
+
+
+@query(f"""WITH {_DICTIONARY_SQL}
+SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY value) AS place FROM v JOIN types USING (key) WHERE data_type <> 'NUMBER'""")
+def dictionary_values(spark, sf_dir):
+    """The allowed values of all fields as ordered rows."""
+    rows = _texts(spark, sf_dir)
+    return profile.dictionary_values(rows, profile.dictionary(rows)).select("key", "value", "place")
 
 
 @query(f"WITH {_CELLS_SQL} SELECT key, value, count(*)::BIGINT AS count FROM cells WHERE value IS NOT NULL GROUP BY 1, 2")
@@ -137,9 +141,17 @@ def table_bundle(spark, sf_dir):
     return fields.select("key", "data_type", "allowed_values").withColumn("stored", stored)
 
 
-@query("SELECT * FROM (VALUES ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal')) t(key)")
+@query(f"""WITH {_TYPES_SQL}, placed AS (
+  SELECT key, row_number() OVER (ORDER BY sum(length(value)) DESC NULLS LAST, key) - 1 AS position, count(value) AS present
+  FROM cells GROUP BY key)
+SELECT key FROM placed WHERE CASE WHEN present > 0 THEN position ELSE 9 END <= 5 ORDER BY position LIMIT 6""")
 def default_projection(spark, sf_dir):
-    fields = profile.dictionary(load(spark, sf_dir, "customer")).withColumn("order", F.col("position") + 2)
+    """Fields in the order of how much text they hold; those without a value come last in the dictionary's order."""
+    cells = profile.field_values(_texts(spark, sf_dir))
+    sizes = cells.groupBy("key").agg(F.sum(F.length("value") * F.col("count")).alias("size"))
+    known = spark.createDataFrame([(c,) for c in _COLUMNS], "key string").join(sizes, "key", "left")
+    fields = row_numbers(known.withColumn("all", F.lit(1)), ["all"], [("size", True), ("key", False)], "position").withColumn(
+        "position", F.col("position") - 1).withColumn("order", F.when(F.col("size").isNotNull(), F.col("position")).otherwise(9))
     return names.default_columns(fields, limit=6)
 
 

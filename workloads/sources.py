@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.session import scratch_path
-from cohortspark.sources import bundle, registry_tsv, study
+from cohortspark.sources import bundle, registry_tsv, sinks, study
 from cohortspark.operators.predicates import apply_filter
 from cohortspark.operators.ordered import row_numbers
 from cohortspark.operators.paging import page_of
-from cohortspark.operators import profile, reshape
+from cohortspark.operators import reshape
 from workloads import query
 from workloads.tables import load
 
@@ -28,18 +28,12 @@ def catalog_round_trip(spark, sf_dir):
     base, counted = scratch_path(spark, "catalog"), load(spark, sf_dir, "nation").join(
         load(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
     ).groupBy("n_regionkey", "n_nationkey", "n_name").agg(F.count("c_custkey").alias("total"))
-    records = counted.select(
-        F.concat(F.lit("k"), F.col("n_regionkey").cast("string")).alias("_key"),
-        F.concat(F.lit("v1."), F.col("n_nationkey").cast("string")).alias("_version"),
-        F.to_json(F.struct(
-            F.concat(F.lit("k"), F.col("n_regionkey").cast("string")).alias("key"), F.col("n_name").alias("name"),
-            F.concat(F.lit("v1."), F.col("n_nationkey").cast("string")).alias("version"), "total",
-            F.array(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string"))).alias("tags"),
-        )).alias("value"),
-    )
-    for row in records.collect():  # a record is a file of its own, one per nation
-        one = spark.createDataFrame([(row["value"],)], "value string")
-        one.coalesce(1).write.text(f"{base}/{row['_key']}/{row['_version']}/dataset.json")
+    key = F.concat(F.lit("k"), F.col("n_regionkey").cast("string"))
+    version = F.concat(F.lit("v1."), F.col("n_nationkey").cast("string"))
+    records = counted.select(key.alias("key"), version.alias("version"), F.to_json(F.struct(
+        key.alias("key"), F.col("n_name").alias("name"), version.alias("version"), "total",
+        F.array(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string"))).alias("tags"))).alias("value"))
+    bundle.write_datasets(records, base)
     bundle.build_catalog(spark, base, f"{base}-index")
     return bundle.read_catalog(spark, f"{base}-index").select("key", "name", "version", "total", F.col("tags")[0].alias("tag"))
 
@@ -110,11 +104,9 @@ def registration_scan(spark, sf_dir):
         F.floor("o_totalprice").cast("long").cast("string").alias("size"), F.concat(F.lit("order_"), key).alias("filename"),
         F.col("o_orderpriority").alias("uploader"), F.md5(F.concat(F.lit("file-"), key).cast("binary")).alias("md5sum"),
         F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("s3://b/"), key)).alias("url"))
-    from cohortspark.sources.sinks import write_json_array
-
     folder, out = scratch_path(spark, "registrations"), None
     rows.write.csv(f"{folder}/batch.csv", header=True)
-    write_json_array(rows, f"{folder}/batch.json")
+    sinks.write_json_array(rows, f"{folder}/batch.json")
     for form in ("csv", "json"):
         read = registry_tsv.read_registrations(spark, f"{folder}/batch.{form}")
         part = read.select(F.lit(form).alias("form"), "size", "filename", "uploader", "md5sum", "url")
@@ -127,9 +119,11 @@ def registration_scan(spark, sf_dir):
 
 @query("SELECT 'c_name' AS key, c_name AS value FROM customer")
 def dictionary_many_values(spark, sf_dir):
-    """A dictionary lists all values of a field, however many."""
-    fields = profile.dictionary(load(spark, sf_dir, "customer").select("c_name"))
-    return fields.select("key", F.explode("allowed_values").alias("value"))
+    """A dictionary lists all values of a field, however many: written as JSON of many rows and read back."""
+    folder = scratch_path(spark, "names")
+    load(spark, sf_dir, "customer").select("c_name").write.parquet(f"{folder}/names.parquet")
+    sinks.write_dictionary(spark.read.parquet(f"{folder}/names.parquet"), f"{folder}/names_dictionary.json", per_row=100)
+    return bundle.read_allowed_values(spark, f"{folder}/names_dictionary.json").select("key", "value")
 
 
 _LISTED = [*range(1, 1500), 2.5]
