@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortspark.operators.ordered import common_prefix, order_number
 
@@ -28,13 +28,17 @@ def page_of(
 ) -> DataFrame:
     """Sort, skip ``offset`` rows and keep ``limit`` rows.
 
-    A shallow page is a distributed top-k. A deep page would make every task keep all skipped rows,
-    so there whole value ranges before and after the page are cut off first by their row counts.
+    A shallow page is a distributed top-k. A deep page would make every task keep all skipped rows, so there value ranges
+    before and after the page are cut off by their row counts, on as many sort columns as it takes. Skipped rows without a
+    limit are cut off in the same way; those of the one range that the cut goes through are numbered, and the rest is
+    sorted by Spark in ranges. Rows that agree in all sort columns cannot be told apart by a cut.
     """
     if offset < 0 or (limit is not None and limit < 0):
         raise ValueError("offset and limit must not be negative")
+    if order and limit is None and offset > 0:
+        return after_rows(df, order, offset, heap_rows).orderBy(*sort_columns(order))
     if order and limit is not None and offset + limit > heap_rows:
-        df, offset = around_page(df, order[0], offset, limit)
+        df, offset = around_page(df, order, offset, limit, heap_rows)
     if order:
         df = df.orderBy(*sort_columns(order))
     if offset:
@@ -42,36 +46,71 @@ def page_of(
     return df if limit is None else df.limit(limit)
 
 
-def around_page(
-    df: DataFrame, first: tuple[str, bool], offset: int, limit: int, ranges: int = 1000
-) -> tuple[DataFrame, int]:
-    """Keep only the value ranges of the first sort column that a page touches.
+def _ranges(df: DataFrame, name: str, descending: bool, ranges: int) -> Column | None:
+    """The place of a row's range in the sort order of a column, nulls last; None if there is one range only.
 
-    The split points come from a sketch, the rows per range are counted exactly. Returns the smaller
-    table and the rows still to skip in it. Only ``ranges`` numbers reach the driver.
+    The split points come from a sketch; only they reach the driver.
     """
-    name, descending = first
     number = order_number(F.col(f"`{name}`"), df.schema[name].dataType, common_prefix(df, name))
     probabilities = [i / ranges for i in range(1, ranges)]
-    splits = df.agg(F.percentile_approx(number, probabilities, 10_000).alias("s")).first()["s"]
-    splits = sorted(set(splits or []))
+    row = df.agg(F.percentile_approx(number, probabilities, 10_000).alias("s"), F.min(number).alias("low"),
+                 F.count(F.when(number.isNull(), 1)).alias("nulls")).first()
+    # a range holds the numbers above the split point before it, so the smallest number is a range of its own
+    splits = sorted({*(row["s"] or []), *([row["low"]] if row["low"] is not None else [])})
     if not splits:
-        return df, offset
+        return None
     at = F.lit(splits)
-    # ranges count up in sort order; nulls form the last one
     # one element binds the number to a name, so that it is not worked out for every split point
     low = F.transform(F.array(number), lambda n: F.size(F.filter(at, lambda s: s < n)))[0]
-    position = F.when(number.isNull(), len(splits) + 1).otherwise(len(splits) - low if descending else low)
-    counts = dict(df.groupBy(position.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    before, skipped, seen, last = 0, 0, 0, len(splits) + 1
-    for p in range(len(splits) + 2):
-        seen += counts.get(p, 0)
-        if seen <= offset:
-            before, skipped = p + 1, seen
-        if seen >= offset + limit:
-            last = p
+    return F.when(number.isNull(), len(splits) + 1).otherwise(len(splits) - low if descending else low)
+
+
+def cut(
+    df: DataFrame, order: Sequence[tuple[str, bool]], rows: int, heap_rows: int = HEAP_ROWS, ranges: int = 1000
+) -> tuple[Column, Column, int]:
+    """Where the first ``rows`` rows end: a condition of ranges wholly before, one of the range that the cut goes through,
+    and how many rows of that range are before it.
+
+    A range of more than ``heap_rows`` is cut again, by the same column while that tells its rows apart, then by the next.
+    Counts are exact.
+    """
+    before, inside, left = F.lit(False), F.lit(True), rows
+    columns = list(order)
+    while columns:
+        part = df.filter(inside)
+        position = _ranges(part, *columns[0], ranges)
+        counts = {} if position is None else dict(part.groupBy(position.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if len(counts) < 2:
+            columns.pop(0)
+            continue
+        seen, last = 0, max(counts)
+        for p in sorted(counts):
+            if seen + counts[p] >= left or p == last:
+                break
+            seen += counts[p]
+        before = before | (inside & (position < p))
+        inside = inside & (position == p)
+        left -= seen
+        if counts[p] <= heap_rows:
             break
-    return df.filter((position >= before) & (position <= last)), offset - skipped
+    return before, inside, left
+
+
+def around_page(
+    df: DataFrame, order: Sequence[tuple[str, bool]], offset: int, limit: int, heap_rows: int = HEAP_ROWS
+) -> tuple[DataFrame, int]:
+    """Keep only the value ranges that a page touches; returns the smaller table and the rows still to skip in it."""
+    before, _, skipped = cut(df, order, offset, heap_rows) if offset else (F.lit(False), None, 0)
+    upto, last, _ = cut(df, order, offset + limit, heap_rows)
+    return df.filter(~before & (upto | last)), skipped
+
+
+def after_rows(df: DataFrame, order: Sequence[tuple[str, bool]], offset: int, heap_rows: int = HEAP_ROWS) -> DataFrame:
+    """All rows but the first ``offset``, in any order."""
+    before, inside, skipped = cut(df, order, offset, heap_rows)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*sort_columns(order)))
+    rest = df.filter(inside).withColumn("_place", place).filter(F.col("_place") > skipped).drop("_place")
+    return df.filter(~before & ~inside).unionByName(rest)
 
 
 def page(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -71,21 +70,23 @@ def flatten_hierarchy(documents: DataFrame, column: str = "value") -> DataFrame:
 
 
 def flatten_edges(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes reachable from the roots with their depth, from a (code, parent) table.
+    """Nodes reachable from the roots with their depth, from a (code, parent) table; a node once per way to it.
 
-    One join per level, each level stored for the next; the walk stops at the first empty one. A walk with more levels
-    than there are nodes goes round in a cycle, which is an error.
+    Ancestors at a distance of 1, 2, 4, ... are joined to themselves, so the number of steps is the logarithm of the
+    depth: nodes less than 2^k deep are known, those at most twice as deep follow from them and the ancestors at a distance
+    of 2^k. A way of more steps than there are nodes goes round in a cycle, which is an error. Steps are stored.
     """
-    edges = nodes.select(F.col("code").alias("_child"), F.col("parent").alias("_parent"))
-    level = roots.select("code").distinct().withColumn("depth", F.lit(0))
-    found = level
-    most = nodes.count()
-    for depth in itertools.count(1):
-        if depth > most + 1:
+    above = written(nodes.select("code", F.col("parent").alias("above")).where("parent IS NOT NULL"), "walk-edges")
+    known = roots.select("code").distinct().withColumn("depth", F.lit(0))
+    most, reach = above.count(), 1
+    while True:
+        step = known.withColumnRenamed("code", "above").join(above, "above").select("code", (F.col("depth") + reach).alias("depth"))
+        step = written(step, "walk-step")
+        if step.isEmpty():
+            return known
+        if reach > most:
             raise ValueError("the hierarchy has a cycle")
-        step = level.join(edges, level["code"] == edges["_parent"], "inner")
-        level = written(step.select(F.col("_child").alias("code"), F.lit(depth).alias("depth")), "walk-level")
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level)
-    return found
+        known = written(known.unionByName(step), "walk-known")
+        further = above.select(F.col("code").alias("above"), F.col("above").alias("_far"))
+        above = written(above.join(further, "above").select("code", F.col("_far").alias("above")), "walk-above")
+        reach *= 2

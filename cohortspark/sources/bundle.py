@@ -44,7 +44,8 @@ def read_catalog(spark: SparkSession, base: str) -> DataFrame:
 def scan_datasets(spark: SparkSession, base: str) -> DataFrame:
     """Every ``dataset.json`` below the base with its bundle; malformed ones have no key."""
     rows = spark.read.schema(DATASET_SCHEMA).json(f"{base}/*/*/dataset.json", multiLine=True, mode="PERMISSIVE")
-    return rows.select(_bundle_of(_file_path(), 1).alias("bundle"), *rows.columns)
+    path = F.regexp_replace(_file_path(), r"(/dataset\.json)/[^/]+$", "$1")  # a file, or a folder of one part
+    return rows.select(_bundle_of(path, 1).alias("bundle"), *rows.columns)
 
 
 def write_datasets(records: DataFrame, base: str) -> None:

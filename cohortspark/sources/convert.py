@@ -10,6 +10,7 @@ from cohortspark.functions import scalars
 from cohortspark.operators.registry import Registry
 from cohortspark.sources import registry_tsv, study
 from cohortspark.sources.bundle import list_files
+from cohortspark.sources.file_digests import file_digests
 from cohortspark.sources.sinks import write_dictionary
 
 # The study file, its key field, and the two clinical tables by extension.
@@ -21,11 +22,14 @@ ALIASES = "id long, name string, file string"
 TAGS = "id long, field_name string, field_value string, file string"
 
 
-def study_file_registry(spark: SparkSession, pattern: str, prefix: str, uploader: str, now: int) -> Registry:
-    """The raw files of a study as registered files: guid from the content's sha1, base id and digest from its md5."""
-    files = spark.read.format("binaryFile").load(pattern).select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("size"),
-        F.md5("content").alias("md5"), scalars.content_guid(F.col("content"), prefix).alias("guid"))
+def study_file_registry(spark: SparkSession, folder: str, prefix: str, uploader: str, now: int) -> Registry:
+    """The raw files of a study as registered files: guid from the content's sha1, base id and digest from its md5.
+
+    Contents are digested block by block, so files may be of any size.
+    """
+    files = file_digests(spark, folder, digests="md5,sha1").select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"), "size", "md5",
+        scalars.make_guid(prefix, scalars.uuid5(F.col("sha1"))).alias("guid"))
     files = files.groupBy("guid").agg(F.min("filename").alias("filename"), F.min("size").alias("size"), F.min("md5").alias("md5"))
     stamp = F.lit(now).cast("long")
     file = files.select(
@@ -58,8 +62,12 @@ def convert_study(spark: SparkSession, folder: str, output: str, version: str =
     ``datafiles/`` for every omics file that has a description, and ``datafile.tsv`` with the raw files. The key must be
     the name of the folder. The table is written once, and its dictionary and size come from what was written.
     """
-    name = folder.rstrip("/").rsplit("/", 1)[-1]
-    names = {row["path"].rsplit("/", 1)[-1]: row["path"] for row in list_files(spark, f"{folder.rstrip('/')}/*").select("path").collect()}
+    folder = folder.rstrip("/")
+    name = folder.rsplit("/", 1)[-1]
+    # a file of the study may be a folder of parts, so its name is the first one below the study's folder
+    parts = F.split(F.regexp_replace("path", r"/part-[^/]*$", ""), "/")
+    listed = list_files(spark, f"{folder}/*").select(F.element_at(parts, -1).alias("name")).distinct()
+    names = {row["name"]: f"{folder}/{row['name']}" for row in listed.collect()}
     if STUDY_FILE not in names:
         raise ValueError(f"{folder} has no {STUDY_FILE}")
     pairs = study.key_values(study.read_lines(spark, names[STUDY_FILE]))
@@ -85,5 +93,5 @@ def convert_study(spark: SparkSession, folder: str, output: str, version: str =
         meta = names.get(f"meta_{omics}.txt")
         if data and meta:
             study.convert_omics(spark, data, meta, f"{path}/datafiles", omics)
-    registry_tsv.write_flat(study_file_registry(spark, f"{folder.rstrip('/')}/*", prefix, uploader, now), f"{path}/datafile.tsv")
+    registry_tsv.write_flat(study_file_registry(spark, folder, prefix, uploader, now), f"{path}/datafile.tsv")
     return path

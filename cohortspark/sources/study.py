@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -118,19 +119,23 @@ def read_annotated(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """An annotated table and its header: texts with normalised column names, and
     (key, name, description, data_type, order).
 
-    Only the comment rows and the row of column ids reach the driver.
+    ``path`` is a file, or a folder of which one file has the comment rows and the row of column ids, and any file has
+    rows. Only the comment rows and the row of column ids reach the driver.
     """
-    text = spark.read.text(path)
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     marked = text.filter(F.col("value").startswith("#")).limit(4).collect()
     comments = [r["value"][1:].strip("\r\n").split("\t") for r in marked]
-    head = text.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).limit(1).collect()
+    own = F.col("file") == (marked[0]["file"] if marked else "")
+    head = text.filter(own & ~F.col("value").startswith("#") & (F.trim("value") != "")).limit(1).collect()
     if len(comments) < 4 or not head:
         raise ValueError(f"{path} needs four comment rows and a row of column ids")
     ids = head[0]["value"].strip().split("\t")
     columns = ", ".join(f"_c{i} string" for i in range(len(ids)))
     body = spark.read.schema(columns).csv(
-        path, sep="\t", comment="#", header=True, quote="", escape="", enforceSchema=True, mode="PERMISSIVE"
+        path, sep="\t", comment="#", header=False, quote="", escape="", enforceSchema=True, mode="PERMISSIVE"
     )
+    is_head = reduce(lambda a, b: a & b, [F.coalesce(F.trim(F.col(f"_c{i}")), F.lit("")) == name.strip() for i, name in enumerate(ids)])
+    body = body.filter(~is_head)
     first = {}
     for i, name in enumerate(ids):
         first.setdefault(normalize_name(name), i)

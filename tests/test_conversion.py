@@ -418,3 +418,69 @@ def test_table_problems(spark, rows):
     assert rows(validation.table_problems(tables, fields)) == [
         ("b", "bare", "missing dictionary"), ("b", "gone", "missing data"), ("b", "noid", "dictionary field not in data"),
         ("b", "noid", "id column not in dictionary")]
+
+
+# ------------------------------------------------------------------ files of any size
+
+
+def test_file_digests(spark, tmp_path):
+    import hashlib
+
+    from cohortspark.sources.file_digests import DIGESTS, digests_of, file_digests, planned
+
+    contents = {"a.bin": b"", "b.bin": b"x" * 5000, "sub/c.bin": bytes(range(256)) * 40, "sub/d.txt": b"d"}
+    for name, content in {**contents, "_hidden": b"h", ".part.crc": b"c"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    found = file_digests(spark, str(tmp_path), block_bytes="100", task_bytes="3000").collect()
+    assert {r.path[len(str(tmp_path)) + 1:]: (r["size"], r.md5, r.sha1, r.sha256, r.sha512) for r in found} == {
+        n: (len(c), *(hashlib.new(d, c).hexdigest() for d in DIGESTS)) for n, c in contents.items()}
+    some = file_digests(spark, f"{tmp_path}/sub/*.bin", digests="sha1").collect()
+    assert [(r["size"], r.md5, r.sha1) for r in some] == [(10240, None, hashlib.sha1(contents["sub/c.bin"]).hexdigest())]
+    assert file_digests(spark, f"{tmp_path}/*.none").collect() == []
+    assert planned([("a", 5), ("b", 9), ("c", 4), ("d", 1)], 2) == [["b", "d"], ["a", "c"]]
+
+    class Endless:
+        """Three gigabytes of zeros, read a block at a time."""
+
+        left, largest = 3 << 30, 0
+
+        def read(self, n):
+            n = min(n, self.left)
+            self.left, self.largest = self.left - n, max(self.largest, n)
+            return memoryview(zeros)[:n]
+
+    zeros, handle = bytes(4 << 20), Endless()
+    size, _ = digests_of(handle, ("md5",))
+    assert size == 3 << 30 and handle.largest <= 4 << 20  # more than a cell may hold, and never more than a block at once
+
+
+def test_large_file_needs_no_large_memory(tmp_path):
+    """A file of 300 MB in a process that may take less than that."""
+    import subprocess
+    import sys
+
+    with open(tmp_path / "large", "wb") as out:
+        out.truncate(300 << 20)
+    code = ("import resource, sys; sys.path.insert(0, '.'); from cohortspark.sources.file_digests import FileDigestReader as R; "
+            "r = R({'path': sys.argv[1], 'digests': 'md5'}); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; "
+            "rows = [x for p in r.partitions() for b in r.read(p) for x in b.to_pylist()]; "
+            "print(rows[0]['size'], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)")
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path)], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == 300 << 20 and int(out[1]) < 100_000
+
+
+# ------------------------------------------------------------------ deep trees
+
+
+def test_deep_trees_take_few_steps(spark, rows, monkeypatch):
+    n, steps = 300, []
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, n)] + [(1000 + i, 0) for i in range(200)], "code long, parent long")
+    real = reshape.written
+    monkeypatch.setattr(reshape, "written", lambda df, name: steps.append(name) or real(df, name))
+    found = {r.code: r.depth for r in reshape.flatten_edges(edges, spark.createDataFrame([(0,)], "code long")).collect()}
+    assert found == {**{i: i for i in range(n)}, **{1000 + i: 1 for i in range(200)}}
+    assert steps.count("walk-step") <= 11
+    # two ways to a node give it twice; a cycle out of reach does no harm
+    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("x", "y"), ("y", "x"), ("e", None)], "code string, parent string")
+    assert rows(reshape.flatten_edges(edges, spark.createDataFrame([("a",)], "code string"))) == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("d", 2)]

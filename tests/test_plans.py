@@ -303,5 +303,31 @@ def test_quantiles_widen_their_brackets(spark, monkeypatch):
 
 def test_deep_guid_page_keeps_few_rows(spark):
     df = spark.range(20000).selectExpr("concat('reg.demo/', lpad(id, 8, '0')) AS guid")
-    kept, offset = paging.around_page(df, ("guid", False), 15000, 10)
+    kept, offset = paging.around_page(df, [("guid", False)], 15000, 10)
     assert kept.count() < 1000 and offset < 1000
+
+
+@pytest.mark.parametrize("order", [
+    [("s", False), ("v", True), ("id", False)], [("s", True), ("id", True)], [("v", False), ("id", False)], [("t", False), ("id", False)],
+    [("d", True), ("s", False), ("id", False)]])
+@pytest.mark.parametrize("heap", [0, 60])
+def test_cuts_on_all_sort_columns(spark, order, heap):
+    """A status of two thirds of all rows, nulls, NaN, texts that differ late, and ties that only the last column tells apart."""
+    df = spark.range(600).selectExpr(
+        "id", "CASE WHEN id % 3 < 2 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('s', id % 4) END AS s",
+        "CASE WHEN id % 11 = 0 THEN double('nan') WHEN id % 13 = 0 THEN NULL ELSE floor(id / 50) * 1.5 END AS v",
+        "concat('a long beginning of every text ', lpad(floor(id / 4), 5, '0')) AS t", "date_add(DATE'2020-01-01', int(id % 5)) AS d").repartition(2).cache()
+    whole = df.orderBy(*paging.sort_columns(order)).collect()
+    for offset, limit in ((250, 40), (590, 40)):
+        assert [r.id for r in page_of(df, order, offset, limit, heap_rows=heap).collect()] == [r.id for r in whole[offset:offset + limit]]
+    for offset in (250, 600):
+        assert [r.id for r in page_of(df, order, offset, heap_rows=heap).collect()] == [r.id for r in whole[offset:]]
+    if heap:
+        _, inside, _ = paging.cut(df, order, 300, heap)
+        assert df.filter(inside).count() <= heap
+
+
+def test_offset_without_limit_gathers_no_table(spark):
+    df = spark.range(5000).selectExpr("id", "id % 3 AS s")
+    plan = page_of(df, [("s", False), ("id", False)], 2000, heap_rows=50)._jdf.queryExecution().executedPlan().toString()
+    assert "CollectLimit" not in plan and "GlobalLimit" not in plan and "rangepartitioning" in plan

@@ -269,6 +269,29 @@ def order_deep_page(spark, sf_dir):
     return page_of(rows, order, 3000, 30, heap_rows=1000)
 
 
+@query("""
+SELECT o_orderstatus, o_totalprice, o_orderkey FROM orders
+ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 40 OFFSET (SELECT count(*) * 2 // 5 FROM orders)
+""")
+def status_deep_page(spark, sf_dir):
+    """A deep page inside a status that about half of all rows have."""
+    from cohortspark.operators.paging import page_of
+
+    rows = load(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice", "o_orderkey")
+    return page_of(rows, [("o_orderstatus", False), ("o_totalprice", True), ("o_orderkey", False)], rows.count() * 2 // 5, 40, heap_rows=500)
+
+
+@query("""
+SELECT o_orderstatus, o_orderkey FROM orders ORDER BY o_orderstatus DESC, o_orderkey OFFSET (SELECT count(*) // 3 FROM orders)
+""")
+def offset_only(spark, sf_dir):
+    """All rows but the first third."""
+    from cohortspark.operators.paging import page_of
+
+    rows = load(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey")
+    return page_of(rows, [("o_orderstatus", True), ("o_orderkey", False)], rows.count() // 3, heap_rows=500)
+
+
 @query(f"""WITH {CATALOG_SQL}
 SELECT key, version, name, total FROM catalog
 WHERE contains(lower(name), 'brand#1') AND total > 1 AND 'organ:' || organ = 'organ:blue'

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.session import scratch_path
-from cohortspark.sources import bundle, registry_tsv, sinks, study
+from cohortspark.operators import reshape, validation
+from cohortspark.sources import bundle, convert, registry_tsv, sinks, study
+from cohortspark.sources.file_digests import file_digests
 from cohortspark.operators.predicates import apply_filter
 from cohortspark.operators.ordered import row_numbers
 from cohortspark.operators.paging import page_of
-from cohortspark.operators import reshape
 from workloads import query
 from workloads.tables import load
 
 
 def _lines(rows: DataFrame, head: list[str], path: str) -> None:
-    """Text rows below some lines of a head, in one file."""
-    top = rows.sparkSession.createDataFrame([(i - len(head), line) for i, line in enumerate(head)], "_at long, value string")
-    lines = rows.select(F.lit(1).cast("long").alias("_at"), "value").unionByName(top)
-    lines.repartition(1).sortWithinPartitions("_at").select("value").write.text(path)
+    """Text rows, and some lines of a head in a file of their own, below one folder."""
+    top = rows.sparkSession.createDataFrame([(i, line) for i, line in enumerate(head)], "at int, value string")
+    top.coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    rows.select("value").write.mode("append").text(path)
 
 
 @query("""SELECT 'k' || n_regionkey AS key, n_name AS name, 'v1.' || n_nationkey AS version, count(c_custkey)::BIGINT AS total,
@@ -153,15 +156,89 @@ def row_numbers_nan(spark, sf_dir):
     return row_numbers(rows, ["g"], [("v", True), ("event_id", False)], "place", group_rows=100).select("event_id", "place")
 
 
-@query("""WITH RECURSIVE walk AS (SELECT 0::BIGINT AS code, 0::BIGINT AS depth
-  UNION ALL SELECT code + 1, depth + 1 FROM walk WHERE code + 1 < (SELECT least(count(*), 80) FROM customer))
+@query("""WITH RECURSIVE nodes AS (SELECT c_custkey AS code, c_custkey - 1 AS parent FROM customer),
+walk AS (SELECT code, 0::BIGINT AS depth FROM nodes WHERE code % 80 = 0
+  UNION ALL SELECT n.code, depth + 1 FROM walk w JOIN nodes n ON n.parent = w.code WHERE n.code % 80 > 0)
 SELECT code, depth FROM walk""")
 def deep_tree(spark, sf_dir):
-    """A chain of 80 customers, each the parent of the next."""
-    keys = load(spark, sf_dir, "customer").select((F.col("c_custkey") - 1).alias("code"))
-    chain = keys.filter((F.col("code") > 0) & (F.col("code") < 80)).withColumn("parent", F.col("code") - 1)
-    roots = keys.filter("code = 0").select("code")
-    return reshape.flatten_edges(chain, roots).select("code", F.col("depth").cast("long").alias("depth"))
+    """All customers in chains of 80, each the parent of the next."""
+    keys = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"))
+    chain = keys.filter(F.col("code") % 80 > 0).withColumn("parent", F.col("code") - 1)
+    return reshape.flatten_edges(chain, keys.filter(F.col("code") % 80 == 0)).select("code", F.col("depth").cast("long").alias("depth"))
+
+
+@query("""SELECT c_nationkey AS nation, sum(strlen(c_name) + 1)::BIGINT AS size, md5(string_agg(c_name || chr(10), '' ORDER BY c_name)) AS md5,
+  sha1(string_agg(c_name || chr(10), '' ORDER BY c_name)) AS sha1, sha256(string_agg(c_name || chr(10), '' ORDER BY c_name)) AS sha256
+FROM customer GROUP BY c_nationkey""")
+def digests_of_files(spark, sf_dir):
+    """Customers as one file per nation, digested in blocks of a thousand bytes."""
+    path = scratch_path(spark, "digested")
+    names = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("value"))
+    names.repartition("nation").sortWithinPartitions("nation", "value").write.partitionBy("nation").text(path)
+    found = file_digests(spark, f"{path}/nation=*/*.txt", block_bytes="1000", task_bytes="100000")
+    return found.select(F.regexp_extract("path", r"nation=(\d+)", 1).cast("int").alias("nation"), "size", "md5", "sha1", "sha256")
+
+
+@query("""SELECT 'sample' AS kind, 'S' || o_orderkey AS id, 'P' || o_custkey || '|' || c_mktsegment || '|' || round(o_totalprice * 100)::BIGINT AS detail
+FROM orders JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'event', 'S' || l_orderkey, count(*) || '|' || sum(l_quantity)::BIGINT FROM lineitem GROUP BY l_orderkey
+UNION ALL SELECT 'field', key, kind FROM (VALUES ('PATIENT_ID', 'STRING'), ('SAMPLE_ID', 'STRING'), ('PRICE', 'NUMBER'), ('SEGMENT', 'STRING'),
+  ('Sample_Id', 'STRING'), ('Quantity', 'NUMBER')) t(k, kind), (SELECT 1), LATERAL (SELECT CASE WHEN k = 'Sample_Id' OR k = 'Quantity' THEN 'sv:' || k
+  ELSE 'metadata:' || lower(k) END AS key)
+UNION ALL SELECT 'value', 'metadata:segment', c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment
+UNION ALL SELECT 'dataset', 'demo/v0.0.3', count(*)::VARCHAR FROM orders JOIN customer ON o_custkey = c_custkey""")
+def study_bundle(spark, sf_dir):
+    """A whole study of customers (patients), orders (samples) and line items (events) to a bundle, its tables and dictionaries
+    read back, and what the checks of bundles find in it (nothing)."""
+    raw, out = f"{scratch_path(spark, 'study')}/demo", scratch_path(spark, "bundles")
+    customer, orders, lines = (load(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    text = lambda *cells: F.concat_ws("\t", *[c if isinstance(c, Column) else F.col(c).cast("string") for c in cells]).alias("value")
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    nothing = spark.createDataFrame([], "value string")
+    _lines(nothing, ["cancer_study_identifier: demo", "name: Orders: a study", "groups: a;b"], f"{raw}/meta_study.txt")
+    _lines(customer.select(text(key("P", "c_custkey"), "c_mktsegment")),
+           ["#Patient\tSegment", "#Id\tMarket", "#STRING\tSTRING", "#1\t1", "PATIENT_ID\tSEGMENT"], f"{raw}/data_clinical_patient.txt")
+    samples = orders.join(customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    _lines(samples.select(text(key("P", "o_custkey"), key("S", "o_orderkey"), "o_totalprice")),
+           ["#Patient\tSample\tPrice", "#Id\tId\tTotal", "#STRING\tSTRING\tNUMBER", "#1\t1\t2", "PATIENT_ID\tSAMPLE_ID\tPRICE"],
+           f"{raw}/data_clinical_sample.txt")
+    lines.select(key("S", "l_orderkey").alias("Sample_Id"), F.col("l_quantity").alias("Quantity")).write.csv(
+        f"{raw}/data_sv.txt", sep="\t", header=True)
+    _lines(nothing, ["stable_id: sv", "genetic_alteration_type: STRUCTURAL_VARIANT", "profile_description: lines"], f"{raw}/meta_sv.txt")
+    path = convert.convert_study(spark, raw, out, "v0.0.3", uploader="u")
+    data = bundle.Dataset(spark, out, "demo", "v0.0.3")
+    row = lambda kind, name, detail: (F.lit(kind).alias("kind"), name.alias("id"), detail.alias("detail"))
+    cents = F.round(F.col("price") * 100).cast("long").cast("string")
+    rows = data.metadata().data.select(*row("sample", F.col("sample_id"), F.concat_ws("|", "patient_id", "segment", cents)))
+    events = data.table("sv").data.groupBy("Sample_Id").agg(F.count("*").alias("n"), F.sum("Quantity").cast("long").alias("q"))
+    rows = rows.unionByName(events.select(*row("event", F.col("Sample_Id"), F.concat_ws("|", F.col("n").cast("string"), F.col("q").cast("string")))))
+    patterns = {f"{path}/*_dictionary.json": 1, f"{path}/datafiles/*_dictionary.json": 2}
+    fields = reduce(DataFrame.unionByName, [bundle.read_dictionaries(spark, p, depth) for p, depth in patterns.items()])
+    name = F.concat_ws(":", "table", "key")
+    rows = rows.unionByName(fields.select(*row("field", name, F.col("data_type"))))
+    values = bundle.read_allowed_values(spark, f"{path}/metadata_dictionary.json").filter("key = 'segment'")
+    rows = rows.unionByName(values.select(*row("value", name, F.col("value"))))
+    datasets = bundle.scan_datasets(spark, out)
+    rows = rows.unionByName(datasets.select(*row("dataset", F.col("bundle"), F.col("total").cast("string"))))
+    listing = bundle.bundle_listing(spark, out)
+    files = listing.select("bundle", F.regexp_replace("file", r"(\.parquet|\.json|\.tsv)/[^/]+$", "$1").alias("file")).distinct()
+    tables = fields.select("bundle", F.regexp_replace("table", "^metadata$", "metadata_table").alias("table")).distinct()
+    columns = bundle.parquet_columns(
+        bundle.list_files(spark, f"{path}/datafiles/sv.parquet").withColumn("bundle", F.lit("sv"))).groupBy("bundle").agg(F.collect_list("column").alias("columns"))
+    described = tables.filter("table = 'sv'").join(columns, F.col("table") == columns["bundle"], "left").select(
+        tables["bundle"], "table", F.lit("Sample_Id").alias("id_column"), "columns")
+    own = fields.filter("table = 'sv'")
+    flat = registry_tsv.read_flat(spark, f"{path}/datafile.tsv").withColumn("bundle", F.lit("demo/v0.0.3"))
+    problems = [
+        validation.incomplete_bundles(files, datasets).select("bundle", "problem"),
+        validation.table_problems(described, own).select("bundle", "problem"),
+        validation.unreadable_datafiles(flat).select("bundle", "problem"),
+        validation.missing_columns(own.select(F.col("table").alias("bundle"), "key"), bundle.parquet_columns(
+            bundle.list_files(spark, f"{path}/datafiles/sv.parquet").withColumn("bundle", F.lit("sv")))).select("bundle", F.col("key").alias("problem")),
+    ]
+    for found in problems:
+        rows = rows.unionByName(found.select(*row("problem", F.col("bundle"), F.col("problem"))))
+    return rows
 
 
 @query("""SELECT 'reg.demo/' || lpad(o_orderkey::VARCHAR, 12, '0') AS guid FROM orders
