@@ -9,9 +9,11 @@ longest path.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
-from cohortspark.llm.common import written
+from cohortspark.llm.common import written as kept
 
 
 def _sizes(edges: DataFrame) -> tuple:
@@ -19,8 +21,8 @@ def _sizes(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b); the component is its smallest node."""
+def components(edges: DataFrame, written: Callable[[DataFrame, str], DataFrame] = kept) -> DataFrame:
+    """(node, component) for every node of ``edges`` (a, b); the component is its smallest node. ``written`` stores steps."""
     pair = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     edges = written(
         edges.select(pair(F.col("a"), F.col("b")).alias("e")).select("e.a", "e.b").where("a > b").distinct(), "edges")

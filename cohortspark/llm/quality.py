@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortspark.llm.common import map_batches, written
+from cohortspark.llm.common import map_batches, quoted, written
 
 ALPHA, GAMMA = 0.3, 0.005
 THRESHOLD = 0.3
@@ -183,4 +183,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             if rows:
                 yield batch.filter(pa.array(model.score(np.array(rows, np.float64)) >= threshold))
 
-    return map_batches(docs, run, docs.schema)
+    # other columns travel in a struct, as their names may be of any kind
+    rows = docs.select("text", F.struct(*[quoted(c) for c in docs.columns if c != "text"]).alias("rest"))
+    good = map_batches(rows, run, rows.schema)
+    return good.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])

@@ -29,8 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from cohortspark.llm.common import map_batches, text_or_empty, written
+from cohortspark.llm.common import Scratch, map_batches, quoted, text_or_empty, tidy, written
 
 #: Documents in the sample that shows frequent anchors, and the share of them that makes an anchor frequent.
 SAMPLE_DOCS, FREQUENT = 4000, 0.01
@@ -165,13 +166,13 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 def packed(docs: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, text_key and the compressed text, for joins that must move texts; ``carry``: and a struct of all other
     columns of ``docs``."""
-    rows, schema = with_key(docs), "doc_id long, text_key long, z binary"
+    rows = with_key(docs)
+    fields = [StructField("doc_id", LongType()), StructField("text_key", LongType()), StructField("z", BinaryType())]
     if carry:
-        rest = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
         text = text_or_empty("text")
         rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"),
-                           F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
-        schema = f"{schema}, rest {rest.schema['rest'].dataType.simpleString()}"
+                           F.struct(*[quoted(c) for c in docs.columns if c != "text"]).alias("rest"))
+        fields.append(rows.schema["rest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
@@ -180,7 +181,7 @@ def packed(docs: DataFrame, carry: bool = False) -> DataFrame:
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(map(packer.compress, _texts(batch)), pa.binary()),
                  *([batch.column("rest")] if carry else [])], names=["doc_id", "text_key", "z", *["rest"] * carry])
 
-    return map_batches(rows, run, schema)
+    return map_batches(rows, run, StructType(fields))
 
 
 def unpacked(column: pa.Array) -> list[bytes]:
@@ -403,20 +404,22 @@ def _spans(bucketed: DataFrame, spec: Repeats) -> DataFrame:
              pa.array(np.where(kind == LEFT_FREQUENT, context[rows], np.uint64(0)).view(np.int64))],
             names=["doc_id", "text_key", "start", "end", "kind", "anchor", "context"])
 
-    return bucketed.repartition("bucket").mapInArrow(run, SPANS)
+    return bucketed.repartition("bucket").mapInArrow(tidy(run), SPANS)
 
 
-def _settled(spans: DataFrame, spec: Repeats) -> DataFrame:
+def _settled(spans: DataFrame, spec: Repeats, scratch: Scratch) -> DataFrame:
     """Spans in which the contexts of frequent anchors, first of their bucket so far, are the first of all or covered;
     those of anchors with one context alone are left out."""
     hot = spans.where(F.col("kind") == LEFT_FREQUENT)
     place = F.struct("doc_id", "text_key", "start") if spec.in_order else F.col("doc_id")
-    first = hot.groupBy("anchor", "context").agg(F.min(place).alias("first"))
-    several = first.groupBy("anchor").agg(F.count("*").alias("contexts"))
+    # stored: a join straight above an aggregate could not be split where one context is very frequent
+    first = scratch.written(hot.groupBy("anchor", "context").agg(F.min(place).alias("first")), "first-places")
+    several = scratch.written(first.groupBy("anchor").agg(F.count("*").alias("contexts")), "contexts")
     met = hot.join(first, ["anchor", "context"]).join(several, "anchor")
     later = place > F.col("first")
     met = met.where(later | (F.col("contexts") > 1)).withColumn("kind", F.when(later, COVERED).otherwise(LEFT_FREQUENT))
-    return spans.where(F.col("kind") != LEFT_FREQUENT).unionByName(written(met.select(*spans.columns), "frequent-spans"))
+    return spans.where(F.col("kind") != LEFT_FREQUENT).unionByName(
+        scratch.written(met.select(*spans.columns), "frequent-spans"))
 
 
 # ---- 3. windows that are left ----------------------------------------------------------------------------------
@@ -470,7 +473,7 @@ def _windows(docs: DataFrame, spans: DataFrame, spec: Repeats) -> DataFrame:
                      part.column("text_key").take(pa.array(row)), pa.array((lo - bases[row]).astype(np.int32)),
                      pa.array(runs, pa.binary())], names=["anchor", "kind", "doc_id", "text_key", "start", "tokens"])
 
-    return met.select("doc_id", "text_key", "z", "covered", "left").mapInArrow(run, WINDOWS)
+    return met.select("doc_id", "text_key", "z", "covered", "left").mapInArrow(tidy(run), WINDOWS)
 
 
 def window_rows(spec: Repeats, starts: np.ndarray, lengths: np.ndarray, tokens: np.ndarray):
@@ -515,10 +518,10 @@ def _resolved(windows: DataFrame, spec: Repeats) -> DataFrame:
                 [pa.array(rows["doc"][which]), pa.array(rows["key"][which]), pa.array(start.astype(np.int32)),
                  pa.array(end.astype(np.int32))], names=["doc_id", "text_key", "start", "end"])
 
-    return windows.repartition("anchor").mapInArrow(run, FOUND)
+    return windows.repartition("anchor").mapInArrow(tidy(run), FOUND)
 
 
-def _resolved_frequent(windows: DataFrame, spec: Repeats) -> DataFrame:
+def _resolved_frequent(windows: DataFrame, spec: Repeats, scratch: Scratch) -> DataFrame:
     """The windows of frequent anchors, each resolved by the earliest place of its content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -531,10 +534,11 @@ def _resolved_frequent(windows: DataFrame, spec: Repeats) -> DataFrame:
                  batch.column("text_key").take(pa.array(row)), pa.array(start.astype(np.int32))],
                 names=["window", "doc_id", "text_key", "start"])
 
-    rows = windows.mapInArrow(run, "window long, doc_id long, text_key long, start int")
+    rows = windows.mapInArrow(tidy(run), "window long, doc_id long, text_key long, start int")
     place = F.struct("doc_id", "text_key", "start") if spec.in_order else F.col("doc_id")
     first = rows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    again = rows.join(first.select("window", "first"), "window").where(place > F.col("first"))
+    first = scratch.written(first.select("window", "first"), "first-windows")
+    again = rows.join(first, "window").where(place > F.col("first"))
     return again.select("doc_id", "text_key", "start", (F.col("start") + spec.width).alias("end"))
 
 
@@ -549,22 +553,31 @@ def _release(*frames: DataFrame) -> None:
 
 
 def removed_spans(docs: DataFrame, spec: Repeats) -> DataFrame:
-    """doc_id, text_key, spans: an array of (start, end) that may overlap, of documents that lose something."""
+    """doc_id, text_key, spans: an array of (start, end) that may overlap, of documents that lose something.
+
+    Only these rows stay in the shared folder.
+    """
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     spark = docs.sparkSession
+    scratch = Scratch(spark, "repeats")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, (size["bytes"] or 0) // BUCKET_BYTES + 1)
     frequent = _frequent(docs, spec, size.n)
-    spans = _settled(written(_spans(_bucketed(docs, spec, buckets, frequent), spec), "context-spans"), spec)
+    spans = scratch.written(_spans(_bucketed(docs, spec, buckets, frequent), spec), "context-spans")
     _release(spans)
-    windows = written(_windows(docs, spans, spec), "left-windows")
+    spans = _settled(spans, spec, scratch)
+    windows = scratch.written(_windows(docs, spans, spec), "left-windows")
     _release(windows)
     fine = _resolved(windows.where(F.col("kind") == LEFT).select("anchor", "doc_id", "text_key", "start", "tokens"), spec)
     coarse = _resolved_frequent(
-        windows.where(F.col("kind") == LEFT_FREQUENT).select("doc_id", "text_key", "start", "tokens"), spec)
+        windows.where(F.col("kind") == LEFT_FREQUENT).select("doc_id", "text_key", "start", "tokens"), spec, scratch)
     whole = spans.where(F.col("kind") == COVERED).select("doc_id", "text_key", "start", "end")
     found = whole.unionByName(fine).unionByName(coarse)
-    return found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = written(
+        found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "removed-spans")
+    scratch.remove()
+    _release(found)
+    return found
 
 
 def cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -581,8 +594,8 @@ def apply_spans(docs: DataFrame, spans: DataFrame, cut: Callable, schema: str, c
     moved = packed(docs, carry)
     met = moved.join(spans, ["doc_id", "text_key"], "left")
     kept = ["doc_id", *["rest"] * carry]
-    given = ", ".join(f"{n} {moved.schema[n].dataType.simpleString()}" for n in kept)
     names = [field.split()[0] for field in schema.split(", ")]
+    full = StructType([*(moved.schema[n] for n in kept), *StructType.fromDDL(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -597,4 +610,4 @@ def apply_spans(docs: DataFrame, spans: DataFrame, cut: Callable, schema: str, c
             yield pa.RecordBatch.from_pydict(
                 {**{n: batch.column(n) for n in kept}, **values})
 
-    return met.select(*kept, "z", "spans").mapInArrow(run, f"{given}, {schema}")
+    return met.select(*kept, "z", "spans").mapInArrow(tidy(run), full)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortspark.llm.common import map_batches, written
+from cohortspark.llm.common import if_small, map_batches, written
 from cohortspark.llm.components import components
 
 RADIUS = 3
@@ -189,10 +189,22 @@ def text_key():
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of every component its first document, and all documents without an id."""
-    first = groups.where("doc_id IS NOT NULL").groupBy("component_id").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("first")).select(
-        F.col("first.doc_id").alias("_doc"), F.col("first.text_key").alias("_key"))
+    """The rows of ``docs`` that stay: of every component its first document, and all documents without an id.
+
+    The keys that go, and those of repeated rows, are stored first: they are few beside the texts, which then meet them in
+    an anti join and move only if the keys are too many to be broadcast (``common.BROADCAST_BYTES``).
+    """
+    members = groups.where("doc_id IS NOT NULL").select("doc_id", "text_key", "component_id")
+    place = F.struct("doc_id", "text_key")
+    first = written(members.groupBy(F.col("component_id").alias("_component")).agg(F.min(place).alias("first")), "components-first")
+    keys = members.join(first, F.col("component_id") == F.col("_component")).groupBy("doc_id", "text_key").agg(
+        F.count("*").alias("rows"), F.min((place == F.col("first")).cast("int")).alias("stays"))
+    special = written(keys.where("rows > 1 OR stays = 0").select(
+        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "stays"), "components-rest")
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), text_key().alias("_key"), F.struct("*").alias("_row"))
-    met = rows.join(first, ["_doc", "_key"]).dropDuplicates(["_doc", "_key"]).select("_row.*")
-    return met.unionByName(docs.where("doc_id IS NULL"))
+    kept = rows.join(if_small(special.select("_doc", "_key")), ["_doc", "_key"], "left_anti").select("_row.*")
+    again = special.where("stays = 1").select("_doc", "_key")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(
+        rows.join(if_small(again), ["_doc", "_key"], "left_semi").dropDuplicates(["_doc", "_key"]).select("_row.*"))

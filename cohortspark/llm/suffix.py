@@ -252,4 +252,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = repeats.apply_spans(docs, repeats.removed_spans(docs, SPEC), _kept_text, "kept string", carry=True)
     return rows.select(*[
         F.col("kept").alias("text") if c == "text" else F.length("kept").cast("long").alias("n_chars") if c == "n_chars"
-        else F.col("rest")[c].alias(c) for c in docs.columns])
+        else F.col("rest").getField(c).alias(c) for c in docs.columns])

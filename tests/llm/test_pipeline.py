@@ -8,7 +8,8 @@ import pytest
 import corpus_pipeline
 from cohortspark.llm import mixing, packing, quality, queries
 from cohortspark.llm.common import table, written
-from tests.llm.test_documents import brute_components, brute_simhash, check_packing
+from tests.llm.test_documents import check_packing
+from tests.llm.test_near_copies import brute_copies
 from tests.llm.test_repeats import removed_bytes
 
 SF = "/root/testdata/sf0.001"
@@ -42,8 +43,10 @@ def test_quality_stage(stages, spark):
 
 
 def test_near_dedup_stage(stages):
+    """All pairs by the likeness of their five-word shingles, then the first document of every linked group."""
     before = rows_of(stages["quality"])
-    groups = brute_components({d: brute_simhash(r.text) for d, r in before.items()})
+    groups = brute_copies({d: r.text for d, r in before.items()})
+    assert len(set(groups.values())) < len(before)
     assert set(rows_of(stages["near_dedup"])) == set(groups.values())
 
 
@@ -86,3 +89,19 @@ def test_run_gives_the_last_stage(stages, spark):
     got = corpus_pipeline.run(spark, SF).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
     want = stages["pack"].select("doc_id", "piece", "start", "length", "ids_crc32").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns, with names that are no identifiers or that stages use themselves, pass all stages but the last."""
+    from pyspark.sql import functions as F
+
+    names = ["my col", "a:b", "a-b", "x`y", "dot.ted", "rest", "z", "kept", "spans", "covered", "left", "start", "end", "anchor",
+             "kind", "context", "_doc", "_key", "_row", "node", "group", "text_key", "component_id", "bucket", "block", "stays"]
+    docs = table(spark, SF, "documents").where("doc_id < 60")
+    docs = docs.select("*", *[F.col("doc_id").cast("string").alias(n) for n in names], F.struct("lang", "source").alias("a struct"))
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, out, SF), f"named-{name}")
+        assert out.columns == docs.columns, name
+    rows = out.select("doc_id", "lang", *[F.col(f"`{n.replace('`', '``')}`") for n in names], F.col("`a struct`.lang").alias("inner")).collect()
+    assert rows and all(r.inner == r.lang and all(r[2 + i] == str(r.doc_id) for i in range(len(names))) for r in rows)
