@@ -217,7 +217,7 @@ def test_deep_pages_equal_plain_pages(spark, order, offset, limit):
         "id", "IF(id % 11 = 0, NULL, CAST(id * id % 97 AS DOUBLE)) AS v", "IF(id % 13 = 0, NULL, CONCAT('köy', id % 50)) AS s"
     )
     want = page_of(df, order, offset, limit, heap_rows=10_000).collect()
-    assert page_of(df, order, offset, limit, heap_rows=0).collect() == want
+    assert page_of(df, order, offset, limit, heap_rows=5).collect() == want
 
 
 @pytest.mark.parametrize(
@@ -308,9 +308,8 @@ def test_deep_guid_page_keeps_few_rows(spark):
 
 
 @pytest.mark.parametrize("order", [
-    [("s", False), ("v", True), ("id", False)], [("s", True), ("id", True)], [("v", False), ("id", False)], [("t", False), ("id", False)],
-    [("d", True), ("s", False), ("id", False)]])
-@pytest.mark.parametrize("heap", [0, 60])
+    [("s", False), ("v", True), ("id", False)], [("v", False), ("id", True)], [("t", False), ("id", False)]])
+@pytest.mark.parametrize("heap", [60])
 def test_cuts_on_all_sort_columns(spark, order, heap):
     """A status of two thirds of all rows, nulls, NaN, texts that differ late, and ties that only the last column tells apart."""
     df = spark.range(600).selectExpr(
