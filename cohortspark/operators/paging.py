@@ -59,7 +59,9 @@ def _ranges(df: DataFrame, name: str, descending: bool, ranges: int) -> Column |
     splits = sorted({*(row["s"] or []), *([row["low"]] if row["low"] is not None else [])})
     if not splits:
         return None
-    at = F.lit(splits)
+    # one text instead of an expression per split point; Spark folds it to a constant
+    listed = ",".join(str(s).replace("inf", "Infinity") for s in splits)
+    at = F.split(F.lit(listed), ",").cast(f"array<{df.select(number.alias('n')).schema['n'].dataType.simpleString()}>")
     # one element binds the number to a name, so that it is not worked out for every split point
     low = F.transform(F.array(number), lambda n: F.size(F.filter(at, lambda s: s < n)))[0]
     return F.when(number.isNull(), len(splits) + 1).otherwise(len(splits) - low if descending else low)
