@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortspark.functions import names
+from cohortspark.operators.inequality import compared
 from cohortspark.operators.paging import page
 from cohortspark.operators.predicates import apply_filter
 from cohortspark.operators.ranking import rank_by_filter, rank_by_similarity, search_catalog
@@ -251,6 +252,34 @@ def theta_join(spark, sf_dir):
     })
 
 
+@query("""
+SELECT c_custkey, count(s_suppkey)::BIGINT AS suppliers, sum(round(s_acctbal * 100)::BIGINT)::BIGINT AS cents,
+       min(s_name) AS first_name, max(s_acctbal) AS richest
+FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey AND s_acctbal > c_acctbal GROUP BY c_custkey
+""")
+def theta_join_totals(spark, sf_dir):
+    """The pairs of ``theta_join`` counted and summed per customer, without producing them."""
+    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    suppliers = load(spark, sf_dir, "supplier").withColumn("cents", F.round(F.col("s_acctbal") * 100).cast("long"))
+    found = compared(customers, suppliers, {"c_nationkey": "s_nationkey"}, ("c_acctbal", "<", "s_acctbal"), {
+        "suppliers": ("count", None), "cents": ("sum", "cents"), "first_name": ("min", "s_name"), "richest": ("max", "s_acctbal")})
+    return found.drop("c_nationkey", "c_acctbal")
+
+
+@query("""
+WITH d AS (SELECT o_orderdate, count(*) AS n, min(o_totalprice) AS cheapest FROM orders GROUP BY 1),
+r AS (SELECT o_orderdate, sum(n) OVER w AS n, min(cheapest) OVER w AS cheapest FROM d
+      WINDOW w AS (ORDER BY o_orderdate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT o_orderkey, r.n::BIGINT AS so_far, r.cheapest FROM orders JOIN r USING (o_orderdate)
+""")
+def orders_so_far(spark, sf_dir):
+    """Per order how many orders there were up to its date, and the cheapest: one group of all rows, cut into ranges."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    found = compared(orders, orders, {}, ("o_orderdate", ">=", "o_orderdate"), {
+        "so_far": ("count", None), "cheapest": ("min", "o_totalprice")}, group_rows=200)
+    return found.select("o_orderkey", "so_far", "cheapest")
+
+
 @query("SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
 def order_page(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
