@@ -2,7 +2,7 @@
 
 A group can be a large part of a table, so none of these sorts a whole large group in one task.
 Each operator first looks at how large its groups are (one cheap, partially aggregated job). Small
-groups take the plain window or aggregate. Otherwise groups are cut into value ranges: split points
+groups take the plain window or aggregate. Large groups are cut into value ranges: split points
 come from a sketch, every range is sorted on its own, and per-range totals carry the prefix over.
 The sketch only decides where to cut; results are exact on both ways.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -98,10 +99,23 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
 
 
-def most_values(df: DataFrame, keys: Sequence[str], column: str) -> int:
-    """About how many distinct values the richest group has, from a sketch per group."""
-    values = df.groupBy(*keys).agg(F.approx_count_distinct(column).alias("n"))
-    return values.agg(F.max("n").alias("n")).first()["n"] or 0
+def by_richness(
+    df: DataFrame, keys: Sequence[str], column: str, limit: int
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of groups with about ``limit`` distinct values at most, and rows of richer groups; None where there is no group.
+
+    Only where both kinds occur are the keys of the rich groups stored; they are few, as each has more than ``limit`` values.
+    """
+    values = df.groupBy(*keys).agg(F.approx_count_distinct(column).alias("_values"))
+    span = values.agg(F.max("_values").alias("most"), F.min("_values").alias("least")).first()
+    if (span["most"] or 0) <= limit:
+        return df, None
+    if span["least"] > limit:
+        return None, df
+    names = [F.col(k).alias(f"_k_{k}") for k in keys]
+    rich = written(values.filter(F.col("_values") > limit).select(*names), "rich-groups")
+    condition = same_keys(df, rich, keys, "_k_")
+    return df.join(rich, condition, "left_anti"), df.join(rich, condition, "left_semi")
 
 
 def range_splits(df: DataFrame, keys: Sequence[str], number: Column, ranges: int = RANGES) -> DataFrame:
@@ -195,14 +209,32 @@ def quantiles(
     element at position floor(np) of the sorted values. Null values are left out.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    bracketed = False
-    if most_values(rows, keys, "_v") <= group_values:
-        if rule == "linear":
-            found = rows.groupBy(*keys).agg(F.percentile("_v", list(wanted.values())).alias("_q"))
-            return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(wanted)])
-        placed = _value_positions(rows, keys)
+    few, many = by_richness(rows, keys, "_v", group_values)
+    parts = []
+    if few is not None:
+        parts.append(_quantiles_of(few, keys, wanted, rule, group_values, accuracy, bracketed=False))
+    if many is not None:
+        parts.append(_quantiles_of(many, keys, wanted, rule, group_values, accuracy, bracketed=True))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _quantiles_of(
+    rows: DataFrame,
+    keys: Sequence[str],
+    wanted: Mapping[str, float],
+    rule: str,
+    group_values: int,
+    accuracy: int,
+    bracketed: bool,
+) -> DataFrame:
+    """Quantiles of the values ``_v``; all groups take the one way or the other."""
+    if bracketed:
+        placed = _bracket_positions(rows, keys, list(wanted.values()), accuracy)
+    elif rule == "linear":
+        found = rows.groupBy(*keys).agg(F.percentile("_v", list(wanted.values())).alias("_q"))
+        return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(wanted)])
     else:
-        placed, bracketed = _bracket_positions(rows, keys, list(wanted.values()), accuracy), True
+        placed = _value_positions(rows, keys)
 
     def at(i: int, position: Column) -> Column:
         inside = (position >= F.col("_end") - F.col("_c")) & (position < F.col("_end"))
@@ -237,8 +269,8 @@ def quantiles(
     again = out.filter("_missed").select(*[F.col(k).alias(f"_k_{k}") for k in keys])
     if again.isEmpty():
         return interpolated(out)
-    rest = df.join(again, same_keys(df, again, keys, "_k_"), "left_semi") if keys else df
-    wider = quantiles(rest, keys, value, wanted, rule, group_values, max(accuracy // 8, 1))
+    rest = rows.join(again, same_keys(rows, again, keys, "_k_"), "left_semi") if keys else rows
+    wider = quantiles(rest, keys, "_v", wanted, rule, group_values, max(accuracy // 8, 1))
     return interpolated(out.filter("NOT _missed")).unionByName(wider)
 
 

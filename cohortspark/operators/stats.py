@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortspark.functions.scalars import display_number, percent_of
-from cohortspark.operators.ordered import GROUP_VALUES, attach, attach_stored, most_values, quantiles
+from cohortspark.operators.ordered import GROUP_VALUES, attach, attach_stored, by_richness, quantiles
 from cohortspark.operators.versions import latest
 
 BIN_WIDTH = 10
@@ -83,11 +84,14 @@ def grouped_stats(
         F.max("_y").alias("max"),
         F.stddev_pop("_y").alias("std"),
     ]
-    if most_values(rows, ["group"], "_y") <= group_values:
-        out = rows.groupBy("group").agg(*measures, F.percentile("_y", 0.5).alias("median"))
-    else:
-        medians = quantiles(rows, ["group"], "_y", {"median": 0.5}, group_values=group_values, **sketch)
-        out = attach(rows.groupBy("group").agg(*measures), medians, ["group"])
+    few, many = by_richness(rows, ["group"], "_y", group_values)
+    parts = []
+    if few is not None:
+        parts.append(few.groupBy("group").agg(*measures, F.percentile("_y", 0.5).alias("median")))
+    if many is not None:
+        medians = quantiles(many, ["group"], "_y", {"median": 0.5}, group_values=group_values, **sketch)
+        parts.append(attach(many.groupBy("group").agg(*measures), medians, ["group"]))
+    out = reduce(DataFrame.unionByName, parts)
     columns = ["mean", "median", "min", "max", "std"]
     return out.select("group", "count", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
 

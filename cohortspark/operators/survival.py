@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -11,8 +12,8 @@ from cohortspark.operators.ordered import (
     GROUP_ROWS,
     RANGES,
     attach_stored,
+    by_richness,
     earlier_ranges,
-    most_values,
     quantiles,
     range_splits,
     with_range,
@@ -38,44 +39,18 @@ def curve(
     """Survival after each distinct time, with a start row (time 0, survival 1) per group.
 
     ``at_risk`` counts the subjects left after that time. Events come before censorings at a tie.
-    Subjects are first aggregated per (group, time), so windows run over times, not subjects; a
-    group with very many times is cut into time ranges.
+    Subjects are first aggregated per (group, time), so windows run over times, not subjects; only
+    groups with very many times are cut into time ranges.
     """
     keys = list(keys)
-    times = rows.groupBy(*keys, "time").agg(
-        F.sum("event").alias("events"), F.count(F.lit(1)).alias("subjects")
-    )
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("at_risk"))
-    if most_values(rows, keys, "time") <= group_times:
-        up_to = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*keys)
-        left = times.withColumn("_before", F.sum("subjects").over(whole) - F.sum("subjects").over(up_to))
-        left = left.withColumn("_before", F.col("_before") + F.col("subjects"))
-        steps = left.withColumn(
-            "survival", F.product(1 - F.col("events") / F.col("_before")).over(up_to)
-        )
-    else:
-        # used several times below: written once, so that the rows are not read again for each use
-        splits = range_splits(rows, keys, F.col("time"), ranges)
-        ranged = written(with_range(times, splits, keys, F.col("time"), ranges), "survival-times")
-        sizes = ranged.groupBy(*keys, "_range").agg(F.sum("subjects").alias("_n"))
-        later = Window.partitionBy(*keys).orderBy("_range").rowsBetween(0, Window.unboundedFollowing)
-        starts = sizes.select(*keys, "_range", F.sum("_n").over(later).alias("_start"))
-        ranged = attach_stored(ranged, starts, [*keys, "_range"], "survival-starts")
-        inside = (
-            Window.partitionBy(*keys, "_range").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-        )
-        gone = F.sum("subjects").over(inside) - F.col("subjects")
-        left = ranged.withColumn("_before", F.col("_start") - gone)
-        factor = 1 - F.col("events") / F.col("_before")
-        local = written(left.withColumn("_local", F.product(factor).over(inside)), "survival-ranges")
-        # factors are at most 1, so the smallest running product of a range is its last one
-        per_range = local.groupBy(*keys, "_range").agg(F.min("_local").alias("_p"))
-        earlier = F.coalesce(F.product("_p").over(earlier_ranges(keys)), F.lit(1.0))
-        carried = per_range.select(*keys, "_range", earlier.alias("_earlier"))
-        steps = attach_stored(local, carried, [*keys, "_range"], "survival-carried").withColumn(
-            "survival", F.col("_earlier") * F.col("_local")
-        )
+    few, many = by_richness(rows, keys, "time", group_times)
+    parts = []
+    if few is not None:
+        parts.append(_plain_steps(_times(few, keys), keys))
+    if many is not None:
+        parts.append(_ranged_steps(many, keys, ranges))
+    steps = reduce(DataFrame.unionByName, parts)
     columns = [*keys, "time", "survival", "events", "at_risk"]
     start = groups.select(
         *keys,
@@ -88,6 +63,43 @@ def curve(
     return start.unionByName(after.select(*columns))
 
 
+def _times(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*keys, "time").agg(F.sum("event").alias("events"), F.count(F.lit(1)).alias("subjects"))
+
+
+def _plain_steps(times: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Steps of groups whose times fit one task; ``_before`` counts the subjects left before a time."""
+    up_to = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    left = times.withColumn("_before", F.sum("subjects").over(whole) - F.sum("subjects").over(up_to))
+    left = left.withColumn("_before", F.col("_before") + F.col("subjects"))
+    steps = left.withColumn("survival", F.product(1 - F.col("events") / F.col("_before")).over(up_to))
+    return steps.select(*keys, "time", "survival", "events", "subjects", "_before")
+
+
+def _ranged_steps(rows: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
+    """The same of groups with very many times, each cut into time ranges."""
+    # used several times below: written once, so that the rows are not read again for each use
+    splits = range_splits(rows, keys, F.col("time"), ranges)
+    ranged = written(with_range(_times(rows, keys), splits, keys, F.col("time"), ranges), "survival-times")
+    sizes = ranged.groupBy(*keys, "_range").agg(F.sum("subjects").alias("_n"))
+    later = Window.partitionBy(*keys).orderBy("_range").rowsBetween(0, Window.unboundedFollowing)
+    starts = sizes.select(*keys, "_range", F.sum("_n").over(later).alias("_start"))
+    ranged = attach_stored(ranged, starts, [*keys, "_range"], "survival-starts")
+    inside = Window.partitionBy(*keys, "_range").orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    gone = F.sum("subjects").over(inside) - F.col("subjects")
+    left = ranged.withColumn("_before", F.col("_start") - gone)
+    factor = 1 - F.col("events") / F.col("_before")
+    local = written(left.withColumn("_local", F.product(factor).over(inside)), "survival-ranges")
+    # factors are at most 1, so the smallest running product of a range is its last one
+    per_range = local.groupBy(*keys, "_range").agg(F.min("_local").alias("_p"))
+    earlier = F.coalesce(F.product("_p").over(earlier_ranges(keys)), F.lit(1.0))
+    carried = per_range.select(*keys, "_range", earlier.alias("_earlier"))
+    steps = attach_stored(local, carried, [*keys, "_range"], "survival-carried")
+    survival = (F.col("_earlier") * F.col("_local")).alias("survival")
+    return steps.select(*keys, "time", survival, "events", "subjects", "_before")
+
+
 def kaplan_meier(df: DataFrame, time: str, status: str, **limits: int) -> DataFrame:
     """One curve over the whole table."""
     return curve(survival_rows(df, time, status), **limits)

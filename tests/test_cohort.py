@@ -3,9 +3,10 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortspark.operators import merge, stats, survival
-from cohortspark.operators.ordered import quantiles, row_numbers
+from cohortspark.operators.ordered import by_richness, quantiles, row_numbers
 
 
 @pytest.fixture(scope="module")
@@ -262,3 +263,19 @@ def test_endpoints(spark):
     assert {r["endpoint"]: r["count"] for r in found.groupBy("endpoint").count().collect()} == {"os": 3, "dfs": 2}
     with pytest.raises(ValueError):
         survival.kaplan_meier_endpoints(df.select("os_months"))
+
+
+def test_rich_groups_alone_take_the_ranged_way(spark):
+    rows = [("rich", float(i)) for i in range(500)] + [("poor", float(i % 7)) for i in range(90)] + [(None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    few, many = by_richness(df, ["g"], "v", 100)
+    assert {r.g for r in few.collect()} == {"poor", None} and {r.g for r in many.collect()} == {"rich"}
+    assert by_richness(df, ["g"], "v", 10**6)[1] is None and by_richness(df, ["g"], "v", 0)[0] is None
+    assert by_richness(df.limit(0), ["g"], "v", 0)[1] is None
+    for rule in ("linear", "hazen", "upper"):
+        want = sorted(map(str, quantiles(df, ["g"], "v", {"a": 0.3, "b": 0.9}, rule=rule).collect()))
+        assert sorted(map(str, quantiles(df, ["g"], "v", {"a": 0.3, "b": 0.9}, rule=rule, group_values=100, accuracy=50).collect())) == want
+    events = df.select(F.lit(1).alias("dead"), "v", "g")
+    curves = [sorted((r.group, r.time, round(r.survival, 9), r.events, r.at_risk)
+                     for r in survival.kaplan_meier_by(events, "v", "dead", "g", group_times=n, ranges=8).collect()) for n in (100, 10**6)]
+    assert curves[0] == curves[1]

@@ -183,6 +183,18 @@ def grouped_stats_large_groups(spark, sf_dir):
     return _rounded(stats.grouped_stats(rows, "l_returnflag", "l_extendedprice", group_values=0, accuracy=500))
 
 
+@query("""SELECT CASE WHEN l_quantity <= 40 THEN 0 ELSE l_quantity END AS "group", count(*)::BIGINT AS count,
+       round(avg(l_extendedprice), 6) AS mean, round(median(l_extendedprice), 6) AS median, min(l_extendedprice) AS min,
+       max(l_extendedprice) AS max, round(stddev_pop(l_extendedprice), 6) AS std
+FROM lineitem GROUP BY 1""")
+def grouped_stats_mixed_groups(spark, sf_dir):
+    """One group with most of the rows beside ten small ones: only the large one is cut into brackets."""
+    quantity = F.when(F.col("l_quantity") <= 40, 0.0).otherwise(F.col("l_quantity"))
+    rows = load(spark, sf_dir, "lineitem").withColumn("band", quantity)
+    limit = rows.count() // 5
+    return _rounded(stats.grouped_stats(rows, "band", "l_extendedprice", group_values=limit, accuracy=500))
+
+
 @query("""SELECT event_type AS "group", round(avg(value), 6) AS mean,
        round(stddev_samp(value) / sqrt(count(value)), 6) AS error
 FROM events GROUP BY 1""")
@@ -364,6 +376,20 @@ def kaplan_meier_large_groups(spark, sf_dir):
     return _rounded(km.kaplan_meier_by(rows, "price", "os_status", "arm", group_times=0, ranges=16))
 
 
+_BANDS_SQL = """surv AS (
+  SELECT l_extendedprice AS time, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS ev,
+         CASE WHEN l_quantity <= 40 THEN 'most' ELSE l_quantity::BIGINT::VARCHAR END AS grp FROM lineitem)"""
+
+
+@query(f"WITH {_BANDS_SQL}, {_km_sql('grp', 'surv')}")
+def kaplan_meier_mixed_groups(spark, sf_dir):
+    """One group with most of the times beside ten small ones: only the large one is cut into ranges."""
+    band = F.when(F.col("l_quantity") <= 40, "most").otherwise(F.col("l_quantity").cast("long").cast("string"))
+    event = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("price"), event.alias("dead"), band.alias("band"))
+    return _rounded(km.kaplan_meier_by(rows, "price", "dead", "band", group_times=rows.count() // 5, ranges=16))
+
+
 @query(f"""WITH {SURVIVAL_SQL}, o AS (
   SELECT discount, row_number() OVER (ORDER BY discount) - 1 AS i, count(*) OVER () AS n FROM surv),
 m AS (SELECT max(CASE WHEN i = n // 2 THEN discount END) AS middle FROM o),
