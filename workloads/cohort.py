@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortspark.operators import merge as merging
-from cohortspark.operators import stats, survival as km
+from cohortspark.operators import stats, summaries, survival as km
+from cohortspark.session import written
 from workloads import query
 from workloads.tables import CATALOG_SQL, SAMPLES_SQL, SURVIVAL_SQL, catalog, load, samples, survival
 
@@ -407,3 +408,31 @@ def kaplan_meier_median_split(spark, sf_dir):
 {_km_sql('endpoint', 'split').replace('AS "group"', 'AS endpoint')}""")
 def kaplan_meier_endpoints(spark, sf_dir):
     return _rounded(km.kaplan_meier_endpoints(survival(spark, sf_dir)))
+
+
+@query("""
+WITH long AS (
+  SELECT 'o_custkey' AS field, o_custkey::VARCHAR AS text, o_custkey::DOUBLE AS number FROM orders
+  UNION ALL SELECT 'o_totalprice', o_totalprice::VARCHAR, o_totalprice FROM orders
+  UNION ALL SELECT 'o_orderpriority', o_orderpriority, NULL FROM orders)
+SELECT field, count(*)::BIGINT AS rows, (count(*) - count(text))::BIGINT AS missing, min(number) AS low, max(number) AS high,
+       round(avg(number), 6) AS mean, round(stddev_pop(number), 6) AS std, true AS distinct_close, true AS median_close
+FROM long GROUP BY field""")
+def merged_summaries(spark, sf_dir):
+    """Summaries per year, stored and merged; sketched figures are held against exact ones of the rows: distinct values
+    within 5 % (three standard errors), the rank of the median within 2 %."""
+    fields = ["o_custkey", "o_totalprice", "o_orderpriority"]
+    orders = load(spark, sf_dir, "orders")
+    yearly = written(summaries.summarise(orders.withColumn("year", F.year("o_orderdate")), fields, ["year"]), "yearly-summaries")
+    found = written(summaries.figures(summaries.merge(yearly)), "merged-summaries")
+    cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text"),
+                      F.col(f).try_cast("double").alias("number")) for f in fields]
+    rows = orders.select(F.inline(F.array(*cells))).join(found.select("field", "median"), "field")
+    exact = rows.groupBy("field").agg(
+        F.count_distinct("text").alias("_values"), F.avg((F.col("number") < F.col("median")).cast("int")).alias("_below"),
+        F.avg((F.col("number") <= F.col("median")).cast("int")).alias("_up_to"))
+    median = F.col("median").isNull() | ((F.col("_below") <= 0.52) & (F.col("_up_to") >= 0.48))
+    close = F.abs(F.col("distinct") - F.col("_values")) <= 0.05 * F.col("_values")
+    out = found.join(exact, "field").select(
+        "field", "rows", "missing", "low", "high", "mean", "std", close.alias("distinct_close"), median.alias("median_close"))
+    return _rounded(out)
