@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortspark.operators.registry import ARRAY_NAMES, CHILDREN, Registry, with_children
+from cohortspark.session import written
 
 # Plain columns of a flattened row and the sub-columns of each child kind.
 FILE_COLUMNS = (
@@ -57,28 +59,35 @@ def _groups(columns: list[str], kind: str) -> dict[int, dict[str, str]]:
     return dict(sorted(found.items()))
 
 
-def _given(column: str) -> Column:
-    return F.when(F.col(f"`{column}`") != "", F.col(f"`{column}`"))
+def _wanted(header: list[str]) -> list[dict]:
+    """One entry per child of a row: its kind, position and the places of its cells in a line, -1 for a missing one."""
+    places = {name: i for i, name in reversed(list(enumerate(header)))}
+    found = []
+    for kind in CHILDREN:
+        for position, columns in _groups(header, kind).items():
+            if set(NEEDED[kind]) <= set(columns):
+                cells = [places[columns[sub]] if sub in columns else -1 for sub in SUB_COLUMNS[kind]]
+                found.append({"kind": kind, "position": position} | {f"c{i}": c for i, c in enumerate(cells)})
+    return found
 
 
-def parse_flat(flat: DataFrame, now: int) -> Registry:
-    """Registry tables of a flattened table of texts.
+def _registry_of(lines: DataFrame, header: list[str], now: int) -> Registry:
+    """Registry tables of rows whose texts are one array ``cells`` in the order of ``header``.
 
-    Missing values get their defaults (status ``pending`` for links, version 1, size 0, times
-    ``now``). Children without their needed values, such as blank trailing cells, are skipped. The
-    ``file`` table also keeps ``access`` as written, ``private`` by default.
+    The children of all kinds come out of one pass, whose expressions do not grow with their number: places of cells are
+    one literal.
     """
+    places = {name: i for i, name in reversed(list(enumerate(header)))}
 
     def text(name: str, default: str | None = "") -> Column:
-        value = F.col(name).cast("string") if name in flat.columns else F.lit(None).cast("string")
+        value = F.get("cells", F.lit(places[name])) if name in places else F.lit(None).cast("string")
         return F.coalesce(value, F.lit(default)) if default is not None else value
 
     def number(name: str, kind: str, default: int) -> Column:
-        value = F.col(name).cast("string").try_cast(kind) if name in flat.columns else F.lit(None).cast(kind)
-        return F.coalesce(value, F.lit(default).cast(kind)).alias(name)
+        return F.coalesce(text(name, None).try_cast(kind), F.lit(default).cast(kind)).alias(name)
 
-    rows = flat.filter(F.col("guid") != "")
-    acl = text("acl", None)
+    acl, access = text("acl"), text("access")
+    rows = lines.filter(text("guid") != "").withColumn("guid", text("guid"))
     file = rows.select(
         "guid",
         text("filename").alias("filename"),
@@ -90,42 +99,79 @@ def parse_flat(flat: DataFrame, now: int) -> Registry:
         text("rev").alias("rev"),
         number("version", "int", 1),
         text("uploader").alias("uploader"),
-        text("access", "private").alias("access"),
+        F.when(access != "", access).otherwise("private").alias("access"),
         F.when(acl != "", acl).alias("acl"),
     )
+    width = max(map(len, SUB_COLUMNS.values()))
+    form = "array<struct<kind:string,position:int," + ",".join(f"c{i}:int" for i in range(width)) + ">>"
+    wanted = F.from_json(F.lit(json.dumps(_wanted(header))), form)
 
-    def children(kind: str) -> DataFrame:
-        structs = []
-        for position, columns in _groups(flat.columns, kind).items():
-            if not set(NEEDED[kind]) <= set(columns):
-                continue
-            cells = {sub: _given(columns[sub]) if sub in columns else F.lit(None).cast("string") for sub in SUB_COLUMNS[kind]}
-            if kind == "url":
-                cells["status"] = F.coalesce(cells["status"], F.lit("pending"))
-                cells["uploader"] = F.coalesce(cells["uploader"], F.lit(""))
-            structs.append(F.struct(F.lit(position).alias("position"), *[c.alias(sub) for sub, c in cells.items()]))
-        empty = f"array<struct<position:int,{','.join(f'{sub}:string' for sub in SUB_COLUMNS[kind])}>>"
-        array = F.array(*structs).cast(empty) if structs else F.array().cast(empty)
-        whole = F.filter(array, lambda c: F.forall(F.array(*[c[n] for n in NEEDED[kind]]), lambda v: v.isNotNull()))
-        out = rows.select(F.col("guid").alias("file"), F.inline(whole))
-        return out.withColumn("created_at", F.lit(now).cast("long")) if kind == "url" else out
-
-    return Registry(file=file, **{kind: children(kind) for kind in CHILDREN})
+    def cell(place: Column) -> Column:
+        value = F.get("cells", F.coalesce(place, F.lit(-1)))
+        return F.when(value != "", value)
 
+    children = F.transform(wanted, lambda w: F.struct(
+        w["kind"].alias("kind"), w["position"].alias("position"), *[cell(w[f"c{i}"]).alias(f"c{i}") for i in range(width)]))
+    needed = F.lit(False)
+    for kind in CHILDREN:
+        whole = F.col("kind") == kind
+        for sub in NEEDED[kind]:
+            whole = whole & F.col(f"c{SUB_COLUMNS[kind].index(sub)}").isNotNull()
+        needed = needed | whole
+    stored = written(rows.select(F.col("guid").alias("file"), F.inline(children)).filter(needed), "flat-children")
+
+    def table(kind: str) -> DataFrame:
+        cells = {sub: F.col(f"c{i}") for i, sub in enumerate(SUB_COLUMNS[kind])}
+        if kind == "url":
+            cells["status"] = F.coalesce(cells["status"], F.lit("pending"))
+            cells["uploader"] = F.coalesce(cells["uploader"], F.lit(""))
+            cells["created_at"] = F.lit(now).cast("long")
+        return stored.filter(F.col("kind") == kind).select("file", "position", *[c.alias(sub) for sub, c in cells.items()])
+
+    return Registry(file=file, **{kind: table(kind) for kind in CHILDREN})
+
+
+def parse_flat(flat: DataFrame, now: int) -> Registry:
+    """Registry tables of a flattened table of texts.
+
+    Missing values get their defaults (status ``pending`` for links, version 1, size 0, times
+    ``now``). Children without their needed values, such as blank trailing cells, are skipped. The
+    ``file`` table also keeps ``access`` as written, ``private`` by default. Children are stored in the shared folder.
+    """
+    cells = F.array(*[flat[f"`{c}`"].cast("string") for c in flat.columns])
+    return _registry_of(flat.select(cells.alias("cells")), flat.columns, now)
 
-def flatten(registry: Registry) -> DataFrame:
-    """One row per file with children spread over numbered columns; absent ones are null.
 
-    The number of columns per kind is the most children any file has, found by one small
-    aggregation: the format has as many columns as its largest file needs. Children
-    are numbered by their stored position or else their values.
+def read_flat_registry(spark: SparkSession, path: str, now: int) -> Registry:
+    """``parse_flat`` of a file, or a folder of files with the same header, without a column per child.
+
+    Lines are split by tabs as they are read, so the plan is the same for one child a file and for a hundred thousand.
     """
+    lines = spark.read.text(path)
+    first = lines.filter("_metadata.file_block_start = 0").first()
+    header = first["value"] if first is not None else "\t".join(FILE_COLUMNS)
+    cells = lines.filter(F.col("value") != header).select(F.split("value", "\t", -1).alias("cells"))
+    return _registry_of(cells, header.split("\t"), now)
+
+
+def _most_children(registry: Registry) -> dict[str, int]:
+    """The most children of each kind that any file has: one small aggregation."""
     owners = reduce(
         DataFrame.unionByName,
         [getattr(registry, kind).select(F.lit(kind).alias("kind"), "file") for kind in CHILDREN],
     )
     sizes = owners.groupBy("kind", "file").agg(F.count(F.lit(1)).alias("n"))
-    most = {row["kind"]: row["n"] for row in sizes.groupBy("kind").agg(F.max("n").alias("n")).collect()}
+    return {row["kind"]: row["n"] for row in sizes.groupBy("kind").agg(F.max("n").alias("n")).collect()}
+
+
+def flatten(registry: Registry) -> DataFrame:
+    """One row per file with children spread over numbered columns; absent ones are null.
+
+    The number of columns per kind is the most children any file has: the format has as many columns as its largest file
+    needs. ``flat_lines`` gives the same rows as lines of text, without columns. Children are numbered by their stored
+    position or else their values.
+    """
+    most = _most_children(registry)
     names, columns = [], []
     for kind in CHILDREN:
         count = most.get(kind, 0)
@@ -137,8 +183,37 @@ def flatten(registry: Registry) -> DataFrame:
     return rows.select(*FILE_COLUMNS, *[c.alias(n) for n, c in zip(names, columns)])
 
 
+def flat_lines(registry: Registry) -> tuple[str, DataFrame]:
+    """The header line of a flattened registry and its lines as one column ``value``.
+
+    Each kind is one array of padded cells, so expressions do not grow with the number of children. The format knows no
+    quoting: tabs and line ends inside values become spaces.
+    """
+    def cell(value: Column) -> Column:
+        return F.coalesce(F.translate(value.cast("string"), "\t\r\n\x01", "    "), F.lit(""))
+
+    def child(kind: str, i: Column) -> Column:
+        found = F.get(F.col(ARRAY_NAMES[kind]), i)
+        return F.concat_ws("\t", *[cell(found[sub]) for sub in SUB_COLUMNS[kind]])
+
+    most = _most_children(registry)
+    header, parts = list(FILE_COLUMNS), [cell(F.col(c)) for c in FILE_COLUMNS]
+    for kind in CHILDREN:
+        count = most.get(kind, 0)
+        header += [f"{kind}_{i}_{sub}" for i in range(count) for sub in SUB_COLUMNS[kind]]
+        if count:
+            places = F.sequence(F.lit(0), F.lit(count - 1))
+            parts.append(F.array_join(F.transform(places, partial(child, kind)), "\t"))
+    rows = with_children(registry.file, registry)
+    return "\t".join(header), rows.select(F.concat_ws("\t", *parts).alias("value"))
+
+
 def write_flat(registry: Registry, path: str) -> None:
-    flatten(registry).write.csv(path, sep="\t", header=True, quote="", emptyValue="", nullValue="")
+    """Write ``flat_lines`` as files that each begin with the header."""
+    header, lines = flat_lines(registry)
+    lines.select(F.col("value").alias(header)).write.csv(
+        path, sep="\x01", header=True, quote="", emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False)
 
 
 def read_registrations(spark: SparkSession, path: str) -> DataFrame:

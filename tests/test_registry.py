@@ -238,7 +238,8 @@ def test_uniqueness(spark, registry, rows):
 # ------------------------------------------------------------------ flattened files
 
 
-def test_parse_flat(spark, rows, tmp_path):
+@pytest.mark.parametrize("by_lines", [False, True])
+def test_parse_flat(spark, rows, tmp_path, by_lines):
     path = tmp_path / "files.tsv"
     path.write_text(
         "guid\tfilename\tsize\tupdated_at\tstatus\tversion\tacl\turl_0_url\turl_0_status\turl_1_url\turl_1_created_at\thash_0_hash_type\thash_0_hash\talias_0_name\ttag_0_field_name\ttag_0_field_value\n"
@@ -246,7 +247,7 @@ def test_parse_flat(spark, rows, tmp_path):
         "r/2\tb\tx\t\t\t\t\ts3://b/1\t\t\t\t\t\t\t\t\n"
         "r/3\tc\n"
     )
-    tables = tsv.parse_flat(tsv.read_flat(spark, str(path)), now=7)
+    tables = tsv.read_flat_registry(spark, str(path), 7) if by_lines else tsv.parse_flat(tsv.read_flat(spark, str(path)), now=7)
     assert rows(tables.file, "guid", "filename", "size", "updated_at", "status", "version", "access", "acl") == [
         ("r/1", '"a" b.txt', 12, 99, "validated", 3, "private", "lab"),
         ("r/2", "b", 0, 7, "", 1, "private", None),
@@ -264,12 +265,33 @@ def test_flat_round_trip(spark, registry, rows, tmp_path):
     tsv.write_flat(registry, str(tmp_path / "flat.tsv"))
     flat = tsv.read_flat(spark, str(tmp_path / "flat.tsv"))
     assert "url_1_uploader" in flat.columns and "url_2_url" not in flat.columns
-    back = tsv.parse_flat(flat, now=0)
-    for kind in ("url", "hash", "alias", "tag"):
-        columns = ["file", *tsv.SUB_COLUMNS[kind]]
-        assert rows(getattr(back, kind), *columns) == rows(getattr(registry, kind), *columns)
-    columns = ["guid", "filename", "size", "created_at", "updated_at", "status", "baseid", "rev", "version", "uploader", "acl"]
-    assert rows(back.file, *columns) == rows(registry.file, *columns)
+    for back in (tsv.parse_flat(flat, now=0), tsv.read_flat_registry(spark, str(tmp_path / "flat.tsv"), now=0)):
+        for kind in ("url", "hash", "alias", "tag"):
+            columns = ["file", *tsv.SUB_COLUMNS[kind]]
+            assert rows(getattr(back, kind), *columns) == rows(getattr(registry, kind), *columns)
+        columns = ["guid", "filename", "size", "created_at", "updated_at", "status", "baseid", "rev", "version", "uploader", "acl"]
+        assert rows(back.file, *columns) == rows(registry.file, *columns)
+
+
+def test_flat_lines_of_many_children(spark, tmp_path):
+    """The plan of a file with 3000 links is as large as that of one with two; cells keep blanks but no tabs."""
+    def of(n):
+        url = spark.range(n).select(F.lit("g").alias("file"), F.concat(F.lit("s3://b/"), "id").alias("url"), F.lit("pending").alias("status"),
+                                    F.lit("").alias("uploader"), F.lit(0).cast("long").alias("created_at"))
+        file = spark.createDataFrame([("g", " a\tb ", 1, 2, 3, "", "", "", 1, "", None)], "guid string, filename string, size long, created_at long, "
+                                     "updated_at long, status string, baseid string, rev string, version int, uploader string, acl string")
+        no = {"hash": "file string, hash_type string, hash string", "alias": "file string, name string",
+              "tag": "file string, field_name string, field_value string"}
+        return reg.Registry(file=file, url=url, **{k: spark.createDataFrame([], s) for k, s in no.items()})
+
+    sizes = {}
+    for n in (2, 3000):
+        tsv.write_flat(of(n), str(tmp_path / f"f{n}"))
+        back = tsv.read_flat_registry(spark, str(tmp_path / f"f{n}"), 0)
+        assert back.url.count() == n and {r.url for r in back.url.collect()} == {f"s3://b/{i}" for i in range(n)}
+        assert [tuple(r) for r in back.file.select("guid", "filename", "access", "acl").collect()] == [("g", " a b ", "public", None)]
+        sizes[n] = len(tsv.flat_lines(of(n))[1]._jdf.queryExecution().analyzed().toString())
+    assert sizes[3000] < sizes[2] + 100
 
 
 def test_no_children_at_all(spark, registry):

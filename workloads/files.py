@@ -578,9 +578,10 @@ UNION ALL SELECT file, 'hash', hash_type || '=' || hash FROM hash
 UNION ALL SELECT file, 'alias', name FROM alias UNION ALL SELECT file, 'tag', field_name || '=' || field_value FROM tag
 UNION ALL SELECT guid, 'file', size || '=' || updated_at || '=' || version FROM file""")
 def registry_unflatten(spark, sf_dir):
-    """Flattened rows parsed back into registry tables."""
-    flat = written(registry_tsv.flatten(registry(spark, sf_dir)), "flat-registry")
-    tables = registry_tsv.parse_flat(flat, 0)
+    """A flattened file, written and parsed back into registry tables."""
+    path = scratch_path(spark, "flat-registry")
+    registry_tsv.write_flat(registry(spark, sf_dir), path)
+    tables = registry_tsv.read_flat_registry(spark, path, 0)
     rows = tables.file.select(
         F.col("guid").alias("file"), F.lit("file").alias("kind"),
         F.concat_ws("=", F.col("size").cast("string"), F.col("updated_at").cast("string"), F.col("version").cast("string")).alias("value"),
