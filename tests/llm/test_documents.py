@@ -320,3 +320,28 @@ def test_discriminant_without_classes(spark, documents, no_documents):
     assert {r.score for r in quality.classify(documents, one).collect()} == {1.0}
     assert {r.score for r in quality.classify(documents, none).collect()} == {0.5}
     assert quality.classify(no_documents, one).collect() == []
+
+
+def test_discriminant_equals_plain_numpy(spark):
+    """Scores of the Spark fit against log densities with explicit inverses, from the same statistics."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(f"{''.join(rng.choice(list('abcdeXYZ0.!'), rng.integers(1, 9)))} " for _ in range(rng.integers(5, 120)))
+             for _ in range(160)]
+    truth = [int(len(t) % 3 > 0) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(truth) if i % 7], "doc_id long, quality int")
+    x = np.array([quality.statistics(t.encode()) for t in texts], np.float64)
+    known = [i for i in range(160) if i % 7 and zlib.crc32(str(i).encode()) % 5]
+    classes = [np.array([x[i] for i in known if truth[i] == y]) for y in (0, 1)]
+    spread = [np.cov(c.T, bias=True) for c in classes]
+    pooled = sum(len(c) * s for c, s in zip(classes, spread)) / len(known)
+    logs = []
+    for c, s in zip(classes, spread):
+        s = (1 - quality.ALPHA) * s + quality.ALPHA * pooled
+        s = (1 - quality.GAMMA) * s + quality.GAMMA * np.diag(np.diag(s)) + 1e-6 * np.eye(len(s))
+        off = x - c.mean(axis=0)
+        logs.append(np.log(len(c) / len(known)) - 0.5 * np.linalg.slogdet(s)[1]
+                    - 0.5 * np.einsum("ni,ij,nj->n", off, np.linalg.inv(s), off))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    assert np.allclose([got[i] for i in range(160)], want, atol=1e-6) and len(set(want.round(3))) > 50
