@@ -9,6 +9,7 @@ from cohortspark.operators import profile, reshape, validation
 from cohortspark.operators.ordered import row_numbers
 from cohortspark.session import scratch_path
 from cohortspark.sources import bundle, sinks, study
+from cohortspark.sources.lines import numbered_lines
 from workloads import query
 from workloads.tables import load
 
@@ -377,3 +378,23 @@ def bundle_completeness(spark, sf_dir):
 def rows_as_json(spark, sf_dir):
     rows = load(spark, sf_dir, "nation").withColumn("n_regionkey", F.nullif("n_regionkey", F.lit(2)))
     return sinks.rows_as_json(rows)
+
+
+@query("""
+WITH n AS (
+  SELECT c_custkey, c_acctbal, (c_custkey - 1) // 1000 AS band, c_custkey % 97 = 0 AS broken,
+         row_number() OVER (PARTITION BY (c_custkey - 1) // 1000 ORDER BY c_custkey) AS line FROM customer)
+SELECT band::INTEGER AS band, line::BIGINT AS line,
+       CASE WHEN broken THEN 'cannot be parsed;balance below zero' ELSE 'balance below zero' END AS reasons
+FROM n WHERE broken OR c_acctbal < 0""")
+def line_rejects(spark, sf_dir):
+    """Customers as delimited files of a thousand each, read back with line numbers; every bad line with its reasons."""
+    customers = load(spark, sf_dir, "customer").withColumn("band", F.expr("(c_custkey - 1) div 1000"))
+    balance = F.when(F.col("c_custkey") % 97 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string"))
+    path = scratch_path(spark, "customer-lines")
+    customers.select("band", "c_custkey", F.concat_ws(",", F.col("c_custkey").cast("string"), balance).alias("value")) \
+        .repartition("band").sortWithinPartitions("band", "c_custkey").drop("c_custkey").write.partitionBy("band").text(path)
+    lines = numbered_lines(spark, f"{path}/*/*.txt")
+    found = validation.check_lines(lines, "c_custkey long, c_acctbal double", {"balance below zero": F.col("c_acctbal") >= 0}, header=False)
+    band = F.regexp_extract("file", r"/band=(\d+)/", 1).cast("int").alias("band")
+    return found.select(band, "line", F.concat_ws(";", "reasons").alias("reasons"))
