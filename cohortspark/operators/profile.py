@@ -24,6 +24,9 @@ DICTIONARY_ROW = (
     "key string, position int, data_type string, notes string, minimum double, maximum double, value_count bigint"
 )
 
+#: Values of a field that one dictionary row lists, at most; a field of more has more rows, numbered by ``part``.
+VALUES_PER_ROW = 10_000
+
 #: Up to this many columns types are inferred by one plain aggregate over the table.
 MEASURED_COLUMNS = 100
 
@@ -182,6 +185,18 @@ def dictionary_values(df: DataFrame, fields: DataFrame, group_rows: int = GROUP_
     return row_numbers(values, ["key"], [("value", False)], "place", group_rows).select("key", "place", "value")
 
 
+def value_lists(values: DataFrame, per_row: int = VALUES_PER_ROW) -> DataFrame:
+    """(_key, part, values): the rows of ``dictionary_values`` as ordered lists of ``per_row`` values at most.
+
+    The first list of a field has no ``part``; a field of more values goes on in parts 1, 2, ..., so no row is larger than
+    that, whatever the field.
+    """
+    part = F.floor((F.col("place") - 1) / per_row).cast("int")
+    lists = values.groupBy(F.col("key").alias("_key"), part.alias("_part")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda v: v["value"]).alias("values"))
+    return lists.select("_key", F.when(F.col("_part") > 0, F.col("_part")).alias("part"), "values")
+
+
 def recommend_view(fields: DataFrame, total: Column, selected: Sequence[str] = ()) -> DataFrame:
     """Add ``view`` to dictionary fields by type and number of values; ``total`` counts the rows."""
     times = [

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cohortspark.operators.profile import VALUES_PER_ROW, value_lists
+
 
 def rows_as_json(df: DataFrame) -> DataFrame:
     """Rows as JSON objects in one text column, nulls kept."""
@@ -17,22 +19,15 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.csv(path, sep="\t", header=True, emptyValue="", nullValue="")
 
 
-#: Values of a field that one dictionary row lists, at most; a field of more has more rows, numbered by ``part``.
-VALUES_PER_ROW = 10_000
-
-
 def dictionary_rows(fields: DataFrame, values: DataFrame, *more: str, per_row: int = VALUES_PER_ROW) -> DataFrame:
     """Dictionary fields in the shape they are stored in, with ``more`` columns to order them by.
 
     ``allowed_values`` is ``[min, max]`` of a number, and the ordered values of any other field. A field of more than
     ``per_row`` values goes on in rows with a ``part`` of 1, 2, ..., so no row is larger than that.
     """
-    part = F.floor((F.col("place") - 1) / per_row).cast("int")
-    lists = values.groupBy(F.col("key").alias("_key"), part.alias("_part")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda v: v["value"]).alias("_values"))
-    rows = fields.join(lists, F.col("key") == F.col("_key"), "left")
+    rows = fields.join(value_lists(values, per_row), F.col("key") == F.col("_key"), "left")
     limits = F.to_json(F.array("minimum", "maximum"))
-    listed = F.to_json(F.coalesce("_values", F.array().cast("array<string>")))
+    listed = F.to_json(F.coalesce("values", F.array().cast("array<string>")))
     return rows.select(
         *more,
         "key",
@@ -42,7 +37,7 @@ def dictionary_rows(fields: DataFrame, values: DataFrame, *more: str, per_row: i
         "notes",
         F.try_parse_json(F.when(F.col("data_type") == "NUMBER", limits).otherwise(listed)).alias("allowed_values"),
         "order",
-        F.when(F.col("_part") > 0, F.col("_part")).alias("part"),
+        "part",
     )
 
 

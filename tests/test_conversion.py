@@ -484,3 +484,24 @@ def test_deep_trees_take_few_steps(spark, rows, monkeypatch):
     # two ways to a node give it twice; a cycle out of reach does no harm
     edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("x", "y"), ("y", "x"), ("e", None)], "code string, parent string")
     assert rows(reshape.flatten_edges(edges, spark.createDataFrame([("a",)], "code string"))) == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("d", 2)]
+
+
+def test_dictionary_query_lists_every_value(spark):
+    """The registered query: all values of all fields, those of over 500 as well, and over 10 000 in more rows."""
+    import os
+
+    from workloads import QUERIES
+    from workloads.conversion import _texts
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables are not here")
+    rows = QUERIES["dictionary"](spark, sf).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.key, r.part or 0)):
+        got.setdefault(r.key, []).extend(r.allowed_values.split(";") if r.allowed_values is not None else [])
+    texts = _texts(spark, sf)
+    for key, kind in profile.types_of(texts).items():
+        values = sorted({r[0] for r in texts.select(key).collect()} - {None}) if kind != "NUMBER" else []
+        assert got[key] == values
+    assert len(got["c_name"]) == 15000 and {r.part for r in rows if r.key == "c_name"} == {None, 1}

@@ -77,10 +77,18 @@ d AS (
 
 @query(f"""WITH {_DICTIONARY_SQL}
 SELECT key, data_type, coalesce(value_count, 0)::BIGINT AS value_count, CASE WHEN data_type = 'NUMBER' THEN lo END AS minimum,
-       CASE WHEN data_type = 'NUMBER' THEN hi END AS maximum
-FROM types LEFT JOIN d USING (key)""")
+       CASE WHEN data_type = 'NUMBER' THEN hi END AS maximum, allowed_values, nullif(part, 0)::INTEGER AS part
+FROM types LEFT JOIN d USING (key) LEFT JOIN (
+  SELECT key, (place - 1) // 10000 AS part, string_agg(value, ';' ORDER BY place) AS allowed_values
+  FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY value) AS place FROM v JOIN types USING (key) WHERE data_type <> 'NUMBER')
+  GROUP BY 1, 2) lists USING (key)""")
 def dictionary(spark, sf_dir):
-    return profile.dictionary(_texts(spark, sf_dir)).select("key", "data_type", "value_count", "minimum", "maximum")
+    """Fields with all their allowed values, however many: a field of more than 10 000 goes on in rows with a ``part``."""
+    rows = _texts(spark, sf_dir)
+    fields = profile.dictionary(rows)
+    lists = profile.value_lists(profile.dictionary_values(rows, fields))
+    return fields.join(lists, F.col("key") == F.col("_key"), "left").select(
+        "key", "data_type", "value_count", "minimum", "maximum", F.array_join("values", ";").alias("allowed_values"), "part")
 
 
 @query(f"""WITH {_DICTIONARY_SQL}
