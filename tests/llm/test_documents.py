@@ -345,3 +345,30 @@ def test_discriminant_equals_plain_numpy(spark):
     want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
     got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
     assert np.allclose([got[i] for i in range(160)], want, atol=1e-6) and len(set(want.round(3))) > 50
+
+
+def test_new_words_of_known_parts_cost_no_calls():
+    """Words are cut a batch at a time: 40 000 new words of 400 parts make fewer calls than there are words, with the same ids."""
+    import random
+    import sys
+
+    import pyarrow as pa
+
+    tokens, rng = packing.WordTokens(queries.tokenizer_path()), random.Random(6)
+    parts = ["".join(rng.choices("aeinorst\u00e9\u00df", k=6)) for _ in range(200)]
+    words = [f"{a}-{b.title()}{end}" for a in parts for b in parts for end in (".", "'s")][:40_000]
+    texts = [" ".join(words[i:i + 100]) for i in range(0, len(words), 100)]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        ids, lengths = tokens(pa.array(texts))
+    finally:
+        sys.setprofile(None)
+    want = [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for own in want for i in own]
+    assert len(set(words)) == 40_000 and calls < 20_000
