@@ -1,16 +1,21 @@
 """Near copies: texts that share at least ``LEAST`` of their five-word shingles, linked transitively.
 
-Texts of one shingle set are one node. A node's MinHash sketch is cut into bands; nodes that share a band meet in a
-bucket, where those whose sketches agree in ``MIN_AGREE`` places are linked into rough clusters. Texts of a rough cluster
-move once to one task, which compares whole shingle sets; only pairs of a similarity of at least ``least`` are linked. A
-pair is compared unless both are linked already, so a group of copies costs its size and not its square.
-
-With 30 bands of 5, a pair of similarity exactly 0.8 shares no band once in 145 000 and agrees in too few places about
-once in ten million; more similar pairs are lost less often. No pair below ``least`` is linked.
+Covering SimHash as in ``simhash``, with a longer fingerprint and an exact decision. Texts of one shingle set are one
+node. A node has a fingerprint of ``BLOCKS`` blocks of ``ROWS`` bits, each the majority of its shingles' hashes. A block has
+a covering family of 15 masks: two nodes that differ in at most three of its bits agree under one of them, always, and so
+do most that differ in a few more. Nodes that agree under a mask meet in a bucket, where those whose whole fingerprints
+differ in ``MAX_DIFFER`` bits at most are linked into rough clusters. Texts of a rough cluster move once to one task, which
+compares whole shingle sets; only pairs of a similarity of at least ``least`` are linked. A pair is compared unless both are
+linked already, so a group of copies costs its size and not its square.
+
+A pair of similarity exactly 0.8 differs in a bit with probability 0.15. Of 60 000 random pairs of it (sets of 90) none
+missed all families and 2 differed in more than ``MAX_DIFFER`` bits. More similar pairs are lost less often. No pair below
+``least`` is linked.
 
 Words are as in ``simhash``: runs of anything but ASCII white space, A-Z lowered. A text of up to five words has one
-shingle. Defined results: null is empty and like other empty texts; documents without an id take the group of their
-shingle set and link nothing themselves; repeated rows are kept; an empty table gives an empty result.
+shingle; one of up to three shingles is like its equals only. Defined results: null is empty and like other empty texts;
+documents without an id take the group of their shingle set and link nothing themselves; repeated rows are kept; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,18 +31,44 @@ from xxhash import xxh64_intdigest
 from cohortspark.llm.common import Scratch, if_small, map_batches, written
 from cohortspark.llm.components import components
 from cohortspark.llm.repeats import packed
-from cohortspark.llm.simhash import _shingle_hashes, text_key
+from cohortspark.llm.simhash import _shingle_hashes, spanned, text_key
 
 SHINGLE_WORDS = 5
 LEAST = 0.8
-BANDS, ROWS = 30, 5
-#: Places of the sketch, of BANDS * ROWS, in which a pair agrees at least: 5.5 standard deviations below 0.8.
-MIN_AGREE = 93
-#: Shingle hashes of a text whose places are computed at a time.
-_CHUNK = 4096
+RADIUS = 3
+#: Blocks of a fingerprint and bits of a block.
+BLOCKS, ROWS = 12, 24
+#: Masks of all blocks.
+BANDS = BLOCKS * (2 ** (RADIUS + 1) - 1)
+#: Bits in which the fingerprints of a linked pair differ, at most: 4.6 standard deviations above similarity 0.8.
+MAX_DIFFER = 72
+#: Places under all masks in which such a pair agrees, at least: a bit is under 2^RADIUS masks.
+MIN_AGREE = BANDS * ROWS - 2 ** RADIUS * MAX_DIFFER
+#: Bits of the first 64 that may differ before the others are looked at.
+_FIRST_DIFFER = 25
+#: A set of fewer shingles shares less than ``LEAST`` with any other.
+LEAST_SHINGLES = 4
+#: Shingle hashes of a text whose bits are counted at a time.
+_CHUNK = 1 << 16
+#: Rows of buckets that are looked at together, and nodes of a bucket that is looked at alone.
+_ROWS_HELD, _LARGE_BUCKET = 100_000, 512
+#: Links that are thinned together.
+_LINKS_HELD = 1_000_000
 
 _draw = np.random.default_rng(77)
-_ADD, _TIMES, _MIX = (_draw.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
+_TIMES, _AGAIN = (_draw.integers(0, 1 << 63, -(-BLOCKS * ROWS // 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def _masks() -> np.ndarray:
+    """The masks of every block (block, mask, bit). The vectors of a block's bits are as many of each as can be."""
+    out = []
+    for _ in range(BLOCKS):
+        vectors = np.concatenate([_draw.permutation(np.arange(1, 2 ** (RADIUS + 1))) for _ in range(2)])[:ROWS]
+        out.append([np.bitwise_count(vectors & v) & 1 for v in range(1, 2 ** (RADIUS + 1))])
+    return np.array(out, np.uint8)
+
+
+_MASKS = _masks()
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -46,35 +77,122 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter(own, np.uint64, len(own)))
 
 
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The bits of a set that is not empty: a bit is 1 if over half of the shingles have it."""
+    ones = np.zeros(64 * len(_TIMES), np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        words = hashes[i:i + _CHUNK, None] * _TIMES
+        words = (words ^ (words >> np.uint64(32))) * _AGAIN
+        words ^= words >> np.uint64(29)
+        bits = np.unpackbits(words.view(np.uint8), axis=1).view(np.uint64)  # eight counts of one byte in a number
+        sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)
+        ones += sums.view(np.uint8).sum(axis=0, dtype=np.int64)
+    return (2 * ones > len(hashes)).astype(np.uint8)[:BLOCKS * ROWS]
+
+
+def under_masks(bits: np.ndarray) -> np.ndarray:
+    """The bits under every mask of fingerprints (a row each): (row, mask, bit)."""
+    return (bits.reshape(-1, BLOCKS, 1, ROWS) & _MASKS).reshape(len(bits), BANDS, ROWS)
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The smallest value of every hash function over a set that is not empty."""
-    parts = [((hashes[i:i + _CHUNK, None] ^ _ADD) * _TIMES).min(axis=0) for i in range(0, len(hashes), _CHUNK)]
-    return np.minimum.reduce(parts)
+    """The bits of a set under one mask after the other."""
+    return under_masks(fingerprint(hashes)[None]).ravel()
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (a digest of the shingle set), sketch (a byte per place), bands; no bands without words."""
+    """doc_id, text_key, node (a digest of the shingle set), fp (the fingerprint's bytes; empty for a set that is like no other)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, places, bands = [], [], []
+            nodes, fps = [], []
             for value in batch.column(1):
                 hashes = shingle_set((value.as_py() or "").encode())
                 nodes.append(xxh64_intdigest(hashes.tobytes()))
-                if len(hashes):
-                    least = sketch(hashes)
-                    keys = (least * _MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
-                    places.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
-                    bands.append(keys.view(np.int64))
-                else:
-                    places.append(b"")
-                    bands.append(np.zeros(0, np.int64))
+                fps.append(np.packbits(fingerprint(hashes)).tobytes() if len(hashes) >= LEAST_SHINGLES else b"")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                 pa.array(places, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "node", "sketch", "bands"])
+                 pa.array(fps, pa.binary())], names=["doc_id", "text_key", "node", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_key())
-    return map_batches(rows, run, "doc_id long, text_key long, node long, sketch binary, bands array<long>")
+    return map_batches(rows, run, "doc_id long, text_key long, node long, fp binary")
+
+
+def _packed_bits(column: pa.Array) -> np.ndarray:
+    """Fingerprints as bytes, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BLOCKS * ROWS // 8)
+
+
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """A row (bucket, node, fp) for every mask of a node; the bucket is the mask's number and the bits under it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                under = np.packbits(under_masks(np.unpackbits(_packed_bits(batch.column(1)), axis=1)), axis=2)
+                bucket = np.broadcast_to(np.arange(BANDS, dtype=np.int64), under.shape[:2])
+                for i in range(under.shape[2]):
+                    bucket = bucket << 8 | under[:, :, i]
+                each = pa.array(np.repeat(np.arange(len(batch)), BANDS))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket.ravel()), batch.column(0).take(each), batch.column(1).take(each)],
+                    names=["bucket", "node", "fp"])
+
+    return map_batches(nodes.select("node", "fp"), run, "bucket long, node long, fp binary")
+
+
+def _meeting(bucket: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The first member of everyone's component inside its bucket; rows are sorted by bucket. Words: 64 bits a column."""
+    n = len(bucket)
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    sizes = np.diff(np.append(start, n))
+    out = np.arange(n)
+    for at, size in zip(start[sizes > _LARGE_BUCKET], sizes[sizes > _LARGE_BUCKET], strict=True):
+        own = words[at:at + size]
+        out[at:at + size] = at + _linked(
+            size, lambda i, rest, own=own: np.bitwise_count(own[rest] ^ own[i]).sum(axis=1, dtype=np.int64) <= MAX_DIFFER)
+    behind = np.repeat(start + sizes, sizes) - np.arange(n) - 1
+    behind[np.repeat(sizes > _LARGE_BUCKET, sizes)] = 0
+    active, step, pairs = np.flatnonzero(behind > 0), 1, []
+    first = np.ascontiguousarray(words[:, 0])
+    while len(active):
+        near = active[np.bitwise_count(first[active] ^ first[active + step]) <= _FIRST_DIFFER]
+        near = near[np.bitwise_count(words[near] ^ words[near + step]).sum(axis=1, dtype=np.int64) <= MAX_DIFFER]
+        pairs.append((near, near + step))
+        step += 1
+        active = active[behind[active] >= step]
+    if pairs:
+        out = np.minimum(out, spanned(n, *map(np.concatenate, zip(*pairs, strict=True))))
+    return out
+
+
+def _rough_links(dealt: DataFrame) -> DataFrame:
+    """(a, b): links of a spanning forest of the buckets of a task, a few at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def emit(bucket: np.ndarray, node: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            words = np.zeros((len(fps), 8 * len(_TIMES)), np.uint8)
+            words[:, :fps.shape[1]] = fps
+            root = _meeting(bucket, words.view(np.uint64))
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            return _forest(node[moved], node[root[moved]])
+
+        def whole() -> list[np.ndarray]:
+            return [np.concatenate(parts) for parts in zip(*held, strict=True)]
+
+        for batch in batches:
+            if len(batch):
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), _packed_bits(batch.column(2))))
+                rows += len(batch)
+            if rows >= _ROWS_HELD:
+                columns = whole()
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))
+                if cut:
+                    yield emit(*(c[:cut] for c in columns))
+                held, rows = [tuple(c[cut:].copy() for c in columns)], 0
+        if held:
+            yield emit(*whole())
+
+    return map_batches(dealt.repartition("bucket").sortWithinPartitions("bucket", "node"), run, "a long, b long")
 
 
 def _linked(n: int, like: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -90,11 +208,6 @@ def _linked(n: int, like: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray
     return first
 
 
-def agreeing(sketches: np.ndarray) -> np.ndarray:
-    """The first member of everyone's component, by sketches (a row each)."""
-    return _linked(len(sketches), lambda i, rest: (sketches[rest] == sketches[i]).sum(axis=1) >= MIN_AGREE)
-
-
 def similar(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
     """The first member of everyone's component, by whole shingle sets that are not empty."""
     sizes = np.array([len(s) for s in sets])
@@ -118,6 +231,30 @@ def similar(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
     return _linked(len(sets), like)
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """(a, b): every node of some links, but the smallest of its component, with that one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = spanned(len(nodes), at[:len(a)], at[len(a):])
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
+
+
+def _thinned(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) of the same components: nodes that many buckets have linked meet again, dealt by ``a``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            rows += len(batch)
+            if rows >= _LINKS_HELD:
+                yield _forest(*map(np.concatenate, zip(*held, strict=True)))
+                held, rows = [], 0
+        if held:
+            yield _forest(*map(np.concatenate, zip(*held, strict=True)))
+
+    return map_batches(links.repartition("a"), run, "a long, b long")
+
+
 def _by_group(rows: DataFrame, value: Callable, first: Callable, schema: str) -> DataFrame:
     """(node, first member) of rows (group, node, value), where ``first`` looks at the values of a whole group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,16 +289,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sketches = scratch.written(_sketches(docs), "sketches")
     prints = written(sketches.select("doc_id", "text_key", "node"), "near-prints")
     nodes = scratch.written(
-        sketches.where("doc_id IS NOT NULL AND size(bands) > 0").groupBy("node").agg(
-            F.min(F.struct("doc_id", "text_key")).alias("own"), F.first("sketch").alias("sketch"),
-            F.first("bands").alias("bands")),
+        sketches.where("doc_id IS NOT NULL AND length(fp) > 0").groupBy("node").agg(
+            F.min(F.struct("doc_id", "text_key")).alias("own"), F.first("fp").alias("fp")),
         "nodes")
-    met = nodes.select("node", F.explode("bands").alias("group"))
-    shared = scratch.written(met.groupBy("group").count().where("count > 1").select("group"), "buckets")
-    met = scratch.written(met.join(shared, "group", "left_semi"), "bucket-rows")
-    rough = _by_group(
-        met.join(nodes.select("node", "sketch"), "node").select("group", "node", "sketch"),
-        lambda v: np.frombuffer(v, np.uint8), lambda values: agreeing(np.stack(values)), "a long, b long")
+    rough = _thinned(_rough_links(_dealt(nodes)))
     clusters = scratch.written(components(rough, scratch.written), "clusters")
     members = scratch.written(
         clusters.join(nodes, "node").select(

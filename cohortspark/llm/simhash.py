@@ -114,7 +114,6 @@ def _forest(bucket: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) ->
     n = len(bucket)
     start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     behind = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n))) - np.arange(n) - 1
-    label = np.arange(n)
     active, step = np.flatnonzero(behind > 0), 1
     lefts, rights = [], []
     while len(active):
@@ -125,6 +124,14 @@ def _forest(bucket: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) ->
         active = active[behind[active] >= step]
     a = np.concatenate(lefts) if lefts else np.zeros(0, np.int64)
     b = np.concatenate(rights) if rights else np.zeros(0, np.int64)
+    label = spanned(n, a, b)
+    moved = np.flatnonzero(label != np.arange(n))
+    return rep[moved], rep[label[moved]]
+
+
+def spanned(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first of everyone's component, for n members and links between a and b."""
+    label = np.arange(n)
     while len(a):
         low = np.minimum(label[a], label[b])
         before = label.copy()
@@ -134,8 +141,7 @@ def _forest(bucket: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) ->
         label = label[label]
         if (label == before).all():
             break
-    moved = np.flatnonzero(label != np.arange(n))
-    return rep[moved], rep[label[moved]]
+    return label
 
 
 def _links(dealt: DataFrame, radius: int) -> DataFrame:
