@@ -46,25 +46,29 @@ def page_of(
     return df if limit is None else df.limit(limit)
 
 
-def _ranges(df: DataFrame, name: str, descending: bool, ranges: int) -> Column | None:
-    """The place of a row's range in the sort order of a column, nulls last; None if there is one range only.
+def _pieces(df: DataFrame, name: str, descending: bool, rows: Sequence[int], ranges: int) -> Column | None:
+    """The place of a row's piece in the sort order of a column, nulls last; None if the column has no value.
 
-    The split points come from a sketch; only they reach the driver.
+    Split points come from a sketch. Only those next to the wanted places cut pieces, so a row meets a few comparisons in
+    generated code however fine the sketch is. A split point is a piece of its own, as many rows may share it.
     """
     number = order_number(F.col(f"`{name}`"), df.schema[name].dataType, common_prefix(df, name))
     probabilities = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(number, probabilities, 10_000).alias("s"), F.min(number).alias("low"),
-                 F.count(F.when(number.isNull(), 1)).alias("nulls")).first()
-    # a range holds the numbers above the split point before it, so the smallest number is a range of its own
-    splits = sorted({*(row["s"] or []), *([row["low"]] if row["low"] is not None else [])})
-    if not splits:
+    row = df.agg(F.percentile_approx(number, probabilities, 10_000).alias("s"), F.count(number).alias("n")).first()
+    if not row["n"]:
         return None
-    # one text instead of an expression per split point; Spark folds it to a constant
-    listed = ",".join(str(s).replace("inf", "Infinity") for s in splits)
-    at = F.split(F.lit(listed), ",").cast(f"array<{df.select(number.alias('n')).schema['n'].dataType.simpleString()}>")
-    # one element binds the number to a name, so that it is not worked out for every split point
-    low = F.transform(F.array(number), lambda n: F.size(F.filter(at, lambda s: s < n)))[0]
-    return F.when(number.isNull(), len(splits) + 1).otherwise(len(splits) - low if descending else low)
+    points = set()
+    for wanted in rows:
+        rank = max(1, min(wanted, row["n"]))
+        near = int((row["n"] - rank if descending else rank) / row["n"] * ranges) - 1
+        # the sketch is off by a tenth of a range, so one more split point on either side nearly always holds the place
+        points |= {row["s"][max(0, min(i, ranges - 2))] for i in range(near - 1, near + 3)}
+    splits = sorted(points)
+    place = F.when(number.isNull(), F.lit(2 * len(splits) + 1))
+    for i, s in enumerate(splits):
+        for k, within in enumerate((number < F.lit(s), number == F.lit(s))):
+            place = place.when(within, F.lit(2 * (len(splits) - i) - k if descending else 2 * i + k))
+    return place.otherwise(F.lit(0 if descending else 2 * len(splits)))
 
 
 def cut(
@@ -76,34 +80,47 @@ def cut(
     A range of more than ``heap_rows`` is cut again, by the same column while that tells its rows apart, then by the next.
     Counts are exact.
     """
-    before, inside, left = F.lit(False), F.lit(True), rows
-    columns = list(order)
-    while columns:
-        part = df.filter(inside)
-        position = _ranges(part, *columns[0], ranges)
-        counts = {} if position is None else dict(part.groupBy(position.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-        if len(counts) < 2:
-            columns.pop(0)
-            continue
-        seen, last = 0, max(counts)
-        for p in sorted(counts):
-            if seen + counts[p] >= left or p == last:
+    return cuts(df, order, [rows], heap_rows, ranges)[0]
+
+
+def cuts(
+    df: DataFrame, order: Sequence[tuple[str, bool]], rows: Sequence[int], heap_rows: int = HEAP_ROWS, ranges: int = 1000
+) -> list[tuple[Column, Column, int]]:
+    """``cut`` for several places, which share their jobs as long as they lie in the same range."""
+
+    def within(before: Column, inside: Column, left: list[int], columns: list[tuple[str, bool]]) -> list[tuple[Column, Column, int]]:
+        while columns:
+            part = df.filter(inside)
+            position = _pieces(part, *columns[0], left, ranges)
+            counts = {} if position is None else dict(part.groupBy(position.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+            if len(counts) > 1:
                 break
-            seen += counts[p]
-        before = before | (inside & (position < p))
-        inside = inside & (position == p)
-        left -= seen
-        if counts[p] <= heap_rows:
-            break
-    return before, inside, left
+            columns = columns[1:]
+        else:
+            return [(before, inside, n) for n in left]
+        places, last = [], max(counts)
+        for n in left:
+            seen = 0
+            for p in sorted(counts):
+                if seen + counts[p] >= n or p == last:
+                    break
+                seen += counts[p]
+            places.append((p, n - seen))
+        ends = {}
+        for p in dict(places):
+            state, rest = (before | (inside & (position < p)), inside & (position == p)), [n for q, n in places if q == p]
+            ends[p] = iter([(*state, n) for n in rest] if counts[p] <= heap_rows else within(*state, rest, columns))
+        return [next(ends[p]) for p, _ in places]
+
+    return within(F.lit(False), F.lit(True), list(rows), list(order))
 
 
 def around_page(
     df: DataFrame, order: Sequence[tuple[str, bool]], offset: int, limit: int, heap_rows: int = HEAP_ROWS
 ) -> tuple[DataFrame, int]:
     """Keep only the value ranges that a page touches; returns the smaller table and the rows still to skip in it."""
-    before, _, skipped = cut(df, order, offset, heap_rows) if offset else (F.lit(False), None, 0)
-    upto, last, _ = cut(df, order, offset + limit, heap_rows)
+    *first, (upto, last, _) = cuts(df, order, [offset, offset + limit] if offset else [limit], heap_rows)
+    before, _, skipped = first[0] if first else (F.lit(False), None, 0)
     return df.filter(~before & (upto | last)), skipped
 
 

@@ -326,6 +326,20 @@ def test_cuts_on_all_sort_columns(spark, order, heap):
         assert df.filter(inside).count() <= heap
 
 
+@pytest.mark.parametrize("descending", [True, False])
+def test_cuts_are_a_few_comparisons(spark, descending):
+    """However fine the sketch is, a row meets the split points next to the page only; both ends of a page share their jobs."""
+    df = spark.range(5000).selectExpr("id", "IF(id % 9 = 0, NULL, IF(id % 2 = 0, 7, id % 700) * 1.5) AS v")
+    order = [("v", descending), ("id", False)]
+    kept, skipped = paging.around_page(df, order, 3000, 30, heap_rows=100)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "split(" not in plan
+    assert kept.count() <= 200
+    want = df.orderBy(*paging.sort_columns(order)).collect()
+    for offset, limit in ((3000, 30), (4440, 300)):
+        assert page_of(df, order, offset, limit, heap_rows=100).collect() == want[offset:offset + limit]
+
+
 def test_offset_without_limit_gathers_no_table(spark):
     df = spark.range(5000).selectExpr("id", "id % 3 AS s")
     plan = page_of(df, [("s", False), ("id", False)], 2000, heap_rows=50)._jdf.queryExecution().executedPlan().toString()
