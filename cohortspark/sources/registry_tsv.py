@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+from dataclasses import replace
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortspark.operators.registry import ARRAY_NAMES, CHILDREN, Registry, with_children
-from cohortspark.session import written
+from cohortspark.session import shuffles_removed, written
 
 # Plain columns of a flattened row and the sub-columns of each child kind.
 FILE_COLUMNS = (
@@ -24,6 +26,8 @@ SUB_COLUMNS = {
 }
 # Sub-columns a child cannot do without.
 NEEDED = {"url": ("url",), "hash": ("hash_type", "hash"), "alias": ("name",), "tag": ("field_name", "field_value")}
+#: Children that are gathered at once when a flattened file is written: so much shuffle lies on disk at a time.
+MOVED_ROWS = 64_000_000
 # Separators by file extension.
 SEPARATORS = {"csv": ",", "tsv": "\t", "txt": " "}
 
@@ -118,7 +122,7 @@ def _registry_of(lines: DataFrame, header: list[str], now: int) -> Registry:
         for sub in NEEDED[kind]:
             whole = whole & F.col(f"c{SUB_COLUMNS[kind].index(sub)}").isNotNull()
         needed = needed | whole
-    stored = written(rows.select(F.col("guid").alias("file"), F.inline(children)).filter(needed), "flat-children")
+    stored = written(rows.select(F.col("guid").alias("file"), F.inline(children)).filter(needed), "flat-children", compression="zstd")
 
     def table(kind: str) -> DataFrame:
         cells = {sub: F.col(f"c{i}") for i, sub in enumerate(SUB_COLUMNS[kind])}
@@ -154,14 +158,21 @@ def read_flat_registry(spark: SparkSession, path: str, now: int) -> Registry:
     return _registry_of(cells, header.split("\t"), now)
 
 
-def _most_children(registry: Registry) -> dict[str, int]:
-    """The most children of each kind that any file has: one small aggregation."""
+def _children_counts(registry: Registry) -> tuple[dict[str, int], int]:
+    """The most children of each kind that any file has, and the number of all children: one small aggregation."""
     owners = reduce(
         DataFrame.unionByName,
         [getattr(registry, kind).select(F.lit(kind).alias("kind"), "file") for kind in CHILDREN],
     )
     sizes = owners.groupBy("kind", "file").agg(F.count(F.lit(1)).alias("n"))
-    return {row["kind"]: row["n"] for row in sizes.groupBy("kind").agg(F.max("n").alias("n")).collect()}
+    with shuffles_removed(owners.sparkSession):
+        found = sizes.groupBy("kind").agg(F.max("n").alias("n"), F.sum("n").alias("total")).collect()
+    return {row["kind"]: row["n"] for row in found}, sum(row["total"] for row in found)
+
+
+def _gathered(registry: Registry) -> DataFrame:
+    """Files with their children, without what no flattened row has."""
+    return with_children(registry.file, replace(registry, url=registry.url.drop("created_at")))
 
 
 def flatten(registry: Registry) -> DataFrame:
@@ -171,7 +182,7 @@ def flatten(registry: Registry) -> DataFrame:
     needs. ``flat_lines`` gives the same rows as lines of text, without columns. Children are numbered by their stored
     position or else their values.
     """
-    most = _most_children(registry)
+    most, _ = _children_counts(registry)
     names, columns = [], []
     for kind in CHILDREN:
         count = most.get(kind, 0)
@@ -179,7 +190,7 @@ def flatten(registry: Registry) -> DataFrame:
             child = F.get(F.col(ARRAY_NAMES[kind]), F.lit(i))
             names += [f"{kind}_{i}_{sub}" for sub in SUB_COLUMNS[kind]]
             columns += [child[sub].cast("string") for sub in SUB_COLUMNS[kind]]
-    rows = with_children(registry.file, registry)
+    rows = _gathered(registry)
     return rows.select(*FILE_COLUMNS, *[c.alias(n) for n, c in zip(names, columns)])
 
 
@@ -189,6 +200,11 @@ def flat_lines(registry: Registry) -> tuple[str, DataFrame]:
     Each kind is one array of padded cells, so expressions do not grow with the number of children. The format knows no
     quoting: tabs and line ends inside values become spaces.
     """
+    return _lines(registry, _children_counts(registry)[0])
+
+
+def _lines(registry: Registry, most: dict[str, int]) -> tuple[str, DataFrame]:
+    """``flat_lines`` with room for ``most`` children of each kind."""
     def cell(value: Column) -> Column:
         return F.coalesce(F.translate(value.cast("string"), "\t\r\n\x01", "    "), F.lit(""))
 
@@ -196,7 +212,6 @@ def flat_lines(registry: Registry) -> tuple[str, DataFrame]:
         found = F.get(F.col(ARRAY_NAMES[kind]), i)
         return F.concat_ws("\t", *[cell(found[sub]) for sub in SUB_COLUMNS[kind]])
 
-    most = _most_children(registry)
     header, parts = list(FILE_COLUMNS), [cell(F.col(c)) for c in FILE_COLUMNS]
     for kind in CHILDREN:
         count = most.get(kind, 0)
@@ -204,16 +219,30 @@ def flat_lines(registry: Registry) -> tuple[str, DataFrame]:
         if count:
             places = F.sequence(F.lit(0), F.lit(count - 1))
             parts.append(F.array_join(F.transform(places, partial(child, kind)), "\t"))
-    rows = with_children(registry.file, registry)
-    return "\t".join(header), rows.select(F.concat_ws("\t", *parts).alias("value"))
+    return "\t".join(header), _gathered(registry).select(F.concat_ws("\t", *parts).alias("value"))
+
 
+def _share(registry: Registry, step: int, steps: int) -> Registry:
+    """One of ``steps`` parts of the files, with their children."""
+    def part(table: DataFrame, owner: str) -> DataFrame:
+        return table.filter(F.pmod(F.xxhash64(owner), F.lit(steps)) == step)
 
-def write_flat(registry: Registry, path: str) -> None:
-    """Write ``flat_lines`` as files that each begin with the header."""
-    header, lines = flat_lines(registry)
-    lines.select(F.col("value").alias(header)).write.csv(
-        path, sep="\x01", header=True, quote="", emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False)
+    return Registry(file=part(registry.file, "guid"), **{kind: part(getattr(registry, kind), "file") for kind in CHILDREN})
+
+
+def write_flat(registry: Registry, path: str, compression: str = "none") -> None:
+    """Write ``flat_lines`` as files that each begin with the header.
+
+    Files with many children in all are written share by share, and the shuffle of a share is gone before the next.
+    """
+    most, total = _children_counts(registry)
+    steps = max(1, math.ceil(total / MOVED_ROWS))
+    for step in range(steps):
+        header, lines = _lines(registry if steps == 1 else _share(registry, step, steps), most)
+        with shuffles_removed(lines.sparkSession):
+            lines.select(F.col("value").alias(header)).write.mode("append" if step else "errorifexists").csv(
+                path, sep="\x01", header=True, quote="", emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False,
+                ignoreTrailingWhiteSpace=False, compression=compression)
 
 
 def read_registrations(spark: SparkSession, path: str) -> DataFrame:

@@ -273,6 +273,23 @@ def test_flat_round_trip(spark, registry, rows, tmp_path):
         assert rows(back.file, *columns) == rows(registry.file, *columns)
 
 
+def test_flat_file_in_shares(spark, registry, rows, tmp_path, monkeypatch):
+    """Share by share, packed, the same file comes back; a share leaves no shuffle behind."""
+    monkeypatch.setattr(tsv, "MOVED_ROWS", 3)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    spark.sparkContext._jvm.System.gc()
+    before = {int(i) for i in tracker.shuffleStatuses().keys().mkString(",").split(",") if i}
+    path = tmp_path / "flat"
+    tsv.write_flat(registry, str(path), compression="gzip")
+    assert not {int(i) for i in tracker.shuffleStatuses().keys().mkString(",").split(",") if i} - before
+    assert {f.suffix for f in path.glob("part-*")} == {".gz"}
+    tsv.write_flat(registry, str(tmp_path / "plain"))
+    back, plain = tsv.read_flat_registry(spark, str(path), now=0), tsv.read_flat_registry(spark, str(tmp_path / "plain"), now=0)
+    for kind in ("file", "url", "hash", "alias", "tag"):
+        assert rows(getattr(back, kind)) == rows(getattr(plain, kind))
+    assert back.url.count() == registry.url.count() and back.file.count() == registry.file.count()
+
+
 def test_flat_lines_of_many_children(spark, tmp_path):
     """The plan of a file with 3000 links is as large as that of one with two; cells keep blanks but no tabs."""
     def of(n):

@@ -580,7 +580,7 @@ UNION ALL SELECT guid, 'file', size || '=' || updated_at || '=' || version FROM
 def registry_unflatten(spark, sf_dir):
     """A flattened file, written and parsed back into registry tables."""
     path = scratch_path(spark, "flat-registry")
-    registry_tsv.write_flat(registry(spark, sf_dir), path)
+    registry_tsv.write_flat(registry(spark, sf_dir), path, compression="gzip")
     tables = registry_tsv.read_flat_registry(spark, path, 0)
     rows = tables.file.select(
         F.col("guid").alias("file"), F.lit("file").alias("kind"),
