@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
@@ -25,10 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortspark.operators import registry as reg
 from cohortspark.operators.registry import CHILDREN, Registry
+from cohortspark.session import shuffles_removed
 
 KINDS = ("file", *CHILDREN)
-#: Buckets of a new store: as many tasks can work on a table, and so many files a commit writes per table at most.
+#: Buckets of a new store, at least: as many tasks can work on a table, and so many files a commit writes per table at most.
 BUCKETS = 16
+#: Rows of all tables that one bucket of a new store has on average, at most: a task holds them to gather children.
+BUCKET_ROWS = 1_000_000
+#: Rows of a table that are moved to their buckets at once when a store is made: so much shuffle lies on disk at a time.
+MOVED_ROWS = 64_000_000
 
 # Columns of the registry tables, the column they are bucketed by, and what names a row.
 COLUMNS = {
@@ -120,7 +126,7 @@ class Store:
         name = f"registry_{hashlib.md5(self.root.encode()).hexdigest()[:16]}_{kind}"
         if not self.spark.catalog.tableExists(name):
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {name} ({COLUMNS[kind]}, {_OWN}, commit string) USING parquet PARTITIONED BY (commit) "
+                f"CREATE TABLE IF NOT EXISTS {name} ({COLUMNS[kind]}, {_OWN}, commit string) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY (commit) "
                 f"CLUSTERED BY ({OWNER[kind]}) INTO {state.buckets} BUCKETS LOCATION '{self.root}/{kind}'")
         missing = set(state.tokens.get(kind, [])) - {r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {name}").collect()}
         if missing:
@@ -155,15 +161,22 @@ class Store:
 
     # ---------------------------------------------------------------- changes
 
-    def _write(self, kind: str, rows: DataFrame, state: State, token: str, seq: int, whole: bool, moved: bool = True) -> None:
+    def _write(self, kind: str, rows: DataFrame, state: State, token: str, seq: int, whole: bool, moved: bool = True,
+               steps: int = 1) -> None:
+        """Write rows of one commit; with ``steps`` in so many shares of the buckets, one after the other."""
         names = _names(kind)
         rows = rows.select(
             *[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (n.split() for n in COLUMNS[kind].split(", "))],
             F.lit(seq).cast("long").alias("_seq"), F.lit(whole).alias("_whole"),
             (F.col("_gone") if "_gone" in rows.columns else F.lit(False)).alias("_gone"), F.lit(token).alias("commit"))
-        rows = rows.repartition(state.buckets, OWNER[kind]) if moved else rows
-        rows.select(*names, "_seq", "_whole", "_gone", "commit").write.mode("append").format("parquet").partitionBy("commit").bucketBy(
-            state.buckets, OWNER[kind]).saveAsTable(self._table(kind, state))
+        rows = rows.select(*names, "_seq", "_whole", "_gone", "commit")
+        bucket = F.pmod(F.hash(OWNER[kind]), F.lit(state.buckets))
+        for step in range(steps):
+            share = rows if steps == 1 else rows.filter(F.floor(bucket * steps / state.buckets) == step)
+            share = share.repartition(state.buckets, OWNER[kind]) if moved else share
+            with shuffles_removed(share.sparkSession):
+                share.write.mode("append").format("parquet").partitionBy("commit").bucketBy(
+                    state.buckets, OWNER[kind]).saveAsTable(self._table(kind, state))
 
     def commit(self, changes: Mapping[str, list[tuple[DataFrame, bool]]], stream: str | None = None, number: int = 0,
                base: int | None = None) -> int:
@@ -218,15 +231,17 @@ class Store:
         return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def create(spark: SparkSession, root: str, registry: Registry, buckets: int = BUCKETS) -> Store:
-    """A new store with the rows of ``registry`` as its first version."""
+def create(spark: SparkSession, root: str, registry: Registry, buckets: int | None = None) -> Store:
+    """A new store with the rows of ``registry`` as its first version, by default with buckets for its number of rows."""
     store = Store(spark, root.rstrip("/"))
     if store.state().version:
         raise ValueError(f"{root} holds a registry")
+    sizes = {kind: getattr(registry, kind).count() for kind in KINDS}
+    buckets = buckets or max(BUCKETS, math.ceil(sum(sizes.values()) / BUCKET_ROWS))
     first = State(buckets=buckets)
     tokens = {kind: [uuid.uuid4().hex] for kind in KINDS}
     for kind in KINDS:
-        store._write(kind, getattr(registry, kind), first, tokens[kind][0], 0, True)
+        store._write(kind, getattr(registry, kind), first, tokens[kind][0], 0, True, steps=max(1, math.ceil(sizes[kind] / MOVED_ROWS)))
     store._publish(State(1, buckets, tokens))
     return store
 

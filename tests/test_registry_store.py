@@ -60,6 +60,22 @@ def test_children_and_flattening_move_no_table(store, no_broadcast):
     assert "Exchange" not in plan(registry_tsv.flatten(found))
 
 
+def test_large_store_in_shares(spark, tables, tmp_path, monkeypatch):
+    """Buckets grow with the rows, a table moves share by share, and stored files are packed tightly."""
+    monkeypatch.setattr(rs, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(rs, "MOVED_ROWS", 50)
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = sum(getattr(tables, kind).count() for kind in rs.KINDS)
+    made = rs.create(spark, str(tmp_path / "store"), tables)
+    assert made.state().buckets == -(-rows // 20) > rs.BUCKETS
+    assert content(made.read()) == content(tables)
+    files = [f.name for f in (tmp_path / "store" / "url").rglob("*.parquet")]
+    assert files and all(f.endswith(".zstd.parquet") for f in files) and len(files) <= made.state().buckets
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+    flat = registry_tsv.flatten(made.read())
+    assert flat.count() == N and flat.where("url_2_url IS NOT NULL").count() == 40
+
+
 def url_batch(spark, status="validated"):
     return spark.createDataFrame(
         [("s3://b/1", "r/1", status, "x"), ("s3://new/1", "r/2", "lost", "y"), ("s3://no/1", "r/none", "failed", "z")],
